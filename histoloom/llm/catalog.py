@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, url_filter
+from . import decontaminate, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_byte_shards": sharding.op6_byte_shards,
+        "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filter.ORACLE}
+    return {"op5_url_filters": url_filter.ORACLE, "op10_suffix_automaton": decontaminate.ORACLE}
