@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, url_filter
+from . import decontaminate, quality, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_byte_shards": sharding.op6_byte_shards,
+        "op9_nb_svm": quality.op9_nb_svm,
         "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
     }
 
