@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import utf8, words
+from .kernels import words
+from .storage import fresh, schema_of
 
 WINDOW = 10
 #: Bytes of benchmark text whose automaton a task builds and holds at once.
@@ -167,7 +168,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _scan(block: list[tuple[str, str]], token: tuple, window: int, text: str, mark: list[str], cut: bool):
+def _scan(block: list[tuple[str, str]], token: tuple, window: int, text: str, mark: list[str], cut: bool, new: list[str]):
     """A task's function: (mark columns, n_words, spans, items[, text without the hit words])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +193,10 @@ def _scan(block: list[tuple[str, str]], token: tuple, window: int, text: str, ma
                     items.append(sorted(of))
                     if cut:
                         texts.append(_without(w, d, own))
-            out = {m: batch.column(m) for m in mark} | {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string()))}
+            out = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
             if cut:
-                out["cut_text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+                out.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(m) for m in mark] + out, [*mark, *new])
 
     return run
 
@@ -223,7 +224,7 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int = B
         yield [(r.i, r.t) for r in part.collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: the ``key`` columns, n_words, spans (array of start, end: word numbers of the
     hit words, merged) and items (sorted ids, as strings, of items with occurring windows).
 
@@ -231,19 +232,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str
     consecutive words of an item, or all words of a shorter one; an item without words has none. A null text has
     no words; an empty benchmark hits nothing; an empty table gives an empty one; repeated rows stay.
     ``key`` should identify rows only when the benchmark takes more than one block, since spans of
-    blocks are united by it. ``cut`` adds cut_text, the text without its hit words (one block only).
+    blocks are united by it.
     """
-    source = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*key).schema)
-    schema = f"{plain}, n_words long, spans array<struct<start:long,end:long>>, items array<string>" + ", cut_text string" * cut
+    whole = fresh("_whole", key)
+    source = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias(whole))
     parts = []
     for block in item_blocks(benchmark, item, item_text, block_bytes):
         token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
-        parts.append(source.mapInArrow(_scan(block, token, window, "_text", key, cut), schema))
+        run = _scan(block, token, window, whole, key, False, ["n_words", "spans", "items"])
+        parts.append(source.mapInArrow(run, schema_of(docs.select(*key), "n_words long", "spans array<struct<start:long,end:long>>", "items array<string>")))
     if len(parts) == 1:
         return parts[0]
-    if cut:
-        raise ValueError("cut needs a benchmark of one block; use decontaminate")
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
@@ -265,13 +264,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     pass for each: windows that a cut brings together count as well then.
     """
     columns = docs.columns
+    whole, words_, spans, items, cut = (fresh(x, columns) for x in ("_whole", "_n_words", "_spans", "_items", "_cut"))
     for block in item_blocks(benchmark, item, item_text):
         token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
-        source = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        found = source.mapInArrow(_scan(block, token, window, "_text", columns, True), f"{plain}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, cut_text string")
-        kept = found.where(n_hit("spans") <= F.col("n_words") * drop_share)
-        docs = kept.select(*[F.when(F.size("spans") > 0, F.col("cut_text")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns])
+        source = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+        run = _scan(block, token, window, whole, columns, True, [words_, spans, items, cut])
+        found = source.mapInArrow(run, schema_of(docs, f"{words_} long", f"{spans} array<struct<start:long,end:long>>", f"{items} array<string>", f"{cut} string"))
+        kept = found.where(n_hit(spans) <= F.col(words_) * drop_share)
+        docs = kept.select(*[F.when(F.size(spans) > 0, F.col(cut)).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns])
     return docs
 
 

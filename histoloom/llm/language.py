@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .kernels import spans_of_docs, utf8
 from .sampling import bounded, fold
+from .storage import fresh, schema_of
 
 #: Labelled rows used for fitting.
 SAMPLE_ROWS = 4000
@@ -176,14 +177,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     new = ("lang_pred", "score", "accepted")
     columns = [c for c in docs.columns if c not in new]
+    whole, letter = fresh("_whole", columns), fresh("_letter", columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(letter).to_numpy(zero_copy_only=False)
             if m.languages:
-                p = m.probabilities(m.logits(batch.column("_text")))
+                p = m.probabilities(m.logits(batch.column(whole)))
                 best, score = p.argmax(axis=1), p.max(axis=1)
             else:
                 letters = np.zeros(len(letters), dtype=bool)
@@ -192,9 +194,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out = [pa.array(named, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(letters & (score >= m.least))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + out, [*columns, *new])
 
-    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
-    source = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return source.mapInArrow(run, ", ".join([*plain, "lang_pred string", "score double", "accepted boolean"]))
+    source = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(whole), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
+    return source.mapInArrow(run, schema_of(docs.select(*columns), "lang_pred string", "score double", "accepted boolean"))
 
 
 def op3_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:

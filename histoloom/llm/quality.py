@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .kernels import mix, utf8, words
 from .sampling import bounded, fold
+from .storage import fresh, schema_of
 
 #: Labelled rows used for fitting.
 SAMPLE_ROWS = 6000
@@ -172,22 +173,23 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     """``docs`` with a score from 0 to 1 in ``into`` (replaced if there). A null text counts as empty; equal texts
     score alike; an empty table gives an empty one."""
     columns = [c for c in docs.columns if c != into]
+    whole = fresh("_whole", columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = pa.array([m.score(x) for x in indicators(batch.column("_text"))], pa.float64())
+            found = pa.array([m.score(x) for x in indicators(batch.column(whole))], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [found], [*columns, into])
 
-    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
-    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, ", ".join([*plain, f"{into} double"]))
+    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(whole)).mapInArrow(run, schema_of(docs.select(*columns), f"{into} double"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = ACCEPT) -> DataFrame:
     """The documents that score ``least`` or more, columns as they were; the model is fitted on all labels."""
     columns = docs.columns
-    return score(docs, train(docs, labels, key, text), text, "_score").where(F.col("_score") >= least).select(*columns)
+    own = fresh("_score", columns)
+    return score(docs, train(docs, labels, key, text), text, own).where(F.col(own) >= least).select(*columns)
 
 
 def op9_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

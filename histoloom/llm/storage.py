@@ -45,3 +45,16 @@ def dropped(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    """The DDL of a frame's columns and some more."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + list(more))
