@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, quality, sharding, url_filter
+from . import decontaminate, fingerprints, language, packing, quality, sharding, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_subword_softmax": language.op3_subword_softmax,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_byte_shards": sharding.op6_byte_shards,
+        "op7_separator_scan": token_files.op7_separator_scan,
+        "op8_bound_certified": packing.op8_bound_certified,
         "op9_nb_svm": quality.op9_nb_svm,
         "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
     }
