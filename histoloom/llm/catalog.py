@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, packing, quality, sharding, token_files, url_filter
+from . import decontaminate, fingerprints, jaccard, language, packing, quality, sharding, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_one_permutation": fingerprints.op1_one_permutation,
+        "op2_signature_trees": jaccard.op2_signature_trees,
         "op3_subword_softmax": language.op3_subword_softmax,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_byte_shards": sharding.op6_byte_shards,
