@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard, language, packing, quality, sharding, token_files, url_filter
+from . import decontaminate, fingerprints, jaccard, language, packing, quality, sharding, suffixes, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_one_permutation": fingerprints.op1_one_permutation,
         "op2_signature_trees": jaccard.op2_signature_trees,
         "op3_subword_softmax": language.op3_subword_softmax,
+        "op4_sparse_suffixes": suffixes.op4_sparse_suffixes,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_byte_shards": sharding.op6_byte_shards,
         "op7_separator_scan": token_files.op7_separator_scan,
