@@ -22,6 +22,8 @@ from .storage import fresh, schema_of, shuffle_partitions
 BINS = 512  # a power of two
 BITS = 4  # divides 8
 SHINGLE = 5
+#: Rows whose edited texts a task holds at once.
+SLICE = 1000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -142,7 +144,7 @@ _OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of whole parts in order, each part closed by a guest: pairs each row with the next."""
     held = None
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         held = batch.slice(len(batch) - 1)
@@ -159,7 +161,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new.append(_edited(texts[i].as_py(), int(n[i]), texts[i + 1].as_py()))
             digest.append(hashlib.sha256(new[-1].encode()).hexdigest())
         edited = fingerprints_of(pa.array(new, pa.large_string()))
-        own = batch.column("fingerprint").to_pylist()
+        own = fingerprints_of(texts)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").take(pa.array(rows)), pa.array(n[rows].astype(np.int64)), pa.array(digest), pa.array([own[i].hex() for i in rows]), pa.array([x.hex() for x in edited]),
@@ -172,8 +174,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op1_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     dealt = with_next(docs, "doc_id", 4 * shuffle_partitions(spark))
-    dealt = fingerprint(dealt, "_text")
     ordered = dealt.repartition("_part").sortWithinPartitions("_part", "_guest", F.desc("_order"), "_text")
-    return ordered.select("doc_id", "_text", "_guest", "fingerprint").mapInArrow(
+    return ordered.select("doc_id", "_text", "_guest").mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
