@@ -125,7 +125,7 @@ def hash_list(text: Column) -> Column:
 
 
 def comma_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parsed_tag(name: Column, days_from_commit: Column) -> dict[str, Column]:

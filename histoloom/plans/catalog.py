@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import metrics, ownership, statistics
+from . import audits, graph, metrics, ownership, splits, statistics
 from .common import Query
 
-_MODULES = [ownership, statistics, metrics]
+_MODULES = [ownership, statistics, splits, audits, metrics, graph]
 
 
 def queries() -> dict[str, Query]:
