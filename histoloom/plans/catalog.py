@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audits, graph, metrics, ownership, splits, statistics
+from . import audits, features, graph, history, metrics, ownership, runs, splits, statistics
 from .common import Query
 
-_MODULES = [ownership, statistics, splits, audits, metrics, graph]
+_MODULES = [ownership, statistics, splits, audits, metrics, graph, history, features, runs]
 
 
 def queries() -> dict[str, Query]:
