@@ -102,5 +102,5 @@ def references(pulls: DataFrame, issues: DataFrame, link: Sequence[str], texts:
         direct = rows if direct is None else direct.unionByName(rows)
     numbers = F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(t), F.lit("")), F.lit(r"#(\d+)"), F.lit(1)) for t in texts]))))
     rest = pulls if direct is None else pulls.join(direct.select("hash", "pr_id"), ["hash", "pr_id"], "left_anti")
-    named = rest.select("hash", "pr_id", numbers.cast("long").alias("_n")).join(issues.select("hash", F.col(number).cast("long").alias("_n"), F.col("issue_id").cast("string").alias("issue_id")), ["hash", "_n"]).select("hash", "pr_id", "issue_id")
+    named = rest.select("hash", "pr_id", numbers.alias("_t")).select("hash", "pr_id", F.col("_t").cast("long").alias("_n")).join(issues.select("hash", F.col(number).cast("long").alias("_n"), F.col("issue_id").cast("string").alias("issue_id")), ["hash", "_n"]).select("hash", "pr_id", "issue_id")
     return (named if direct is None else direct.select("hash", "pr_id", "issue_id").unionByName(named)).distinct()
