@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import Words, code_points, mix, shingles, utf8, words
-from .storage import fresh, schema_of, shuffle_partitions
+from .storage import fresh, schema_of, shuffle_partitions, small_batches
 
 BINS = 512  # a power of two
 BITS = 4  # divides 8
@@ -47,6 +47,8 @@ def _packed(w: Words, bins: int, bits: int, k: int) -> list[bytes]:
     width = np.uint64(bins.bit_length() - 1)
     np.minimum.at(least, doc * bins + (h >> (np.uint64(64) - width)).astype(np.int64), h & ((np.uint64(1) << (np.uint64(64) - width)) - np.uint64(1)))
     least = _densified(least.reshape(w.n, bins), bins)
+    # The bin goes into its bits, so the bins that copy one value don't agree with another's by one chance.
+    least = mix(least ^ mix(np.arange(1, bins + 1, dtype=np.uint64)))
     low = (least & np.uint64((1 << bits) - 1)).astype(np.uint8).reshape(w.n, -1, 8 // bits)
     code = np.zeros(low.shape[:2], dtype=np.uint8)
     for i in range(8 // bits):
@@ -80,6 +82,7 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     A null text counts as empty; a text without words has an empty fingerprint; equal texts have
     equal ones; repeated rows stay; a column named ``into`` is replaced; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != into]
     whole = fresh("_whole", columns)
 
@@ -99,6 +102,7 @@ def with_next(docs: DataFrame, key: str, partitions: int) -> DataFrame:
     to the last part), so each part ends with the row that follows it. The driver gets one cut and
     one key for each part. Repeated keys lie in one part, in an order that their texts set.
     """
+    small_batches(docs.sparkSession)
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     ordered = docs.withColumn("_order", order)
     probabilities = [i / partitions for i in range(1, partitions)]
