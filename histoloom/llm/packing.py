@@ -4,7 +4,8 @@ Documents become pieces of at most ``capacity`` tokens. Each partition packs its
 decreasing and computes lower bounds on its number of bins from dual feasible functions. A
 partition that meets its bound is certified and final but for its emptiest bin. The others keep their full
 bins, exchange the documents of all others among each other, and pack again, as long as that
-saves bins.
+saves bins. Where the partitions' bounds together exceed the bound of all lengths (their contents
+differ too much to certify each other), certified ones exchange the documents of their open bins too.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fresh, written
+from .storage import fresh, small_batches, written
 from .tokens import default_vocabulary, encoder
 
 CAPACITY = 1024
@@ -34,6 +35,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     A null text is empty; without ``end`` an empty text has no piece. ``part`` numbers the runs of
     at most ``part_pieces`` pieces that a partition yields, so no key can fill one. Repeated rows stay.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     whole = fresh("_whole", [key])
 
@@ -88,11 +90,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound of two families of dual feasible functions: items above ``capacity - k`` count
-    whole and items below ``k`` not at all, for each k; and lengths rounded down to multiples of 1/p."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """For ``count[n]`` items of each length n the best bound of two families of dual feasible functions: items above
+    ``capacity - k`` count whole and items below ``k`` not at all, for each k; and lengths rounded down to multiples of 1/p."""
     sizes = np.arange(capacity + 1)
     above = np.concatenate((np.cumsum(count[::-1])[::-1], [0]))  # items of at least so many tokens
     tokens = np.concatenate((np.cumsum((count * sizes)[::-1])[::-1], [0]))
@@ -105,23 +108,25 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def _pack_round(pieces: DataFrame, round_no: int, capacity: int, final: bool) -> DataFrame:
-    """Packs each part. ``pooled`` marks the pieces that go on; sequence ids are unique by round, part and bin."""
+    """Packs each part. ``pooled`` marks the pieces that go on by the part's own bound, ``open`` those in bins with room;
+    ``bound`` is the part's. Sequence ids are unique by round, part and bin."""
 
     def pack(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         part = table.column("part")[0].as_py()
+        bound = lower_bound(lengths, capacity)
         if final:
             going = np.zeros(len(free), dtype=bool)
-        elif len(free) > lower_bound(lengths, capacity):
+        elif len(free) > bound:
             going = free > 0
         else:
             going = np.arange(len(free)) == (int(free.argmax()) if free.max(initial=0) else -1)
         first = (round_no << 58) + ((part >> 32) << 48 | (part & 0xFFFFFFFF) << 20) if round_no == 0 else (round_no << 58) + (part << 20)
-        return table.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets)).append_column("pooled", pa.array(going[bins]))
+        return table.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets)).append_column("pooled", pa.array(going[bins])).append_column("open", pa.array(free[bins] > 0)).append_column("bound", pa.array(np.full(len(bins), bound)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.groupBy("part").applyInArrow(pack, f"{schema}, sequence_id long, offset long, pooled boolean")
+    return pieces.groupBy("part").applyInArrow(pack, f"{schema}, sequence_id long, offset long, pooled boolean, open boolean, bound long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, part_pieces: int = PART_PIECES) -> DataFrame:
@@ -132,24 +137,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, part
     bounded; the driver sees counts only.
     """
     columns = [c for c in pieces.columns if c != "part"]
-    done, todo = [], pieces
+    done, todo, going = [], pieces, None
     for r in range(rounds):
-        packed = written(_pack_round(todo, r, capacity, r == rounds - 1), f"packed-{r}")
+        final = r == rounds - 1
+        packed = written(_pack_round(todo, r, capacity, final), f"packed-{r}")
         if r:
-            old = before.where("pooled").agg(F.countDistinct("sequence_id")).first()[0]
+            old = before.where(going).agg(F.countDistinct("sequence_id")).first()[0]
             if packed.agg(F.countDistinct("sequence_id")).first()[0] >= old:
-                done.append(before.where("pooled"))
+                done.append(before.where(going))
                 break
-        done.append(packed.where("NOT pooled"))
-        pooled, parts = packed.where("pooled").agg(F.count("*"), F.countDistinct("part")).first()
+        # Lengths are at most ``capacity``, so the histogram has as many rows.
+        counts = np.zeros(capacity + 1, dtype=np.int64)
+        for x in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+            counts[x.length] = x.n
+        parts, bounds = packed.groupBy("part").agg(F.max("bound").alias("b")).agg(F.count("*"), F.sum("b")).first()
+        apart = not final and parts > 1 and bounds > bound_of_counts(counts, capacity) + parts
+        going = F.col("open") if apart else F.col("pooled")
+        pooled, parts = packed.where(going).agg(F.count("*"), F.countDistinct("part")).first()
         if not pooled or parts == 1:
-            done.append(packed.where("pooled"))
+            done.append(packed)
             break
-        before = packed
-        n = -(-pooled // part_pieces)
-        todo = packed.where("pooled").drop("sequence_id", "offset", "pooled", "part").withColumn("part", F.lit(0).cast("long"))
-        if n > 1:
-            todo = packed.where("pooled").withColumn("part", F.pmod(F.xxhash64("sequence_id", "offset", F.lit(r)), F.lit(n)).cast("long")).drop("sequence_id", "offset", "pooled")
+        done.append(packed.where(~going))
+        before, n = packed, -(-pooled // part_pieces)
+        part = F.pmod(F.xxhash64("sequence_id", "offset", F.lit(r)), F.lit(n)).cast("long") if n > 1 else F.lit(0).cast("long")
+        todo = packed.where(going).select(*columns, part.alias("part"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
