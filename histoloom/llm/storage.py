@@ -47,6 +47,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and a task holds a batch several times over.
+BATCH_ROWS = 2500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS``, which bounds what a task holds of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, lengthened until no column has it."""
     low = {c.lower() for c in taken}
