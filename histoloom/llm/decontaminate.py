@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import words
-from .storage import fresh, schema_of
+from .storage import fresh, schema_of, small_batches
 
 WINDOW = 10
 #: Bytes of benchmark text whose automaton a task builds and holds at once.
@@ -234,6 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str
     ``key`` should identify rows only when the benchmark takes more than one block, since spans of
     blocks are united by it.
     """
+    small_batches(docs.sparkSession)
     whole = fresh("_whole", key)
     source = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias(whole))
     parts = []
@@ -263,6 +264,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     ``drop_share`` is dropped. Untouched texts (and null ones) stay as they are. A benchmark of several blocks takes one
     pass for each: windows that a cut brings together count as well then.
     """
+    small_batches(docs.sparkSession)
     columns = docs.columns
     whole, words_, spans, items, cut = (fresh(x, columns) for x in ("_whole", "_n_words", "_spans", "_items", "_cut"))
     for block in item_blocks(benchmark, item, item_text):

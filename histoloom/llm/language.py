@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .kernels import spans_of_docs, utf8
 from .sampling import bounded, fold
-from .storage import fresh, schema_of
+from .storage import fresh, schema_of, small_batches
 
 #: Labelled rows used for fitting.
 SAMPLE_ROWS = 4000
@@ -176,6 +176,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     texts get equal results; an empty table gives an empty one.
     """
     new = ("lang_pred", "score", "accepted")
+    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in new]
     whole, letter = fresh("_whole", columns), fresh("_letter", columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .kernels import mix, utf8, words
 from .sampling import bounded, fold
-from .storage import fresh, schema_of
+from .storage import fresh, schema_of, small_batches
 
 #: Labelled rows used for fitting.
 SAMPLE_ROWS = 6000
@@ -172,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 in ``into`` (replaced if there). A null text counts as empty; equal texts
     score alike; an empty table gives an empty one."""
+    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != into]
     whole = fresh("_whole", columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights, whatever the corpus

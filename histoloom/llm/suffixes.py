@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import windows, words
-from .storage import dropped, fresh, schema_of, written
+from .storage import dropped, fresh, schema_of, small_batches, written
 
 PASSAGE = 50
 GRAM = 8
@@ -168,6 +168,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(doc, tid, spans, sources): for each document with words that an earlier document or passage has in the same
     window of ``PASSAGE`` words: the merged word ranges, and ids of documents that hold earlier
     occurrences. ``doc`` is the key, ``tid`` tells texts of one key apart."""
+    small_batches(docs.sparkSession)
     source = docs.select(*_identity(docs, key, text), F.coalesce(F.col(text), F.lit("")).alias("whole"))
     suffixes = written(source.mapInArrow(_suffixes, "lead long, doc long, place long"), "suffixes")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
