@@ -261,3 +261,11 @@ def test_graph_tables_have_no_dangling_ends(spark):
     assert sizes["modifies_file"] == sizes["file_modified_by"] and sizes["owns"] == sizes["owned_by"] > 0
     found = {r.finding: r.status for r in api.validate_split(api.split(tabs["commit_info"], "temporal"), "temporal").collect()}
     assert found["in_several_splits"] == "PASS" and found["repo_overlap"] == "BY-DESIGN"
+
+
+def test_variance_inflation(spark):
+    apart = spark.createDataFrame([(1.0, 0.0), (0.0, 2.0)], "a double, b double")
+    assert [r.vif for r in statistics.variance_inflation(apart, ["a", "b"]).collect()] == pytest.approx([1.0, 1.0])
+    close = spark.createDataFrame([(1.0, 1.0), (1.0, 0.5)], "a double, b double")
+    # Uncentred: G = [[2, 1.5], [1.5, 1.25]], so a's is 2 * 1.25 / 0.25.
+    assert [r.vif for r in statistics.variance_inflation(close, ["a", "b"]).collect()] == pytest.approx([10.0, 10.0])
