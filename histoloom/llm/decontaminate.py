@@ -5,7 +5,8 @@ length of the longest match that ends at each word tells which windows of item w
 Words covered by such windows are hit: they can be reported as spans or removed.
 
 The items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, whatever the benchmark's size:
-one pass over the documents for each block, whose spans are then united by document.
+one pass over the documents for each block, always on the original text. Where there are several, the
+rows get ids in a written table first; the blocks' spans are united by that id, and cut once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import words
-from .storage import fresh, schema_of, small_batches
+from .storage import fresh, schema_of, small_batches, written
 
 WINDOW = 10
 #: Bytes of benchmark text whose automaton a task builds and holds at once.
@@ -213,17 +214,60 @@ def _without(w, d: int, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, w.data[at:hi].tobytes()]).decode(errors="replace")
 
 
+def _trimmed(spans: str, text: str):
+    """A task's function: the rows with the words of ``spans`` (word numbers, merged) cut out of ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, of = batch.column(text).to_pylist(), batch.column(spans).to_pylist()
+            some = [i for i, x in enumerate(of) if x]
+            for w in words(pa.array([texts[i] for i in some], pa.large_string()), "alnum"):
+                for d in range(w.n):
+                    i, at = some[w.first + d], int(w.bounds[d])
+                    texts[i] = _without(w, d, [(x["start"] + at, x["end"] + at) for x in of[i]])
+            names = [c for c in batch.schema.names if c != spans]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names)
+
+    return run
+
+
+def _item_rows(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items as rows (i, t), and the number of blocks that they take."""
+    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return rows, -(-2 * total // block_bytes) if total > block_bytes else 1
+
+
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The items as lists of (id, text), each read from Spark on its own and of about ``block_bytes`` at most
     (one longer item alone may exceed it). Items with a null id or text are left out."""
-    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-2 * total // block_bytes) if total > block_bytes else 1
+    rows, n = _item_rows(benchmark, item, text, block_bytes)
     for b in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
         yield [(r.i, r.t) for r in part.collect()]
 
 
+def _united(rows: DataFrame, mark: str, text: str, blocks: Iterator[list[tuple[str, str]]], window: int) -> DataFrame:
+    """(mark, n_words, spans, items) of each of ``rows``, a written table with distinct ids ``mark`` and texts without
+    nulls. Each block's pass is written at once, so that the driver holds one block; all but the first keep
+    the rows with hits only."""
+    merged = None
+    for block in blocks:
+        if merged is not None and not block:
+            continue
+        token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
+        run = _scan(block, token, window, text, [mark], False, ["n_words", "spans", "items"])
+        part = rows.select(mark, text).mapInArrow(run, f"`{mark}` long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+        part = written(part if merged is None else part.where(F.size("spans") > 0), "leaks")
+        merged = part if merged is None else merged.unionByName(part)
+    union = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))),
+        F.expr("cast(array() as array<struct<start:long,end:long>>)"),
+        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
+    )
+    return merged.groupBy(mark).agg(F.max("n_words").alias("n_words"), union.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: the ``key`` columns, n_words, spans (array of start, end: word numbers of the
     hit words, merged) and items (sorted ids, as strings, of items with occurring windows).
@@ -259,22 +303,29 @@ def n_hit(spans) -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, drop_share: float = DROP_SHARE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, drop_share: float = DROP_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the hit words cut out of ``text``; a document whose share of hit words exceeds
-    ``drop_share`` is dropped. Untouched texts (and null ones) stay as they are. A benchmark of several blocks takes one
-    pass for each: windows that a cut brings together count as well then.
+    ``drop_share`` is dropped. Untouched texts (and null ones) stay as they are. All windows are found on the original
+    text, whatever the number of blocks: shares are tested and words cut once.
     """
     small_batches(docs.sparkSession)
     columns = docs.columns
-    whole, words_, spans, items, cut = (fresh(x, columns) for x in ("_whole", "_n_words", "_spans", "_items", "_cut"))
-    for block in item_blocks(benchmark, item, item_text):
-        token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
-        source = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
-        run = _scan(block, token, window, whole, columns, True, [words_, spans, items, cut])
-        found = source.mapInArrow(run, schema_of(docs, f"{words_} long", f"{spans} array<struct<start:long,end:long>>", f"{items} array<string>", f"{cut} string"))
-        kept = found.where(n_hit(spans) <= F.col(words_) * drop_share)
-        docs = kept.select(*[F.when(F.size(spans) > 0, F.col(cut)).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns])
-    return docs
+    whole, words_, spans, items, cut, row = (fresh(x, columns) for x in ("_whole", "_n_words", "_spans", "_items", "_cut", "_row"))
+    source = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    _, n = _item_rows(benchmark, item, item_text, block_bytes)
+    blocks = item_blocks(benchmark, item, item_text, block_bytes)
+    if n > 1:
+        stored = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = _united(stored.select(row, F.coalesce(F.col(text), F.lit("")).alias(whole)), row, whole, blocks, window)
+        hit = found.where(F.size("spans") > 0).select(row, F.col("n_words").alias(words_), F.col("spans").alias(spans))
+        kept = stored.join(hit, row, "left").where(F.col(spans).isNull() | (n_hit(spans) <= F.col(words_) * drop_share))
+        return kept.select(*columns, spans).mapInArrow(_trimmed(spans, text), docs.schema)
+    block = next(blocks)
+    token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
+    run = _scan(block, token, window, whole, columns, True, [words_, spans, items, cut])
+    found = source.mapInArrow(run, schema_of(docs, f"{words_} long", f"{spans} array<struct<start:long,end:long>>", f"{items} array<string>", f"{cut} string"))
+    kept = found.where(n_hit(spans) <= F.col(words_) * drop_share)
+    return kept.select(*[F.when(F.size(spans) > 0, F.col(cut)).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns])
 
 
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,6 +401,37 @@ def test_leaks_of_odd_rows(spark, odd, odd_dir):
     assert decontaminate.find_leaks(cut, bench, ["doc_id"]).where("size(spans) > 0").count() == 0
 
 
+def items_of_documents(seed):
+    """Documents, and items that overlap in them, so that the blocks of small ``block_bytes`` hit the same words."""
+    r = random.Random(seed)
+    texts = [" ".join(f"w{r.randint(0, 400)}" for _ in range(r.randint(20, 60))) for _ in range(40)]
+    items = []
+    for t in texts[:25]:
+        w = t.split()
+        for _ in range(r.randint(1, 5)):
+            n, a = r.randint(10, 18), r.randrange(len(w) - 9)
+            items.append((len(items), " ".join(w[a : a + n])))
+    return texts, items
+
+
+def test_cuts_don_t_depend_on_blocks(spark):
+    texts, items = items_of_documents(3)
+    expected = {}
+    for i, (n, hit, _) in enumerate(brute.leaks(texts, items)):
+        if len(hit) <= 0.8 * n:
+            expected[i] = [w for q, w in enumerate(texts[i].split()) if q not in hit]
+    bench = table(spark, items, "item_id long, text string")
+    for block in (1 << 20, 1500):
+        cut = decontaminate.decontaminate(table(spark, list(enumerate(texts))), bench, block_bytes=block)
+        assert {x.doc_id: x.text.split() for x in cut.collect()} == expected
+
+
+def test_cuts_of_odd_rows_in_many_blocks(spark, odd, odd_dir):
+    bench = spark.read.parquet(f"file://{odd_dir}/benchmark.parquet")
+    one, many = (decontaminate.decontaminate(odd, bench, block_bytes=n) for n in (1 << 20, 40))
+    assert one.schema == many.schema and sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+
+
 # ---- all
 
 
