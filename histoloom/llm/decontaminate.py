@@ -274,29 +274,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``window``
     consecutive words of an item, or all words of a shorter one; an item without words has none. A null text has
-    no words; an empty benchmark hits nothing; an empty table gives an empty one; repeated rows stay.
-    ``key`` should identify rows only when the benchmark takes more than one block, since spans of
-    blocks are united by it.
+    no words; an empty benchmark hits nothing; an empty table gives an empty one. There is one row for each row of ``docs``,
+    whatever the number of blocks: null, repeated and shared keys stay apart.
     """
     small_batches(docs.sparkSession)
-    whole = fresh("_whole", key)
+    whole, row = fresh("_whole", key), fresh("_row", key)
     source = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias(whole))
-    parts = []
-    for block in item_blocks(benchmark, item, item_text, block_bytes):
-        token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
-        run = _scan(block, token, window, whole, key, False, ["n_words", "spans", "items"])
-        parts.append(source.mapInArrow(run, schema_of(docs.select(*key), "n_words long", "spans array<struct<start:long,end:long>>", "items array<string>")))
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    union = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.expr("cast(array() as array<struct<start:long,end:long>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    return merged.groupBy(*key).agg(F.max("n_words").alias("n_words"), union.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    names = ["n_words", "spans", "items"]
+    _, n = _item_rows(benchmark, item, item_text, block_bytes)
+    blocks = item_blocks(benchmark, item, item_text, block_bytes)
+    if n > 1:
+        stored = written(source.withColumn(row, F.monotonically_increasing_id()), "rows")
+        return stored.select(*key, row).join(_united(stored, row, whole, blocks, window), row).select(*key, *names)
+    block = next(blocks)
+    token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
+    run = _scan(block, token, window, whole, key, False, names)
+    return source.mapInArrow(run, schema_of(docs.select(*key), "n_words long", "spans array<struct<start:long,end:long>>", "items array<string>"))
 
 
 def n_hit(spans) -> F.Column:

@@ -432,6 +432,17 @@ def test_cuts_of_odd_rows_in_many_blocks(spark, odd, odd_dir):
     assert one.schema == many.schema and sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
 
 
+def test_leaks_of_null_repeated_and_shared_keys_in_many_blocks(spark):
+    texts, items = items_of_documents(8)
+    keys = [None, None, 1, 1, 1, *range(2, len(texts) - 3)]
+    rows = [*zip(keys, texts, strict=True), (1, texts[2]), (None, texts[0]), (None, None)]
+    expected = sorted(repr((i, n, sorted(hit), sorted(which))) for (i, _), (n, hit, which) in zip(rows, brute.leaks([t for _, t in rows], items), strict=True))
+    bench = table(spark, items, "item_id long, text string")
+    for block in (1 << 20, 1500):
+        got = decontaminate.find_leaks(table(spark, rows).repartition(3), bench, ["doc_id"], block_bytes=block).collect()
+        assert sorted(repr((x.doc_id, x.n_words, [q for s in x.spans for q in range(s.start, s.end)], x["items"])) for x in got) == expected
+
+
 # ---- all
 
 
