@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_one_permutation": fingerprints.op1_one_permutation,
         "op2_signature_trees": jaccard.op2_signature_trees,
+        "op2_signature_links": jaccard.op2_signature_links,
         "op3_subword_softmax": language.op3_subword_softmax,
         "op4_sparse_suffixes": suffixes.op4_sparse_suffixes,
         "op5_url_filters": url_filter.op5_url_filters,

@@ -141,6 +141,19 @@ def test_blocks_of_a_group_cover_all_pairs():
     assert whole[:20] == [0] * 20 and across[:20] == [0] * 20 and whole[20:] == across[20:]
 
 
+@pytest.mark.parametrize("tile", [1 << 20, 300])
+def test_number_of_links(spark, tile):
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(50)]
+    near = [[*base[:i], f"x{r.randint(0, 3)}", *base[i + 1 :]] for i in range(0, 50, 2)]
+    rows = chained(30) + [(2000 + i, " ".join(w)) for i, w in enumerate([*near, base, base, base])] + [(2000, " ".join(base)), (2001, "other words"), (3000, None), (None, " ".join(base))]
+    sets = [(i, brute.shingles(t)) for i, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    expected = sorted(repr((i, len(s), sum(j is not None and x != y and linked(s, t) for y, (j, t) in enumerate(sets)) if i is not None else 0)) for x, (i, s) in enumerate(sets))
+    got = jaccard.similar_documents(table(spark, rows), tile_tokens=tile, count_links=True).collect()
+    assert sorted(repr((x.doc_id, x.n_shingles, x.n_links)) for x in got) == expected
+
+
 def test_join_of_odd_rows(spark, odd):
     got = jaccard.similar_documents(odd).toPandas()
     by = {r.doc_id: r for r in got.itertuples() if not pd.isna(r.doc_id)}
