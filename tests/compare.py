@@ -5,6 +5,8 @@ import os
 import duckdb
 import pandas as pd
 
+#: Folder of the smallest shared tables.
+SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -247,7 +247,7 @@ def test_stream_builds_each_commit_once(spark, tmp_path):
 
 
 def test_graph_tables_have_no_dangling_ends(spark):
-    from conftest import SMALL
+    from compare import SMALL
 
     from histoloom import api
     from histoloom.plans.views import table

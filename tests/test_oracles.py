@@ -1,8 +1,7 @@
 """Every registered query that SQL can express, against DuckDB on whole tables."""
 
 import pytest
-from compare import duck, rows
-from conftest import SMALL
+from compare import SMALL, duck, rows
 from histoloom.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
