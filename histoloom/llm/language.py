@@ -5,9 +5,9 @@ give the languages' probabilities. Both are trained by stochastic gradient desce
 part of the sample, kept apart, sets the softmax temperature and the score below which a
 prediction is rejected.
 
-The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows, which the executors
-turn into counts of at most ``BUCKETS`` n-grams each, whatever their length. Since the layers are linear,
-scoring needs one table of n-gram bucket by language, which is broadcast.
+The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows (hard limit 1.2 times that), which the executors
+turn into counts of n-grams: of a training row the ``ROW_BUCKETS`` most frequent, 24 KB at most, whatever its length. Scoring uses
+all n-grams of whole texts. Since the layers are linear, it needs one table of n-gram bucket by language, which is broadcast.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .kernels import spans_of_docs, utf8
 from .sampling import bounded, fold
-from .storage import fresh, schema_of, small_batches
+from .storage import fresh, small_batches
 
 #: Labelled rows used for fitting.
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 15
+#: Distinct n-grams of a training row that are used, the most frequent first (ties: the lower bucket).
+ROW_BUCKETS = 1 << 12
 SIZES = (2, 3, 4)
 UNDETERMINED = "und"
 #: Share of right predictions among those not rejected, on the rows that calibrate.
@@ -150,6 +152,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], size: int
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_ROWS) -> Model:
     """Fits on rows of ``docs`` with a text and a label."""
+    small_batches(docs.sparkSession)
     sample = bounded(docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_key", most)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for _, at, by_size in grams(batch.column("_text")):
                 for d in range(len(at) - 1):
                     found = np.bincount(np.concatenate([h[_own(at, d, n)] for n, h in zip(SIZES, by_size, strict=True)]), minlength=BUCKETS)
-                    some = np.flatnonzero(found)
+                    some = np.sort(np.argsort(-found, kind="stable")[: min(ROW_BUCKETS, np.count_nonzero(found))])
                     ids.append(some.astype(np.uint16).tobytes())
                     counts.append(found[some].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.string()), batch.column("_lang"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["k", "lang", "ids", "counts"])
@@ -173,30 +176,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null text, or one without any letter, is ``und`` with score 0 and not accepted. Other texts get a learned language, its calibrated
     probability, and whether that reaches the score below which predictions are rejected. Equal
-    texts get equal results; an empty table gives an empty one.
+    texts, of whatever length, get equal results; repeated rows stay; an empty table gives an empty one.
     """
-    new = ("lang_pred", "score", "accepted")
     small_batches(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in new]
-    whole, letter = fresh("_whole", columns), fresh("_letter", columns)
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
+    got, letter = fresh("_got", columns), fresh("_letter", columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<best:string,score:double>")
+    def judged(texts: pa.Array) -> pa.Array:
         m = shared.value
-        for batch in batches:
-            letters = batch.column(letter).to_numpy(zero_copy_only=False)
-            if m.languages:
-                p = m.probabilities(m.logits(batch.column(whole)))
-                best, score = p.argmax(axis=1), p.max(axis=1)
-            else:
-                letters = np.zeros(len(letters), dtype=bool)
-                best, score = letters.astype(int), letters.astype(float)
-            named = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
-            out = [pa.array(named, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(letters & (score >= m.least))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + out, [*columns, *new])
-
-    source = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(whole), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
-    return source.mapInArrow(run, schema_of(docs.select(*columns), "lang_pred string", "score double", "accepted boolean"))
+        p = m.probabilities(m.logits(texts.fill_null("")))
+        return pa.StructArray.from_arrays([pa.array([m.languages[b] for b in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1), pa.float64())], ["best", "score"])
+
+    # The constant stands where nothing was learned; only the text goes to Python.
+    named = judged(F.col(text)) if model.languages else F.struct(F.lit(None).cast("string").alias("best"), F.lit(0.0).alias("score"))
+    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) if model.languages else F.lit(False)
+    marked = docs.select(*columns, named.alias(got), has_letter.alias(letter))
+    score = F.when(F.col(letter), F.col(f"{got}.score")).otherwise(0.0)
+    return marked.select(*columns, F.when(F.col(letter), F.col(f"{got}.best")).otherwise(UNDETERMINED).alias("lang_pred"), score.alias("score"), (F.col(letter) & (score >= model.least)).alias("accepted"))
 
 
 def op3_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Each text becomes a set of n-gram indicators: byte trigrams, and runs of one to three word shapes. Indicators
 are scaled by the log ratio of their smoothed shares in the two classes, and a linear hinge-loss
-model is fitted on them by dual coordinate descent. Held-out labelled rows map margins to
-probabilities.
+model is fitted on them by dual coordinate descent. Its weights are interpolated with their mean magnitude: at
+a blend of 1 the model is the hinge-loss model, at 0 it follows the ratios alone, as naive Bayes does. Ratios and weights come from
+four fifths of the labelled rows; the last fifth maps margins to probabilities.
 
-The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows, whose indicators the
-executors extract; a row brings at most ``FEATURES`` integers, whatever its length. All rows are scored on the executors.
+The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows (hard limit 1.2 times that), whose indicators the
+executors extract. A row brings ``FEATURES`` bits (12 KB) at most, however long its text. All rows are scored on the executors.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .kernels import mix, utf8, words
 from .sampling import bounded, fold
-from .storage import fresh, schema_of, small_batches
+from .storage import fresh, small_batches
 
 #: Labelled rows used for fitting.
 SAMPLE_ROWS = 6000
 _GRAM_BITS, _SHAPE_BITS = 16, 15
 FEATURES = (1 << _GRAM_BITS) + (1 << _SHAPE_BITS)
+#: Share of the hinge-loss weights in the interpolation with their mean magnitude.
+BLEND = 0.25
 #: A document is accepted from this score on.
 ACCEPT = 0.7
 _MOST_LAG = 8
@@ -92,19 +95,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -50, 50))))
 
 
-def _dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int, rng) -> np.ndarray:
-    """Hinge loss with L2 penalty: one dual variable a row, each solved exactly in turn."""
-    values = [ratio[x] / max(float(np.linalg.norm(ratio[x])), 1e-9) for x in rows]
-    square = np.array([float(v @ v) for v in values])
+def packed(found: np.ndarray) -> bytes:
+    """Indicator numbers as 32-bit integers, or as a bit map where that is shorter."""
+    if len(found) < FEATURES // 32:
+        return found.astype(np.int32).tobytes()
+    bits = np.zeros(FEATURES, dtype=bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    if len(row) < FEATURES // 8:
+        return np.frombuffer(row, dtype=np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(row, dtype=np.uint8)))
+
+
+def _dual_descent(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int, rng) -> np.ndarray:
+    """Hinge loss with L2 penalty: one dual variable a row of unit length, each solved exactly in turn."""
+    norm = np.array([np.linalg.norm(ratio[unpacked(x)]) for x in rows])
     weight, alpha = np.zeros(len(ratio)), np.zeros(len(rows))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            if square[i] == 0:
+            if norm[i] < 1e-9:
                 continue
-            slope = y[i] * float(values[i] @ weight[rows[i]]) - 1
-            new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
+            x = unpacked(rows[i])
+            value = ratio[x] / norm[i]
+            slope = y[i] * float(value @ weight[x]) - 1
+            new = min(max(alpha[i] - slope, 0.0), cost[i])
             if new != alpha[i]:
-                weight[rows[i]] += (new - alpha[i]) * y[i] * values[i]
+                weight[x] += (new - alpha[i]) * y[i] * value
                 alpha[i] = new
     return weight
 
@@ -124,9 +143,24 @@ def _sigmoid_fit(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 0.0), float(theta[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, smoothing: float = 1.0, blend: float = 0.25, seed: int = 5) -> Model:
-    """A fifth of the rows calibrates, the rest is fitted. With one class or no rows the score is
-    the smoothed share of label 1 everywhere."""
+def log_ratios(rows: list[bytes], labels: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratio of each indicator's smoothed share in class 1 to that in class 0, and which indicators occur."""
+    counts = [np.full(FEATURES, smoothing), np.full(FEATURES, smoothing)]
+    for x, c in zip(rows, labels, strict=True):
+        counts[int(c)][unpacked(x)] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    return ratio, counts[0] + counts[1] > 2 * smoothing
+
+
+def interpolated(weight: np.ndarray, used: np.ndarray, blend: float) -> np.ndarray:
+    """``blend`` of each weight and the rest of the mean magnitude, over the indicators ``used``; others weigh nothing."""
+    mean = float(np.abs(weight[used]).mean()) if used.any() else 0.0
+    return np.where(used, blend * weight + (1 - blend) * mean, 0.0)
+
+
+def fit(rows: list[bytes], labels: np.ndarray, epochs: int = 15, smoothing: float = 1.0, blend: float = BLEND, seed: int = 5) -> Model:
+    """``rows``: packed indicators. A fifth of the rows calibrates and takes no part in ratios or weights. With one class or
+    no rows the score is the smoothed share of label 1 everywhere."""
     zero = np.zeros(FEATURES)
     rng = np.random.default_rng(seed)
     n1 = int(labels.sum())
@@ -136,58 +170,60 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, smoothing:
     held = np.zeros(len(labels), dtype=bool)
     for c in (0, 1):
         held[rng.permutation(np.flatnonzero(labels == c))[::5]] = True
-    counts = [zero + smoothing, zero + smoothing]
-    for x, c in zip(rows, labels, strict=True):
-        counts[int(c)][x] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     train = np.flatnonzero(~held)
+    own = [rows[i] for i in train]
+    ratio, used = log_ratios(own, labels[train], smoothing)
     y = np.where(labels[train] == 1, 1.0, -1.0)
     cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
-    weight = _dual_descent([rows[i] for i in train], y, ratio, cost, epochs, rng)
-    used = weight != 0
-    mean = np.abs(weight[used]).mean() if used.any() else 0.0
-    weight = blend * weight + (1 - blend) * mean * np.sign(weight)
+    weight = interpolated(_dual_descent(own, y, ratio, cost, epochs, rng), used, blend)
     model = Model(ratio, weight, 1.0, 0.0)
-    margins = np.array([model.margin(rows[i]) for i in np.flatnonzero(held)])
+    margins = np.array([model.margin(unpacked(rows[i])) for i in np.flatnonzero(held)])
     model.slope, model.shift = _sigmoid_fit(margins, labels[held])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_ROWS) -> Model:
-    """Fits on the labelled rows of ``labels`` (0 or 1; the lower of several; others are ignored), joined with ``docs``."""
+    """Fits on the labelled rows of ``labels`` (0 or 1; the lower of several; others, and null keys, are ignored), joined with
+    ``docs``; of repeated rows of a key the text that sorts first counts. The driver gets a row for each sampled key."""
+    small_batches(docs.sparkSession)
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("int").alias("_label"))
     sample = bounded(marked, "_key", most)
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key")
+    rows = rows.groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.astype(np.int32).tobytes() for x in indicators(batch.column("_text"))]
+            found = [packed(x) for x in indicators(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.string()), batch.column("_label"), pa.array(found, pa.binary())], ["k", "label", "found"])
 
     got = rows.mapInArrow(extract, "k string, label int, found binary").collect()
-    got.sort(key=lambda r: (len(r.k), r.k, bytes(r.found)))
-    return fit([np.frombuffer(bytes(r.found), dtype=np.int32) for r in got], np.array([r.label for r in got], dtype=int))
+    got.sort(key=lambda r: (len(r.k), r.k))
+    return fit([bytes(r.found) for r in got], np.array([r.label for r in got], dtype=int))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in ``into`` (replaced if there). A null text counts as empty; equal texts
-    score alike; an empty table gives an empty one."""
+    """``docs`` with a score from 0 to 1 in ``into`` (replaced if there), other columns as they were.
+
+    A null text counts as empty; equal texts score alike, whatever their length; repeated rows stay; an empty table gives an empty
+    one. Only the text goes to Python, once, in batches of a few MB.
+    """
     small_batches(docs.sparkSession)
-    columns = [c for c in docs.columns if c != into]
-    whole = fresh("_whole", columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights, whatever the corpus
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            found = pa.array([m.score(x) for x in indicators(batch.column(whole))], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [found], [*columns, into])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(x) for x in indicators(texts.fill_null(""))], pa.float64())
 
-    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(whole)).mapInArrow(run, schema_of(docs.select(*columns), f"{into} double"))
+    return docs.withColumn(into, scored(F.col(text)))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = ACCEPT) -> DataFrame:
-    """The documents that score ``least`` or more, columns as they were; the model is fitted on all labels."""
+    """The rows of ``docs`` that score ``least`` or more, columns as they were; the model is fitted on all labels.
+
+    Rows are judged by their text alone: null and empty texts like each other, repeated rows and equal texts alike, null keys as
+    any other. Without labels of both classes all rows have one score. An empty table gives an empty one; columns of any
+    name stay as they are.
+    """
     columns = docs.columns
     own = fresh("_score", columns)
     return score(docs, train(docs, labels, key, text), text, own).where(F.col(own) >= least).select(*columns)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def fold(key: Column, folds: int) -> Column:
-    """crc32 of the key as text, modulo ``folds``; null for a null key."""
-    return F.crc32(key.cast("string").cast("binary")) % folds
+    """crc32 of the key as text, modulo ``folds``; -1 for a null key, which so is in no fold."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
 def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where none is set, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set a local session gets a temporary one; a cluster
+    gets an error, since its machines don't share their local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="histoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,15 +51,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a batch that goes to a Python worker: texts are long, and a task holds a batch several times over.
-BATCH_ROWS = 2500
+#: Rows and bytes of a batch that goes to a Python worker: texts are long, and a task holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 2500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ``BATCH_ROWS``, which bounds what a task holds of long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes (or one longer row). Results are
+    lazy, so the limits stay in the session; lower ones of the caller's are left alone."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(name)).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def fresh(name: str, taken: list[str]) -> str:
