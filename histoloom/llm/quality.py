@@ -208,13 +208,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     one. Only the text goes to Python, once, in batches of a few MB.
     """
     small_batches(docs.sparkSession)
+    columns = [c for c in docs.columns if c != into]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights, whatever the corpus
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([shared.value.score(x) for x in indicators(texts.fill_null(""))], pa.float64())
 
-    return docs.withColumn(into, scored(F.col(text)))
+    return docs.select(*columns, scored(F.col(text)).alias(into))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = ACCEPT) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -47,6 +51,29 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables written in the blocks of :func:`scratch` that are open.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A block whose written tables go at its end, but for those given to :func:`kept`."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            dropped(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, a written table, outlives the block; an outer one, if any, takes it over."""
+    _OPEN[-1][:] = [x for x in _OPEN[-1] if x is not df]
+    if len(_OPEN) > 1:
+        _OPEN[-2].append(df)
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

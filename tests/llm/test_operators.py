@@ -366,7 +366,7 @@ def test_quality_on_held_out_rows(spark):
 def test_quality_of_odd_rows(spark, odd, odd_dir):
     got = quality.op9_nb_svm(spark, odd_dir).toPandas()
     assert len(got) == odd.count() and got.score.between(0, 1).all() and got.predicted.isin([0, 1]).all()
-    model = quality.fit([np.array([1, 2])] * 10 + [np.array([3])] * 10, np.array([1] * 10 + [0] * 10))
+    model = quality.fit([quality.packed(np.array([1, 2]))] * 10 + [quality.packed(np.array([3]))] * 10, np.array([1] * 10 + [0] * 10))
     assert model.score(np.array([1, 2])) > 0.6 > 0.4 > model.score(np.array([3]))
     assert quality.score(odd, model).columns == [c for c in odd.columns if c != "score"] + ["score"]
 
