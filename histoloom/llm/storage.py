@@ -78,18 +78,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows and bytes of a batch that goes to a Python worker: texts are long, and a task holds a batch several times over.
-BATCH_ROWS, BATCH_BYTES = 2500, 4 << 20
+#: Rows and bytes of a batch that goes to a Python worker, and rows that the Parquet reader decodes at once: texts are long, and a
+#: task holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 2500, 1 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes (or one longer row). Results are
-    lazy, so the limits stay in the session; lower ones of the caller's are left alone."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{name}"
-        now = int(str(spark.conf.get(name)).rstrip("bB"))
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes (or one longer row), and its Parquet
+    batches to ``READ_ROWS`` rows. Results are lazy, so the limits stay in the session; lower ones of the caller's are left alone."""
+    for name, most in (("execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = int(str(spark.conf.get(f"spark.sql.{name}")).rstrip("bB"))
         if not 0 < now <= most:
-            spark.conf.set(name, str(most))
+            spark.conf.set(f"spark.sql.{name}", str(most))
 
 
 def fresh(name: str, taken: list[str]) -> str:
