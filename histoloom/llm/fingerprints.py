@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,18 @@ BITS = 4  # divides 8
 SHINGLE = 5
 #: Rows whose edited texts a task holds at once.
 SLICE = 1000
+#: Rows of the sample, for each part, whose keys cut the parts.
+SAMPLED = 50
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@lru_cache
+def _donors(bins: int, attempt: int) -> np.ndarray:
+    """The bin that each empty bin turns to at this attempt: it depends on nothing else, so equal sets fill alike."""
+    at = np.arange(bins, dtype=np.uint64)
+    return (mix(at * np.uint64(0x1000003) + np.uint64(attempt * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) % np.uint64(bins)).astype(np.int64)
+
+
 def _densified(least: np.ndarray, bins: int) -> np.ndarray:
     """Fills the empty bins of the rows that have a filled one."""
     filled = least != _EMPTY
@@ -34,7 +44,7 @@ def _densified(least: np.ndarray, bins: int) -> np.ndarray:
     out, attempt = least.copy(), 0
     while len(rows):
         attempt += 1
-        donor = (mix(at.astype(np.uint64) * np.uint64(0x1000003) + np.uint64(attempt * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) % np.uint64(bins)).astype(np.int64)
+        donor = _donors(bins, attempt)[at]
         got = filled[rows, donor]
         out[rows[got], at[got]] = least[rows[got], donor[got]]
         rows, at = rows[~got], at[~got]
@@ -94,47 +104,62 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(whole)).mapInArrow(run, schema_of(docs.select(*columns), f"{into} binary"))
 
 
-def with_next(docs: DataFrame, key: str, partitions: int) -> DataFrame:
+def _before(cuts: np.ndarray, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """How many of the sorted pairs ``cuts`` (2 columns) are no greater than each pair of key and tie."""
+    low, high = (np.searchsorted(cuts[:, 0], key, side=side) for side in ("left", "right"))
+    out = low.copy()
+    for i in np.unique(low[high > low]).tolist():
+        rows = np.flatnonzero((low == i) & (high > low))
+        out[rows] += np.searchsorted(cuts[i : high[rows[0]], 1], tie[rows], side="right")
+    return out
+
+
+def with_next(docs: DataFrame, key: str, text: str, partitions: int) -> tuple[DataFrame, dict[str, str]]:
     """Deals ``docs`` out by descending ``key`` so that each task can pair every row with the next one.
 
-    Adds ``_order`` (the key, a null as the least value), ``_part`` and ``_guest``. Rows go to parts cut at quantiles of
-    the key; the first row of a part also goes, as a guest, to the part before it (the very first
-    to the last part), so each part ends with the row that follows it. The driver gets one cut and
-    one key for each part. Repeated keys lie in one part, in an order that their texts set.
+    Adds four columns, whose names (the second result tells them) give way to those of ``docs``: ``order``, the key, a null as the
+    least value; ``tie``, which orders rows of one key by a hash of the text and then of the row, so that a much repeated key
+    spans parts; ``part`` and ``guest``. Rows go to parts cut between pairs of order and tie of a sample of about
+    ``SAMPLED`` rows a part; the first row of a part also goes, as a guest, to the part before it (the very first to the last part),
+    so each part ends with the row that follows it. The driver gets the sample and one pair for each part. An empty table gives
+    an empty one; texts, null or long, are only hashed here.
     """
     small_batches(docs.sparkSession)
-    order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    ordered = docs.withColumn("_order", order)
-    probabilities = [i / partitions for i in range(1, partitions)]
-    cuts = np.unique(np.array(ordered.select(F.col("_order").cast("double").alias("v")).approxQuantile("v", probabilities, 0.2 / partitions), dtype=np.float64)) if partitions > 1 else np.zeros(0)
-
-    def part_of(values: pa.Array) -> np.ndarray:
-        return len(cuts) - np.searchsorted(cuts, values.to_numpy(zero_copy_only=False).astype(np.float64), side="right")
+    names = {x: fresh(f"_{x}", docs.columns) for x in ("order", "tie", "part", "guest")}
+    order, tie = names["order"], names["tie"]
+    row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 44)
+    ordered = docs.withColumns({order: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), tie: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 20), 20).bitwiseOR(row)})
+    pairs = ordered.select(order, tie)
+    share = min(1.0, SAMPLED * partitions / max(1, docs.count()))
+    sample = pairs.where(F.pmod(F.xxhash64(order, tie, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
+    picked = np.stack([sample.column(c).to_numpy() for c in (order, tie)], 1)
+    picked = picked[np.lexsort((picked[:, 1], picked[:, 0]))]
+    cuts = np.unique(picked[[len(picked) * i // partitions for i in range(1, partitions)]], axis=0) if len(picked) else picked
+
+    def part_of(batch: pa.RecordBatch) -> np.ndarray:
+        return len(cuts) - _before(cuts, batch.column(order).to_numpy(), batch.column(tie).to_numpy())
 
     def tops(batches):
         for batch in batches:
-            keys = batch.column("_order").to_numpy(zero_copy_only=False)
-            best: dict[int, int] = {}
-            for p, k in zip(part_of(batch.column("_order")).tolist(), keys.tolist(), strict=True):
-                best[p] = max(best.get(p, k), k)
-            yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.int32()), pa.array(best.values(), pa.int64())], ["p", "k"])
+            found = pa.table([pa.array(part_of(batch)), batch.column(order), batch.column(tie)], names=["p", "k", "t"]).sort_by([("k", "descending"), ("t", "descending")])
+            _, first = np.unique(found.column("p").to_numpy(), return_index=True)
+            yield from found.take(pa.array(first)).combine_chunks().to_batches()
 
-    heads = {r.p: r.k for r in ordered.select("_order").mapInArrow(tops, "p int, k long").groupBy("p").agg(F.max("k").alias("k")).collect()}
+    heads = {r.p: (r.m.k, r.m.t) for r in pairs.mapInArrow(tops, "p long, k long, t long").groupBy("p").agg(F.max(F.struct("k", "t")).alias("m")).collect()}
     parts = sorted(heads)
     host = {heads[p]: parts[i - 1] for i, p in enumerate(parts)}  # the part before; the last for the first
+    firsts = np.array([k for k, _ in host], dtype=np.int64)
 
     def deal(batches):
         for batch in batches:
-            keys = batch.column("_order").to_numpy(zero_copy_only=False)
-            own = part_of(batch.column("_order"))
-            guests = np.flatnonzero(np.isin(keys, np.array(list(host), dtype=np.int64)))
-            rows = np.concatenate([np.arange(len(keys)), guests])
-            part = np.concatenate([own, [host[k] for k in keys[guests].tolist()]]).astype(np.int32)
-            flag = np.arange(len(rows)) >= len(keys)
+            keys, ties, own = batch.column(order).to_numpy(), batch.column(tie).to_numpy(), part_of(batch)
+            guests = [i for i in np.flatnonzero(np.isin(keys, firsts)).tolist() if (int(keys[i]), int(ties[i])) in host]
+            rows = np.concatenate([np.arange(len(keys)), np.array(guests, dtype=np.int64)])
+            part = np.concatenate([own, np.array([host[int(keys[i]), int(ties[i])] for i in guests], dtype=np.int64)]).astype(np.int32)
             dealt = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*dealt.columns, pa.array(part), pa.array(flag)], [*dealt.schema.names, "_part", "_guest"])
+            yield pa.RecordBatch.from_arrays([*dealt.columns, pa.array(part), pa.array(np.arange(len(rows)) >= len(keys))], [*dealt.schema.names, names["part"], names["guest"]])
 
-    return ordered.mapInArrow(deal, schema_of(ordered, "_part int", "_guest boolean"))
+    return ordered.mapInArrow(deal, schema_of(ordered, f"`{names['part']}` int", f"`{names['guest']}` boolean")), names
 
 
 def _edited(text: str, n: int, following: str) -> str:
@@ -177,8 +202,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op1_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    dealt = with_next(docs, "doc_id", 4 * shuffle_partitions(spark))
-    ordered = dealt.repartition("_part").sortWithinPartitions("_part", "_guest", F.desc("_order"), "_text")
-    return ordered.select("doc_id", "_text", "_guest").mapInArrow(
+    dealt, name = with_next(docs, "doc_id", "_text", 4 * shuffle_partitions(spark))
+    ordered = dealt.repartition(name["part"]).sortWithinPartitions(name["part"], name["guest"], F.desc(name["order"]), F.desc(name["tie"]))
+    return ordered.select("doc_id", "_text", F.col(name["guest"]).alias("_guest")).mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
