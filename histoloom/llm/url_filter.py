@@ -2,8 +2,8 @@
 
 The list holds canonical URLs ``host + path`` with an action each. A listed entry covers its host,
 all subdomains, and every path that starts with its path. A page's URL is turned into the canonical
-keys that could be listed: each tail of its host, joined with its path cut to each length that a
-listed path has. The Bloom filter passes few of those keys on; an equi-join with the list removes
+keys that could be listed: the tails of its host of as many labels as a listed host has, joined with its path cut to each
+length that a listed path has. The Bloom filter passes few of those keys on; an equi-join with the list removes
 its false positives; the longest listed key decides.
 
 Only DataFrame functions are used. The filter is a table of at most ``blocks`` rows, one 64-bit word
@@ -17,11 +17,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import fresh, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: host, path, action
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 BLOCKS = 1 << 16
 PROBES = 4
+#: URLs with a larger share of the pages than one in so many, at most so many, are broadcast with their rules.
+SHARE = 10_000
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -57,40 +61,44 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
 
     ``listed``: host, path, action. Keys listed twice: the action that sorts last holds, so
     ``block`` beats ``allow``. Equal length: the longer host wins. A null url or one without
-    ``://`` has empty host and path and fits nothing. Repeated rows stay; columns of ``pages``
-    named like the new ones are replaced; an empty table gives an empty one. Copies of a URL are
-    judged once, and a much repeated URL is split by the adaptive skew join.
+    ``://`` has empty host and path and fits nothing. Of a very long host only the tails of as many labels as some listed host has
+    are looked up, of a path only its starts of listed lengths. Repeated rows stay; columns of ``pages`` named like the new
+    ones are replaced, others stay whatever their names; an empty table gives an empty one. Copies of a URL are judged once; URLs with
+    more than one in ``SHARE`` of all rows meet them by broadcast.
     """
     rules = listed.where(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != "")).select(
         F.concat("host", "path").alias("key"), F.col("host").alias("tail"), F.length("path").alias("len"), "action"
     )
     rules = rules.groupBy("key", "tail", "len").agg(F.max("action").alias("action"))
     bloom = bloom_table(rules, "key", blocks)
-    # One row: the distinct lengths of the listed paths, at most as many as the longest path has characters.
-    lengths = rules.agg(F.collect_set("len").alias("lens"))
+    # One row: the distinct lengths of listed paths and numbers of labels of listed hosts.
+    sizes = rules.agg(F.collect_set("len").alias("lens"), F.collect_set(F.size(F.split("tail", r"\.", -1))).alias("depths")).first()
+    lens, depths = (F.array(*map(F.lit, sorted(x))).cast("array<int>") for x in sizes)
 
     target = F.col("_url")
-    urls = pages.select(F.col(url).alias("_url")).where(target.contains("://")).distinct().select("_url", host_of(target).alias("h"), path_of(target).alias("p"))
+    urls = pages.select(F.col(url).alias("_url")).where(target.contains("://")).groupBy("_url").agg(F.count("*").alias("n")).select("_url", "n", host_of(target).alias("h"), path_of(target).alias("p"))
     labels = F.split("h", r"\.", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tails = F.transform(F.filter(depths, lambda d: d <= F.size(labels)), lambda d: F.array_join(F.slice(labels, F.size(labels) - d + 1, d), "."))
     keyed = (
         urls.withColumn("tail", F.explode(tails))
         .where(F.col("tail") != "")
-        .join(F.broadcast(lengths))
-        .withColumn("len", F.explode("lens"))
-        .where(F.col("len") <= F.length("p"))
+        .withColumn("len", F.explode(F.filter(lens, lambda n: n <= F.length("p"))))
         .withColumn("key", F.concat("tail", F.expr("substring(p, 1, len)")))
-        .select("_url", "tail", "len", "key", _block(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("mask"))
+        .select("_url", "n", "tail", "len", "key", _block(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("mask"))
     )
     possible = keyed.join(F.broadcast(bloom), "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
     exact = possible.join(rules, ["key", "tail", "len"])
-    best = exact.groupBy("_url").agg(F.max(F.struct(F.length("key"), F.length("tail"), F.col("key").alias("rule"), "action")).alias("_best"))
+    best = exact.groupBy("_url").agg(F.max(F.struct(F.length("key"), F.length("tail"), F.col("key").alias("rule"), "action")).alias("best"), F.max("n").alias("n"))
+    best = written(best, "judged")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return (
-        pages.select(*kept)
-        .join(best.withColumnRenamed("_url", "_key"), F.col(url) == F.col("_key"), "left")
-        .select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"))
-    )
+    own, fits = (fresh(x, [*kept, "host", "path", "rule", "verdict"]) for x in ("_key", "_best"))
+    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(url).alias(own))
+    best = best.select(F.col("_url").alias(own), F.col("best").alias(fits), "n")
+    heavy = F.col("n") > pages.count() / SHARE
+    some = rows.join(F.broadcast(best.where(heavy).drop("n")), own, "left")
+    rest = some.where(F.col(fits).isNull()).drop(fits).join(best.where(~heavy).drop("n"), own, "left")
+    every = some.where(F.col(fits).isNotNull()).unionByName(rest)
+    return every.select(*kept, "host", "path", F.col(f"{fits}.rule").alias("rule"), F.coalesce(F.col(f"{fits}.action"), F.lit(default)).alias("verdict"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
