@@ -3,7 +3,8 @@
 A token file is one long run of fixed-width token ids; an end-of-document id closes each document.
 Files are read in blocks that know nothing of documents. In each block one vectorised search finds
 the separators; the tokens before the first and after the last are loose ends. A prefix scan over
-the blocks of a file, one narrow row a block, carries the loose ends across block boundaries.
+the blocks, one row of five numbers a block, carries the loose ends across block boundaries: inside runs of ``RUN`` blocks first, then
+over the runs of each file, so that one huge file is scanned by many tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,17 @@ from .tokens import default_vocabulary, encoder
 #: ``<|endoftext|>``: no ordinary text has this id.
 END = 50256
 BLOCK_TOKENS = 1 << 18
+#: Blocks that the first level of the prefix scan joins.
+RUN = 4096
 
 
 def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = END, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Tokenises ``docs`` into flat files, one a partition, as rows (file, block, ids) of ``block_tokens``
     ids each but the last; beside them, rows (file, first, keys) note which documents went into a
-    file, in order, but not where they lie. Documents cross blocks freely. A null text is empty.
+    file, in order, but not where they lie. Documents cross blocks freely.
+
+    A null or empty text is a separator alone; a very long one spans blocks; keys may be null or repeat, rows stay; other columns
+    don't matter; an empty table gives no rows. An id beyond ``dtype`` is an error.
     """
     small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
@@ -98,38 +104,51 @@ def binary_blocks(spark: SparkSession, path: str, dtype: str = "<u2", block_toke
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, ids binary")
 
 
-def count_tokens(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataFrame:
+def _scanned(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Prefix scan of ``rows`` (docs, closed, tail) in the order of ``at`` within ``by``: ``before``, documents that ended before;
+    ``carried``, open tokens at the row's start; ``begun``, whether a separator came before; ``open``, open tokens at its end.
+    Counts start with nothing open."""
+    in_order = Window.partitionBy(*by).orderBy(at)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.withColumn("closers", F.sum(F.col("closed").cast("int")).over(so_far))
+        .withColumn("before", F.sum("docs").over(so_far) - F.col("docs"))
+        .withColumn("open", F.sum("tail").over(Window.partitionBy(*by, "closers").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("carried", F.coalesce(F.lag("open").over(in_order), F.lit(0)))
+        .withColumn("begun", F.col("closers") > F.col("closed").cast("int"))
+        .drop("closers")
+    )
+
+
+def count_tokens(blocks: DataFrame, end: int = END, dtype: str = "<u2", run: int = RUN) -> DataFrame:
     """(file, ordinal, n_tokens, ended): a row for each document of each file, its separator not
     counted. ``ordinal`` is from 0. Tokens after a file's last separator make a last document with ``ended`` false. Blocks
-    may be empty; an empty table gives an empty one."""
+    may be empty; documents may be longer than any number of blocks; an empty table gives an empty one. Block numbers are distinct in
+    a file; null ids count as an empty block; other columns don't matter."""
     kind = blocks.schema["file"].dataType.simpleString()
 
     def scan(batches):
         for batch in batches:
             lead, tail, inner = [], [], []
             for ids in batch.column("ids"):
-                tokens = np.frombuffer(ids.as_buffer(), dtype=dtype)
+                tokens = np.frombuffer(ids.as_buffer() if ids.is_valid else b"", dtype=dtype)
                 at = np.flatnonzero(tokens == end)
                 lead.append(int(at[0]) if len(at) else None)
                 tail.append(len(tokens) - 1 - int(at[-1]) if len(at) else len(tokens))
                 inner.append((np.diff(at) - 1).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(lead, pa.int64()), pa.array(tail, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], ["file", "block", "lead", "tail", "inner"])
 
-    ends = blocks.select("file", "block", "ids").mapInArrow(scan, f"file {kind}, block long, lead long, tail long, inner array<long>")
-    in_file = Window.partitionBy("file").orderBy("block")
-    so_far = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stitched = (
-        ends.withColumn("docs", F.when(F.col("lead").isNull(), 0).otherwise(1 + F.size("inner")))
-        .withColumn("closers", F.sum(F.col("lead").isNotNull().cast("int")).over(so_far))
-        .withColumn("before", F.sum("docs").over(so_far) - F.col("docs"))
-        .withColumn("open", F.sum("tail").over(Window.partitionBy("file", "closers").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("carried", F.coalesce(F.lag("open").over(in_file), F.lit(0)))
-        .withColumn("last", F.lead("block").over(in_file).isNull())
-    )
-    done = stitched.where("lead IS NOT NULL").select("file", "before", F.posexplode(F.concat(F.array(F.col("carried") + F.col("lead")), "inner")).alias("i", "n_tokens"))
+    ends = written(blocks.select("file", "block", "ids").mapInArrow(scan, f"file {kind}, block long, lead long, tail long, inner array<long>"), "ends")
+    narrow = ends.select("file", "block", F.floor(F.col("block") / run).cast("long").alias("run"), F.when(F.col("lead").isNull(), 0).otherwise(1 + F.size("inner")).cast("long").alias("docs"), F.col("lead").isNotNull().alias("closed"), "tail")
+    inside = _scanned(narrow, ["file", "run"], "block")
+    runs = inside.groupBy("file", "run").agg(F.sum("docs").alias("docs"), F.max("closed").alias("closed"), F.max_by("open", "block").alias("tail"))
+    outside = written(_scanned(runs, ["file"], "run"), "runs")
+    carry = outside.select("file", "run", F.col("before").alias("run_before"), F.col("carried").alias("run_carried"))
+    places = inside.join(carry, ["file", "run"]).select("file", "block", (F.col("run_before") + F.col("before")).alias("before"), (F.col("carried") + F.when(F.col("begun"), 0).otherwise(F.col("run_carried"))).alias("carried"))
+    done = ends.where("lead IS NOT NULL").join(places, ["file", "block"]).select("file", "before", F.posexplode(F.concat(F.array(F.col("carried") + F.col("lead")), "inner")).alias("i", "n_tokens"))
     done = done.select("file", (F.col("before") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
-    loose = stitched.where("last AND open > 0").select("file", (F.col("before") + F.col("docs")).alias("ordinal"), F.col("open").alias("n_tokens"), F.lit(False).alias("ended"))
-    return done.unionByName(loose)
+    last = outside.groupBy("file").agg(F.max_by(F.struct("before", "docs", "open"), "run").alias("x")).where("x.open > 0")
+    return done.unionByName(last.select("file", (F.col("x.before") + F.col("x.docs")).alias("ordinal"), F.col("x.open").alias("n_tokens"), F.lit(False).alias("ended")))
 
 
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
