@@ -3,8 +3,8 @@
 Documents become pieces of at most ``capacity`` tokens. Each partition packs its pieces by best-fit
 decreasing and computes lower bounds on its number of bins from dual feasible functions. A
 partition that meets its bound is certified and final but for its emptiest bin. The others keep their full
-bins, exchange the documents of all others among each other, and pack again, as long as that
-saves bins. Where the partitions' bounds together exceed the bound of all lengths (their contents
+bins, exchange the documents of all others among each other, and pack again, until all are certified or a round saves no
+bin. Where the partitions' bounds together exceed the bound of all lengths (their contents
 differ too much to certify each other), certified ones exchange the documents of their open bins too.
 """
 
@@ -25,7 +25,8 @@ from .tokens import default_vocabulary, encoder
 CAPACITY = 1024
 #: Pieces that one task packs at once.
 PART_PIECES = 100_000
-ROUNDS = 4
+#: Bits of a sequence id for the bin, the task and the task's run of pieces.
+_BIN_BITS, _TASK_BITS, _RUN_BITS = 20, 22, 20
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int | None = 2, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
@@ -33,7 +34,8 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     longer one is cut into pieces of ``capacity``, the first of which takes what is left over.
 
     A null text is empty; without ``end`` an empty text has no piece. ``part`` numbers the runs of
-    at most ``part_pieces`` pieces that a partition yields, so no key can fill one. Repeated rows stay.
+    at most ``part_pieces`` pieces that a partition yields, so no key can fill one. Repeated rows and null keys stay; other columns
+    don't matter; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
@@ -54,7 +56,9 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
                     start.append(a)
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[a:b].astype("<u4").tobytes()))
-                    part.append(task + (made // part_pieces << 32))
+                    if made // part_pieces >> _RUN_BITS or task >> _TASK_BITS:
+                        raise OverflowError("more partitions, or pieces in one, than part numbers can tell apart")
+                    part.append(task + (made // part_pieces << _TASK_BITS))
                     made += 1
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, part))], [key, "piece", "start", "length", "ids_crc32", "part"])
 
@@ -107,40 +111,38 @@ def bound_of_counts(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack_round(pieces: DataFrame, round_no: int, capacity: int, final: bool) -> DataFrame:
-    """Packs each part. ``pooled`` marks the pieces that go on by the part's own bound, ``open`` those in bins with room;
-    ``bound`` is the part's. Sequence ids are unique by round, part and bin."""
+def _pack_round(pieces: DataFrame, capacity: int) -> DataFrame:
+    """Packs each part. ``pooled`` marks the pieces that go on by the part's own bound, ``open`` those in bins with room."""
 
     def pack(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         part = table.column("part")[0].as_py()
         bound = lower_bound(lengths, capacity)
-        if final:
-            going = np.zeros(len(free), dtype=bool)
-        elif len(free) > bound:
-            going = free > 0
-        else:
-            going = np.arange(len(free)) == (int(free.argmax()) if free.max(initial=0) else -1)
-        first = (round_no << 58) + ((part >> 32) << 48 | (part & 0xFFFFFFFF) << 20) if round_no == 0 else (round_no << 58) + (part << 20)
-        return table.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets)).append_column("pooled", pa.array(going[bins])).append_column("open", pa.array(free[bins] > 0)).append_column("bound", pa.array(np.full(len(bins), bound)))
+        if len(free) >> _BIN_BITS:
+            raise OverflowError(f"{len(free)} sequences in a part")
+        going = free > 0 if len(free) > bound else np.arange(len(free)) == (int(free.argmax()) if free.max(initial=0) else -1)
+        n = len(bins)
+        for name, values in (("sequence_id", (part << _BIN_BITS) + bins), ("offset", offsets), ("pooled", going[bins]), ("open", free[bins] > 0), ("part_bins", np.full(n, len(free))), ("part_bound", np.full(n, bound))):
+            table = table.append_column(name, pa.array(values))
+        return table
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.groupBy("part").applyInArrow(pack, f"{schema}, sequence_id long, offset long, pooled boolean, open boolean, bound long")
+    return pieces.groupBy("part").applyInArrow(pack, f"{schema}, sequence_id long, offset long, pooled boolean, open boolean, part_bins long, part_bound long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, part_pieces: int = PART_PIECES) -> DataFrame:
-    """``pieces`` (length from 1 to ``capacity``, part) with sequence_id and offset, without part.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
+    """``pieces`` (length from 1 to ``capacity``, part) with sequence_id and offset, and the certificate of the part in which the
+    piece was placed: part, part_bins (its sequences), part_bound (the lower bound on them) and certified (whether they are equal).
 
     Every piece gets a place of its own; a sequence holds at most ``capacity`` tokens, gapless from offset 0.
     An empty table gives an empty one. Parts hold at most about ``part_pieces`` pieces, so tasks stay
-    bounded; the driver sees counts only.
+    bounded; the driver sees counts only. Rounds go on until all parts are certified, none can exchange, or a round saves no sequence.
     """
-    columns = [c for c in pieces.columns if c != "part"]
-    done, todo, going = [], pieces, None
-    for r in range(rounds):
-        final = r == rounds - 1
-        packed = written(_pack_round(todo, r, capacity, final), f"packed-{r}")
+    columns = [c for c in pieces.columns if c not in ("part", "part_bins", "part_bound", "certified")]
+    done, todo, going, r = [], pieces.select(*columns, "part"), None, 0
+    while True:
+        packed = written(_pack_round(todo, capacity), f"packed-{r}")
         if r:
             old = before.where(going).agg(F.countDistinct("sequence_id")).first()[0]
             if packed.agg(F.countDistinct("sequence_id")).first()[0] >= old:
@@ -150,24 +152,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, part
         counts = np.zeros(capacity + 1, dtype=np.int64)
         for x in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
             counts[x.length] = x.n
-        parts, bounds = packed.groupBy("part").agg(F.max("bound").alias("b")).agg(F.count("*"), F.sum("b")).first()
-        apart = not final and parts > 1 and bounds > bound_of_counts(counts, capacity) + parts
+        parts, bounds, top = packed.groupBy("part").agg(F.max("part_bound").alias("b")).agg(F.count("*"), F.sum("b"), F.max("part")).first()
+        apart = parts > 1 and bounds > bound_of_counts(counts, capacity) + parts
         going = F.col("open") if apart else F.col("pooled")
         pooled, parts = packed.where(going).agg(F.count("*"), F.countDistinct("part")).first()
         if not pooled or parts == 1:
             done.append(packed)
             break
         done.append(packed.where(~going))
-        before, n = packed, -(-pooled // part_pieces)
-        part = F.pmod(F.xxhash64("sequence_id", "offset", F.lit(r)), F.lit(n)).cast("long") if n > 1 else F.lit(0).cast("long")
-        todo = packed.where(going).select(*columns, part.alias("part"))
+        before, n, r = packed, -(-pooled // part_pieces), r + 1
+        part = F.lit(top + 1) + F.pmod(F.xxhash64("sequence_id", "offset", F.lit(r)), F.lit(n))
+        todo = packed.where(going).select(*columns, part.cast("long").alias("part"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*columns, "sequence_id", "offset")
+    return out.select(*columns, "sequence_id", "offset", "part", "part_bins", "part_bound", (F.col("part_bins") == F.col("part_bound")).alias("certified"))
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int | None = 2, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces of :func:`token_pieces` in sequences, as :func:`pack` places them.
+
+    Null and empty texts are the end id alone; very long ones become several pieces; repeated rows, ties of length and null keys all
+    keep their rows; other columns of ``docs`` don't matter; an empty table gives an empty one.
+    """
     return pack(written(token_pieces(docs, key, text, vocabulary, end, capacity), "pieces"), capacity)
 
 
