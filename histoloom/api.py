@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.scalars import OWNER_SHARE
-from .operators import attribution, audits, edges, graphs, history, metrics, nodes, ownership, scaling, splits
+from .operators import assembly, attribution, audits, graphs, history, metrics, scaling, splits
+from .operators import runs as run_tables
 from .sources.tables import load_tables
 
 STRATEGIES = {
@@ -15,46 +16,28 @@ STRATEGIES = {
 }
 
 
-def _typed(node_table: DataFrame, kind: str) -> DataFrame:
-    return node_table.select("hash", F.lit(kind).alias("type"), "node_key", "x")
-
-
-def _edge(e: DataFrame, rel: str, reverse: str, src: str, dst: str, attr=None) -> DataFrame:
-    attr = F.expr("cast(array() as array<double>)") if attr is None else attr
-    e = e.withColumn("attr", attr)
-    there = e.select("hash", F.lit(rel).alias("rel"), F.lit(src).alias("src_type"), "src_key", F.lit(dst).alias("dst_type"), "dst_key", "attr")
-    back = e.select("hash", F.lit(reverse).alias("rel"), F.lit(dst).alias("src_type"), F.col("dst_key").alias("src_key"), F.lit(src).alias("dst_type"), F.col("src_key").alias("dst_key"), "attr")
-    return there.unionByName(back)
-
-
-def build_graph_tables(tables: dict[str, DataFrame], ownership_window_days: int = 90, ownership_threshold: float = OWNER_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all commits: commit, file, function and developer nodes, and their relations in both directions.
-
-    ``tables``: commit_info, file_info, function_info, ownership_window, commit_author as :func:`load_tables` names them."""
-    commits, files, functions = tables["commit_info"], tables["file_info"], tables["function_info"]
-    roles = tables["commit_author"]
-    owned = ownership.choose_window(tables["ownership_window"], ownership_window_days)
-    matched = ownership.match_files(files, owned)
-    stats = ownership.file_ownership(matched, ownership_threshold)
-    devs = nodes.developers(roles, owned, ownership_threshold)
-    n = _typed(nodes.commit_nodes(commits), "commit").unionByName(_typed(nodes.file_nodes(files), "file")).unionByName(_typed(nodes.function_nodes(functions), "function"))
-    n = n.unionByName(devs.select("hash", F.lit("developer").alias("type"), F.col("email").alias("node_key"), F.array(F.col("place").cast("double")).alias("x")))
-    of_file = ownership.commit_file_edges(files, stats).select("hash", F.col("hash").alias("src_key"), F.col("filename").alias("dst_key"), F.array("owners", "max_ratio", "hhi", "total").alias("attr"))
-    named = edges.commit_developer(roles, devs)
-    e = _edge(of_file, "modifies_file", "file_modified_by", "commit", "file", F.col("attr"))
-    of_function = edges.commit_function(functions)
-    e = e.unionByName(_edge(of_function, "modifies_function", "function_modified_by", "commit", "function", F.col("attr")))
-    e = e.unionByName(_edge(edges.file_function(files, functions), "contains", "contained_in", "file", "function"))
-    for rel, reverse in (("authored_by", "authored"), ("committed_by", "committed")):
-        part = named.where(F.col("rel") == rel).select("hash", F.col("hash").alias("src_key"), F.col("email").alias("dst_key"), F.array(F.col("is_bot").cast("double")).alias("attr"))
-        e = e.unionByName(_edge(part, rel, reverse, "commit", "developer", F.col("attr")))
-    owns = edges.developer_file(matched, devs).select("hash", F.col("email").alias("src_key"), F.col("filename").alias("dst_key"), F.array("ratio", "line_share", "log_edits").alias("attr"))
-    return n, e.unionByName(_edge(owns, "owns", "owned_by", "developer", "file", F.col("attr")))
-
-
-def build_history_graph(commits: DataFrame, files: DataFrame, functions: DataFrame, parent_edges: bool = True, temporal_edges: bool = True) -> dict[str, DataFrame]:
-    """Edge tables across commits by relation."""
+def build_graph_tables(
+    tables: dict[str, DataFrame], mode: int = 1, include: tuple[str, ...] = assembly.TYPES, ownership_window_days: int = 90, ownership_threshold: float = OWNER_SHARE, max_issues: int | None = None, max_prs: int | None = None, max_tags: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all commits, over raw counts: see :func:`operators.assembly.counted_graph`."""
+    return assembly.counted_graph(tables, mode, include, ownership_window_days, ownership_threshold, max_issues, max_prs, max_tags)
+
+
+def build_graph_tables_v2(tables: dict[str, DataFrame], ownership_window_days: int = 90, ownership_threshold: float = OWNER_SHARE, embeddings: DataFrame | None = None, hunk_embeddings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all commits, over normalised tables: see :func:`operators.assembly.normalised_graph`."""
+    return assembly.normalised_graph(tables, ownership_window_days, ownership_threshold, embeddings, hunk_embeddings)
+
+
+def build_history_graph(commits: DataFrame, files: DataFrame, functions: DataFrame, parent_edges: bool = True, temporal_edges: bool = True, fixes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Edge tables across commits by relation; with ``fixes`` (vcc_hash, fc_hash) also the renames from a commit to its fix."""
     out = {"file_evolution": history.file_evolution(files, commits), "fn_evolution": history.function_evolution(functions, commits)}
+    if "function_change_type" in functions.columns:
+        out["fn_rename"] = history.renames_within(functions)
+    if fixes is not None:
+        out["file_rename"] = history.file_renames(files, fixes, out["file_evolution"])
+        if "fn_rename" in out:
+            moved = out["fn_evolution"].select(F.col("src").alias("hash"), "name"), out["fn_rename"].select("hash", F.col("old").alias("name"))
+            out["fn_rename_to_fix"] = history.function_rename_fallback(functions, fixes, *moved)
     if parent_edges and "parent_list" in commits.columns:
         out["parent_of"] = history.parent_edges(commits)
     if temporal_edges:
@@ -62,10 +45,26 @@ def build_history_graph(commits: DataFrame, files: DataFrame, functions: DataFra
     return out
 
 
-def split(commits: DataFrame, name: str, **options) -> DataFrame:
+def split(commits: DataFrame, name: str, tables: dict[str, DataFrame] | None = None, **options) -> DataFrame:
+    """``commits`` with repo_split by the named strategy. Developers, files and functions come from ``tables`` (commit_author, file_info,
+    function_info) unless ``owners`` and ``identity`` are given."""
+    if name in IDENTITIES and "owners" not in options:
+        source, key, columns = IDENTITIES[name]
+        options = {"owners": (tables or {})[source].withColumnRenamed(key, "hash"), "identity": columns} | options
     return STRATEGIES[name](commits, **options)
 
 
+def summarise_runs(runs: DataFrame, metrics_: tuple[str, ...], best_by: str, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """(keys, metric, mean, std, n, result) over seeds: each seed's metrics on val at its best epoch by ``best_by``. ``runs``: keys, seed, epoch, split, metrics."""
+    by = [*keys, "seed"]
+    best = run_tables.best_epochs(runs, best_by, by).select(*by, "epoch")
+    at_best = runs.where("split = 'val'").join(best, [*by, "epoch"])
+    return run_tables.result_text(metrics.seed_summary(at_best, list(keys), list(metrics_)))
+
+
+IDENTITIES = {"developer": ("commit_author", "commit_hash", ["dev_id"]), "file": ("file_info", "hash", ["filename"]), "function": ("function_info", "hash", ["name", "filename"])}
+
+
 def validate_split(split_: DataFrame, strategy: str) -> DataFrame:
     """(strategy, finding, n, status)."""
     rows = [("in_several_splits", audits.in_several_splits(split_)), ("repo_overlap", audits.overlap(split_, "repo_url")), ("commit_overlap", audits.overlap(split_, "hash")), ("problems", audits.split_problems(split_))]
@@ -91,4 +90,4 @@ mask, named_mask = scaling.apply_mask, scaling.named_mask
 shapley, kernel_shap = attribution.shapley, attribution.kernel_shap
 repo_commits, manifest = history.repo_commits, graphs.manifest
 
-__all__ = ["apply_scaler", "build_graph_tables", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "repo_commits", "shapley", "split", "validate_split"]
+__all__ = ["apply_scaler", "build_graph_tables", "build_graph_tables_v2", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "repo_commits", "shapley", "split", "summarise_runs", "validate_split"]

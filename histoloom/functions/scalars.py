@@ -14,6 +14,24 @@ FUNCTION_CHANGES = ["MODIFY", "ADD", "DELETE", "RENAME", "REFACTOR"]
 BOTS = ["gardener@tensorflow.org"]
 OWNER_SHARE = 0.05
 KEYWORDS = r"fix|bug|patch|security|overflow|not|working"
+LONG_KEYWORDS = (
+    r"\b(?:fix|fixed|fixes|patch|patched|patches|address|addresses|addressed|resolve|resolves|resolved|remediate|remediates|remediated|correct|corrects|corrected|mitigate|mitigates|mitigated|harden|hardens|hardened|secure|secures|secured|protect|protects|protected|guard|guards|guarded|enforce|enforces|enforced|restrict|restricts|restricted|sanitize|sanitizes|sanitized|validate|validates|validated|escape|escapes|escaped|encode|encodes|encoded|filter|filters|filtered|check|checks|checked|bound|bounds|bounded|clamp|clamps|clamped|initialize|initializes|initialized|null-?check|nullchecks|verify|verifies|verified|authenticate|authoriz(?:e|es|ed)|prevent|prevents|prevented|block|blocks|blocked|deny|denies|denied|reject|rejects|rejected|remove|removes|removed|disable|disables|disabled|revert|reverts|reverted|backport|backports|backported|bump|bumps|bumped)\b"
+    r"|\b(?:bypass|bypasses|bypassed|skip|skips|skipped|ignore|ignores|ignored|relax|relaxes|relaxed|expose|exposes|exposed|leak|leaks|leaked|overflow|overflows|overflowed|underflow|underflows|underflowed|dereference|dereferences|dereferenced|trust|trusted|parse|parses|parsed)\b"
+    r"|\b(?:security|vuln(?:erabilit(?:y|ies))?|cve|xss|csrf|sqli|rce|ssrf|lfi|rfi|dos|overflow|underflow|bug|error|issue|risk|fuck|bullshit|shit|deadline|sprint)\b"
+)
+DEVELOPER_COUNTS = ["repo_total_commits_before", "repo_active_weeks_before", "repo_tenure_days", "repo_commits_as_committer_before", "recent_commits_90d", "time_since_last_commit_days", "cross_repo_commits_before", "num_repos_contributed_before"]
+DEVELOPER_SHARE = "experience_percentile_in_repo"
+DEVELOPER_AT_COMMIT = ["dev_experience_days", "dev_commits_before", "dev_is_new_contributor"]
+ISSUE_FEATURES = ["issue_open_30d", "issue_open_90d", "issue_open_180d", "issue_age_median", "issues_closed_last_90d", "issues_closed_last_180d", "issue_open_velocity_30d", "issue_open_velocity_90d"]
+PULL_FEATURES = ["pr_count_30d", "pr_count_90d", "pr_count_180d", "pr_age_median", "pr_closed_last_90d", "pr_closed_last_180d", "pr_open_velocity_30d", "pr_open_velocity_90d"]
+TAG_FEATURES = ["days_since_prev_tag", "tags_last_180d", "tags_last_365d", "avg_release_cadence_days", "days_since_prev_tag_norm"]
+ISSUE_FEATURES_V2 = ["issue_open_90d", "issue_age_median", "issues_closed_last_90d", "issue_open_velocity_90d"]
+PULL_FEATURES_V2 = ["pr_count_90d", "pr_age_median", "pr_closed_last_90d", "pr_open_velocity_90d"]
+TAG_FEATURES_V2 = ["days_since_prev_tag", "tags_last_365d", "avg_release_cadence_days", "days_since_prev_tag_norm"]
+AUTHOR_EDGE_V2 = ["dev_experience_days", "dev_commits_before", "dev_is_new_contributor"]
+ISSUE_EDGE_V2 = ["pr_to_issue_open_ratio_90d", "issue_to_pr_closed_ratio_90d", "has_issue_pr_gap"]
+TAG_EDGE_V2 = ["activity_since_last_tag"]
+EDGE_FEATURES = {"linked_issue": ["issue_open_90d"], "linked_pr": ["pr_count_90d"], "has_release_tag": ["days_since_prev_tag_norm"], "references_issue": ["pr_to_issue_open_ratio_90d", "has_issue_pr_gap"], "affects": ["activity_since_last_tag"]}
 PRERELEASE = ["alpha", "beta", "rc", "pre", "dev"]
 HOTFIX = ["hotfix", "fix", "patch"]
 DELAY_LIMITS = [-24, -1, 0, 1 / 60, 1, 24, 168]
@@ -72,6 +90,15 @@ def cyclic(position: Column, period: float) -> list[Column]:
     return [F.coalesce(F.sin(angle), F.lit(0.0)), F.coalesce(F.cos(angle), F.lit(0.0))]
 
 
+def churn(added: Column, deleted: Column) -> Column:
+    """Lines added and deleted; a missing side makes it null."""
+    return added + deleted
+
+
+def log_churn(added: Column, deleted: Column) -> Column:
+    return F.log1p(churn(added, deleted).cast("double"))
+
+
 def hour_cycle(ts: Column) -> list[Column]:
     return cyclic(F.hour(ts) + F.minute(ts) / 60, 24)
 
@@ -120,8 +147,8 @@ def basename(path: Column) -> Column:
 
 
 def hash_list(text: Column) -> Column:
-    """The hexadecimal ids in a written list."""
-    return F.regexp_extract_all(text, F.lit("[0-9A-Za-z]{2,}"), F.lit(0))
+    """The commit hashes in a written list: runs of 7 to 64 hexadecimal digits, so words like ``nan`` or ``None`` are none."""
+    return F.regexp_extract_all(text, F.lit("(?<![0-9A-Za-z])[0-9A-Fa-f]{7,64}(?![0-9A-Za-z])"), F.lit(0))
 
 
 def comma_list(text: Column) -> Column:

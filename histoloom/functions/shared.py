@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where none is set, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set a local session gets a temporary one; a cluster
+    gets an error, since its machines don't share their local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="histoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +48,32 @@ def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank", tot
     return ranged.join(F.broadcast(counts.drop("_n")), "_part").withColumn(rank, (F.col("_before") + inside).cast("long")).drop("_part", "_before")
 
 
+def with_running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, str], totals: bool = False) -> DataFrame:
+    """``df`` with running sums, within ``keys`` and up to the row in ``order`` (total within the keys), of columns: ``sums`` maps
+    each to its sum's name. With ``totals`` also each key's whole sum, under the name and ``_all``.
+
+    Rows are range-partitioned by keys and order and summed within partitions; the sums of a key's partitions before, one row a key and
+    partition, are added. So one key, or none, may hold all rows."""
+    keys = list(keys)
+    ranged = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "running")
+    before = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_sum_{n}") for c, n in sums.items()])
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    before = before.select(*keys, "_part", *[F.coalesce(F.sum(f"_sum_{n}").over(so_far), F.lit(0)).alias(f"_before_{n}") for n in sums.values()], *([F.sum(f"_sum_{n}").over(whole).alias(f"{n}_all") for n in sums.values()] if totals else []))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumns({n: F.sum(c).over(inside) for c, n in sums.items()})
+    joined = summed.join(before.withColumnsRenamed({k: f"_key_{k}" for k in keys}).withColumnRenamed("_part", "_of"), _same(keys))
+    out = joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums.values()})
+    return out.drop("_part", "_of", *[f"_key_{k}" for k in keys], *[f"_before_{n}" for n in sums.values()])
+
+
+def _same(keys: Sequence[str]) -> Column:
+    out = F.col("_part") == F.col("_of")
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return out
+
+
 def md5_order(seed: int, *parts: str | Column) -> list[Column]:
     """A shuffled but repeatable order: the md5 of the seed and the id, then the id."""
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]

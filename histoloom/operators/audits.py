@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import md5_order
+from ..functions.shared import md5_order, with_running_sums
 from .statistics import melted
 
 # Findings that a strategy implies.
@@ -97,8 +97,7 @@ def feature_auc(rows: DataFrame, columns: Sequence[str], scope: str = "repo_spli
     counts = long.groupingSets([[scope, "column", "value"], ["column", "value"]], scope, "column", "value").agg(F.count("*").alias("t"), F.sum("label").alias("ones"), F.grouping(scope).alias("_g"))
     counts = counts.select(F.when(F.col("_g") == 1, "all").otherwise(F.col(scope)).alias("scope"), "column", "value", "t", "ones")
 
-    up = Window.partitionBy("scope", "column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("rank", F.sum("t").over(up) - (F.col("t") - 1) / 2)
+    ranked = with_running_sums(counts, ["scope", "column"], [F.col("value")], {"t": "top"}).withColumn("rank", F.col("top") - (F.col("t") - 1) / 2)
     sums = ranked.groupBy("scope", "column").agg(F.sum("t").alias("n"), F.sum("ones").alias("n1"), F.sum(F.col("rank") * F.col("ones")).alias("r"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     raw = F.when((n1 > 0) & (n0 > 0), (F.col("r") - n1 * (n1 + 1) / 2) / (n1 * n0)).otherwise(0.5)
@@ -162,21 +161,57 @@ def orphan_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: int = 42, stratum: str = "label", key: str = "hash") -> DataFrame:
-    """``n`` rows of each stratum, the first in shuffled order."""
+    """``n`` rows of each stratum, the first in shuffled order: the first of 256 parts of it, then of those."""
+    parts = F.pmod(F.xxhash64(key), F.lit(256))
+    shuffled = md5_order(seed, key)
+    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy(stratum, parts).orderBy(*shuffled))).where(F.col("_place") <= n)
+    return first.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(*shuffled))).where(F.col("_place") <= n).drop("_place")
 
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*md5_order(seed, key)))
-    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
-
-def graph_problems(nodes: DataFrame, edges: DataFrame, width: int, most: int = 100_000) -> DataFrame:
-    """(problem, n) over node rows (hash, node_key, x) and edge rows (hash, src_key, dst_key): wrong width, bad numbers, dangling ends, too many nodes."""
+def graph_problems(nodes: DataFrame, edges: DataFrame, width: int | dict[str, int], most: int = 100_000, commits: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """(problem, n) over node rows (hash, node_key, x[, type]) and edge rows (hash, src_key, dst_key[, src_type, dst_type]): wrong width
+    (``width``, or by type), bad numbers, empty keys at edge ends, dangling ends, too many nodes; with ``commits`` (hash, label,
+    repo_url) also graphs without a repository, and with ``labelled`` (hash, label), what the graphs say, other labels."""
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    of_nodes = nodes.agg(F.count_if(F.size("x") != width).alias("width"), F.count_if(bad).alias("not_finite"))
-    ends = edges.select("hash", F.explode(F.array("src_key", "dst_key")).alias("node_key"))
-    dangling = ends.join(nodes.select("hash", "node_key"), ["hash", "node_key"], "left_anti").agg(F.count("*").alias("n"))
-    large = nodes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most).agg(F.count("*").alias("n"))
-    rows = of_nodes.select(F.expr("stack(2, 'width', width, 'not_finite', not_finite) AS (problem, n)"))
-    return rows.unionByName(dangling.select(F.lit("dangling").alias("problem"), "n")).unionByName(large.select(F.lit("too_many_nodes").alias("problem"), "n"))
+    wanted = F.lit(width) if isinstance(width, int) else F.element_at(F.create_map(*[F.lit(v) for pair in width.items() for v in pair]), F.col("type"))
+    of_nodes = nodes.agg(F.count_if(F.size("x") != wanted).alias("width"), F.count_if(bad).alias("not_finite"))
+    sides = [F.struct(F.col(f"{s}_key").alias("node_key"), *[F.col(f"{s}_type").alias("type") for _ in (0,) if f"{s}_type" in edges.columns]) for s in ("src", "dst")]
+    ends = edges.select("hash", F.explode(F.array(*sides)).alias("_e")).select("hash", "_e.*")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+    out = of_nodes.select(F.expr("stack(2, 'width', width, 'not_finite', not_finite) AS (problem, n)"))
+    out = out.unionByName(count(ends.join(nodes.select(*ends.columns), ends.columns, "left_anti"), "dangling"))
+    out = out.unionByName(count(ends.where("node_key IS NULL OR node_key = ''"), "empty_end"))
+    out = out.unionByName(count(nodes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most), "too_many_nodes"))
+    if commits is not None:
+        graphs = nodes.select("hash").distinct().join(commits.select("hash", "label", "repo_url"), "hash", "left")
+        out = out.unionByName(count(graphs.where("repo_url IS NULL OR repo_url = ''"), "no_repository"))
+        if labelled is not None:
+            out = out.unionByName(count(graphs.join(labelled.select("hash", F.col("label").alias("_l")), "hash").where("NOT label <=> _l"), "other_label"))
+    return out
+
+
+def graph_errors(nodes: DataFrame, edges: DataFrame, commits: DataFrame, tables: dict[str, DataFrame], backward: dict[str, str], embedded: dict[str, int] | None = None) -> DataFrame:
+    """(hash, errors): of each commit's graph, in this order: missing_graph; count_<type> where the source table of a node type has
+    another number of rows (``tables``: type to hash rows); no_developer; no_author_edge; back_<rel> where a relation and its reverse in
+    ``backward`` differ in number; zero_embedding_<type> where all of a type's vectors are 0 from a dim on (``embedded``)."""
+    of_nodes = nodes.groupBy("hash", "type").agg(F.count("*").alias("n")).groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("_nodes"))
+    of_edges = edges.groupBy("hash", "rel").agg(F.count("*").alias("n")).groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("rel", "n"))).alias("_edges"))
+    rows = commits.select("hash").distinct().join(of_nodes, "hash", "left").join(of_edges, "hash", "left")
+    number = lambda m, k: F.coalesce(F.element_at(m, F.lit(k)), F.lit(0))
+    checks = [F.when(F.col("_nodes").isNull(), "missing_graph")]
+    for kind, table in tables.items():
+        rows = rows.join(table.groupBy("hash").agg(F.count("*").alias(f"_n_{kind}")), "hash", "left")
+        checks.append(F.when(number("_nodes", kind) != F.coalesce(F.col(f"_n_{kind}"), F.lit(0)), f"count_{kind}"))
+    checks.append(F.when(number("_nodes", "developer") == 0, "no_developer"))
+    checks.append(F.when(number("_edges", "authored_by") == 0, "no_author_edge"))
+    checks += [F.when(number("_edges", rel) != number("_edges", back), f"back_{rel}") for rel, back in backward.items()]
+    for kind, first in (embedded or {}).items():
+        weight = F.aggregate(F.slice("x", first + 1, F.greatest(F.size("x") - first, F.lit(0))), F.lit(0.0), lambda a, v: a + F.abs(v))
+        sums = nodes.where(F.col("type") == kind).groupBy("hash").agg(F.max(weight).alias(f"_w_{kind}"))
+        rows = rows.join(sums, "hash", "left")
+        checks.append(F.when(F.col(f"_w_{kind}") == 0, f"zero_embedding_{kind}"))
+    errors = F.filter(F.array(*checks), lambda c: c.isNotNull())
+    return rows.select("hash", F.array_join(errors, ",").alias("errors")).where("errors <> ''")
 
 
 def integration(graph_counts: DataFrame, raw_counts: DataFrame, key: str = "hash") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -52,12 +53,13 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows.withColumn("weight", F.lit(1.0))).select("hash", "label", vector_to_array("probability")[1].alias("score"))
 
 
-def search(rows: DataFrame, folds: DataFrame, kind: str, features: Sequence[str], grid: dict[str, Sequence]) -> DataFrame:
-    """(params, mean_ap, std_ap): each point of the grid by average precision over the folds (hash, fold, part), which may expand in time."""
+def search(rows: DataFrame, folds: DataFrame, kind: str, features: Sequence[str], grid: dict[str, Sequence], n: int | None = None, seed: int = 42) -> DataFrame:
+    """(params, mean_ap, std_ap, margin): each point of the grid, or ``n`` of them drawn at random, by average precision over the folds
+    (hash, fold, part), which may expand in time. Models are fitted when this is called, one for each point and fold."""
     out = None
     n_folds = [r.fold for r in folds.select("fold").distinct().collect()]
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
+    points = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    for params in points if n is None else random.Random(seed).sample(points, min(n, len(points))):
         for f in n_folds:
             part = folds.where(F.col("fold") == f)
             train = rows.join(part.where("part = 'train'").select("hash"), "hash", "left_semi")
@@ -67,6 +69,15 @@ def search(rows: DataFrame, folds: DataFrame, kind: str, features: Sequence[str]
     return out.groupBy("params").agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("std_ap"), (1.96 * F.stddev_pop("ap")).alias("margin"))
 
 
+def compare_features(train: DataFrame, test: DataFrame, kind: str, **sets: Sequence[str]) -> DataFrame:
+    """(features, ap): one classifier fitted and scored on each named set of feature columns, say flat and neighbourhood ones."""
+    out = None
+    for name, features in sets.items():
+        ap = average_precision(scored(fit(train, kind, features), test)).select(F.lit(name).alias("features"), "ap")
+        out = ap if out is None else out.unionByName(ap)
+    return out
+
+
 def calibrated(held_out: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` (hash, label, score) with calibrated, by isotonic regression on held-out scores."""
     model = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(held_out)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_list
+from ..functions.scalars import cyclic, hash_list, local_time
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -76,6 +76,15 @@ def with_parents(commits: DataFrame) -> DataFrame:
     return commits.withColumn("parent_list", found).withColumn("is_merge", F.size(found) > 1)
 
 
+def local_time_features(commits: DataFrame) -> DataFrame:
+    """``commits`` with committer_local, its hour and weekday (Monday is 0) and their cycles; rows without message, dates or zones go."""
+    rows = commits.dropna(subset=["msg", "author_date", "committer_date", "author_timezone", "committer_timezone"])
+    rows = rows.withColumn("committer_local", local_time(F.col("committer_date").cast("timestamp"), F.col("committer_timezone")))
+    rows = rows.withColumns({"hour_local": F.hour("committer_local"), "weekday_local": F.weekday("committer_local")})
+    hour, day = cyclic(F.col("hour_local"), 24), cyclic(F.col("weekday_local"), 7)
+    return rows.withColumns({"hour_sin": hour[0], "hour_cos": hour[1], "weekday_sin": day[0], "weekday_cos": day[1]})
+
+
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     row = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
     return df.join(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*row.columns)

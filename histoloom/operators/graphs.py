@@ -40,29 +40,32 @@ def with_extra(nodes: DataFrame, extra: DataFrame, width: int, keys: Sequence[st
     return wide.withColumn("x", F.concat("x", F.coalesce(F.col("emb").cast("array<double>"), F.array_repeat(F.lit(0.0), width)))).drop("emb")
 
 
-def neighbour_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(hash, type, node_key, dim, value): for each relation the mean of the source vectors at a target, summed over relations.
+def neighbour_vectors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hash, type, node_key, x): for each relation the mean of the source vectors at a target, summed over relations.
 
-    Vectors are melted, so means are map-side combined sums; absent dims of narrower types count as absent."""
-    src = nodes.select("hash", F.col("type").alias("src_type"), F.col("node_key").alias("src_key"), F.posexplode("x").alias("dim", "v"))
+    Vectors travel whole; sums and counts are taken dim by dim as columns of the widest vector, and dims that no source of a relation
+    has count as absent. The width is read first."""
+    width = nodes.agg(F.max(F.size("x"))).first()[0] or 0
+    src = nodes.select("hash", F.col("type").alias("src_type"), F.col("node_key").alias("src_key"), "x")
     flow = edges.select("hash", "rel", "src_type", "src_key", "dst_type", "dst_key").join(src, ["hash", "src_type", "src_key"])
-    means = flow.groupBy("hash", "rel", "dst_type", "dst_key", "dim").agg(F.avg("v").alias("v"))
-    return means.groupBy("hash", F.col("dst_type").alias("type"), F.col("dst_key").alias("node_key"), F.col("dim").cast("long").alias("dim")).agg(F.sum("v").alias("value"))
+    dim = lambda i: F.get("x", F.lit(i))
+    means = flow.groupBy("hash", "rel", "dst_type", "dst_key").agg(*[F.avg(dim(i)).alias(f"m{i}") for i in range(width)])
+    sums = means.groupBy("hash", F.col("dst_type").alias("type"), F.col("dst_key").alias("node_key")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(width)])
+    vector = F.array(*[F.col(f"m{i}") for i in range(width)]) if width else F.expr("cast(array() as array<double>)")
+    # Trailing dims that no source has go.
+    return sums.select("hash", "type", "node_key", F.filter(vector, lambda v: v.isNotNull()).alias("x"))
 
 
-def packed(melted: DataFrame) -> DataFrame:
-    """Melted vectors as arrays, absent dims 0."""
-    by_dim = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
-    rows = melted.groupBy("hash", "type", "node_key").agg(by_dim.alias("_m"), F.max("dim").alias("_d"))
-    return rows.select("hash", "type", "node_key", F.transform(F.sequence(F.lit(0).cast("long"), "_d"), lambda d: F.coalesce(F.element_at("_m", d), F.lit(0.0))).alias("x"))
+def neighbour_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hash, type, node_key, dim, value) of :func:`neighbour_vectors`."""
+    return neighbour_vectors(nodes, edges).select("hash", "type", "node_key", F.posexplode("x").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
 
 
 def commit_readout(nodes: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
     """(hash, dim, value) at the commit after one or two rounds of neighbour means."""
-    value = neighbour_means(nodes, edges)
     for _ in range(hops - 1):
-        value = neighbour_means(packed(value), edges)
-    return value.where("type = 'commit'").select("hash", "dim", "value")
+        nodes = neighbour_vectors(nodes, edges)
+    return neighbour_means(nodes, edges).where("type = 'commit'").select("hash", "dim", "value")
 
 
 def graph_mean(values: DataFrame, graphs: DataFrame) -> DataFrame:

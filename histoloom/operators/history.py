@@ -29,9 +29,14 @@ def dense_ids(nodes: DataFrame, key: str = "node_key") -> DataFrame:
     return with_global_rank(nodes, [F.col("hash"), F.col(key)]).withColumn("id", F.col("rank") - 1).drop("rank", "total")
 
 
-def shared_developers(nodes: DataFrame) -> DataFrame:
-    """(node_key, x): a developer once over all commits, with the greatest vector."""
-    return nodes.groupBy("node_key").agg(F.max("x").alias("x"))
+def shared_developers(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """(node_key, x): a developer once over all commits, with the greatest vector. With ``edges`` also these, ends that are developers
+    moved to the shared node: its hash is empty (src_hash, dst_hash tell each end's graph)."""
+    shared = nodes.groupBy("node_key").agg(F.max("x").alias("x"))
+    if edges is None:
+        return shared
+    end = lambda side: F.when(F.col(f"{side}_type") == "developer", "").otherwise(F.col("hash"))
+    return shared, edges.withColumns({"src_hash": end("src"), "dst_hash": end("dst")})
 
 
 def impute_empty(nodes: DataFrame) -> DataFrame:
@@ -46,36 +51,53 @@ def _evolution(rows: DataFrame, key: list[str], order: list[Column], keep: list[
     """Each row with the next one of its key, where that is of another commit. Rows without a key, or with an empty one, are left out."""
     for k in key:
         rows = rows.where(F.col(k).isNotNull() & (F.col(k) != ""))
-    following = F.lead(F.struct("hash", "author_date", *keep)).over(Window.partitionBy(*key).orderBy(*order))
+    following = F.lead(F.struct("hash", "author_date", "_known", *keep)).over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("next", following).where(F.col("next").isNotNull() & (F.col("next.hash") != F.col("hash")))
 
 
 def _dated(rows: DataFrame, commits: DataFrame) -> DataFrame:
-    dates = commits.select("hash", "repo_url", F.coalesce(F.col("author_date").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("author_date"))
+    """``rows`` with their commit's date, 1970 where it has none (``_known`` tells)."""
+    date = F.col("author_date").cast("timestamp")
+    dates = commits.select("hash", "repo_url", F.coalesce(date, F.timestamp_seconds(F.lit(0))).alias("author_date"), date.isNotNull().alias("_known"))
     return rows.join(dates, "hash")
 
 
+def _gap() -> Column:
+    """Log of the whole days to the next row, 0 where either date is unknown."""
+    days = F.abs(floor_days(F.col("next.author_date"), F.col("author_date")))
+    return F.when(F.col("_known") & F.col("next._known"), F.log1p(days.cast("double"))).otherwise(0.0)
+
+
+def _delta(rows: DataFrame, column: str) -> Column:
+    """Signed log of the next row's value less this one's; missing values count as 0."""
+    if column not in rows.columns:
+        return F.lit(0.0)
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return signed_log(zero(f"next.{column}") - zero(column))
+
+
 def file_evolution(files: DataFrame, commits: DataFrame, scoped: bool = True) -> DataFrame:
-    """(filename, src, dst, d_complexity, d_added, gap): a file's consecutive commits; undated ones count as 1970. ``scoped``: within a repository.
+    """(filename, src, dst, d_complexity, d_lines, d_tokens, gap): a file's consecutive commits; undated ones come first and have no gap.
+    ``scoped``: within a repository.
 
     Of two rows of one commit that follow each other there is no edge, nor one around them."""
     rows = _dated(files, commits)
     key = ["repo_url", "filename"] if scoped else ["filename"]
-    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash")], ["complexity", "num_lines_added"])
-    days = floor_days(F.col("next.author_date"), F.col("author_date"))
-    return pairs.select("filename", F.col("hash").alias("src"), F.col("next.hash").alias("dst"), signed_log(F.col("next.complexity") - F.col("complexity")).alias("d_complexity"), signed_log(F.col("next.num_lines_added") - F.col("num_lines_added")).alias("d_added"), F.log1p(days.cast("double")).alias("gap"))
+    measures = [c for c in ("complexity", "num_lines_of_code", "token_count") if c in files.columns]
+    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash")], measures)
+    return pairs.select("filename", F.col("hash").alias("src"), F.col("next.hash").alias("dst"), _delta(files, "complexity").alias("d_complexity"), _delta(files, "num_lines_of_code").alias("d_lines"), _delta(files, "token_count").alias("d_tokens"), _gap().alias("gap"))
 
 
 def function_evolution(functions: DataFrame, commits: DataFrame, scoped: bool = True) -> DataFrame:
-    """(name, src, src_file, dst, dst_file, kind, d_complexity, d_tokens, gap): a function's consecutive snapshots by name; kind is the source's change type one-hot."""
+    """(name, src, src_file, dst, dst_file, kind, d_complexity, d_lines, gap): a function's consecutive snapshots by name; kind is the source's change type one-hot."""
     rows = _dated(functions, commits)
     key = ["repo_url", "name"] if scoped else ["name"]
-    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash"), F.col("filename")], ["filename", "complexity", "token_count"])
-    kind = F.col("function_change_type") if "function_change_type" in rows.columns else F.lit(None).cast("string")
-    days = floor_days(F.col("next.author_date"), F.col("author_date"))
+    measures = [c for c in ("complexity", "num_lines_of_code") if c in functions.columns]
+    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash"), F.col("filename")], ["filename", *measures])
+    kind = F.upper(F.trim("function_change_type")) if "function_change_type" in rows.columns else F.lit(None).cast("string")
     return pairs.select(
         "name", F.col("hash").alias("src"), F.col("filename").alias("src_file"), F.col("next.hash").alias("dst"), F.col("next.filename").alias("dst_file"), one_hot(kind, FUNCTION_CHANGES, "MODIFY").alias("kind"),
-        signed_log(F.col("next.complexity") - F.col("complexity")).alias("d_complexity"), signed_log(F.col("next.token_count") - F.col("token_count")).alias("d_tokens"), F.log1p(days.cast("double")).alias("gap"),
+        _delta(functions, "complexity").alias("d_complexity"), _delta(functions, "num_lines_of_code").alias("d_lines"), _gap().alias("gap"),
     )
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import with_running_sums
+
 
 def _over(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -62,11 +64,10 @@ def best_threshold_sweep(scored: DataFrame, keys: Sequence[str] = (), steps: int
 
 
 def curve(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, score, tp, fp, positives, negatives): cumulative counts at each distinct score, from the highest."""
+    """(keys, score, tp, fp, positives, negatives, p, q): cumulative counts at each distinct score, from the highest."""
     by_score = scored.groupBy(*keys, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*keys)
-    return by_score.select(*keys, "score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("positives"), F.sum("q").over(every).alias("negatives"), "p", "q")
+    summed = with_running_sums(by_score, keys, [F.desc("score")], {"p": "tp", "q": "fp"}, totals=True)
+    return summed.select(*keys, "score", "tp", "fp", F.col("tp_all").alias("positives"), F.col("fp_all").alias("negatives"), "p", "q")
 
 
 def average_precision(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -96,6 +97,13 @@ def best_f1_point(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return best.select(*keys, (-F.col("_b.s")).alias("threshold"), F.col("_b.f1").alias("best_f1"))
 
 
+def tuned(train: DataFrame, test: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rates on ``test`` at the threshold of the best F1 on ``train``, by ``keys``."""
+    points = best_f1_point(train, keys).select(*keys, F.col("threshold"))
+    rows = test.join(points, list(keys)) if keys else test.join(F.broadcast(points))
+    return rates(confusion(rows, [*keys, "threshold"], F.col("threshold")))
+
+
 def calibration(scored: DataFrame, keys: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """(keys, bin, mean_score, positive_share, n) over equal-width bins; a score of 1 falls into the last."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("long")

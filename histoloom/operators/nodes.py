@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FUNCTION_CHANGES, OWNER_SHARE, feature_vector, floor_days, hour_cycle, log_count, normal_key, one_hot, parsed_tag, raw_numeric_columns, safe_double, signed_log, weekday_cycle, zone_share
+from ..functions.scalars import (
+    DEVELOPER_AT_COMMIT, DEVELOPER_COUNTS, DEVELOPER_SHARE, FUNCTION_CHANGES, ISSUE_FEATURES, ISSUE_FEATURES_V2, LOGGED_COUNTS, OWNER_SHARE, PULL_FEATURES, PULL_FEATURES_V2, TAG_FEATURES, TAG_FEATURES_V2,
+    feature_vector, floor_days, hour_cycle, log_count, normal_key, one_hot, parsed_tag, raw_numeric_columns, safe_double, signed_log, weekday_cycle, zone_share,
+)
 from .cleaning import keep_first
 
 EMBEDDING_WIDTH = 768
@@ -18,7 +21,8 @@ def _flag(df: DataFrame, column: str) -> Column:
 
 
 def commit_nodes(commits: DataFrame, features: DataFrame | None = None) -> DataFrame:
-    """14 values: branch and merge flags, unit metrics (log), both time zones, hour and weekday cycles, and process features by hash."""
+    """14 values: branch and merge flags, unit metrics (log), both time zones, hour and weekday cycles, and three process features by
+    hash, which come normalised and stay as they are."""
     extra = ["has_sdlc_data", "repo_commits_last_90d", "repo_active_authors_90d"]
     rows = commits
     if features is not None:
@@ -26,23 +30,23 @@ def commit_nodes(commits: DataFrame, features: DataFrame | None = None) -> DataF
     dmm = [F.log1p(F.greatest(safe_double(rows, f"dmm_unit_{c}"), F.lit(0.0))) for c in ("size", "complexity", "interfacing")]
     zones = [zone_share(safe_double(rows, c)) for c in ("author_timezone", "committer_timezone")]
     ts = F.col("author_date").cast("timestamp")
-    process = [safe_double(rows, extra[0]), *[log_count(safe_double(rows, c)) for c in extra[1:]]]
-    x = F.array(_flag(rows, "in_main_branch"), _flag(rows, "merge"), *dmm, *zones, *hour_cycle(ts), *weekday_cycle(ts), *process)
+    x = F.array(_flag(rows, "in_main_branch"), _flag(rows, "merge"), *dmm, *zones, *hour_cycle(ts), *weekday_cycle(ts), *[safe_double(rows, c) for c in extra])
     return rows.select("hash", F.col("hash").alias("node_key"), x.alias("x"))
 
 
 def commit_nodes_short(commits: DataFrame, tags: bool = False) -> DataFrame:
-    """7 values: four counts (log) and three unit metrics; with ``tags`` also days since the last tag (log) and tags in 365 days."""
+    """7 values: four counts (log) and three unit metrics; with ``tags`` also days since the last tag and tags in 180 days (log)."""
     counts = [log_count(safe_double(commits, f"num_{c}")) for c in ("lines_deleted", "lines_added", "lines_changed", "files_changed")]
     dmm = [safe_double(commits, f"dmm_unit_{c}") for c in ("size", "complexity", "interfacing")]
-    more = [log_count(safe_double(commits, c)) for c in ("days_since_prev_tag", "tags_last_365d")] if tags else []
+    more = [log_count(safe_double(commits, c)) for c in ("days_since_prev_tag", "tags_last_180d")] if tags else []
     return commits.select("hash", F.col("hash").alias("node_key"), F.array(*counts, *dmm, *more).alias("x"))
 
 
 def file_nodes(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Lines added and deleted and complexity (log), one node a file of a commit; with ``stats`` their ownership statistics too."""
+    """Lines added and deleted and complexity as the table has them (normalised), one node a file of a commit; with ``stats`` their
+    four ownership statistics too, zeros where none are known."""
     rows = keep_first(files, ["hash", "filename"], ["change_type", "num_lines_added"])
-    x = [log_count(safe_double(rows, c)) for c in ("num_lines_added", "num_lines_deleted", "complexity")]
+    x = [safe_double(rows, c) for c in ("num_lines_added", "num_lines_deleted", "complexity")]
     if stats is not None:
         names = ["owners", "max_ratio", "hhi", "total"]
         rows = rows.join(stats.select("hash", "filename", *names), ["hash", "filename"], "left").na.fill(0.0, names)
@@ -50,16 +54,27 @@ def file_nodes(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     return rows.select("hash", F.col("filename").alias("node_key"), F.array(*x).alias("x"))
 
 
+def file_nodes_counted(files: DataFrame, stats: DataFrame) -> DataFrame:
+    """10 values of raw counts: six code metrics (log), then log owners, sum of squared shares, greatest and author's share of
+    ``stats`` (:func:`ownership.file_ownership_with_author`), zeros where none are known."""
+    rows = keep_first(files, ["hash", "filename"], ["change_type", "num_lines_added"])
+    code = [log_count(safe_double(rows, c)) for c in ("num_lines_added", "num_lines_deleted", "num_method_changed", "num_lines_of_code", "complexity", "token_count")]
+    names = ["owners", "hhi", "max_ratio", "author_ratio"]
+    rows = rows.join(stats.select("hash", "filename", *names), ["hash", "filename"], "left").na.fill(0.0, names)
+    return rows.select("hash", F.col("filename").alias("node_key"), F.array(*code, *names).alias("x"))
+
+
 def function_key(df: DataFrame) -> Column:
     return F.concat_ws("::", "filename", "name")
 
 
 def function_nodes(functions: DataFrame, embeddings: DataFrame | None = None, width: int = EMBEDDING_WIDTH) -> DataFrame:
-    """8 values (three of them always 0, as they leak the label) and the embedding of (hash, name, filename), zeros where none is known.
+    """8 normalised values (three of them always 0, as they leak the label) and the embedding of (hash, name, filename), zeros where
+    none is known.
 
     Wide arrays join last, on keys; the last row of a repeated embedding key by ``seq`` wins."""
     rows = keep_first(functions, ["hash", "filename", "name"], ["start_line"])
-    metrics = [log_count(safe_double(rows, c)) for c in ("num_lines_of_code", "complexity", "token_count", "length", "top_nesting_level")]
+    metrics = [safe_double(rows, c) for c in ("num_lines_of_code", "complexity", "token_count", "length", "top_nesting_level")]
     rows = rows.select("hash", "filename", "name", function_key(rows).alias("node_key"), F.array(*metrics, *[F.lit(0.0)] * 3).alias("x"))
     return with_embedding(rows, embeddings, width)
 
@@ -77,13 +92,14 @@ def function_nodes_short(functions: DataFrame) -> DataFrame:
     """5 metrics (log) and the change type, MODIFY where unknown."""
     rows = keep_first(functions, ["hash", "filename", "name"], ["start_line"])
     metrics = [log_count(safe_double(rows, c)) for c in ("num_lines_of_code", "complexity", "token_count", "length", "top_nesting_level")]
-    kind = F.col("function_change_type") if "function_change_type" in rows.columns else F.lit(None).cast("string")
+    kind = F.upper(F.trim("function_change_type")) if "function_change_type" in rows.columns else F.lit(None).cast("string")
     return rows.select("hash", function_key(rows).alias("node_key"), F.concat(F.array(*metrics), one_hot(kind, FUNCTION_CHANGES, "MODIFY")).alias("x"))
 
 
 def hunk_nodes(hunks: DataFrame, embeddings: DataFrame | None = None, width: int = EMBEDDING_WIDTH) -> DataFrame:
+    """2 normalised values and the embedding, as :func:`function_nodes`."""
     rows = keep_first(hunks, ["hash", "filename", "name"], ["complexity", "token_count"])
-    x = F.array(log_count(safe_double(rows, "complexity")), log_count(safe_double(rows, "token_count")))
+    x = F.array(safe_double(rows, "complexity"), safe_double(rows, "token_count"))
     return with_embedding(rows.select("hash", "filename", "name", function_key(rows).alias("node_key"), x.alias("x")), embeddings, width)
 
 
@@ -95,14 +111,30 @@ def developers(roles: DataFrame, ownership: DataFrame, least: float = OWNER_SHAR
     return first.withColumn("place", F.row_number().over(Window.partitionBy("hash").orderBy("p", "email")).cast("long")).select("hash", "email", "place")
 
 
-def developer_nodes(developers_: DataFrame, features: DataFrame, counts: Sequence[str], share: str) -> DataFrame:
-    """Log counts and a percentile by (hash, email); zeros for unknown developers."""
-    known = features.select(F.col("commit_hash").alias("hash"), normal_key(F.col("dev_email")).alias("email"), F.array(*[log_count(safe_double(features, c)) for c in counts], safe_double(features, share)).alias("x"))
+def developer_nodes(developers_: DataFrame, features: DataFrame, counts: Sequence[str] = DEVELOPER_COUNTS, share: str = DEVELOPER_SHARE) -> DataFrame:
+    """Log counts by (hash, email) with the percentile before the last two of them; zeros for unknown developers and columns."""
+    logged = [log_count(safe_double(features, c)) for c in counts]
+    known = features.select(F.col("commit_hash").alias("hash"), normal_key(F.col("dev_email")).alias("email"), F.array(*logged[:-2], safe_double(features, share), *logged[-2:]).alias("x"))
     known = known.groupBy("hash", "email").agg(F.max("x").alias("x"))
     zero = F.array_repeat(F.lit(0.0), len(counts) + 1)
     return developers_.join(known, ["hash", "email"], "left").select("hash", F.col("email").alias("node_key"), F.coalesce("x", zero).alias("x"))
 
 
+def developer_nodes_at_commit(developers_: DataFrame, features: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """3 values of the commit, the same for all of its developers, where ``features`` has all of them; else the log totals by email of
+    ``info``, the row of an email with the most commits; zeros where nothing is known."""
+    zero = F.array_repeat(F.lit(0.0), len(DEVELOPER_AT_COMMIT))
+    if all(c in features.columns for c in DEVELOPER_AT_COMMIT):
+        known = keep_first(features, ["hash"], DEVELOPER_AT_COMMIT).select("hash", feature_vector(features, DEVELOPER_AT_COMMIT, LOGGED_COUNTS).alias("x"))
+        found = developers_.select("hash", "email").join(known, "hash", "left")
+    elif info is not None:
+        known = best_developer_rows(info).select("email", F.array(*[log_count(safe_double(info, c)) for c in DEVELOPER_AT_COMMIT]).alias("x"))
+        found = developers_.select("hash", "email").join(known, "email", "left")
+    else:
+        found = developers_.select("hash", "email", zero.alias("x"))
+    return found.select("hash", F.col("email").alias("node_key"), F.coalesce("x", zero).alias("x"))
+
+
 def developers_by_role_or_share(roles: DataFrame, commits: DataFrame, ownership: DataFrame, least: float = OWNER_SHARE) -> DataFrame:
     """(hash, email, is_author, is_committer, is_owner): a commit without a committer role takes the committer column; owners
     count at ``least`` or if they are author or committer."""
@@ -119,22 +151,53 @@ def developers_by_role_or_share(roles: DataFrame, commits: DataFrame, ownership:
 
 def best_developer_rows(info: DataFrame) -> DataFrame:
     """One row an email: most total_commits, then the least commit hash."""
-    return keep_first(info.withColumn("email", normal_key(F.col("dev_email"))), ["email"], [F.desc("total_commits"), "commit_hash"])
+    named = info.withColumn("email", normal_key(F.col("dev_email" if "dev_email" in info.columns else "dev_id")))
+    return keep_first(named, ["email"], [F.desc_nulls_last("total_commits"), *[c for c in ("commit_hash",) if c in info.columns]])
 
 
-def process_nodes(features: DataFrame, columns: Sequence[str], logged: Sequence[str]) -> DataFrame:
+def process_nodes(features: DataFrame, columns: Sequence[str], logged: Sequence[str] = ()) -> DataFrame:
     """One node a commit from its aggregate process features."""
     return features.select("hash", F.lit("all").alias("node_key"), feature_vector(features, columns, logged).alias("x"))
 
 
-def entity_nodes(entities: DataFrame, key: str, mode: int, aggregate: DataFrame | None = None, most: int | None = None, order: str = "created_at") -> DataFrame:
-    """Mode 1: a node for each entity from its raw numeric columns, the first ``most`` by time; other modes: the aggregate node."""
-    if mode != 1:
-        return aggregate
-    rows = entities
-    if most is not None:
-        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("hash").orderBy(F.col(order).asc_nulls_last(), key))).where(F.col("_place") <= most).drop("_place")
-    return rows.select("hash", F.col(key).cast("string").alias("node_key"), F.array(*raw_numeric_columns(rows.drop("hash", key, order))).alias("x"))
+def process_nodes_v2(features: DataFrame) -> dict[str, DataFrame]:
+    """The issue, pull-request and release-tag node of each commit: 4 normalised values each."""
+    return {"issue": process_nodes(features, ISSUE_FEATURES_V2), "pull_request": process_nodes(features, PULL_FEATURES_V2), "release_tag": process_nodes(features, TAG_FEATURES_V2)}
+
+
+def first_entities(entities: DataFrame, key: str, most: int | None) -> DataFrame:
+    """The first ``most`` entities of each commit in the order of their keys; all without a limit."""
+    if most is None:
+        return entities
+    return entities.withColumn("_place", F.row_number().over(Window.partitionBy("hash").orderBy(key))).where(F.col("_place") <= most).drop("_place")
+
+
+def entity_nodes(entities: DataFrame, key: str) -> DataFrame:
+    """A node for each entity (hash, key, columns) from its raw numeric columns, or a placeholder."""
+    return entities.select("hash", F.col(key).cast("string").alias("node_key"), F.array(*raw_numeric_columns(entities.drop("hash", key))).alias("x"))
+
+
+def issue_nodes(entities: DataFrame, key: str, mode: int, features: DataFrame, columns: Sequence[str] = ISSUE_FEATURES) -> DataFrame:
+    """Nodes of issues, or of pull requests with their ``columns``. Mode 1: one for each entity; other modes: one aggregate for each commit
+    that has entities, zeros where it has no features."""
+    if mode == 1:
+        return entity_nodes(entities, key)
+    zero = F.array_repeat(F.lit(0.0), len(columns))
+    there = entities.select("hash").distinct().join(process_nodes(features, columns, LOGGED_COUNTS).select("hash", "x"), "hash", "left")
+    return there.select("hash", F.lit("all").alias("node_key"), F.coalesce("x", zero).alias("x"))
+
+
+def release_nodes(tags: DataFrame, mode: int, features: DataFrame, key: str = "tag_id") -> DataFrame:
+    """Nodes of release tags. Modes 1 and 3: one for each tag; 2: the aggregate; 4: the parsed previous tag of the commit (v0.0 where
+    only its distance is known), from the features alone."""
+    if mode in (1, 3):
+        return entity_nodes(tags, key)
+    if mode == 2:
+        return issue_nodes(tags, key, 2, features, TAG_FEATURES)
+    days = safe_double(features, "days_since_prev_tag")
+    name = F.col("prev_tag_name") if "prev_tag_name" in features.columns else F.lit(None).cast("string")
+    named = features.select("hash", F.coalesce(name, F.when(days > 0, "v0.0")).alias("tag_name"), (-days).alias("days")).withColumn("tag_id", F.lit("prev"))
+    return tag_nodes(named)
 
 
 def bracketing_tags(commits: DataFrame, tags: DataFrame) -> DataFrame:

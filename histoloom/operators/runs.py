@@ -17,6 +17,13 @@ def best_epochs(runs: DataFrame, metric: str, keys: Sequence[str], tie: str | No
     return both
 
 
+def result_rows(runs: DataFrame, metric: str, keys: Sequence[str], splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """(keys, epoch, <split>_<metric>...): each run's metric on all splits at its best val epoch, best first; runs without val go."""
+    best = best_epochs(runs, metric, keys).select(*keys, "epoch")
+    wide = runs.join(best, [*keys, "epoch"]).groupBy(*keys, "epoch").agg(*[F.max(F.when(F.col("split") == s, F.col(metric))).alias(f"{s}_{metric}") for s in splits])
+    return wide.where(F.col(f"val_{metric}").isNotNull()).orderBy(F.desc(f"val_{metric}"), *keys)
+
+
 def early_stop(runs: DataFrame, metric: str, keys: Sequence[str], patience: int) -> DataFrame:
     """(keys, stop_epoch): the first epoch that ends ``patience`` epochs without improvement; null if none does."""
     w = Window.partitionBy(*keys).orderBy("epoch")

@@ -7,12 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Named masks as type, first and last dim.
+from .graphs import without_types
+
+# Named masks as type (of a node, or a relation), first and last dim; -1 is the vector's last.
 MASKS = {
-    "code_embedding": [("function", 8, 775)], "hunk_embedding": [("hunk", 2, 769)], "function_metrics": [("function", 0, 4)], "file_metrics": [("file", 0, 2)], "hunk_metrics": [("hunk", 0, 1)],
-    "merge_flag": [("commit", 1, 1)], "dmm": [("commit", 2, 4)], "function_change_type": [("commit_function", 6, 10)],
-    "process": [("issue", 0, 3), ("pull_request", 0, 3), ("release_tag", 0, 3)], "developer": [("developer", 0, 8)],
+    "code_embedding": [("function", -768, -1)], "hunk_embedding": [("hunk", -768, -1)], "message_embedding": [("commit", -768, -1)], "code_before_embedding": [("function", 776, -1)],
+    "function_metrics": [("function", 0, 4)], "file_metrics": [("file", 0, 2)], "hunk_metrics": [("hunk", 0, 1)], "merge_flag": [("commit", 1, 1)], "dmm": [("commit", 2, 4)],
+    "function_change_type": [("modifies_func", 6, 10), ("in_commit_fn", 6, 10)], "process": [("issue", 0, -1), ("pull_request", 0, -1), ("release_tag", 0, -1)], "developer_features": [("developer", 0, -1)],
+    "developer": [("developer", 0, -1), ("authored_by", 0, -1), ("authored", 0, -1), ("committed_by", 0, -1), ("committed", 0, -1), ("owns", 0, -1), ("owned_by", 0, -1)],
+    "pruned": [("function", 0, 0), ("issue", 0, 0), ("issue", 2, 2), ("pull_request", 0, 0), ("pull_request", 2, 2), ("release_tag", 0, 0), ("release_tag", 3, 3), ("developer", 6, 6), ("commit", 2, 2), ("commit", 5, 5), ("commit", 6, 6)],
+    "pruned_v2": [("function", 3, 3), ("release_tag", 1, 1), ("developer", 5, 5), ("developer", 7, 7), ("developer", 8, 8), ("commit", 3, 3), ("commit", 4, 4), ("commit", 7, 7), ("commit", 10, 10), ("pull_request", 3, 3)],
+    "keep_developer_only": [("issue", 0, -1), ("pull_request", 0, -1), ("release_tag", 0, -1), ("has_issue", 0, -1), ("has_pr", 0, -1), ("linked_to_commit", 0, -1), ("has_release", 0, -1), ("release_of", 0, -1)],
+    "keep_process_only": [("developer", 0, -1), ("authored_by", 0, -1), ("authored", 0, -1), ("committed_by", 0, -1), ("committed", 0, -1)],
+    "keep_edges_only": [("developer", 0, -1), ("issue", 0, -1), ("pull_request", 0, -1), ("release_tag", 0, -1)],
+    "keep_nodes_only": [("authored_by", 0, -1), ("authored", 0, -1), ("committed_by", 0, -1), ("committed", 0, -1), ("has_issue", 0, -1), ("has_pr", 0, -1), ("linked_to_commit", 0, -1), ("has_release", 0, -1), ("release_of", 0, -1)],
+}
+# Configurations as names of masks, and node types left out.
+CONFIGURATIONS = {
+    "full_model": ([], []), "no_code_emb": (["code_embedding"], []), "no_msg_emb": (["message_embedding"], []), "no_sdlc": (["process"], []), "no_fn_categorical": (["function_change_type"], []),
+    "no_embeddings": (["code_embedding", "message_embedding"], []), "no_developer": (["developer"], []), "no_hunk": ([], ["hunk"]), "shap_minimal": (["hunk_metrics", "merge_flag"], []),
 }
+#: Masks that every configuration carries.
+BASE_MASKS = ["function_metrics", "file_metrics"]
 
 
 def fit_scaler(rows: DataFrame, split: DataFrame, least: int = 10) -> DataFrame:
@@ -38,9 +54,9 @@ def apply_scaler(rows: DataFrame, scaler: DataFrame) -> DataFrame:
 
 
 def mask_table(spark, masks: Sequence[tuple[str, int, int]]) -> DataFrame:
-    """(type, dim) of all dims to be zeroed."""
-    rows = [Row(type=t, dim=d) for t, a, b in masks for d in range(a, b + 1)]
-    return spark.createDataFrame(rows or [], "type string, dim long")
+    """(type, first, last) of the dims to be zeroed; negative ones count from a vector's end."""
+    rows = [Row(type=t, first=a, last=b) for t, a, b in masks]
+    return spark.createDataFrame(rows or [], "type string, first int, last int")
 
 
 def named_mask(spark, *names: str) -> DataFrame:
@@ -48,7 +64,7 @@ def named_mask(spark, *names: str) -> DataFrame:
     found: list[tuple[str, int, int]] = []
     for name in names:
         if ":" in name:
-            kind, dim = name.split(":")
+            kind, dim = name.rsplit(":", 1)
             found.append((kind, int(dim), int(dim)))
         else:
             found += MASKS[name]
@@ -56,11 +72,26 @@ def named_mask(spark, *names: str) -> DataFrame:
 
 
 def apply_mask(rows: DataFrame, mask: DataFrame, type_: Column | str = "type", vector: str = "x") -> DataFrame:
-    """The masked dims of each type's vectors become 0."""
-    dims = mask.groupBy(F.col("type").alias("_type")).agg(F.collect_set("dim").alias("_dims"))
-    wide = rows.join(F.broadcast(dims), (F.col(type_) if isinstance(type_, str) else type_) == F.col("_type"), "left")
-    zeroed = F.transform(vector, lambda v, i: F.when(F.array_contains("_dims", i.cast("long")), 0.0).otherwise(v))
-    return wide.withColumn(vector, F.when(F.col("_dims").isNull(), F.col(vector)).otherwise(zeroed)).drop("_type", "_dims")
+    """The masked dims of each type's vectors become 0. A mask from the end, such as an embedding's tail, leaves shorter vectors alone."""
+    stretches = mask.groupBy(F.col("type").alias("_type")).agg(F.collect_list(F.struct("first", "last")).alias("_parts"))
+    wide = rows.join(F.broadcast(stretches), (F.col(type_) if isinstance(type_, str) else type_) == F.col("_type"), "left")
+    n = F.size(vector)
+    at = lambda c: F.when(c < 0, n + c).otherwise(c)
+    masked = lambda i: F.exists("_parts", lambda p: (at(p["first"]) >= 0) & (i >= at(p["first"])) & (i <= at(p["last"])))
+    zeroed = F.transform(vector, lambda v, i: F.when(masked(i), 0.0).otherwise(v))
+    return wide.withColumn(vector, F.when(F.col("_parts").isNull(), F.col(vector)).otherwise(zeroed)).drop("_type", "_parts")
+
+
+def apply_named(nodes: DataFrame, edges: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """Named masks on node vectors by type and on edge attributes by relation."""
+    mask = named_mask(nodes.sparkSession, *names)
+    return apply_mask(nodes, mask), apply_mask(edges, mask, "rel", "attr")
+
+
+def configured(nodes: DataFrame, edges: DataFrame, name: str, base: Sequence[str] = BASE_MASKS) -> tuple[DataFrame, DataFrame]:
+    """A named configuration: its masks and the base ones, and without the node types that it leaves out."""
+    masks, types = CONFIGURATIONS[name]
+    return apply_named(*without_types(nodes, edges, types), *base, *masks)
 
 
 def keep_only(rows: DataFrame, types: Sequence[str], vector: str = "x") -> DataFrame:

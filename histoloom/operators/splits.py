@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import comma_list
-from ..functions.shared import md5_order, with_global_rank
+from ..functions.shared import md5_order, with_global_rank, with_running_sums, written
 
 # Fixed values.
 VAL_REPOS = ["ImageMagick/ImageMagick", "radareorg/radare2", "the-tcpdump-group/tcpdump", "php/php-src", "FreeRDP/FreeRDP"]
 TEST_REPOS = ["FFmpeg/FFmpeg", "gpac/gpac", "OISF/suricata", "openssl/openssl", "redis/redis", "envoyproxy/envoy"]
 FIRST_VAL_REPOS = ["ImageMagick/ImageMagick", "gpac/gpac", "FreeRDP/FreeRDP"]
 FIRST_TEST_REPOS = ["openssl/openssl", "FFmpeg/FFmpeg", "krb5/krb5"]
-SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 CRITICAL = ["CWE-121", "CWE-787", "CWE-78", "CWE-94"]
 HIGH = [
     "CWE-119", "CWE-120", "CWE-122", "CWE-125", "CWE-416", "CWE-415", "CWE-190", "CWE-191", "CWE-824", "CWE-843",
@@ -46,6 +45,11 @@ def by_repo(commits: DataFrame, val: Sequence[str] = VAL_REPOS, test: Sequence[s
     return commits.withColumn("repo_split", repo_class(F.col("repo_url"), val, test))
 
 
+def by_repo_first(commits: DataFrame) -> DataFrame:
+    """The first generation's held-out repositories."""
+    return by_repo(commits, FIRST_VAL_REPOS, FIRST_TEST_REPOS)
+
+
 def _part(rank: Column, total: Column, train: float, val: float, names: Sequence[str]) -> Column:
     """By place from 1 among ``total``; the cuts round down."""
     return F.when(rank <= F.floor(total * train), names[0]).when(rank <= F.floor(total * (train + val)), names[1]).otherwise(names[2])
@@ -188,9 +192,10 @@ def expanding_folds(commits: DataFrame, k: int) -> DataFrame:
 
 def stratified_holdout(commits: DataFrame, test: float = 0.20, seed: int = 42) -> DataFrame:
     """Shuffled within each label; the first share is test, rounded down."""
-    w = Window.partitionBy("label")
-    place = F.row_number().over(w.orderBy(*md5_order(seed, "hash")))
-    return commits.withColumn("repo_split", F.when(place <= F.floor(F.count("*").over(w) * test), "test").otherwise("train"))
+    marked = commits.select("hash", "label", F.lit(1).alias("_one"))
+    ranked = with_running_sums(marked, ["label"], md5_order(seed, "hash"), {"_one": "_place"}, totals=True)
+    parts = ranked.select("hash", F.when(F.col("_place") <= F.floor(F.col("_place_all") * test), "test").otherwise("train").alias("repo_split"))
+    return commits.drop("repo_split").join(parts, "hash")
 
 
 def time_holdout(commits: DataFrame, train: float = 0.80) -> DataFrame:
@@ -219,23 +224,19 @@ def label_ratio(commits: DataFrame) -> DataFrame:
     return commits.agg(pos.alias("n_pos"), neg.alias("n_neg"), (neg / pos).alias("neg_pos_ratio"))
 
 
-def weighted_resample(commits: DataFrame, weight: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` draws with replacement in proportion to ``weight``: (draw, hash).
-
-    Weights are summed within hash buckets; a draw picks a bucket by the buckets' totals, then a row by
-    the running weight inside, so nothing is ordered over all rows."""
-    buckets = 256
-    rows = commits.select("hash", F.col(weight).cast("double").alias("w"), F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("b")).where("w > 0")
-    totals = rows.groupBy("b").agg(F.sum("w").alias("bw"))
-    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = totals.withColumn("top", F.sum("bw").over(running)).withColumn("all", F.sum("bw").over(Window.partitionBy()))
-    unit = lambda salt: F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
-    draws = commits.sparkSession.range(n).select(F.col("id").alias("draw")).select("draw", unit(1).alias("u1"), unit(2).alias("u2"))
-    x = F.col("u1") * F.col("all")
-    placed = draws.join(F.broadcast(totals)).where((x < F.col("top")) & (x >= F.col("top") - F.col("bw"))).select("draw", "b", (F.col("u2") * F.col("bw")).alias("x"))
-    inside = Window.partitionBy("b").orderBy("hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = rows.withColumn("top", F.sum("w").over(inside))
-    # The last row of a bucket also takes what rounding leaves.
-    spans = spans.withColumn("last", F.lead("hash").over(Window.partitionBy("b").orderBy("hash")).isNull())
-    hit = (F.col("x") >= F.col("top") - F.col("w")) & ((F.col("x") < F.col("top")) | F.col("last"))
-    return placed.join(spans, "b").where(hit).groupBy("draw").agg(F.min("hash").alias("hash"))
+def weighted_resample(commits: DataFrame, weight: str, n: int, seed: int = 42, fill: int = 8) -> DataFrame:
+    """``n`` draws with replacement in proportion to ``weight``: (draw, hash). Draw i falls at the md5 of the seed and i, as a share of
+    all weight; the row whose stretch of the running weight by hash holds that place is drawn.
+
+    Places are dealt into buckets of about ``fill`` rows or draws, which grow in number with both, and a row stands in each bucket that
+    its stretch meets; so both sides of the equi-join stay small."""
+    rows = commits.select("hash", F.col(weight).cast("double").alias("w")).where("w > 0")
+    rows = written(with_running_sums(rows, [], [F.col("hash")], {"w": "top"}, totals=True), "weights")
+    buckets = max(1, max(rows.count(), n) // fill)
+    bucket = lambda x: F.least(F.floor(x / F.col("top_all") * buckets), F.lit(buckets - 1))
+    spans = rows.select("hash", (F.col("top") - F.col("w")).alias("low"), "top", (F.col("top") >= F.col("top_all")).alias("last"), F.explode(F.sequence(bucket(F.greatest(F.col("top") - F.col("w"), F.lit(0.0))), bucket(F.col("top")))).alias("b"))
+    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    total = rows.agg(F.max("top_all").alias("top_all"))
+    draws = commits.sparkSession.range(n).select(F.col("id").alias("draw"), unit.alias("u")).join(F.broadcast(total)).select("draw", (F.col("u") * F.col("top_all")).alias("x"), "top_all").select("draw", "x", bucket(F.col("x")).alias("b"))
+    hit = (F.col("x") >= F.col("low")) & ((F.col("x") < F.col("top")) | F.col("last"))
+    return draws.join(spans, "b").where(hit).groupBy("draw").agg(F.min("hash").alias("hash"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import delay_bin, delay_hours
+from ..functions.shared import with_running_sums
 
 
 def melted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -58,9 +59,10 @@ def row_shares(df: DataFrame, label: str, bucket: Column) -> DataFrame:
 
 
 def hour_pivot(df: DataFrame, label: str, ts: str) -> DataFrame:
-    """Weekday by hour, in percent of the label's rows, 0 where there is none."""
-    weight = 100 / F.count("*").over(Window.partitionBy(label))
-    wide = df.select(F.col(label).alias("label"), F.weekday(ts).cast("long").alias("weekday"), F.hour(ts).alias("h"), weight.alias("w")).groupBy("label", "weekday").pivot("h", list(range(24))).agg(F.sum("w"))
+    """Weekday by hour, in percent of the label's rows, 0 where there is none. Shares are taken of counts, at most 168 a label."""
+    counts = df.groupBy(F.col(label).alias("label"), F.weekday(ts).cast("long").alias("weekday"), F.hour(ts).alias("h")).agg(F.count("*").alias("n"))
+    shares = counts.withColumn("w", 100 * F.col("n") / F.sum("n").over(Window.partitionBy("label")))
+    wide = shares.groupBy("label", "weekday").pivot("h", list(range(24))).agg(F.sum("w"))
     return wide.na.fill(0.0).select("label", "weekday", *[F.col(str(h)).alias(f"h{h}") for h in range(24)])
 
 
@@ -87,12 +89,11 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def average_ranks(df: DataFrame, column: str, keys: Sequence[str], into: str) -> DataFrame:
     """``df`` with the average rank of ``column`` within ``keys``; ties share the mean of their places.
 
-    Ranks come from the counts of distinct values, so a key's ties meet in one aggregated row.
+    Ranks come from the running counts of distinct values, so a key's ties meet in one aggregated row and no task sees all values.
     """
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    so_far = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn("_s", F.sum("_n").over(so_far)).select(*keys, column, (F.col("_s") - (F.col("_n") - 1) / 2).alias(into))
-    return df.join(ranks, [*keys, column])
+    summed = with_running_sums(counts, keys, [F.col(column)], {"_n": "_s"})
+    return df.join(summed.select(*keys, column, (F.col("_s") - (F.col("_n") - 1) / 2).alias(into)), [*keys, column])
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -104,11 +105,10 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, label: str) -> DataFrame:
-    """(u, z, p): two-sided, ties corrected, without continuity correction; label 1 against 0."""
+    """(u, z, p): two-sided, ties corrected, without continuity correction; label 1 against 0. Runs when called: p is one row's."""
     rows = df.where(F.col(value).isNotNull() & F.col(label).isin(0, 1)).select(F.col(value).cast("double").alias("v"), F.col(label).alias("l"))
     by_value = rows.groupBy("v").agg(F.count("*").cast("double").alias("t"), F.sum("l").cast("double").alias("ones"))
-    so_far = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = by_value.withColumn("rank", F.sum("t").over(so_far) - (F.col("t") - 1) / 2)
+    ranked = with_running_sums(by_value, [], [F.col("v")], {"t": "top"}).withColumn("rank", F.col("top") - (F.col("t") - 1) / 2)
     sums = ranked.agg(F.sum("t").alias("n"), F.sum("ones").alias("n1"), F.sum(F.col("rank") * F.col("ones")).alias("r1"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     n, n1, n0 = F.col("n"), F.col("n1"), F.col("n") - F.col("n1")
     u = F.col("r1") - n1 * (n1 + 1) / 2

@@ -24,15 +24,19 @@ def _melt_sql(source: str, keys: str, values: list[str]) -> str:
 
 _LOG = "ln(1 + greatest(coalesce(CAST({} AS DOUBLE), 0), 0))"
 _PI = "6.283185307179586"
-_HOUR = "(hour(CAST(author_date AS TIMESTAMP)) + minute(CAST(author_date AS TIMESTAMP)) / 60)"
-_DOW = "(isodow(author_date) - 1)"
+_HOUR = "(hour(authored_at) + minute(authored_at) / 60)"
+_DOW = "(isodow(authored_at) - 1)"
 _COMMIT = [
-    "0", "0", _LOG.format("dmm_unit_size"), _LOG.format("dmm_unit_complexity"), "0", "0", "0",
-    f"sin({_HOUR} * {_PI} / 24)", f"cos({_HOUR} * {_PI} / 24)", f"sin({_DOW} * {_PI} / 7)", f"cos({_DOW} * {_PI} / 7)", "0", "0", "0",
+    "CAST(in_main_branch AS INT)", "CAST(merge AS INT)", _LOG.format("dmm_unit_size"), _LOG.format("dmm_unit_complexity"), _LOG.format("dmm_unit_interfacing"), "author_timezone / 43200", "committer_timezone / 43200",
+    f"sin({_HOUR} * {_PI} / 24)", f"cos({_HOUR} * {_PI} / 24)", f"sin({_DOW} * {_PI} / 7)", f"cos({_DOW} * {_PI} / 7)", "has_sdlc_data", "repo_commits_last_90d", "repo_active_authors_90d",
 ]
-_FILE = [_LOG.format(x) for x in ("num_lines_added", "num_lines_deleted", "complexity")]
-_FN = "SELECT hash, filename || '::' || name AS node_key, complexity, token_count FROM (SELECT *, row_number() OVER (PARTITION BY hash, filename, name ORDER BY start_line) AS rn FROM fx_function) WHERE rn = 1"
-_FUNCTION = ["0", _LOG.format("complexity"), _LOG.format("token_count"), "0", "0", "0", "0", "0"]
+_COMMIT_SHORT = [*[_LOG.format(f"num_{x}") for x in ("lines_deleted", "lines_added", "lines_changed", "files_changed")], *[f"coalesce(dmm_unit_{x}, 0)" for x in ("size", "complexity", "interfacing")]]
+_FILE = ["num_lines_added", "num_lines_deleted", "complexity"]
+_FN = "SELECT *, filename || '::' || name AS node_key FROM (SELECT *, row_number() OVER (PARTITION BY hash, filename, name ORDER BY start_line) AS rn FROM fx_function_full) WHERE rn = 1"
+_METRICS = ["num_lines_of_code", "complexity", "token_count", "length", "top_nesting_level"]
+_FUNCTION = [*_METRICS, "0", "0", "0"]
+_KINDS = [f"CAST(kind = '{x}' AS INT)" for x in c.FUNCTION_CHANGES]
+_KIND = "CASE WHEN upper(trim(function_change_type)) IN ('ADD', 'DELETE', 'RENAME', 'REFACTOR') THEN upper(trim(function_change_type)) ELSE 'MODIFY' END"
 _DEVS = """SELECT hash, email, row_number() OVER (PARTITION BY hash ORDER BY p, email) AS place FROM (SELECT hash, email, min(p) AS p FROM (
 SELECT commit_hash AS hash, lower(trim(dev_id)) AS email, CASE WHEN lower(trim(role)) = 'author' THEN 0 ELSE 1 END AS p FROM fx_commit_author
 UNION ALL SELECT commit_hash, lower(trim(dev_email)), 2 FROM fx_ownership WHERE ownership_ratio >= 0.05) WHERE email <> '' GROUP BY 1, 2)"""
@@ -47,36 +51,80 @@ def _tags(commits):
     return rows.select("hash", F.concat_ws("-", "hash", F.col("i").cast("string")).alias("tag_id"), F.timestamp_seconds(F.unix_timestamp("t") + days * 86400).alias("created_at"))
 
 
+_PLACED = "SELECT f.*, x.n, x.c, x.t, (row_number() OVER (PARTITION BY f.hash, f.filename ORDER BY start_line, name) - 1) / greatest(count(*) OVER (PARTITION BY f.hash, f.filename) - 1, 1) AS place FROM fx_function_full f JOIN (SELECT hash, filename, num_lines_of_code AS n, complexity AS c, token_count AS t FROM fx_file_full) x ON x.hash = f.hash AND x.filename = f.filename"
+
+
+def _with_bot(roles):
+    return roles.withColumn("dev_id", F.when(F.col("dev_id") == "dev1", " Gardener@tensorflow.org ").otherwise(F.col("dev_id")))
+
+
+def _listed(functions):
+    return functions.withColumn("parameters", F.array_repeat(F.lit("p"), F.col("n_parameters").cast("int")))
+
+
+_WIDTH = 64  # of the vectors in the shared embeddings table
+
+
+def _hourly(commits):
+    return commits.withColumn("author_date", F.col("authored_at"))
+
+
+def _vectors(functions, vectors):
+    """Each function's vector by key: one of the shared ones."""
+    return functions.select("hash", "name", "filename", F.pmod(F.col("hash").cast("long"), F.lit(700)).alias("vec_id"), F.lit(0).alias("seq")).join(vectors, "vec_id").withColumn("emb", F.col("embedding"))
+
+
 def _devs(a, w):
     return n.developers(a, w)
 
 
 QUERIES = {
-    "node_commit": (query(lambda x: melt(n.commit_nodes(x)), "fx_commit"), oracle(_melt_sql("(SELECT *, hash AS node_key FROM fx_commit)", "hash, node_key", _COMMIT))),
+    "node_commit": (
+        query(lambda x, f: melt(n.commit_nodes(_hourly(x), f)), "fx_commit_full", "fx_process"),
+        oracle(_melt_sql("(SELECT *, hash AS node_key FROM fx_commit_full JOIN fx_process USING (hash))", "hash, node_key", _COMMIT)),
+    ),
     "node_commit_short": (
-        query(lambda x: melt(n.commit_nodes_short(x)), "fx_commit"),
-        oracle(_melt_sql("(SELECT *, hash AS node_key FROM fx_commit)", "hash, node_key", ["0", "0", _LOG.format("num_lines_changed"), _LOG.format("num_files_changed"), "coalesce(dmm_unit_size, 0)", "coalesce(dmm_unit_complexity, 0)", "0"])),
+        query(lambda x: melt(n.commit_nodes_short(x)), "fx_commit_full"),
+        oracle(_melt_sql("(SELECT *, hash AS node_key FROM fx_commit_full)", "hash, node_key", _COMMIT_SHORT)),
+    ),
+    "node_commit_short_tags": (
+        query(lambda x, f: melt(n.commit_nodes_short(x.join(f.select("hash", "days_since_prev_tag", "tags_last_180d"), "hash"), True)).where("dim >= 7"), "fx_commit_full", "fx_process"),
+        oracle(_melt_sql("fx_process", "hash, hash AS node_key", [_LOG.format("days_since_prev_tag"), _LOG.format("tags_last_180d")]).replace("CAST(0 AS BIGINT)", "CAST(7 AS BIGINT)").replace("CAST(1 AS BIGINT)", "CAST(8 AS BIGINT)")),
     ),
     "node_file": (query(lambda f: melt(n.file_nodes(f)), "fx_file"), oracle(_melt_sql("(SELECT *, filename AS node_key FROM fx_file)", "hash, node_key", _FILE))),
     "node_file_with_ownership": (
         query(lambda f, w: melt(n.file_nodes(f, o.file_ownership(o.match_files(f, w)))), "fx_file", "fx_ownership"),
         oracle(_melt_sql("(SELECT f.*, f.filename AS node_key, coalesce(owners, 0) AS owners, coalesce(max_ratio, 0) AS max_ratio, coalesce(hhi, 0) AS hhi, coalesce(total, 0) AS total FROM fx_file f LEFT JOIN stats USING (hash, filename))", "hash, node_key", [*_FILE, "owners", "max_ratio", "hhi", "total"]), matched=_MATCHED, stats=_STATS),
     ),
-    "node_function": (query(lambda f: melt(n.function_nodes(f)), "fx_function"), oracle(_melt_sql("fn", "hash, node_key", _FUNCTION), fn=_FN)),
+    "node_file_counted": (
+        query(lambda f, w, r: melt(n.file_nodes_counted(f, o.file_ownership_with_author(o.match_files(f, w), r))), "fx_file_full", "fx_ownership", "fx_commit_author"),
+        oracle(
+            _melt_sql("(SELECT f.*, f.filename AS node_key, coalesce(owners, 0) AS owners, coalesce(h, 0) AS h, coalesce(top, 0) AS top, coalesce(own, 0) AS own FROM fx_file_full f LEFT JOIN by_author USING (hash, filename))", "hash, node_key", [*[_LOG.format(x) for x in ("num_lines_added", "num_lines_deleted", "num_method_changed", "num_lines_of_code", "complexity", "token_count")], "owners", "h", "top", "own"]),
+            matched=_MATCHED, by_author="SELECT m.commit_hash AS hash, filename, ln(1 + count(DISTINCT m.dev_email)) AS owners, sum(ownership_ratio ** 2) AS h, max(ownership_ratio) AS top, max(CASE WHEN a.dev_id IS NOT NULL THEN ownership_ratio END) AS own FROM matched m LEFT JOIN (SELECT DISTINCT commit_hash, dev_id FROM fx_commit_author WHERE role = 'author') a ON a.commit_hash = m.commit_hash AND a.dev_id = m.dev_email GROUP BY 1, 2",
+        ),
+    ),
+    "node_function": (query(lambda f: melt(n.function_nodes(f)), "fx_function_full"), oracle(_melt_sql("fn", "hash, node_key", _FUNCTION), fn=_FN)),
     "node_function_embedding": (
-        query(lambda f, v: melt(n.function_nodes(f, f.select("hash", "name", "filename", F.pmod(F.col("hash").cast("long"), F.lit(700)).alias("vec_id"), F.lit(0).alias("seq")).join(v, "vec_id").withColumn("emb", F.slice("embedding", 1, 4)), 4)).where("dim >= 8"), "fx_function", "embeddings"),
-        oracle(_melt_sql("(SELECT fn.*, coalesce(embedding[1], 0) AS e0, coalesce(embedding[2], 0) AS e1, coalesce(embedding[3], 0) AS e2, coalesce(embedding[4], 0) AS e3 FROM fn LEFT JOIN embeddings ON vec_id = CAST(hash AS BIGINT) % 700)", "hash, node_key", ["e0", "e1", "e2", "e3"]).replace("CAST(0 AS BIGINT)", "CAST(8 AS BIGINT)").replace("CAST(1 AS BIGINT)", "CAST(9 AS BIGINT)").replace("CAST(2 AS BIGINT)", "CAST(10 AS BIGINT)").replace("CAST(3 AS BIGINT)", "CAST(11 AS BIGINT)"), fn=_FN),
+        query(lambda f, v: melt(n.function_nodes(f, _vectors(f, v), _WIDTH)).where("dim >= 8"), "fx_function_full", "embeddings"),
+        oracle(f"SELECT hash, node_key, CAST(7 + i AS BIGINT) AS dim, round(coalesce(CAST(embedding[i] AS DOUBLE), 0), 6) AS value FROM fn LEFT JOIN embeddings ON vec_id = CAST(hash AS BIGINT) % 700, range(1, {_WIDTH} + 1) r(i)", fn=_FN),
+    ),
+    "node_hunk": (
+        query(lambda f, v: melt(n.hunk_nodes(f.where("is_hunk"), _vectors(f, v), _WIDTH)), "fx_function_full", "embeddings"),
+        oracle(
+            _melt_sql("hunks", "hash, node_key", ["complexity", "token_count"]) + f" UNION ALL SELECT hash, node_key, CAST(1 + i AS BIGINT), round(coalesce(CAST(embedding[i] AS DOUBLE), 0), 6) FROM hunks LEFT JOIN embeddings ON vec_id = CAST(hash AS BIGINT) % 700, range(1, {_WIDTH} + 1) r(i)",
+            hunks="SELECT *, filename || '::' || name AS node_key FROM fx_function_full WHERE is_hunk",
+        ),
     ),
     "node_function_short": (
-        query(lambda f: melt(n.function_nodes_short(f)), "fx_function"),
-        oracle(_melt_sql("fn", "hash, node_key", ["0", _LOG.format("complexity"), _LOG.format("token_count"), "0", "0", "1", "0", "0", "0", "0"]), fn=_FN),
+        query(lambda f: melt(n.function_nodes_short(f)), "fx_function_full"),
+        oracle(_melt_sql("kinds", "hash, node_key", [*[_LOG.format(x) for x in _METRICS], *_KINDS]), fn=_FN, kinds=f"SELECT *, {_KIND} AS kind FROM fn"),
     ),
     "node_developer_set": (query(_devs, "fx_commit_author", "fx_ownership"), oracle(f"{_DEVS}")),
     "node_developer_features": (
-        query(lambda a, w: melt(n.developer_nodes(_devs(a, w), w.groupBy("commit_hash", "dev_email").agg(F.sum("lines_owned").alias("lines"), F.sum("edits_in_window").alias("edits"), F.max("ownership_ratio").alias("share")), ["lines", "edits"], "share")), "fx_commit_author", "fx_ownership"),
+        query(lambda a, w, d: melt(n.developer_nodes(_devs(a, w), d)), "fx_commit_author", "fx_ownership", "fx_developer"),
         oracle(
-            _melt_sql("joined", "hash, node_key", ["l", "m", "share"]),
-            devs=_DEVS, joined="SELECT hash, email AS node_key, coalesce(ln(1 + l), 0) AS l, coalesce(ln(1 + m), 0) AS m, coalesce(share, 0) AS share FROM devs LEFT JOIN (SELECT commit_hash AS hash, dev_email AS email, sum(lines_owned) AS l, sum(edits_in_window) AS m, max(ownership_ratio) AS share FROM fx_ownership GROUP BY 1, 2) USING (hash, email)",
+            _melt_sql("joined", "hash, node_key", [*[_LOG.format(x) for x in c.DEVELOPER_COUNTS[:-2]], f"coalesce({c.DEVELOPER_SHARE}, 0)", *[_LOG.format(x) for x in c.DEVELOPER_COUNTS[-2:]]]),
+            devs=_DEVS, joined="SELECT hash, email AS node_key, d.* FROM devs LEFT JOIN fx_developer d ON d.commit_hash = hash AND d.dev_email = email",
         ),
     ),
     "node_developer_roles": (
@@ -94,31 +142,50 @@ QUERIES = {
         ),
     ),
     "edge_commit_file_changes": (
-        query(lambda f: melt(e.commit_file_changes(f), "attr", "hash", "src_key", "dst_key"), "fx_file"),
+        query(lambda f: melt(e.commit_file_changes(f), "attr", "hash", "src_key", "dst_key"), "fx_file_full"),
         oracle(
-            _melt_sql("(SELECT *, hash AS src_key, filename AS dst_key, sum(num_lines_added) OVER (PARTITION BY hash) AS ta, sum(num_lines_deleted) OVER (PARTITION BY hash) AS td FROM fx_file)", "hash, src_key, dst_key", [*_ONE_HOT, "least(num_lines_added / greatest(ta, 1), 1)", "least(num_lines_deleted / greatest(td, 1), 1)", "0", "0"]),
+            _melt_sql(
+                "(SELECT * REPLACE (upper(change_type) AS change_type), hash AS src_key, filename AS dst_key, sum(num_lines_added) OVER (PARTITION BY hash) AS ta, sum(num_lines_deleted) OVER (PARTITION BY hash) AS td, sum(num_method_changed) OVER (PARTITION BY hash) AS tm FROM fx_file_full)",
+                "hash, src_key, dst_key", [*_ONE_HOT, "least(num_lines_added / greatest(ta, 1), 1)", "least(num_lines_deleted / greatest(td, 1), 1)", "least(num_method_changed / greatest(tm, 1), 1)", "CAST(old_path <> new_path AS INT)"],
+            ),
         ),
+    ),
+    "edge_commit_file_totals": (
+        query(lambda f, x: melt(e.commit_file_changes(f, commits=x), "attr", "hash", "src_key", "dst_key").where("dim IN (6, 7)"), "fx_file_full", "fx_commit_full"),
+        oracle(" UNION ALL ".join(f"SELECT hash, hash AS src_key, filename AS dst_key, CAST({i} AS BIGINT) AS dim, round(f.{x} / greatest(c.{x}, 1), 6) AS value FROM fx_file_full f JOIN fx_commit_full c USING (hash)" for i, x in ((6, "num_lines_added"), (7, "num_lines_deleted")))),
     ),
     "edge_commit_function": (
-        query(lambda f: melt(e.commit_function(f.withColumn("function_change_type", F.when(F.col("before_change"), "delete").otherwise("add"))), "attr", "hash", "src_key", "dst_key").where("value <> 0"), "fx_function"),
-        oracle("SELECT hash, hash AS src_key, filename || '::' || name AS dst_key, CAST(CASE WHEN before_change THEN 8 ELSE 7 END AS BIGINT) AS dim, 1.0 AS value FROM fx_function"),
+        query(lambda f: melt(e.commit_function(f.withColumn("function_change_type", F.trim("function_change_type"))), "attr", "hash", "src_key", "dst_key"), "fx_function_full"),
+        oracle(_melt_sql("(SELECT *, hash AS src_key, node_key AS dst_key FROM kinds)", "hash, src_key, dst_key", [*["0"] * 6, *_KINDS]), fn=_FN, kinds=f"SELECT *, {_KIND} AS kind FROM fn"),
     ),
     "edge_file_function": (query(e.file_function, "fx_file", "fx_function"), oracle("SELECT DISTINCT f.hash, f.filename AS src_key, f.filename || '::' || name AS dst_key FROM fx_function f JOIN fx_file x ON x.hash = f.hash AND x.filename = f.filename")),
     "edge_file_function_shares": (
-        query(e.file_function_shares, "fx_file", "fx_function"),
-        oracle("SELECT f.hash, f.filename, name, round(least(f.complexity / greatest(x.c, 1), 5), 6) AS complexity_share, round(least(token_count / greatest(sum(token_count) OVER w, 1), 5), 6) AS token_share, round((row_number() OVER (PARTITION BY f.hash, f.filename ORDER BY start_line, name) - 1) / greatest(count(*) OVER w - 1, 1), 6) AS position FROM fx_function f JOIN (SELECT hash, filename, max(complexity) AS c FROM fx_file GROUP BY 1, 2) x ON x.hash = f.hash AND x.filename = f.filename WINDOW w AS (PARTITION BY f.hash, f.filename)"),
+        query(lambda f, x: melt(e.file_function_shares(f, _listed(x)), "attr", "hash", "filename", "name"), "fx_file_full", "fx_function_full"),
+        oracle(_melt_sql("placed", "hash, filename, name", ["least(num_lines_of_code / greatest(n, 1), 1)", "least(complexity / greatest(c, 1), 5)", "least(token_count / greatest(t, 1), 5)", "place", "ln(1 + n_parameters)", "CAST(before_change AS INT)", "CAST(is_hunk AS INT)"]), placed=_PLACED),
+    ),
+    "edge_file_function_lines": (
+        query(lambda f, x: melt(e.file_function_shares(f, _listed(x), True), "attr", "hash", "filename", "name"), "fx_file_full", "fx_function_full"),
+        oracle(_melt_sql("placed", "hash, filename, name", ["length / greatest(n, 1)", "complexity / greatest(c, 1)", "token_count / greatest(t, 1)", "start_line / greatest(n, 1)", "n_parameters", "CAST(before_change AS INT)"]), placed=_PLACED),
     ),
     "edge_co_modified": (
         query(e.co_modified, "fx_function"),
         oracle("SELECT hash, filename, x.name AS a, y.name AS b, round(1 / (1 + abs(x.start_line - y.start_line)), 6) AS nearness, round(1 - abs(x.complexity - y.complexity) / greatest(x.complexity + y.complexity, 1), 6) AS likeness FROM fx_function x JOIN fx_function y USING (hash, filename) WHERE x.name <> y.name"),
     ),
+    "edge_co_modified_lines": (
+        query(lambda x, f: e.co_modified(x, f), "fx_function_full", "fx_file_full"),
+        oracle("SELECT x.hash, x.filename, x.name AS a, y.name AS b, round(1 / (1 + CASE WHEN (x.start_line, x.name) < (y.start_line, y.name) THEN abs(x.start_line - y.end_line) ELSE abs(y.start_line - x.end_line) END / greatest(f.num_lines_of_code, 1)), 6) AS nearness, round(1 - abs(x.complexity - y.complexity) / greatest(x.complexity, y.complexity, 1), 6) AS likeness FROM fx_function_full x JOIN fx_function_full y ON x.hash = y.hash AND x.filename = y.filename JOIN fx_file_full f ON f.hash = x.hash AND f.filename = x.filename WHERE x.name <> y.name"),
+    ),
     "edge_commit_developer": (
-        query(lambda a, w: e.commit_developer(a, _devs(a, w)).withColumn("is_bot", F.col("is_bot").cast("long")), "fx_commit_author", "fx_ownership"),
-        oracle("SELECT DISTINCT commit_hash AS hash, dev_id AS email, CASE role WHEN 'author' THEN 'authored_by' ELSE 'committed_by' END AS rel, CAST(0 AS BIGINT) AS is_bot FROM fx_commit_author"),
+        query(lambda a, w: e.commit_developer(_with_bot(a), _devs(_with_bot(a), w)).withColumn("is_bot", F.col("is_bot").cast("long")), "fx_commit_author", "fx_ownership"),
+        oracle("SELECT DISTINCT commit_hash AS hash, CASE dev_id WHEN 'dev1' THEN 'gardener@tensorflow.org' ELSE dev_id END AS email, CASE role WHEN 'author' THEN 'authored_by' ELSE 'committed_by' END AS rel, CAST(dev_id = 'dev1' AS BIGINT) AS is_bot FROM fx_commit_author"),
+    ),
+    "edge_commit_developer_v2": (
+        query(lambda a, w, f: melt(e.commit_developer_v2(a, _devs(a, w), f), "attr", "hash", "email", "rel"), "fx_commit_author", "fx_ownership", "fx_process"),
+        oracle(_melt_sql("(SELECT DISTINCT commit_hash AS hash, dev_id AS email, CASE role WHEN 'author' THEN 'authored_by' ELSE 'committed_by' END AS rel, dev_experience_days, dev_commits_before, dev_is_new_contributor FROM fx_commit_author JOIN fx_process p ON p.hash = commit_hash)", "hash, email, rel", c.AUTHOR_EDGE_V2)),
     ),
     "edge_developer_file": (
         query(lambda f, a, w: e.developer_file(o.match_files(f, w), _devs(a, w)), "fx_file", "fx_commit_author", "fx_ownership"),
-        oracle("SELECT commit_hash AS hash, dev_email AS email, filename, round(ownership_ratio, 6) AS ratio, round(least(lines_owned / greatest(total_lines, 1), 1), 6) AS line_share, round(ln(1 + edits_in_window), 6) AS log_edits FROM (SELECT *, row_number() OVER (PARTITION BY commit_hash, dev_email, filename ORDER BY ownership_ratio DESC, file_path) AS rn FROM matched) m JOIN devs ON devs.hash = commit_hash AND devs.email = dev_email WHERE rn = 1", matched=_MATCHED, devs=_DEVS),
+        oracle("SELECT commit_hash AS hash, dev_email AS email, filename, round(ownership_ratio, 6) AS ratio, round(least(lines_owned / greatest(total_lines, 1), 1), 6) AS line_share, round(ln(1 + edits_in_window), 6) AS log_edits FROM (SELECT *, row_number() OVER (PARTITION BY commit_hash, dev_email, filename ORDER BY file_path, ownership_ratio DESC) AS rn FROM matched) m JOIN devs ON devs.hash = commit_hash AND devs.email = dev_email WHERE rn = 1", matched=_MATCHED, devs=_DEVS),
     ),
     "edge_star_reverse": (
         query(lambda f: e.with_reverse(e.star(n.file_nodes(f)), "modifies", "modified_by").drop("attr"), "fx_file"),
@@ -181,7 +248,56 @@ QUERIES = {
         oracle("SELECT hash, author AS item FROM fx_commit UNION ALL SELECT hash, hash FROM fx_commit"),
     ),
     "clean_fix_pairs": (
-        query(lambda x: k.fix_of(x.select(F.col("author").alias("fc_hash"), F.concat(F.lit("['x"), "repo_url", F.lit("', 'y"), "author", F.lit("']")).alias("vcc_hash"), F.col("hash").cast("long").alias("seq")), "seq"), "fx_commit"),
-        oracle("SELECT vcc_hash, max_by(fc_hash, seq) AS fc_hash FROM (SELECT author AS fc_hash, unnest(regexp_extract_all('[''x' || repo_url || ''', ''y' || author || ''']', '[0-9A-Za-z]{2,}')) AS vcc_hash, CAST(hash AS BIGINT) AS seq FROM fx_commit) GROUP BY 1"),
+        query(lambda x: k.fix_of(x.select(F.col("author").alias("fc_hash"), F.concat(F.lit("['"), F.md5(F.col("author").cast("binary")), F.lit("', None, nan, '"), F.substring(F.md5(F.col("repo_url").cast("binary")), 1, 10), F.lit("', 'abc']")).alias("vcc_hash"), F.col("hash").cast("long").alias("seq")), "seq"), "fx_commit"),
+        oracle("SELECT vcc_hash, max_by(fc_hash, seq) AS fc_hash FROM (SELECT author AS fc_hash, unnest([md5(author), substr(md5(repo_url), 1, 10)]) AS vcc_hash, CAST(hash AS BIGINT) AS seq FROM fx_commit) GROUP BY 1"),
+    ),
+    "clean_parents": (
+        query(lambda x: k.with_parents(x.withColumn("parents", F.concat(F.lit("['"), F.md5(F.col("hash").cast("binary")), F.when(F.col("merge"), F.concat(F.lit("', '"), F.md5(F.col("author").cast("binary")))).otherwise(""), F.lit("', None]")))).select("hash", F.array_join("parent_list", "+").alias("parents"), "is_merge"), "fx_commit_full"),
+        oracle("SELECT hash, md5(hash) || CASE WHEN merge THEN '+' || md5(author) ELSE '' END AS parents, merge AS is_merge FROM fx_commit_full"),
+    ),
+    "clean_entities": (
+        query(lambda i, x: k.entities_of(i, x), "fx_issue", "fx_commit"),
+        oracle("SELECT DISTINCT h AS hash, issue_id, round(votes, 6) AS votes, comments, created_at FROM (SELECT *, unnest([fc_hash, vcc_hash]) AS h FROM fx_issue) WHERE h IN (SELECT hash FROM fx_commit)"),
+    ),
+    "clean_references": (
+        query(lambda p, i, x: k.references(k.entities_of(p, x), k.entities_of(i, x), ["linked_issue_id"], ["title"], "issue_id"), "fx_pull", "fx_issue", "fx_commit"),
+        oracle(
+            "SELECT hash, pr_id, issue_id FROM direct UNION SELECT p.hash, p.pr_id, i.issue_id FROM (SELECT *, unnest(regexp_extract_all(title, '#([0-9]+)', 1)) AS t FROM pulls) p JOIN issues i ON i.hash = p.hash AND CAST(i.issue_id AS BIGINT) = CAST(t AS BIGINT) WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.hash = p.hash AND d.pr_id = p.pr_id)",
+            issues="SELECT DISTINCT h AS hash, issue_id FROM (SELECT *, unnest([fc_hash, vcc_hash]) AS h FROM fx_issue) WHERE h IN (SELECT hash FROM fx_commit)",
+            pulls="SELECT DISTINCT h AS hash, pr_id, title, linked_issue_id FROM (SELECT *, unnest([fc_hash, vcc_hash]) AS h FROM fx_pull) WHERE h IN (SELECT hash FROM fx_commit)",
+            direct="SELECT p.hash, pr_id, issue_id FROM pulls p JOIN issues i ON i.hash = p.hash AND i.issue_id = p.linked_issue_id",
+        ),
+    ),
+    "clean_local_time": (
+        query(lambda x: k.local_time_features(x.withColumn("author_date", F.col("authored_at")).withColumn("msg", F.when(F.col("merge"), None).otherwise("m"))).select("hash", F.col("hour_local").cast("long").alias("hour"), F.col("weekday_local").cast("long").alias("weekday"), "hour_sin", "hour_cos", "weekday_sin", "weekday_cos"), "fx_commit_full"),
+        oracle(
+            f"SELECT hash, hour(t) AS hour, isodow(t) - 1 AS weekday, round(sin(hour(t) * {_PI} / 24), 6) AS hour_sin, round(cos(hour(t) * {_PI} / 24), 6) AS hour_cos, round(sin((isodow(t) - 1) * {_PI} / 7), 6) AS weekday_sin, round(cos((isodow(t) - 1) * {_PI} / 7), 6) AS weekday_cos FROM shifted",
+            shifted="SELECT hash, CAST(committer_date AS TIMESTAMP) - committer_timezone * INTERVAL '1' SECOND AS t FROM fx_commit_full WHERE NOT merge AND committer_date IS NOT NULL",
+        ),
+    ),
+    "clean_churn": (
+        query(lambda x: x.select("hash", c.churn(F.col("num_lines_added"), F.col("num_lines_deleted")).cast("double").alias("churn"), c.log_churn(F.col("num_lines_added"), F.col("num_lines_deleted")).alias("log_churn")), "fx_commit_full"),
+        oracle("SELECT hash, round(CAST(num_lines_added + num_lines_deleted AS DOUBLE), 6) AS churn, round(ln(1 + num_lines_added + num_lines_deleted), 6) AS log_churn FROM fx_commit_full"),
+    ),
+    "clean_change_names": (
+        query(lambda f: f.groupBy(c.normal_change(F.concat(F.lit("ModificationType."), F.regexp_replace("change_type", "MODIFY", "MODIFIED"))).alias("kind")).agg(F.count("*").alias("n")), "fx_file"),
+        oracle("SELECT change_type AS kind, count(*) AS n FROM fx_file GROUP BY 1"),
+    ),
+    "clean_functions_and_hunks": (
+        query(lambda f: k.functions_and_hunks(f.where("NOT is_hunk").drop("is_hunk"), f.where("is_hunk").select("hash", "filename", "name", "complexity")), "fx_function_full"),
+        oracle("SELECT hash, filename, name, complexity, is_hunk FROM fx_function_full"),
+    ),
+    "clean_labels": (query(lambda x: x.select("hash", c.label_of(F.col("commit_type")).cast("long").alias("label")), "fx_commit"), oracle("SELECT hash, CAST(commit_type = 'VCC' AS BIGINT) AS label FROM fx_commit")),
+    "clean_long_keywords": (
+        query(lambda d: d.select("doc_id", c.keyword_flag(F.col("text"), c.LONG_KEYWORDS).cast("long").alias("has_keyword")), "documents"),
+        oracle("SELECT doc_id, CAST(coalesce(regexp_matches(text, '(?i)" + c.LONG_KEYWORDS + "'), false) AS BIGINT) AS has_keyword FROM documents"),
+    ),
+    "clean_raw_columns": (
+        query(lambda i: i.select("issue_id", *[x.alias(f"raw_{j}") for j, x in enumerate(c.raw_numeric_columns(i))]).distinct(), "fx_issue"),
+        oracle("SELECT DISTINCT issue_id, round(coalesce(votes, 0), 6) AS raw_0, CAST(comments AS DOUBLE) AS raw_1 FROM fx_issue"),
+    ),
+    "clean_finite": (
+        query(lambda x: x.select("hash", c.finite(F.when(F.col("merge"), float("nan")).when(F.col("in_main_branch"), float("inf")).otherwise(F.col("num_lines_changed").cast("double"))).alias("value")), "fx_commit_full"),
+        oracle("SELECT hash, CASE WHEN merge OR in_main_branch THEN 0 ELSE CAST(num_lines_changed AS DOUBLE) END AS value FROM fx_commit_full"),
     ),
 }

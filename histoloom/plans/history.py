@@ -10,9 +10,18 @@ from .common import oracle, query
 
 _SIGNED = "sign({0}) * ln(1 + abs({0}))"
 _GAP = "ln(1 + floor(epoch(CAST({} AS TIMESTAMP) - CAST({} AS TIMESTAMP)) / 86400))"
-_FILES = "SELECT f.*, c.repo_url, c.author_date, lead({'h': f.hash, 'd': c.author_date, 'c': complexity, 'a': num_lines_added}) OVER (PARTITION BY c.repo_url, filename ORDER BY c.author_date, f.hash) AS nx FROM fx_file f JOIN fx_commit c ON c.hash = f.hash"
-_FNS = "SELECT f.*, c.repo_url, c.author_date, lead({'h': f.hash, 'd': c.author_date, 'f': filename, 'c': complexity, 't': token_count}) OVER (PARTITION BY c.repo_url, name ORDER BY c.author_date, f.hash, filename) AS nx FROM fx_function f JOIN fx_commit c ON c.hash = f.hash"
-_EVO = f"SELECT filename, hash AS src, nx.h AS dst, round({_SIGNED.format('(nx.c - complexity)')}, 6) AS d_complexity, round({_SIGNED.format('(nx.a - num_lines_added)')}, 6) AS d_added, round({_GAP.format('nx.d', 'author_date')}, 6) AS gap FROM files WHERE nx IS NOT NULL AND nx.h <> hash"
+_FILES = "SELECT f.*, c.repo_url, c.author_date, lead({'h': f.hash, 'd': c.author_date, 'c': complexity, 'l': num_lines_of_code, 't': token_count}) OVER (PARTITION BY c.repo_url, filename ORDER BY coalesce(c.author_date, DATE '1970-01-01'), f.hash) AS nx FROM fx_file_full f JOIN dated c ON c.hash = f.hash"
+_FNS = "SELECT f.*, c.repo_url, c.author_date, lead({'h': f.hash, 'd': c.author_date, 'f': filename, 'c': complexity, 'l': num_lines_of_code}) OVER (PARTITION BY c.repo_url, name ORDER BY coalesce(c.author_date, DATE '1970-01-01'), f.hash, filename) AS nx FROM fx_function_full f JOIN dated c ON c.hash = f.hash"
+# A seventh of the commits has no date here.
+_DATED = "SELECT * REPLACE (CASE WHEN CAST(hash AS BIGINT) % 7 = 0 THEN NULL ELSE author_date END AS author_date) FROM fx_commit"
+_ALL_DATED = "SELECT * FROM fx_commit"
+_EVO = f"SELECT filename, hash AS src, nx.h AS dst, round({_SIGNED.format('(nx.c - complexity)')}, 6) AS d_complexity, round({_SIGNED.format('(nx.l - num_lines_of_code)')}, 6) AS d_lines, round({_SIGNED.format('(nx.t - token_count)')}, 6) AS d_tokens, round(coalesce({_GAP.format('nx.d', 'author_date')}, 0), 6) AS gap FROM files WHERE nx IS NOT NULL AND nx.h <> hash"
+
+
+def _undated(c):
+    return c.withColumn("author_date", F.when(F.col("hash").cast("long") % 7 != 0, F.col("author_date")))
+
+
 # A vcc commit's fix: the next commit of its author that is one.
 _PAIRS = "SELECT v.hash AS vcc_hash, min(f.hash) AS fc_hash FROM fx_commit v JOIN fx_commit f ON f.author = v.author AND f.repo_url = v.repo_url WHERE v.commit_type = 'VCC' AND f.commit_type = 'FC' GROUP BY 1"
 
@@ -38,23 +47,26 @@ def _with_parents(c):
 
 QUERIES = {
     "history_repo_commits": (query(lambda c: x.repo_commits(c, "NATION_3/BUILDING").select("hash", "commit_type"), "fx_commit"), oracle("SELECT hash, commit_type FROM fx_commit WHERE repo_url = 'NATION_3/BUILDING'")),
-    "history_file_evolution": (query(x.file_evolution, "fx_file", "fx_commit"), oracle(_EVO, files=_FILES)),
-    "history_file_evolution_global": (query(lambda f, c: x.file_evolution(f, c, False), "fx_file", "fx_commit"), oracle(_EVO, files=_FILES.replace("PARTITION BY c.repo_url, filename", "PARTITION BY filename"))),
+    "history_file_evolution": (query(lambda f, c: x.file_evolution(f, _undated(c)), "fx_file_full", "fx_commit"), oracle(_EVO, dated=_DATED, files=_FILES)),
+    "history_file_evolution_global": (query(lambda f, c: x.file_evolution(f, _undated(c), False), "fx_file_full", "fx_commit"), oracle(_EVO, dated=_DATED, files=_FILES.replace("PARTITION BY c.repo_url, filename", "PARTITION BY filename"))),
     "history_function_evolution": (
-        query(lambda f, c: x.function_evolution(f, c).drop("kind"), "fx_function", "fx_commit"),
-        oracle(f"SELECT name, hash AS src, filename AS src_file, nx.h AS dst, nx.f AS dst_file, round({_SIGNED.format('(nx.c - complexity)')}, 6) AS d_complexity, round({_SIGNED.format('(nx.t - token_count)')}, 6) AS d_tokens, round({_GAP.format('nx.d', 'author_date')}, 6) AS gap FROM fns WHERE nx IS NOT NULL AND nx.h <> hash", fns=_FNS),
-    ),
+        query(lambda f, c: x.function_evolution(f, _undated(c)).withColumn("kind", F.array_join("kind", "")), "fx_function_full", "fx_commit"),
+        oracle(
+            f"SELECT name, hash AS src, filename AS src_file, nx.h AS dst, nx.f AS dst_file, CASE trim(function_change_type) WHEN 'add' THEN '0.01.00.00.00.0' WHEN 'RENAME' THEN '0.00.00.01.00.0' ELSE '0.00.00.00.01.0' END AS kind, round({_SIGNED.format('(nx.c - complexity)')}, 6) AS d_complexity, round({_SIGNED.format('(nx.l - num_lines_of_code)')}, 6) AS d_lines, round(coalesce({_GAP.format('nx.d', 'author_date')}, 0), 6) AS gap FROM fns WHERE nx IS NOT NULL AND nx.h <> hash",
+            dated=_DATED, fns=_FNS,
+        ),
+    ),
     "history_file_renames": (
-        query(lambda f, c: x.file_renames(f, _pairs(c), x.file_evolution(f, c)), "fx_file", "fx_commit"),
-        oracle("SELECT p.vcc_hash AS src, o.filename AS src_file, p.fc_hash AS dst, n.filename AS dst_file FROM pairs p JOIN fx_file o ON o.hash = p.vcc_hash JOIN fx_file n ON n.hash = p.fc_hash WHERE NOT EXISTS (SELECT 1 FROM evo e WHERE e.src = p.vcc_hash AND e.filename = o.filename) AND NOT EXISTS (SELECT 1 FROM fx_file t WHERE t.hash = p.fc_hash AND t.filename = o.filename)", pairs=_PAIRS, files=_FILES, evo=_EVO),
+        query(lambda f, c: x.file_renames(f, _pairs(c), x.file_evolution(f, c)), "fx_file_full", "fx_commit"),
+        oracle("SELECT p.vcc_hash AS src, o.filename AS src_file, p.fc_hash AS dst, n.filename AS dst_file FROM pairs p JOIN fx_file o ON o.hash = p.vcc_hash JOIN fx_file n ON n.hash = p.fc_hash WHERE NOT EXISTS (SELECT 1 FROM evo e WHERE e.src = p.vcc_hash AND e.filename = o.filename) AND NOT EXISTS (SELECT 1 FROM fx_file t WHERE t.hash = p.fc_hash AND t.filename = o.filename)", pairs=_PAIRS, dated=_ALL_DATED, files=_FILES, evo=_EVO),
     ),
     "history_renames_within": (
         query(lambda f: x.renames_within(_renamed(f)), "fx_function"),
         oracle("SELECT hash, filename, max_by(name, {'s': start_line, 'n': name}) FILTER (before_change) AS old, max_by(name, {'s': start_line, 'n': name}) FILTER (NOT before_change) AS new FROM fx_function WHERE complexity > 20 GROUP BY 1, 2 HAVING bool_or(before_change) AND bool_or(NOT before_change)"),
     ),
     "history_rename_fallback": (
-        query(lambda f, c: x.function_rename_fallback(_renamed(f), _pairs(c), x.function_evolution(f, c).select(F.col("src").alias("hash"), "name")), "fx_function", "fx_commit"),
-        oracle("SELECT DISTINCT p.vcc_hash AS src, o.filename, o.name AS src_name, p.fc_hash AS dst, n.name AS dst_name FROM pairs p JOIN fx_function o ON o.hash = p.vcc_hash AND o.complexity > 20 JOIN fx_function n ON n.hash = p.fc_hash AND n.filename = o.filename WHERE NOT EXISTS (SELECT 1 FROM fns e WHERE e.hash = p.vcc_hash AND e.name = o.name AND e.nx IS NOT NULL AND e.nx.h <> e.hash)", pairs=_PAIRS, fns=_FNS),
+        query(lambda f, c: x.function_rename_fallback(_renamed(f), _pairs(c), x.function_evolution(f, c).select(F.col("src").alias("hash"), "name")), "fx_function_full", "fx_commit"),
+        oracle("SELECT DISTINCT p.vcc_hash AS src, o.filename, o.name AS src_name, p.fc_hash AS dst, n.name AS dst_name FROM pairs p JOIN fx_function o ON o.hash = p.vcc_hash AND o.complexity > 20 JOIN fx_function n ON n.hash = p.fc_hash AND n.filename = o.filename WHERE NOT EXISTS (SELECT 1 FROM fns e WHERE e.hash = p.vcc_hash AND e.name = o.name AND e.nx IS NOT NULL AND e.nx.h <> e.hash)", pairs=_PAIRS, dated=_ALL_DATED, fns=_FNS),
     ),
     "history_parents": (
         query(lambda c: x.parent_edges(_with_parents(c)).withColumn("is_merge", F.col("is_merge").cast("long")), "fx_commit"),
@@ -66,6 +78,10 @@ QUERIES = {
         query(lambda w: x.shared_developers(w.select(F.col("dev_email").alias("node_key"), F.array(F.col("ownership_ratio").cast("double")).alias("x"))).select("node_key", F.col("x")[0].alias("value")), "fx_ownership"),
         oracle("SELECT dev_email AS node_key, round(max(ownership_ratio), 6) AS value FROM fx_ownership GROUP BY 1"),
     ),
+    "history_shared_edges": (
+        query(lambda w: x.shared_developers(w.select(F.col("dev_email").alias("node_key"), F.array(F.col("ownership_ratio").cast("double")).alias("x")), w.select(F.col("commit_hash").alias("hash"), F.lit("developer").alias("src_type"), F.col("dev_email").alias("src_key"), F.lit("file").alias("dst_type"), F.col("file_path").alias("dst_key")))[1].select("src_hash", "src_key", "dst_hash", "dst_key"), "fx_ownership"),
+        oracle("SELECT '' AS src_hash, dev_email AS src_key, commit_hash AS dst_hash, file_path AS dst_key FROM fx_ownership"),
+    ),
     "history_padded_union": (
         query(lambda c, f: x.padded_union(n.commit_nodes(c), n.file_nodes(f)).groupBy(F.size("x").cast("long").alias("width")).agg(F.count("*").alias("n")), "fx_commit", "fx_file"),
         oracle("SELECT CAST(14 AS BIGINT) AS width, (SELECT count(*) FROM fx_commit) + (SELECT count(*) FROM fx_file) AS n"),

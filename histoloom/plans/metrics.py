@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import sigmoid
 from ..operators import metrics as m
 from .common import oracle, query, rs
 
@@ -56,6 +57,15 @@ SELECT grp, 'weighted', round(sum(precision * support) / sum(support), 6), round
             curve=_CURVE, points=_POINTS,
         ),
     ),
+    "metric_tuned": (
+        query(lambda s: m.tuned(s.where("ts < TIMESTAMP '2024-01-08'"), s.where("ts >= TIMESTAMP '2024-01-08'"), ["grp"]).select("grp", "threshold", "tp", "fp", "fn", "tn"), "fx_scores"),
+        oracle(
+            "SELECT s.grp, round(t.score, 6) AS threshold, count(*) FILTER (s.score >= t.score AND label = 1) AS tp, count(*) FILTER (s.score >= t.score AND label = 0) AS fp, count(*) FILTER (s.score < t.score AND label = 1) AS fn, count(*) FILTER (s.score < t.score AND label = 0) AS tn FROM fx_scores s JOIN best t USING (grp) WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY s.grp, t.score",
+            curve=_CURVE.replace("FROM fx_scores GROUP", "FROM fx_scores WHERE ts < TIMESTAMP '2024-01-08' GROUP"), points=_POINTS,
+            best="SELECT grp, score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) DESC, score) AS rn FROM points) WHERE rn = 1",
+        ),
+    ),
+    "metric_sigmoid": (query(lambda s: s.select("id", sigmoid(6 * F.col("score") - 3).alias("prob")), "fx_scores"), oracle("SELECT id, round(1 / (1 + exp(3 - 6 * score)), 6) AS prob FROM fx_scores")),
     "metric_calibration": (
         query(lambda s: m.calibration(s, ["grp"]), "fx_scores"),
         oracle("SELECT grp, CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_share, count(*) AS n FROM fx_scores GROUP BY 1, 2"),

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
+from ..functions.shared import with_global_rank
 from ..operators import baselines as b
+from ..operators import graphs as g
 from ..operators import metrics as m
+from ..operators import nodes as n
 from ..operators import runs as r
 from ..operators import splits as p
 from .common import oracle, query
@@ -45,6 +49,23 @@ def _importance(c):
     return b.permutation_importance(b.fit(rows, "logistic", _FEATURES), rows, _FEATURES, 1)
 
 
+def _calibrated(s):
+    """The first half of the events by time calibrates; the second half gets its scores."""
+    placed = with_global_rank(s.select("id", "label", "score", "ts"), [F.col("ts"), F.col("id")])
+    first = F.col("rank") * 2 <= F.col("total")
+    return b.calibrated(placed.where(first).select(F.col("label").cast("double").alias("label"), "score"), placed.where(~first).select("id", "label", "score"))
+
+
+def _neighbourhood(c, f):
+    """Commit features alone against those of the files around it, by mean."""
+    nodes = n.file_nodes(f).select("hash", F.lit("file").alias("type"), "node_key", "x")
+    edges = f.select("hash", F.lit("modified_by").alias("rel"), F.lit("file").alias("src_type"), F.col("filename").alias("src_key"), F.lit("commit").alias("dst_type"), F.col("hash").alias("dst_key"))
+    around = g.commit_readout(nodes, edges).groupBy("hash").pivot("dim", [0, 1, 2]).agg(F.first("value")).toDF("hash", "near_0", "near_1", "near_2")
+    rows = _rows(c).join(around, "hash", "left").na.fill(0.0)
+    split = p.by_time(rows)
+    return b.compare_features(split.where("repo_split = 'train'"), split.where("repo_split = 'test'"), "logistic", flat=_FEATURES, neighbourhood=[*_FEATURES, "near_0", "near_1", "near_2"])
+
+
 QUERIES = {
     "runs_best_epochs": (
         query(lambda f: r.best_epochs(_long(f), "auc_pr", _KEYS), "fx_runs"),
@@ -63,7 +84,15 @@ QUERIES = {
     ),
     "runs_result_rows": (
         query(lambda f: r.result_text(m.seed_summary(r.best_epochs(_long(f), "auc_pr", _KEYS), ["run"], ["val_auc_pr"], 4), 3).select("run", "metric", "n", "result"), "fx_runs"),
-        None,
+        oracle("SELECT run, 'val_auc_pr' AS metric, count(*) AS n, printf('%.3f', round(avg(auc_pr), 4)) || CASE WHEN count(*) > 1 THEN ' ±' || printf('%.3f', round(stddev_pop(auc_pr), 4)) ELSE '' END AS result FROM best GROUP BY 1", runs=_LONG, best=_BEST),
+    ),
+    "runs_split_rows": (
+        query(lambda f: r.result_rows(_long(f).withColumn("split", F.when((F.col("split") == "train") & (F.col("seed") == 1), "test").otherwise(F.col("split"))), "auc_pr", _KEYS), "fx_runs"),
+        oracle("SELECT v.run, v.seed, v.epoch, round(t.auc_pr, 6) AS train_auc_pr, round(v.auc_pr, 6) AS val_auc_pr, round(s.auc_pr, 6) AS test_auc_pr FROM best v LEFT JOIN (SELECT * FROM runs WHERE split = 'train' AND seed <> 1) t ON t.run = v.run AND t.seed = v.seed AND t.epoch = v.epoch LEFT JOIN (SELECT * FROM runs WHERE split = 'train' AND seed = 1) s ON s.run = v.run AND s.seed = v.seed AND s.epoch = v.epoch", runs=_LONG, best=_BEST),
+    ),
+    "runs_summary": (
+        query(lambda f: api.summarise_runs(_long(f), ("auc_pr", "mcc"), "auc_pr").select("run", "metric", "mean", "n"), "fx_runs"),
+        oracle("SELECT run, 'auc_pr' AS metric, round(avg(auc_pr), 4) AS mean, count(auc_pr) AS n FROM best GROUP BY 1 UNION ALL SELECT run, 'mcc', round(avg(mcc), 4), count(mcc) FROM best GROUP BY 1", runs=_LONG, best=_BEST),
     ),
     "runs_seed_names": (
         query(lambda f: _long(f).withColumn("run", F.concat_ws("_s", "run", F.col("seed").cast("string"))).groupBy(r.run_name().alias("name")).agg(F.count("*").alias("n"), F.count_distinct("run").alias("seeds")), "fx_runs"),
@@ -101,8 +130,10 @@ QUERIES = {
     "baseline_tree": (_baseline("tree", maxDepth=4), None),
     "baseline_forest": (_baseline("forest", numTrees=10, maxDepth=4), None),
     "baseline_mlp": (_baseline("mlp", maxIter=20), None),
+    "baseline_random_search": (query(lambda c: b.search(_rows(c), p.expanding_folds(c, 2), "tree", _FEATURES, {"maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 5]}, n=2), "fx_commit"), None),
+    "baseline_neighbourhood": (query(_neighbourhood, "fx_commit", "fx_file"), None),
     "baseline_search": (query(lambda c: b.search(_rows(c), p.expanding_folds(c, 2), "logistic", _FEATURES, {"regParam": [0.0, 0.1]}), "fx_commit"), None),
-    "baseline_calibrated": (query(lambda s: b.calibrated(s.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).select(F.col("label").cast("double").alias("label"), "score"), s.select("id", "label", "score")), "fx_scores"), None),
+    "baseline_calibrated": (query(_calibrated, "fx_scores"), None),
     "baseline_coefficients": (query(lambda c: b.coefficients(_rows(c), _FEATURES), "fx_commit"), None),
     "baseline_impurity_importance": (query(lambda c: b.impurity_importance(b.fit(_rows(c), "forest", _FEATURES, numTrees=5), _FEATURES, c.sparkSession), "fx_commit"), None),
     "baseline_permutation_importance": (query(_importance, "fx_commit"), None),

@@ -78,7 +78,16 @@ QUERIES = {
             classed=f"SELECT *, {_CLASS} AS c FROM fx_commit", cold="SELECT repo_url FROM classed WHERE c = 'train' GROUP BY 1 ORDER BY count(*), repo_url LIMIT 5", early="SELECT hash FROM classed JOIN cold USING (repo_url) ORDER BY author_date, hash LIMIT 40",
         ),
     ),
-    "fold_repo_grouped": (query(lambda c: p.repo_folds(c, 5).select("hash", "repo_url", "fold"), "fx_commit"), None),
+    "fold_repo_grouped": (
+        query(lambda c: p.repo_folds(c, 5).select("hash", "repo_url", "fold"), "fx_commit"),
+        oracle(
+            "SELECT hash, repo_url, fold FROM fx_commit JOIN dealt USING (repo_url)",
+            sizes="SELECT repo_url, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, repo_url) AS rn FROM fx_commit GROUP BY 1",
+            steps="SELECT * FROM (WITH RECURSIVE s(rn, loads, fold) AS (SELECT CAST(0 AS BIGINT), CAST([0, 0, 0, 0, 0] AS BIGINT[]), CAST(NULL AS BIGINT) UNION ALL SELECT z.rn, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + z.n ELSE x END), CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT) FROM s JOIN sizes z ON z.rn = s.rn + 1) SELECT rn, fold FROM s)",
+            dealt="SELECT repo_url, fold FROM sizes JOIN steps USING (rn)",
+        ),
+    ),
+    "split_repo_first": (query(_plain(lambda c: p.by_repo_first(c.withColumn("repo_url", F.when(F.col("label") == 1, F.concat(F.lit("https://x/"), F.when(F.col("num_files_changed") > 3, "gpac/gpac").otherwise("krb5/krb5"))).otherwise(F.col("repo_url"))))), "fx_commit"), oracle("SELECT hash, label, CASE WHEN label = 1 THEN 'https://x/' || CASE WHEN num_files_changed > 3 THEN 'gpac/gpac' ELSE 'krb5/krb5' END ELSE repo_url END AS repo_url, CASE WHEN label = 0 THEN 'train' WHEN num_files_changed > 3 THEN 'val' ELSE 'test' END AS repo_split FROM fx_commit")),
     "fold_leave_one_repo_out": (
         query(lambda c: p.leave_one_repo_out(c, 3).select("hash", "fold", "part"), "fx_commit"),
         oracle("SELECT hash, fold, CASE WHEN c.repo_url = f.repo_url THEN 'val' ELSE 'train' END AS part FROM fx_commit c, folds f", folds="SELECT repo_url, row_number() OVER (ORDER BY count(*) DESC, repo_url) - 1 AS fold FROM fx_commit GROUP BY 1 ORDER BY count(*) DESC, repo_url LIMIT 3"),
@@ -105,5 +114,11 @@ QUERIES = {
         oracle("SELECT hash, round(count(*) OVER () / (2 * count(*) OVER (PARTITION BY label)), 6) AS class_weight, round(1 / ((SELECT count(DISTINCT repo_url) FROM fx_commit) * count(*) OVER (PARTITION BY repo_url, label)), 6) AS repo_weight FROM fx_commit"),
     ),
     "weight_label_ratio": (query(p.label_ratio, "fx_commit"), oracle("SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, round(count(*) FILTER (label = 0) / count(*) FILTER (label = 1), 6) AS neg_pos_ratio FROM fx_commit")),
-    "weight_resample": (query(lambda c: p.weighted_resample(p.class_weights(c), "class_weight", 2000), "fx_commit"), None),
+    "weight_resample": (
+        query(lambda c: p.weighted_resample(c.withColumn("w", F.col("num_files_changed").cast("double")), "w", c.count()), "fx_commit"),
+        oracle(
+            "SELECT draw, hash FROM (SELECT i AS draw, CAST(('0x' || substr(md5('42|' || CAST(i AS STRING)), 1, 13)) AS BIGINT) / 4503599627370496.0 * (SELECT max(top) FROM spans) AS x FROM range((SELECT count(*) FROM fx_commit)) r(i)) d ASOF JOIN spans s ON d.x < s.top",
+            spans="SELECT hash, CAST(sum(num_files_changed) OVER (ORDER BY hash) AS DOUBLE) AS top FROM fx_commit WHERE num_files_changed > 0",
+        ),
+    ),
 }

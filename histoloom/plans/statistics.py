@@ -68,5 +68,9 @@ QUERIES = {
         query(lambda c: d.box(c, "num_lines_changed", "commit_type"), "fx_commit"),
         oracle(f"SELECT label, {rs('q1', 'median', 'q3', 'min', 'max')}, round(greatest(min, q1 - 1.5 * (q3 - q1)), 6) AS low, round(least(max, q3 + 1.5 * (q3 - q1)), 6) AS high FROM q", q="SELECT commit_type AS label, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, min(v) AS min, max(v) AS max FROM (SELECT commit_type, CAST(num_lines_changed AS DOUBLE) AS v FROM fx_commit) GROUP BY 1"),
     ),
+    "stat_vif_pair": (
+        query(lambda c: d.variance_inflation(c, ["num_lines_changed", "dmm_unit_size"]), "fx_commit"),
+        oracle("SELECT unnest(['num_lines_changed', 'dmm_unit_size']) AS \"column\", round(a * b / (a * b - ab * ab), 6) AS vif FROM (SELECT sum(num_lines_changed * num_lines_changed) AS a, sum(dmm_unit_size * dmm_unit_size) AS b, sum(num_lines_changed * dmm_unit_size) AS ab FROM fx_commit WHERE num_lines_changed IS NOT NULL AND dmm_unit_size IS NOT NULL)"),
+    ),
     "stat_vif": (query(lambda c: d.variance_inflation(c, _NUM), "fx_commit"), None),
 }

@@ -43,6 +43,47 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey, p_bran
 SELECT CAST(l_orderkey AS STRING) AS commit_hash, 'author' AS role, 'dev' || CAST(MIN(l_suppkey) AS STRING) AS dev_id
 FROM {lineitem} GROUP BY l_orderkey UNION ALL
 SELECT CAST(l_orderkey AS STRING), 'committer', 'dev' || CAST(MAX(l_suppkey) AS STRING) FROM {lineitem} GROUP BY l_orderkey""",
+    "fx_commit_full": """
+SELECT c.*, CAST(c.hash AS BIGINT) % 5 <> 0 AS in_main_branch, CAST(c.hash AS BIGINT) % 7 = 0 AS merge, 10 * l.tax * l.disc AS dmm_unit_interfacing,
+  (CAST(c.hash AS BIGINT) % 25 - 12) * 3600 AS author_timezone, (CAST(c.hash AS BIGINT) % 13 - 6) * 1800 AS committer_timezone,
+  CAST(c.author_date AS TIMESTAMP) + (CAST(c.hash AS BIGINT) % 1440) * INTERVAL '1' MINUTE AS authored_at,
+  l.added AS num_lines_added, l.deleted AS num_lines_deleted, 'dev' || c.author AS committer
+FROM {fx_commit} c LEFT JOIN (SELECT CAST(l_orderkey AS STRING) AS hash, AVG(l_tax) AS tax, AVG(l_discount) AS disc,
+  SUM(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS added, SUM(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_quantity END) AS deleted
+  FROM {lineitem} GROUP BY l_orderkey) l ON l.hash = c.hash""",
+    "fx_file_full": """
+SELECT CAST(l_orderkey AS STRING) AS hash, p_brand AS filename, p_brand AS new_path, CASE WHEN MIN(l_returnflag) = 'R' THEN 'old/' || p_brand ELSE p_brand END AS old_path,
+  CASE MIN(l_returnflag) WHEN 'A' THEN 'add' WHEN 'N' THEN 'MODIFY' ELSE 'RENAME' END AS change_type, SUM(l_quantity) AS num_lines_added, MAX(l_linenumber) AS num_lines_deleted,
+  COUNT(*) AS num_method_changed, SUM(p_size) * 3 AS num_lines_of_code, MAX(p_size) AS complexity, SUM(l_quantity) * 2 AS token_count
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand""",
+    "fx_function_full": """
+SELECT CAST(l_orderkey AS STRING) AS hash, p_brand AS filename, p_name AS name, MIN(l_linenumber) AS start_line, MIN(l_linenumber) + MAX(p_size) AS end_line,
+  SUM(p_size) AS num_lines_of_code, MAX(p_size) AS complexity, SUM(l_quantity) AS token_count, MAX(p_size) + 1 AS length, MIN(l_linenumber) % 4 AS top_nesting_level,
+  MAX(l_returnflag) = 'R' AS before_change, COUNT(*) > 1 AS is_hunk, MAX(l_linenumber) % 5 AS n_parameters,
+  CASE MIN(l_returnflag) WHEN 'A' THEN 'add ' WHEN 'N' THEN 'REFACTOR' ELSE 'RENAME' END AS function_change_type
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand, p_name""",
+    "fx_process": """
+SELECT hash, CASE WHEN k % 4 = 0 THEN 0.0 ELSE 1.0 END AS has_sdlc_data, k % 17 AS repo_commits_last_30d, k % 41 AS repo_commits_last_90d, k % 11 AS repo_active_authors_90d,
+  k % 3 AS issue_open_30d, files AS issue_open_90d, files + k % 5 AS issue_open_180d, lines / 7 AS issue_age_median, k % 6 AS issues_closed_last_90d, k % 19 AS issues_closed_last_180d,
+  k % 8 / 30.0 AS issue_open_velocity_30d, k % 23 / 90.0 AS issue_open_velocity_90d, k % 9 AS pr_count_30d, k % 13 AS pr_count_90d, k % 29 AS pr_count_180d, lines / 11 AS pr_age_median,
+  k % 10 AS pr_closed_last_90d, k % 31 AS pr_closed_last_180d, k % 14 / 30.0 AS pr_open_velocity_30d, k % 37 / 90.0 AS pr_open_velocity_90d, k % 43 AS days_since_prev_tag, k % 4 AS tags_last_180d,
+  k % 7 AS tags_last_365d, lines / 3 AS avg_release_cadence_days, k % 43 / 43.0 AS days_since_prev_tag_norm, k % 997 AS dev_experience_days, k % 211 AS dev_commits_before, k % 2 AS dev_is_new_contributor,
+  k % 15 / 10.0 AS pr_to_issue_open_ratio_90d, k % 18 / 10.0 AS issue_to_pr_closed_ratio_90d, k % 2 AS has_issue_pr_gap, k % 53 AS activity_since_last_tag,
+  CASE WHEN k % 3 = 0 THEN NULL ELSE 'v' || CAST(k % 5 AS STRING) || '.' || CAST(k % 2 AS STRING) || CASE WHEN k % 7 = 0 THEN '-rc1' ELSE '' END END AS prev_tag_name
+FROM (SELECT hash, CAST(hash AS BIGINT) AS k, coalesce(CAST(num_files_changed AS DOUBLE), 0) AS files, coalesce(CAST(num_lines_changed AS DOUBLE), 0) AS lines FROM {fx_commit}) t""",
+    "fx_issue": """
+SELECT CAST(l_partkey AS STRING) AS issue_id, CAST(l_orderkey AS STRING) AS fc_hash, CAST(l_orderkey - l_orderkey % 2 AS STRING) AS vcc_hash, CAST(l_linenumber AS STRING) AS matched_anchor,
+  CAST(MIN(p_retailprice) AS DOUBLE) AS votes, MIN(p_size) AS comments, CAST(MIN(l_shipdate) AS TIMESTAMP) AS created_at
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey, l_partkey, l_linenumber""",
+    "fx_pull": """
+SELECT CAST(l_suppkey AS STRING) AS pr_id, CAST(l_orderkey AS STRING) AS fc_hash, CAST(l_orderkey - l_orderkey % 2 AS STRING) AS vcc_hash, CAST(MIN(l_linenumber) AS STRING) AS matched_anchor,
+  SUM(l_quantity) AS additions, CASE WHEN MIN(l_linenumber) % 2 = 0 THEN CAST(MIN(l_partkey) AS STRING) END AS linked_issue_id, 'closes #' || CAST(MAX(l_partkey) AS STRING) || ' and #0' AS title, CAST(MIN(l_shipdate) AS TIMESTAMP) AS created_at
+FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
+    "fx_developer": """
+SELECT commit_hash, dev_email, SUM(lines_owned) AS repo_total_commits_before, COUNT(*) AS repo_active_weeks_before, MAX(total_lines) AS repo_tenure_days, SUM(edits_in_window) AS repo_commits_as_committer_before,
+  MIN(lines_owned) AS recent_commits_90d, MIN(total_lines) AS time_since_last_commit_days, MAX(ownership_ratio) AS experience_percentile_in_repo, COUNT(DISTINCT file_path) AS cross_repo_commits_before,
+  MAX(window_days) AS num_repos_contributed_before, SUM(total_lines) AS total_commits
+FROM {fx_ownership} GROUP BY commit_hash, dev_email""",
     "fx_scores": """
 SELECT event_id AS id, CAST(user_id AS STRING) AS grp, value / (value + 50) AS score,
   CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS label, ts FROM {events}""",
@@ -63,6 +104,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(body: str, **more: str) -> str:
     """DuckDB SQL: ``body`` after the views that it names and the CTEs in ``more``, in order."""
     text = " ".join([body, *more.values()])
+    for v in reversed(VIEWS):  # views stand after those that they name
+        if re.search(rf"\b{v}\b", text):
+            text += VIEWS[v]
     parts = [f"{v} AS ({re.sub(r'{(\w+)}', r'\1', sql)})" for v, sql in VIEWS.items() if re.search(rf"\b{v}\b", text)]
     parts += [f"{name} AS ({sql})" for name, sql in more.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
