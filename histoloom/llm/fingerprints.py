@@ -104,60 +104,78 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(whole)).mapInArrow(run, schema_of(docs.select(*columns), f"{into} binary"))
 
 
-def _before(cuts: np.ndarray, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """How many of the sorted pairs ``cuts`` (2 columns) are no greater than each pair of key and tie."""
+def _before(cuts: np.ndarray, key: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the sorted pairs ``cuts`` (2 columns) are less than each pair of key and tie, and how many no greater."""
     low, high = (np.searchsorted(cuts[:, 0], key, side=side) for side in ("left", "right"))
-    out = low.copy()
+    less, least = low.copy(), low.copy()
     for i in np.unique(low[high > low]).tolist():
         rows = np.flatnonzero((low == i) & (high > low))
-        out[rows] += np.searchsorted(cuts[i : high[rows[0]], 1], tie[rows], side="right")
-    return out
+        ties = cuts[i : high[rows[0]], 1]
+        less[rows] += np.searchsorted(ties, tie[rows], side="left")
+        least[rows] += np.searchsorted(ties, tie[rows], side="right")
+    return less, least
 
 
 def with_next(docs: DataFrame, key: str, text: str, partitions: int) -> tuple[DataFrame, dict[str, str]]:
     """Deals ``docs`` out by descending ``key`` so that each task can pair every row with the next one.
 
     Adds four columns, whose names (the second result tells them) give way to those of ``docs``: ``order``, the key, a null as the
-    least value; ``tie``, which orders rows of one key by a hash of the text and then of the row, so that a much repeated key
-    spans parts; ``part`` and ``guest``. Rows go to parts cut between pairs of order and tie of a sample of about
-    ``SAMPLED`` rows a part; the first row of a part also goes, as a guest, to the part before it (the very first to the last part),
-    so each part ends with the row that follows it. The driver gets the sample and one pair for each part. An empty table gives
-    an empty one; texts, null or long, are only hashed here.
+    least value; ``tie``, a hash of the text, which orders rows of one key, so that a much repeated key spans parts; ``part`` and
+    ``guest``. Rows go to parts cut between pairs of order and tie of a sample of about ``SAMPLED`` rows a part. The first row of a
+    part also goes, as a guest, to the part before it (the very first to the last part), so each part ends with the row that follows it.
+    Equal rows that fill several parts are dealt over them, with one more of them as each one's guest. The driver gets the sample
+    and one pair for each part. An empty table gives an empty one; texts, null or long, are only hashed here.
     """
     small_batches(docs.sparkSession)
     names = {x: fresh(f"_{x}", docs.columns) for x in ("order", "tie", "part", "guest")}
     order, tie = names["order"], names["tie"]
-    row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 44)
-    ordered = docs.withColumns({order: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), tie: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 20), 20).bitwiseOR(row)})
+    ordered = docs.withColumns({order: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), tie: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     pairs = ordered.select(order, tie)
     share = min(1.0, SAMPLED * partitions / max(1, docs.count()))
-    sample = pairs.where(F.pmod(F.xxhash64(order, tie, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
+    sample = pairs.where(F.rand(5) < share).toArrow()
     picked = np.stack([sample.column(c).to_numpy() for c in (order, tie)], 1)
     picked = picked[np.lexsort((picked[:, 1], picked[:, 0]))]
-    cuts = np.unique(picked[[len(picked) * i // partitions for i in range(1, partitions)]], axis=0) if len(picked) else picked
+    cuts = picked[[len(picked) * i // partitions for i in range(1, partitions)]] if len(picked) else picked
 
-    def part_of(batch: pa.RecordBatch) -> np.ndarray:
-        return len(cuts) - _before(cuts, batch.column(order).to_numpy(), batch.column(tie).to_numpy())
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The last part that each row may go to, and how many parts before it may hold it as well."""
+        less, least = _before(cuts, batch.column(order).to_numpy(), batch.column(tie).to_numpy())
+        wide = np.maximum(least - less - 1, 0)
+        return len(cuts) - least + wide, wide
 
     def tops(batches):
         for batch in batches:
-            found = pa.table([pa.array(part_of(batch)), batch.column(order), batch.column(tie)], names=["p", "k", "t"]).sort_by([("k", "descending"), ("t", "descending")])
+            found = pa.table([pa.array(places(batch)[0]), batch.column(order), batch.column(tie)], names=["p", "k", "t"]).sort_by([("k", "descending"), ("t", "descending")])
             _, first = np.unique(found.column("p").to_numpy(), return_index=True)
             yield from found.take(pa.array(first)).combine_chunks().to_batches()
 
     heads = {r.p: (r.m.k, r.m.t) for r in pairs.mapInArrow(tops, "p long, k long, t long").groupBy("p").agg(F.max(F.struct("k", "t")).alias("m")).collect()}
     parts = sorted(heads)
-    host = {heads[p]: parts[i - 1] for i, p in enumerate(parts)}  # the part before; the last for the first
-    firsts = np.array([k for k, _ in host], dtype=np.int64)
+    hosts: dict[tuple[int, int], set[int]] = {}
+    for i, p in enumerate(parts):
+        k, t = heads[p]
+        less, least = _before(cuts, np.array([k]), np.array([t]))
+        # The part before; the last for the first. Of rows that fill several parts, all of these but the last.
+        hosts[k, t] = {parts[i - 1], *range(p - max(int(least[0] - less[0]) - 1, 0), p)}
+    firsts = np.array([k for k, _ in hosts], dtype=np.int64)
 
     def deal(batches):
+        dealt_out, sent = 0, set()
         for batch in batches:
-            keys, ties, own = batch.column(order).to_numpy(), batch.column(tie).to_numpy(), part_of(batch)
-            guests = [i for i in np.flatnonzero(np.isin(keys, firsts)).tolist() if (int(keys[i]), int(ties[i])) in host]
-            rows = np.concatenate([np.arange(len(keys)), np.array(guests, dtype=np.int64)])
-            part = np.concatenate([own, np.array([host[int(keys[i]), int(ties[i])] for i in guests], dtype=np.int64)]).astype(np.int32)
-            dealt = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*dealt.columns, pa.array(part), pa.array(np.arange(len(rows)) >= len(keys))], [*dealt.schema.names, names["part"], names["guest"]])
+            keys, ties = batch.column(order).to_numpy(), batch.column(tie).to_numpy()
+            own, wide = places(batch)
+            for i in np.flatnonzero(wide).tolist():  # a task's first such row goes to the last part, which so has one
+                own[i] -= dealt_out % (wide[i] + 1)
+                dealt_out += 1
+            rows, part = list(range(len(keys))), own.tolist()
+            for i in np.flatnonzero(np.isin(keys, firsts)).tolist():
+                pair = int(keys[i]), int(ties[i])
+                if pair in hosts and pair not in sent:
+                    sent.add(pair)
+                    rows += [i] * len(hosts[pair])
+                    part += sorted(hosts[pair])
+            out = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(part, pa.int32()), pa.array(np.arange(len(rows)) >= len(keys))], [*out.schema.names, names["part"], names["guest"]])
 
     return ordered.mapInArrow(deal, schema_of(ordered, f"`{names['part']}` int", f"`{names['guest']}` boolean")), names
 
