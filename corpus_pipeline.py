@@ -16,29 +16,44 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier accepts; it learns from all labels of documents it is given."""
+    """The documents that the quality classifier accepts; it learns from all labels of documents it is given.
+
+    Rows are judged by their text alone, null as empty, however long; repeated rows share their fate; null keys are as others. Without
+    labels of both classes all rows have one score. An empty table gives an empty one. Columns stay as they are."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group that links of 0.75 Jaccard similarity join."""
+    """The document of the least id of each group that links of 0.75 Jaccard similarity join.
+
+    Null, empty and wordless texts and rows with a null key stay; repeated rows of a key stay or go together; whole texts count, however
+    long; an empty table gives an empty one. Columns stay as they are."""
     return jaccard.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words that occur earlier; documents of which no word is left go."""
+    """Texts without passages of 50 words that occur earlier; documents of which no word is left go.
+
+    Order is by key, null keys last. Null, empty and short texts stay as they are; of a very long one every window counts; repeated rows
+    are cut alike; an empty table gives an empty one. n_chars is counted anew."""
     cut = suffixes.without_repeats(docs)
     emptied = (F.length("text") < F.col("n_chars")) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return _recounted(cut.where(~F.coalesce(emptied, F.lit(False))))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without windows of benchmark items; documents that consist of them mostly go."""
+    """Texts without windows of benchmark items; documents that consist of them mostly go.
+
+    Null, empty and wordless texts stay; items with a null id or text, or without words, hit nothing; whole texts count, however long;
+    repeated rows share their fate; an empty table or benchmark changes nothing. n_chars is counted anew."""
     return _recounted(leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
+    """Pieces of documents in sequences of at most 1024 tokens.
+
+    A null or empty text is the end id alone; a longer one than a sequence is cut into several pieces; repeated rows and null keys keep
+    their rows; an empty table gives an empty one."""
     return packing.pack_documents(docs)
 
 
