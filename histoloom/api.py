@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.scalars import OWNER_SHARE
 from .operators import assembly, attribution, audits, graphs, history, metrics, scaling, splits
 from .operators import runs as run_tables
-from .sources.tables import load_tables
+from .sources.tables import load_tables, write_report, write_split
 
 STRATEGIES = {
     "repo": splits.by_repo, "temporal": splits.by_time, "repo_temporal": splits.by_repo_and_time, "cwe": splits.by_weakness, "severity": splits.by_severity,
@@ -76,6 +76,13 @@ def validate_split(split_: DataFrame, strategy: str) -> DataFrame:
     return audits.verdicts(every)
 
 
+def publish_split(split_: DataFrame, path: str, strategy: str) -> None:
+    """The split index, its summary by part and the findings of its validation, each under ``path`` and the strategy's name."""
+    write_split(split_, f"{path}/index", strategy)
+    write_report(audits.split_summary(split_).withColumn("strategy", F.lit(strategy)), f"{path}/metadata/{strategy}")
+    write_report(validate_split(split_, strategy), f"{path}/leakage/{strategy}")
+
+
 def evaluate(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rates at 0.5, average precision, ROC area and the best swept threshold, by ``keys``."""
     parts = [metrics.rates(metrics.confusion(scored, keys)), metrics.average_precision(scored, keys), metrics.roc_auc(scored, keys), metrics.best_threshold_sweep(scored, keys)]
@@ -90,4 +97,4 @@ mask, named_mask = scaling.apply_mask, scaling.named_mask
 shapley, kernel_shap = attribution.shapley, attribution.kernel_shap
 repo_commits, manifest = history.repo_commits, graphs.manifest
 
-__all__ = ["apply_scaler", "build_graph_tables", "build_graph_tables_v2", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "repo_commits", "shapley", "split", "summarise_runs", "validate_split"]
+__all__ = ["apply_scaler", "build_graph_tables", "build_graph_tables_v2", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "publish_split", "repo_commits", "shapley", "split", "summarise_runs", "validate_split"]

@@ -68,6 +68,13 @@ def linear_gradients(rows: DataFrame, features: Sequence[str], weights: Sequence
     return rows.select("hash", F.explode(parts).alias("_p")).select("hash", "_p.feature", "_p.value")
 
 
+def block_totals(values: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:
+    """(hash, block, total): signed sums of (hash, feature, value) over each block of features, such as an embedding's dims."""
+    where = F.create_map(*[F.lit(x) for name, features in blocks.items() for f in features for x in (f, name)])
+    rows = values.withColumn("block", F.element_at(where, F.col("feature"))).where("block IS NOT NULL")
+    return rows.groupBy("hash", "block").agg(F.sum("value").alias("total"))
+
+
 def removal_scores(importance: DataFrame, correlations: DataFrame, masked: Sequence[str] = ()) -> DataFrame:
     """(feature, removal, partner, partner_r): half from low importance, half from the strongest correlation with another feature that stays."""
     top = importance.agg(F.max("phi").alias("_top"))

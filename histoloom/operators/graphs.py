@@ -46,12 +46,14 @@ def neighbour_vectors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Vectors travel whole; sums and counts are taken dim by dim as columns of the widest vector, and dims that no source of a relation
     has count as absent. The width is read first."""
     width = nodes.agg(F.max(F.size("x"))).first()[0] or 0
+    if not width:
+        return nodes.select("hash", "type", "node_key", "x").limit(0)
     src = nodes.select("hash", F.col("type").alias("src_type"), F.col("node_key").alias("src_key"), "x")
     flow = edges.select("hash", "rel", "src_type", "src_key", "dst_type", "dst_key").join(src, ["hash", "src_type", "src_key"])
     dim = lambda i: F.get("x", F.lit(i))
     means = flow.groupBy("hash", "rel", "dst_type", "dst_key").agg(*[F.avg(dim(i)).alias(f"m{i}") for i in range(width)])
     sums = means.groupBy("hash", F.col("dst_type").alias("type"), F.col("dst_key").alias("node_key")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(width)])
-    vector = F.array(*[F.col(f"m{i}") for i in range(width)]) if width else F.expr("cast(array() as array<double>)")
+    vector = F.array(*[F.col(f"m{i}") for i in range(width)])
     # Trailing dims that no source has go.
     return sums.select("hash", "type", "node_key", F.filter(vector, lambda v: v.isNotNull()).alias("x"))
 

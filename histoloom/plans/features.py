@@ -6,6 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..operators import attribution as h
 from ..operators import graphs as g
 from ..operators import nodes as n
@@ -47,6 +48,10 @@ def _rows(c, f):
     return _file_nodes(f).join(c.select("hash", "repo_url"), "hash").withColumnRenamed("type", "group")
 
 
+def _scaled(rows, c):
+    return s.apply_scaler(rows, s.fit_scaler(rows, p.by_repo(c, _VAL, _TEST)))
+
+
 def _scores(c):
     v = {k: F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in _PLAYERS}
     bit = lambda i: F.shiftright("mask", i).bitwiseAND(1)
@@ -122,7 +127,7 @@ QUERIES = {
         oracle("SELECT repo_url, CAST(dim AS BIGINT) AS dim, round(mean, 6) AS mean, round(std, 6) AS std, n FROM fit", nodes=_NODES, split=_SPLIT, fit=_FIT),
     ),
     "scale_apply": (
-        query(lambda c, f: melt(s.apply_scaler(_rows(c, f), s.fit_scaler(_rows(c, f), p.by_repo(c, _VAL, _TEST)))), "fx_commit", "fx_file"),
+        query(lambda c, f: melt(_scaled(written(_rows(c, f), "rows"), c)), "fx_commit", "fx_file"),
         oracle("SELECT hash, node_key, CAST(dim AS BIGINT) AS dim, round(CASE WHEN fit.mean IS NULL THEN value ELSE (value - fit.mean) / fit.std END, 6) AS value FROM nodes JOIN split USING (hash) LEFT JOIN fit USING (repo_url, dim)", nodes=_NODES, split=_SPLIT, fit=_FIT),
     ),
     "mask_named": (

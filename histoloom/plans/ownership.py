@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.shared import written
 from ..operators import ownership as o
 from .common import oracle, query, rs
 
@@ -15,7 +16,8 @@ _EDGES = "SELECT f.hash, f.filename, coalesce(owners, 0) AS owners, coalesce(max
 
 
 def edges(files, ownership):
-    return o.commit_file_edges(files, o.file_ownership(o.match_files(files, ownership)))
+    named = written(files.select("hash", "filename").distinct(), "files")  # read three times below
+    return o.commit_file_edges(named, o.file_ownership(o.match_files(named, ownership)))
 
 
 QUERIES = {

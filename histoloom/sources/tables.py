@@ -20,18 +20,22 @@ def first_existing(spark: SparkSession, paths: Iterable[str]) -> str | None:
     return next((p for p in paths if exists(spark, p)), None)
 
 
-def read_csv(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | None, schema: str, line_breaks: bool = True) -> DataFrame:
     """A CSV table with header, by column name: of the schema's columns those in the file, absent ones null; text may hold line
-    breaks and quotes. An absent path gives an empty table."""
+    breaks and quotes. An absent path gives an empty table.
+
+    Only the columns asked for are parsed. A file whose texts may hold line breaks can't be split: one task reads it. Where they don't,
+    say so by ``line_breaks``, and many do."""
     empty = spark.createDataFrame([], schema)
     if path is None or not exists(spark, path):
         return empty
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return raw.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in empty.schema])
 
 
-def load_tables(spark: SparkSession, folder: str, names: Sequence[str] | None = None, generations: Sequence[str] = ("_full", "_v4", "_v3", "")) -> dict[str, DataFrame]:
-    """The known tables in a folder, each from its newest CSV generation, or Parquet where there is one; empty where neither is."""
+def load_tables(spark: SparkSession, folder: str, names: Sequence[str] | None = None, generations: Sequence[str] = ("_full", "_v4", "_v3", ""), line_breaks: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The known tables in a folder, each from its newest CSV generation, or Parquet where there is one; empty where neither is.
+    ``line_breaks``: the tables whose CSV texts may hold line breaks, by default all."""
     out = {}
     for name in names or SCHEMAS:
         parquet = f"{folder}/{name}.parquet"
@@ -39,7 +43,7 @@ def load_tables(spark: SparkSession, folder: str, names: Sequence[str] | None =
             found = spark.read.parquet(parquet)
             out[name] = pruned(found, [f.split()[0] for f in SCHEMAS[name].split(", ")])
         else:
-            out[name] = read_csv(spark, first_existing(spark, [f"{folder}/{name}{g}.csv" for g in generations]), SCHEMAS[name])
+            out[name] = read_csv(spark, first_existing(spark, [f"{folder}/{name}{g}.csv" for g in generations]), SCHEMAS[name], line_breaks is None or name in line_breaks)
     return out
 
 

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from histoloom import api
 from histoloom.functions import scalars as c
-from histoloom.functions.shared import with_global_rank
+from histoloom.functions.shared import with_global_rank, with_running_sums
 from histoloom.operators import attribution, audits, cleaning, edges, graphs, history, metrics, nodes, ownership, runs, scaling, splits, statistics
 from histoloom.sources import tables
 
@@ -186,8 +187,14 @@ def test_co_modified_goes_both_ways(spark):
 
 
 def test_last_fix_wins(spark):
-    df = spark.createDataFrame([("f1", "['aaa', 'bbb']", 1), ("f2", "['aaa']", 2), ("", "['ccc']", 3)], "fc_hash string, vcc_hash string, seq int")
-    assert {(r.vcc_hash, r.fc_hash) for r in cleaning.fix_of(df, "seq").collect()} == {("aaa", "f2"), ("bbb", "f1")}
+    df = spark.createDataFrame([("f1", "['aaa1234', 'BBB1234', None, nan]", 1), ("f2", "['aaa1234', 'abc']", 2), ("", "['ccc1234']", 3)], "fc_hash string, vcc_hash string, seq int")
+    assert {(r.vcc_hash, r.fc_hash) for r in cleaning.fix_of(df, "seq").collect()} == {("aaa1234", "f2"), ("BBB1234", "f1")}
+
+
+def test_parents_are_hashes_only(spark):
+    df = spark.createDataFrame([("a", "['0123456789abcdef0123456789abcdef01234567', 'feedbeef']"), ("b", "nan"), ("c", "[None]"), ("d", None)], "hash string, parents string")
+    found = {r.hash: (r.parent_list, r.is_merge) for r in cleaning.with_parents(df).collect()}
+    assert found["a"] == (["0123456789abcdef0123456789abcdef01234567", "feedbeef"], True) and found["b"] == found["c"] == ([], False)
 
 
 def test_references_by_number(spark):
@@ -215,14 +222,6 @@ def test_misaligned_and_orphans(spark):
     assert [r.key for r in audits.orphan_keys(a, b, "k", "k").collect()] == ["y"]
 
 
-def test_sources(spark, tmp_path):
-    (tmp_path / "commit_info_v4.csv").write_text('hash,commit_type,extra,num_lines_added\nh1,VCC,z,3\nh2,FC,"a\nb",bad\n')
-    found = tables.load_tables(spark, f"file://{tmp_path}", ["commit_info", "file_info"])
-    got = {r.hash: r for r in found["commit_info"].collect()}
-    assert got["h1"].num_lines_added == 3.0 and got["h2"].num_lines_added is None and got["h1"].msg is None
-    assert found["file_info"].count() == 0 and "code_before" not in found["file_info"].columns
-
-
 def test_generations_and_rejects(spark):
     old = spark.createDataFrame([("a", 1)], "hash string, v int")
     new = spark.createDataFrame([("a", 2, 9), ("b", 3, 9)], "hash string, v int, w int")
@@ -246,21 +245,124 @@ def test_stream_builds_each_commit_once(spark, tmp_path):
     assert sorted(r.hash for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
-def test_graph_tables_have_no_dangling_ends(spark):
+@pytest.fixture(scope="module")
+def source_tables(spark):
     from compare import SMALL
 
-    from histoloom import api
+    from histoloom.plans.assembly import _SOURCES, _tables
     from histoloom.plans.views import table
 
-    t = lambda n: table(spark, SMALL, n)
-    tabs = {"commit_info": t("fx_commit"), "file_info": t("fx_file"), "function_info": t("fx_function").drop("function_change_type"), "ownership_window": t("fx_ownership"), "commit_author": t("fx_commit_author")}
-    n, e = api.build_graph_tables(tabs)
-    there = n.select("hash", F.col("type").alias("src_type"), F.col("node_key").alias("src_key"))
-    assert e.join(there, ["hash", "src_type", "src_key"], "left_anti").count() == 0
+    return _tables(*[table(spark, SMALL, n) for n in _SOURCES])
+
+
+@pytest.mark.parametrize("mode", [1, 4])
+def test_graph_tables_have_no_dangling_ends(spark, source_tables, mode):
+    n, e = api.build_graph_tables(source_tables, mode)
+    assert audits.graph_problems(n, e, {"commit": 9 if mode == 4 else 7, "file": 10, "function": 10, "developer": 3, "issue": 2 if mode == 1 else 8, "pull_request": 1 if mode == 1 else 8, "release_tag": 1 if mode == 1 else 7}).where("n > 0").collect() == []
+
+
+def test_second_generation_graphs(spark, source_tables):
+    n, e = api.build_graph_tables_v2(source_tables)
+    widths = {"commit": 14, "file": 3, "function": 8, "hunk": 2, "developer": 9, "issue": 4, "pull_request": 4, "release_tag": 4}
+    assert audits.graph_problems(n, e, widths).where("n > 0").collect() == []
     sizes = {r.rel: r.n for r in e.groupBy("rel").agg(F.count("*").alias("n")).collect()}
-    assert sizes["modifies_file"] == sizes["file_modified_by"] and sizes["owns"] == sizes["owned_by"] > 0
-    found = {r.finding: r.status for r in api.validate_split(api.split(tabs["commit_info"], "temporal"), "temporal").collect()}
+    assert sizes["modifies_file"] == sizes["in_commit_file"] and sizes["owns"] == sizes["owned_by"] > 0 and sizes["linked_to_commit"] == 2 * sizes["has_issue"]
+    widest = {r.rel: r.w for r in e.groupBy("rel").agg(F.max(F.size("attr")).alias("w")).collect()}
+    assert [widest[r] for r in ("modifies_file", "modifies_func", "has_hunk", "authored_by", "owns", "has_issue", "has_release")] == [4, 11, 0, 3, 3, 3, 1]
+
+
+def test_splits_by_name(spark, source_tables):
+    commits = source_tables["commit_info"]
+    found = {r.finding: r.status for r in api.validate_split(api.split(commits, "temporal"), "temporal").collect()}
     assert found["in_several_splits"] == "PASS" and found["repo_overlap"] == "BY-DESIGN"
+    for name in ("developer", "file", "function"):
+        parts = api.split(commits.select("hash", "label", "repo_url"), name, source_tables).groupBy("repo_split").count().collect()
+        assert {r.repo_split for r in parts} == {"train", "val", "test"} and sum(r["count"] for r in parts) == commits.count()
+
+
+def test_history_graph_with_renames(spark, source_tables):
+    commits, files, functions = (source_tables[t] for t in ("commit_info", "file_info", "function_info"))
+    fixes = commits.where("commit_type = 'VCC'").select(F.col("hash").alias("vcc_hash"), "author").join(commits.where("commit_type = 'FC'").select(F.col("hash").alias("fc_hash"), "author"), "author").groupBy("vcc_hash").agg(F.min("fc_hash").alias("fc_hash"))
+    found = api.build_history_graph(commits, files, functions, fixes=fixes)
+    assert set(found) == {"file_evolution", "fn_evolution", "fn_rename", "file_rename", "fn_rename_to_fix", "precedes"}
+    assert all(found[k].count() > 0 for k in ("file_evolution", "fn_evolution", "file_rename", "precedes"))
+
+
+def test_undated_rows_have_no_gap(spark):
+    commits = spark.sql("SELECT * FROM VALUES ('A', 'r', null), ('B', 'r', timestamp'2020-01-05 00:00:00'), ('C', 'r', timestamp'2020-01-07 00:00:00') AS t(hash, repo_url, author_date)")
+    files = spark.createDataFrame([("A", "f", 1.0, 3.0), ("B", "f", None, 1.0), ("C", "f", 2.0, 1.0)], "hash string, filename string, complexity double, num_lines_of_code double")
+    found = {r.src: r for r in history.file_evolution(files, commits).collect()}
+    assert found["A"].gap == 0.0 and found["B"].gap == pytest.approx(math.log1p(2))
+    assert found["A"].d_lines == pytest.approx(-math.log1p(2)) and found["A"].d_complexity == pytest.approx(-math.log1p(1)) and found["A"].d_tokens == 0.0
+
+
+def test_owners_take_the_first_row(spark):
+    owned = spark.createDataFrame([("h", "b/f", "f", "d", 0.2, 2.0, 10.0, 1.0), ("h", "a/f", "f", "d", 0.1, 1.0, 0.0, 0.0)], "commit_hash string, file_path string, filename string, dev_email string, ownership_ratio double, lines_owned double, total_lines double, edits_in_window double")
+    devs = spark.createDataFrame([("h", "d")], "hash string, email string")
+    found = one(edges.developer_file(owned, devs))
+    assert (found.ratio, found.line_share, found.log_edits) == (0.1, 1.0, 0.0)
+
+
+def test_parameters_by_form(spark):
+    files = spark.createDataFrame([("h", "f", "ADD", 10.0, 0.0, 4.0)], "hash string, filename string, change_type string, num_lines_of_code double, complexity double, token_count double")
+    rows = [("h", "f", "a", 1, 5.0, 9.0, 2.0, "['x', 'y']"), ("h", "f", "b", 4, 20.0, 1.0, 2.0, "[]"), ("h", "f", "c", 7, 1.0, 1.0, 2.0, None)]
+    functions = spark.createDataFrame(rows, "hash string, filename string, name string, start_line int, num_lines_of_code double, complexity double, token_count double, parameters string")
+    counted = {r.name: r.attr for r in edges.file_function_shares(files, functions).collect()}
+    assert counted["a"] == pytest.approx([0.5, 5.0, 0.5, 0.0, math.log1p(10), 0.0, 0.0]) and counted["b"][0] == 1.0 and counted["c"][3:5] == [1.0, 0.0]
+    lines = {r.name: r.attr for r in edges.file_function_shares(files, functions.withColumn("length", F.lit(5)), True).collect()}
+    assert lines["a"] == pytest.approx([0.5, 9.0, 0.5, 0.1, 2.0, 0.0]) and lines["b"][4] == lines["c"][4] == 0.0
+
+
+def test_masks_from_the_end_and_on_edges(spark):
+    n = spark.createDataFrame([("h", "function", "f", [1.0] * 776), ("h", "function", "g", [1.0] * 10), ("h", "developer", "d", [1.0] * 9)], "hash string, type string, node_key string, x array<double>")
+    e = spark.createDataFrame([("h", "owns", [1.0, 2.0]), ("h", "modifies_func", [1.0] * 11), ("h", "contains", [3.0])], "hash string, rel string, attr array<double>")
+    x = {r.node_key: r.x for r in scaling.apply_named(n, e, "code_embedding", "developer")[0].collect()}
+    assert x["f"] == [1.0] * 8 + [0.0] * 768 and x["g"] == [1.0] * 10 and x["d"] == [0.0] * 9
+    a = {r.rel: r.attr for r in scaling.apply_named(n, e, "developer", "function_change_type")[1].collect()}
+    assert a == {"owns": [0.0, 0.0], "modifies_func": [1.0] * 6 + [0.0] * 5, "contains": [3.0]}
+    assert scaling.apply_mask(n, scaling.mask_table(spark, [])).count() == 3
+    nodes_, _ = scaling.configured(n, e.withColumns({"src_type": F.lit("function"), "dst_type": F.lit("developer")}), "no_hunk")
+    assert {r.node_key: sum(r.x) for r in nodes_.collect()} == {"f": 771.0, "g": 5.0, "d": 9.0}
+
+
+def test_running_sums_over_hot_and_null_keys(spark):
+    rows = [("hot", i) for i in range(300)] + [("cold", 5), (None, 1), (None, 2)]
+    df = with_running_sums(spark.createDataFrame(rows, "k string, v int").repartition(5), ["k"], [F.col("v")], {"v": "s"}, totals=True)
+    found = {(r.k, r.v): (r.s, r.s_all) for r in df.collect()}
+    assert len(found) == 303 and all(found["hot", i] == (i * (i + 1) // 2, 44850) for i in range(300))
+    assert found["cold", 5] == (5, 5) and found[None, 1] == (1, 3) and found[None, 2] == (3, 3)
+
+
+def test_resample_of_one_heavy_row(spark):
+    df = spark.createDataFrame([("heavy", 1e6)] + [(f"r{i}", 1.0) for i in range(200)], "hash string, w double")
+    found = splits.weighted_resample(df, "w", 3000).groupBy("hash").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in found) == 3000 and max(r.n for r in found) > 2900
+
+
+def test_neighbour_vectors_of_mixed_widths(spark):
+    n = spark.createDataFrame([("h", "a", "1", [1.0, 2.0]), ("h", "a", "2", [3.0, 4.0]), ("h", "b", "1", [10.0])], "hash string, type string, node_key string, x array<double>")
+    rows = [("h", "r", "a", "1", "c", "t"), ("h", "r", "a", "2", "c", "t"), ("h", "q", "b", "1", "c", "t")]
+    e = spark.createDataFrame(rows, "hash string, rel string, src_type string, src_key string, dst_type string, dst_key string")
+    assert one(graphs.neighbour_vectors(n, e)).x == [12.0, 3.0]
+    assert graphs.neighbour_vectors(n.limit(0), e).count() == 0
+
+
+def test_result_rows_drop_runs_without_val(spark):
+    rows = [("a", 0, "val", 0.5), ("a", 1, "val", 0.7), ("a", 1, "train", 0.9), ("a", 0, "train", 0.8), ("a", 1, "test", 0.6), ("b", 0, "train", 0.9), ("c", 0, "val", 0.8)]
+    found = runs.result_rows(spark.createDataFrame(rows, "run string, epoch int, split string, ap double"), "ap", ["run"]).collect()
+    assert [(r.run, r.epoch, r.train_ap, r.val_ap, r.test_ap) for r in found] == [("c", 0, None, 0.8, None), ("a", 1, 0.9, 0.7, 0.6)]
+
+
+def test_linear_gradients_by_block(spark):
+    df = spark.createDataFrame([("h", 1.0, 2.0)], "hash string, a double, b double")
+    found = {r.feature: r.value for r in attribution.linear_gradients(df, ["a", "b"], [0.5, -0.25], 0.1).collect()}
+    p = 1 / (1 + math.exp(-0.1))
+    assert found == {"a": pytest.approx(0.5 * p * (1 - p)), "b": pytest.approx(-0.5 * p * (1 - p))}
+    assert one(attribution.block_totals(attribution.linear_gradients(df, ["a", "b"], [0.5, -0.25], 0.1), {"embedding": ["a", "b"]})).total == pytest.approx(0.0)
+
+
+def test_missing_columns_and_alignment(spark):
+    assert audits.missing_columns(spark.createDataFrame([("a", 1)], "hash string, v int"), ["hash", "x", "v"]) == ["x"]
 
 
 def test_variance_inflation(spark):
