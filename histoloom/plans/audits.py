@@ -57,6 +57,10 @@ QUERIES = {
         query(_repo(v.future_leak), "fx_commit"),
         oracle("SELECT count(*) AS n_train, count(*) FILTER (late) AS n_future, round(avg(CAST(late AS INT)), 6) AS share FROM (SELECT author_date > (SELECT min(author_date) FROM split WHERE repo_split = 'test') AS late FROM split WHERE repo_split = 'train')", split=_REPO),
     ),
+    "audit_split_problems": (
+        query(lambda c: v.split_problems(p.by_repo(c, _VAL, _TEST).where("NOT (repo_split = 'val' AND label = 1)").withColumn("repo_split", F.when(F.col("repo_split") == "test", "tests").otherwise(F.col("repo_split")))), "fx_commit"),
+        oracle("SELECT 'empty' AS problem, 'test' AS part UNION ALL SELECT 'no_positives', 'val' WHERE EXISTS (SELECT 1 FROM split WHERE repo_split = 'val' AND label = 0) UNION ALL SELECT 'unknown', 'tests' WHERE EXISTS (SELECT 1 FROM split WHERE repo_split = 'test')", split=_REPO),
+    ),
     "audit_verdicts": (
         query(_findings, "fx_commit"),
         oracle(

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import written
 from ..operators import attribution as h
+from ..operators import edges as e
 from ..operators import graphs as g
 from ..operators import nodes as n
 from ..operators import scaling as s
 from ..operators import splits as p
 from ..operators import statistics as d
 from .common import oracle, query
-from .graph import _FILE, melt
+from .graph import _COMMIT_SHORT, _FILE, _FN, _METRICS, melt
 from .splits import _CLASS, _TEST, _VAL
 
 _NODES = "SELECT hash, 'file' AS type, filename AS node_key, unnest([0, 1, 2]) AS dim, unnest([{}]) AS value FROM fx_file".format(", ".join(_FILE))
@@ -48,6 +49,14 @@ def _rows(c, f):
     return _file_nodes(f).join(c.select("hash", "repo_url"), "hash").withColumnRenamed("type", "group")
 
 
+def _groups(c, f, x):
+    """Vectors of three node types and two dims of a relation's attributes, with their repository."""
+    part = lambda t, name: t.select("hash", F.lit(name).alias("group"), "x")
+    edges = e.commit_file_changes(f, commits=c).select("hash", F.slice("attr", 7, 2).alias("x"))
+    rows = part(n.commit_nodes_short(c), "commit").unionByName(part(n.file_nodes(f), "file")).unionByName(part(n.function_nodes(x).withColumn("x", F.slice("x", 1, 5)), "function")).unionByName(part(edges, "has"))
+    return rows.join(c.select("hash", "repo_url"), "hash")
+
+
 def _scaled(rows, c):
     return s.apply_scaler(rows, s.fit_scaler(rows, p.by_repo(c, _VAL, _TEST)))
 
@@ -126,6 +135,14 @@ QUERIES = {
         query(lambda c, f: s.fit_scaler(_rows(c, f), p.by_repo(c, _VAL, _TEST)).select("repo_url", "dim", "mean", "std", "n"), "fx_commit", "fx_file"),
         oracle("SELECT repo_url, CAST(dim AS BIGINT) AS dim, round(mean, 6) AS mean, round(std, 6) AS std, n FROM fit", nodes=_NODES, split=_SPLIT, fit=_FIT),
     ),
+    "scale_fit_groups": (
+        query(lambda c, f, x: s.fit_scaler(_groups(c, f, x), p.by_repo(c, _VAL, _TEST)), "fx_commit_full", "fx_file_full", "fx_function_full"),
+        oracle(
+            'SELECT "group", repo_url, CAST(dim AS BIGINT) AS dim, round(mean, 6) AS mean, round(std, 6) AS std, n FROM (SELECT "group", repo_url, dim, avg(value) AS mean, sqrt(greatest(var_pop(value), 1e-12)) AS std, count(*) AS n FROM long JOIN split USING (hash) WHERE repo_split = \'train\' GROUP BY 1, 2, 3) WHERE n >= 10',
+            split=_SPLIT, fns=_FN,
+            long=" UNION ALL ".join(f"SELECT hash, '{g_}' AS \"group\", unnest(range({len(v_)})) AS dim, unnest([{', '.join(f'CAST({x_} AS DOUBLE)' for x_ in v_)}]) AS value FROM {src}" for g_, src, v_ in (("commit", "fx_commit_full", _COMMIT_SHORT), ("file", "fx_file_full", _FILE), ("function", "fns", _METRICS), ("has", "(SELECT f.*, c.num_lines_added AS ta, c.num_lines_deleted AS td FROM fx_file_full f JOIN fx_commit_full c USING (hash))", ["num_lines_added / greatest(ta, 1)", "f.num_lines_deleted / greatest(td, 1)".replace("f.", "")]))),
+        ),
+    ),
     "scale_apply": (
         query(lambda c, f: melt(_scaled(written(_rows(c, f), "rows"), c)), "fx_commit", "fx_file"),
         oracle("SELECT hash, node_key, CAST(dim AS BIGINT) AS dim, round(CASE WHEN fit.mean IS NULL THEN value ELSE (value - fit.mean) / fit.std END, 6) AS value FROM nodes JOIN split USING (hash) LEFT JOIN fit USING (repo_url, dim)", nodes=_NODES, split=_SPLIT, fit=_FIT),
@@ -161,6 +178,10 @@ QUERIES = {
         query(lambda c: h.linear_gradients(c.select("hash", *[F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in _PLAYERS]), _PLAYERS[:2], [0.01, 0.2], -2.0), "fx_commit"),
         oracle(" UNION ALL ".join(f"SELECT hash, '{f}' AS feature, round({f} * {w} * p * (1 - p), 6) AS value FROM z" for f, w in zip(_PLAYERS[:2], (0.01, 0.2), strict=True)), z="SELECT hash, num_lines_changed, num_files_changed, 1 / (1 + exp(2 - 0.01 * num_lines_changed - 0.2 * num_files_changed)) AS p FROM (SELECT hash, coalesce(CAST(num_lines_changed AS DOUBLE), 0) AS num_lines_changed, coalesce(num_files_changed, 0) AS num_files_changed FROM fx_commit)"),
     ),
+    "attribution_blocks": (
+        query(lambda c: h.block_totals(h.linear_gradients(c.select("hash", *[F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in _PLAYERS]), _PLAYERS[:2], [0.01, -0.2], -2.0), {"size": _PLAYERS[:2]}), "fx_commit"),
+        oracle("SELECT hash, 'size' AS block, round((l * 0.01 - f * 0.2) * p * (1 - p), 6) AS total FROM (SELECT *, 1 / (1 + exp(2 - 0.01 * l + 0.2 * f)) AS p FROM (SELECT hash, coalesce(CAST(num_lines_changed AS DOUBLE), 0) AS l, coalesce(num_files_changed, 0) AS f FROM fx_commit))"),
+    ),
     "attribution_removal": (
         query(lambda c: h.removal_scores(_importance(c), d.pearson(c, _PLAYERS)), "fx_commit"),
         oracle(
