@@ -336,7 +336,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", re
 
     Order is by key, null keys last. Repeated rows (same key and text) count as one document and are cut alike; rows that share
     a key with other texts are separate documents. A null or empty text, or one of less than ``PASSAGE`` words,
-    stays as it is; of a very long one every window counts. Repeats inside a document count: of a loop the first passage stays. An
+    stays as it is; of a very long one every window counts. Repeats inside a document count: of a loop its first turn stays. An
     empty table gives an empty one. The key must be an integer; helper columns give way to columns of ``docs``.
     """
     columns = [c for c in docs.columns if not report or c not in ("n_words", "n_repeated", "spans", "sources")]
