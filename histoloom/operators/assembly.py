@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OWNER_SHARE, PULL_FEATURES, TAG_FEATURES, normal_key
+from ..functions.shared import written
 from . import cleaning, edges, nodes, ownership
 
 #: Node types beside the commit that :func:`counted_graph` can leave out.
@@ -44,8 +45,8 @@ def normalised_graph(tables: dict[str, DataFrame], window_days: int = 90, least:
     (features by commit_hash and dev_email). Vectors have the embedding's width only where embeddings are given."""
     commits, features, files, functions, hunks, roles = (tables[t] for t in ("commit_info", "commit_features", "file_info", "function_info", "hunk_info", "commit_author"))
     owned = ownership.choose_window(tables["ownership_window"], window_days)
-    matched = ownership.match_files(files, owned)
-    devs = nodes.developers(roles, owned, least)
+    matched = written(ownership.match_files(files, owned), "owned")
+    devs = written(nodes.developers(roles, owned, least), "developers")
     file_x, hunk_x = nodes.file_nodes(files), nodes.hunk_nodes(hunks, hunk_embeddings, width)
     n = [typed(nodes.commit_nodes(commits, features), "commit"), typed(nodes.function_nodes(functions, embeddings, width), "function"), typed(file_x, "file"), typed(hunk_x, "hunk"), typed(nodes.developer_nodes(devs, tables["developer_info"]), "developer")]
     n += [typed(t, kind) for kind, t in nodes.process_nodes_v2(features).items()]
@@ -78,7 +79,7 @@ def _process_entities(tables: dict[str, DataFrame], commits: DataFrame, features
     if mode == 4:
         near = nodes.bracketing_tags(commits, out["release_tag"])
         out["release_tag"] = out["release_tag"].join(near.select("hash", "tag_id"), ["hash", "tag_id"], "left_semi")
-    return out
+    return {kind: written(t, kind) for kind, t in out.items()}  # nodes and several relations read them
 
 
 def _cross(left: DataFrame, right: DataFrame, rel: str, src: str, dst: str, reverse: str, features: DataFrame | None, name: str) -> DataFrame:
@@ -99,7 +100,7 @@ def counted_graph(
     has = {t: t in include and (t not in ("functions", "developers") or "files" in include) for t in TYPES}
     n, e = [typed(nodes.commit_nodes_short(commits.join(features.select("hash", *[c for c in ("days_since_prev_tag", "tags_last_180d") if c in features.columns]), "hash", "left") if mode == 4 else commits, tags=mode == 4), "commit")], []
     owned = ownership.choose_window(tables["ownership_window"], window_days)
-    matched = ownership.match_files(files, owned)
+    matched = written(ownership.match_files(files, owned), "owned") if has["files"] else None
     if has["files"]:
         n.append(typed(nodes.file_nodes_counted(files, ownership.file_ownership_with_author(matched, tables["commit_author"])), "file"))
         e.append(relation(edges.commit_file_changes(files, commits=commits), "has", "commit", "file"))
@@ -109,7 +110,7 @@ def counted_graph(
         e.append(relation(edges.file_function_shares(files, functions).select("hash", F.col("filename").alias("src_key"), key("name").alias("dst_key"), "attr"), "has", "file", "function"))
         e.append(relation(edges.co_modified(functions).select("hash", key("a").alias("src_key"), key("b").alias("dst_key"), F.array("nearness", "likeness").alias("attr")), "co_modified", "function", "function"))
     if has["developers"]:
-        flags = nodes.developers_by_role_or_share(tables["commit_author"], commits, owned, least)
+        flags = written(nodes.developers_by_role_or_share(tables["commit_author"], commits, owned, least), "developers")
         n.append(typed(nodes.developer_nodes_at_commit(flags, features, tables.get("developer_info")), "developer"))
         bot = F.array(edges.bot_flag(F.col("email")).cast("double"))
         for rel, flag in (("authored_by", "is_author"), ("committed_by", "is_committer")):
