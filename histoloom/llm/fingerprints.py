@@ -28,26 +28,43 @@ SLICE = 1000
 #: Rows of the sample, for each part, whose keys cut the parts.
 SAMPLED = 50
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Attempts that all empty bins make at once, and attempts in the table of turns.
+_FIRST, _ATTEMPTS = 8, 4096
 
 
-@lru_cache
+@lru_cache(maxsize=_FIRST)
 def _donors(bins: int, attempt: int) -> np.ndarray:
     """The bin that each empty bin turns to at this attempt: it depends on nothing else, so equal sets fill alike."""
     at = np.arange(bins, dtype=np.uint64)
     return (mix(at * np.uint64(0x1000003) + np.uint64(attempt * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) % np.uint64(bins)).astype(np.int64)
 
 
+@lru_cache
+def _turns(bins: int) -> np.ndarray:
+    """For each bin (row) the attempt at which it first turns to each other bin; those it doesn't turn to in time come last, by number."""
+    at = np.arange(bins)
+    turns = np.broadcast_to(_ATTEMPTS + 1 + at, (bins, bins)).astype(np.int32)
+    for attempt in range(_ATTEMPTS, 0, -1):
+        turns[at, _donors.__wrapped__(bins, attempt)] = attempt
+    return turns
+
+
 def _densified(least: np.ndarray, bins: int) -> np.ndarray:
-    """Fills the empty bins of the rows that have a filled one."""
+    """Fills the empty bins of the rows that have a filled one: each from the first filled bin that it turns to."""
     filled = least != _EMPTY
     rows, at = np.nonzero(~filled & filled.any(axis=1, keepdims=True))
-    out, attempt = least.copy(), 0
-    while len(rows):
-        attempt += 1
+    out = least.copy()
+    for attempt in range(1, _FIRST + 1):
         donor = _donors(bins, attempt)[at]
         got = filled[rows, donor]
         out[rows[got], at[got]] = least[rows[got], donor[got]]
         rows, at = rows[~got], at[~got]
+    # What is left lies in rows of few filled bins: the earliest of those in each bin's turns.
+    if len(rows):
+        turns, cuts = _turns(bins), np.flatnonzero(np.diff(rows)) + 1
+        for own, row in zip(np.split(at, cuts), rows[np.concatenate(([0], cuts))].tolist(), strict=True):
+            some = np.flatnonzero(filled[row])
+            out[row, own] = least[row, some[turns[own[:, None], some].argmin(axis=1)]]
     return out
 
 

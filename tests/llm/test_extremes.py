@@ -177,3 +177,21 @@ def test_edited_digest_is_of_the_edited_text(spark, odd_dir):
             k = len(texts[at]) // 3
             assert by[i] == hashlib.sha256((texts[at][: len(texts[at]) - k] + texts[at + 1][:k]).encode()).hexdigest()
     assert len(got) == len(docs)
+
+
+def test_densification_takes_the_first_filled_donor():
+    r = np.random.default_rng(7)
+    bins = 64
+    least = np.full((40, bins), fingerprints._EMPTY)
+    for i, row in enumerate(least):
+        some = r.choice(bins, min(i, bins), replace=False)
+        row[some] = r.integers(0, 1 << 60, len(some))
+    got = fingerprints._densified(least, bins)
+    assert (got[0] == fingerprints._EMPTY).all()
+    for row, out in zip(least[1:], got[1:], strict=True):
+        for b in range(bins):
+            at, attempt = b, 0
+            while row[at] == fingerprints._EMPTY:
+                attempt += 1
+                at = int(fingerprints._donors.__wrapped__(bins, attempt)[b])
+            assert out[b] == row[at]
