@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard, language, packing, quality, sharding, suffixes, token_files, url_filter
+from . import decontaminate, fingerprints, infill, interactions, jaccard, language, packing, quality, sharding, suffixes, token_files, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bound_certified": packing.op8_bound_certified,
         "op9_nb_svm": quality.op9_nb_svm,
         "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
+        "op11_fenwick_infill": infill.op11_fenwick_infill,
+        "op12_histogram_topk": topk.op12_histogram_topk,
+        "op13_filter_interactions": interactions.op13_filter_interactions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filter.ORACLE, "op10_suffix_automaton": decontaminate.ORACLE}
+    return {
+        "op5_url_filters": url_filter.ORACLE,
+        "op10_suffix_automaton": decontaminate.ORACLE,
+        "op11_fenwick_infill": infill.ORACLE,
+        "op12_histogram_topk": topk.ORACLE,
+        "op13_filter_interactions": interactions.ORACLE,
+    }
