@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.scalars import OWNER_SHARE
-from .operators import assembly, attribution, audits, graphs, history, metrics, scaling, splits
+from .operators import assembly, attribution, audits, graphs, history, history_graph, metrics, scaling, splits
 from .operators import runs as run_tables
 from .sources.tables import load_tables, write_report, write_split
 
@@ -28,21 +28,16 @@ def build_graph_tables_v2(tables: dict[str, DataFrame], ownership_window_days: i
     return assembly.normalised_graph(tables, ownership_window_days, ownership_threshold, embeddings, hunk_embeddings)
 
 
-def build_history_graph(commits: DataFrame, files: DataFrame, functions: DataFrame, parent_edges: bool = True, temporal_edges: bool = True, fixes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Edge tables across commits by relation; with ``fixes`` (vcc_hash, fc_hash) also the renames from a commit to its fix."""
-    out = {"file_evolution": history.file_evolution(files, commits), "fn_evolution": history.function_evolution(functions, commits)}
-    if "function_change_type" in functions.columns:
-        out["fn_rename"] = history.renames_within(functions)
-    if fixes is not None:
-        out["file_rename"] = history.file_renames(files, fixes, out["file_evolution"])
-        if "fn_rename" in out:
-            moved = out["fn_evolution"].select(F.col("src").alias("hash"), "name"), out["fn_rename"].select("hash", F.col("old").alias("name"))
-            out["fn_rename_to_fix"] = history.function_rename_fallback(functions, fixes, *moved)
-    if parent_edges and "parent_list" in commits.columns:
-        out["parent_of"] = history.parent_edges(commits)
-    if temporal_edges:
-        out["precedes"] = history.precedes(commits)
-    return out
+def build_history_graph(tables: dict[str, DataFrame], hashes: DataFrame | None = None, mode: int = 4, parent_edges: bool = True, temporal_edges: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of one graph over many commits, those of ``hashes`` (hash) where given: see :func:`operators.history_graph.history_graph`, which
+    takes the ``options``. :func:`number_graph` gives its nodes ids by type."""
+    if hashes is not None:
+        tables = tables | {"commit_info": tables["commit_info"].join(hashes.select("hash").distinct(), "hash", "left_semi")}
+        for name in ("commit_features", "file_info", "function_info"):
+            tables[name] = tables[name].join(tables["commit_info"].select("hash"), "hash", "left_semi")
+        for name in ("commit_author", "ownership_window"):
+            tables[name] = tables[name].join(tables["commit_info"].select(F.col("hash").alias("commit_hash")), "commit_hash", "left_semi")
+    return history_graph.history_graph(tables, mode, parents=parent_edges, order=temporal_edges, **options)
 
 
 def split(commits: DataFrame, name: str, tables: dict[str, DataFrame] | None = None, **options) -> DataFrame:
@@ -96,5 +91,6 @@ fit_scaler, apply_scaler = scaling.fit_scaler, scaling.apply_scaler
 mask, named_mask = scaling.apply_mask, scaling.named_mask
 shapley, kernel_shap = attribution.shapley, attribution.kernel_shap
 repo_commits, manifest = history.repo_commits, graphs.manifest
+number_graph = history_graph.numbered
 
-__all__ = ["apply_scaler", "build_graph_tables", "build_graph_tables_v2", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "publish_split", "repo_commits", "shapley", "split", "summarise_runs", "validate_split"]
+__all__ = ["apply_scaler", "build_graph_tables", "build_graph_tables_v2", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "number_graph", "publish_split", "repo_commits", "shapley", "split", "summarise_runs", "validate_split"]

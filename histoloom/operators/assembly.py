@@ -70,13 +70,15 @@ def normalised_graph(tables: dict[str, DataFrame], window_days: int = 90, least:
     return _all(n), _all(e)
 
 
-def _process_entities(tables: dict[str, DataFrame], commits: DataFrame, features: DataFrame, mode: int, limits: dict[str, int | None]) -> dict[str, DataFrame]:
-    """The issues, pull requests and tags that name a commit, each once and up to its limit; in mode 4 the tags next to the commit's date."""
+def _process_entities(tables: dict[str, DataFrame], commits: DataFrame, mode: int, kinds: Sequence[str], limits: dict[str, int | None]) -> dict[str, DataFrame]:
+    """The entities of ``kinds`` that name a commit, each once and up to its limit; in mode 4 the tags next to the commit's date."""
     out = {}
     for kind, (name, key) in {"issue": ("issue_info", "issue_id"), "pull_request": ("pull_request_info", "pr_id"), "release_tag": ("release_tag_info", "tag_id")}.items():
+        if kind not in kinds:
+            continue
         found = cleaning.entities_of(tables[name], commits)
         out[kind] = nodes.first_entities(found, key, limits[kind])
-    if mode == 4:
+    if mode == 4 and "release_tag" in out:
         near = nodes.bracketing_tags(commits, out["release_tag"])
         out["release_tag"] = out["release_tag"].join(near.select("hash", "tag_id"), ["hash", "tag_id"], "left_semi")
     return {kind: written(t, kind) for kind, t in out.items()}  # nodes and several relations read them
@@ -125,9 +127,9 @@ def counted_graph(
 
 def _process(tables, commits, features, mode, has, limits) -> tuple[list[DataFrame], list[DataFrame]]:
     """Process nodes of a mode with their edges to the commit, among each other, and in time."""
-    found = _process_entities(tables, commits, features, mode, limits)
-    n, e, x = [], [], {}
     kinds = [k for k, t in (("issue", "issues"), ("pull_request", "pull_requests"), ("release_tag", "tags")) if has[t]]
+    found = _process_entities(tables, commits, mode, kinds, limits)
+    n, e, x = [], [], {}
     known = features if mode in (2, 3) else None
     for kind, (rel, reverse, columns) in {"issue": ("linked_issue", "issue_of", None), "pull_request": ("linked_pr", "pr_of", PULL_FEATURES), "release_tag": ("has_release_tag", "tag_of", TAG_FEATURES)}.items():
         if kind not in kinds:

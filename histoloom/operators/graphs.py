@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import added, vector_means
+
 
 def graph_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(hash, kind, type, n): nodes by type and edges by relation of each graph."""
@@ -43,24 +45,18 @@ def with_extra(nodes: DataFrame, extra: DataFrame, width: int, keys: Sequence[st
 def neighbour_vectors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(hash, type, node_key, x): for each relation the mean of the source vectors at a target, summed over relations.
 
-    Vectors travel whole; sums and counts are taken dim by dim as columns of the widest vector, and dims that no source of a relation
-    has count as absent. The width is read first."""
-    width = nodes.agg(F.max(F.size("x"))).first()[0] or 0
-    if not width:
-        return nodes.select("hash", "type", "node_key", "x").limit(0)
+    Vectors travel and are combined whole. A null inside a vector counts as absent and keeps the places of the others; a place that no source
+    has is null. A target all of whose sources have empty vectors has no row."""
     src = nodes.select("hash", F.col("type").alias("src_type"), F.col("node_key").alias("src_key"), "x")
     flow = edges.select("hash", "rel", "src_type", "src_key", "dst_type", "dst_key").join(src, ["hash", "src_type", "src_key"])
-    dim = lambda i: F.get("x", F.lit(i))
-    means = flow.groupBy("hash", "rel", "dst_type", "dst_key").agg(*[F.avg(dim(i)).alias(f"m{i}") for i in range(width)])
-    sums = means.groupBy("hash", F.col("dst_type").alias("type"), F.col("dst_key").alias("node_key")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(width)])
-    vector = F.array(*[F.col(f"m{i}") for i in range(width)])
-    # Trailing dims that no source has go.
-    return sums.select("hash", "type", "node_key", F.filter(vector, lambda v: v.isNotNull()).alias("x"))
+    means = vector_means(flow, ["hash", "rel", "dst_type", "dst_key"])
+    sums = means.groupBy("hash", F.col("dst_type").alias("type"), F.col("dst_key").alias("node_key")).agg(F.collect_list("x").alias("_x"))  # one a relation
+    return sums.select("hash", "type", "node_key", added(F.col("_x")).alias("x"))
 
 
 def neighbour_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(hash, type, node_key, dim, value) of :func:`neighbour_vectors`."""
-    return neighbour_vectors(nodes, edges).select("hash", "type", "node_key", F.posexplode("x").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
+    """(hash, type, node_key, dim, value) of :func:`neighbour_vectors`, without places that no source has."""
+    return neighbour_vectors(nodes, edges).select("hash", "type", "node_key", F.posexplode("x").alias("dim", "value")).where("value IS NOT NULL").withColumn("dim", F.col("dim").cast("long"))
 
 
 def commit_readout(nodes: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FUNCTION_CHANGES, basename, floor_days, one_hot, signed_log
+from ..functions.scalars import DEVELOPER_AT_COMMIT, FUNCTION_CHANGES, basename, floor_days, log_count, one_hot, safe_double, signed_log
 from ..functions.shared import with_global_rank
+from ..functions.vectors import vector_means
+from .nodes import best_developer_rows
 
 
 def repo_commits(commits: DataFrame, url: str) -> DataFrame:
@@ -29,22 +33,35 @@ def dense_ids(nodes: DataFrame, key: str = "node_key") -> DataFrame:
     return with_global_rank(nodes, [F.col("hash"), F.col(key)]).withColumn("id", F.col("rank") - 1).drop("rank", "total")
 
 
-def shared_developers(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """(node_key, x): a developer once over all commits, with the greatest vector. With ``edges`` also these, ends that are developers
-    moved to the shared node: its hash is empty (src_hash, dst_hash tell each end's graph)."""
-    shared = nodes.groupBy("node_key").agg(F.max("x").alias("x"))
-    if edges is None:
-        return shared
-    end = lambda side: F.when(F.col(f"{side}_type") == "developer", "").otherwise(F.col("hash"))
-    return shared, edges.withColumns({"src_hash": end("src"), "dst_hash": end("dst")})
+def shared_developers(emails: DataFrame, info: DataFrame | None, columns: Sequence[str] = DEVELOPER_AT_COMMIT) -> DataFrame:
+    """(node_key, x): each developer of ``emails`` (node_key) once, with the log values of ``columns`` in the row of the email in ``info`` that
+    has the most commits; absent columns and missing values are 0. Developers without any take the mean of the others."""
+    zero = F.array_repeat(F.lit(0.0), len(columns))
+    people = emails.select("node_key").distinct()
+    if info is None or not any(c in info.columns for c in columns):
+        return people.select("node_key", zero.alias("x"))
+    known = best_developer_rows(info).select(F.col("email").alias("node_key"), F.array(*[log_count(safe_double(info, c)) for c in columns]).alias("x"))
+    return impute_empty(people.join(known, "node_key", "left").select("node_key", F.coalesce("x", zero).alias("x")))
 
 
 def impute_empty(nodes: DataFrame) -> DataFrame:
-    """Vectors that sum to 0 become the mean of the others, dimension by dimension."""
+    """Vectors that sum to 0 become the mean of the others, place by place; where all do they stay."""
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    means = nodes.where(total > 0).select(F.posexplode("x").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("v"))
-    mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("_mean"))  # one row, as wide as a vector
-    return nodes.join(F.broadcast(mean)).withColumn("x", F.when(total > 0, F.col("x")).otherwise(F.col("_mean"))).drop("_mean")
+    mean = vector_means(nodes.where(total > 0), []).select(F.col("x").alias("_mean"))  # one row, as wide as a vector
+    return nodes.join(F.broadcast(mean)).withColumn("x", F.when((total > 0) | (F.size("_mean") == 0), F.col("x")).otherwise(F.col("_mean"))).drop("_mean")
+
+
+def named_files(files: DataFrame) -> DataFrame:
+    """``files`` with the new path where there is no filename."""
+    if "new_path" not in files.columns:
+        return files
+    return files.withColumn("filename", F.coalesce(F.nullif("filename", F.lit("")), "new_path"))
+
+
+def with_kind(functions: DataFrame) -> DataFrame:
+    """``functions`` with ``function_change_type`` in capitals and without blanks, null where the table has none."""
+    kind = F.upper(F.trim("function_change_type")) if "function_change_type" in functions.columns else F.lit(None).cast("string")
+    return functions.withColumn("function_change_type", kind)
 
 
 def _evolution(rows: DataFrame, key: list[str], order: list[Column], keep: list[str]) -> DataFrame:
@@ -62,91 +79,114 @@ def _dated(rows: DataFrame, commits: DataFrame) -> DataFrame:
     return rows.join(dates, "hash")
 
 
+def log_gap(a: Column, b: Column) -> Column:
+    """Log of the whole days between two times, 0 where either is unknown."""
+    return F.coalesce(F.log1p(F.abs(floor_days(b, a)).cast("double")), F.lit(0.0))
+
+
 def _gap() -> Column:
-    """Log of the whole days to the next row, 0 where either date is unknown."""
-    days = F.abs(floor_days(F.col("next.author_date"), F.col("author_date")))
-    return F.when(F.col("_known") & F.col("next._known"), F.log1p(days.cast("double"))).otherwise(0.0)
+    return F.when(F.col("_known") & F.col("next._known"), log_gap(F.col("author_date"), F.col("next.author_date"))).otherwise(0.0)
 
 
-def _delta(rows: DataFrame, column: str) -> Column:
-    """Signed log of the next row's value less this one's; missing values count as 0."""
+def _change(rows: DataFrame, column: str, old: str, new: str) -> Column:
+    """Signed log of a column's new value less its old one, both under a struct's name; missing values count as 0."""
     if column not in rows.columns:
         return F.lit(0.0)
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return signed_log(zero(f"next.{column}") - zero(column))
+    zero = lambda side: F.coalesce(F.col(f"{side}{column}").cast("double"), F.lit(0.0))
+    return signed_log(zero(new) - zero(old))
+
+
+def _delta(rows: DataFrame, column: str) -> Column:
+    return _change(rows, column, "", "next.")
+
+
+def fix_gaps(pairs: DataFrame, commits: DataFrame) -> DataFrame:
+    """(vcc_hash, fc_hash, gap): pairs of which both commits are in the table, with the log of the days between them."""
+    date = lambda side: commits.select(F.col("hash").alias(f"{side}_hash"), F.col("author_date").cast("timestamp").alias(f"_{side}"))
+    return pairs.join(date("vcc"), "vcc_hash").join(date("fc"), "fc_hash").select("vcc_hash", "fc_hash", log_gap(F.col("_vcc"), F.col("_fc")).alias("gap"))
+
+
+FILE_MEASURES = ("complexity", "num_lines_of_code", "token_count")
+FUNCTION_MEASURES = ("complexity", "num_lines_of_code")
+_DELTAS = ("d_complexity", "d_lines", "d_tokens")
 
 
 def file_evolution(files: DataFrame, commits: DataFrame, scoped: bool = True) -> DataFrame:
     """(filename, src, dst, d_complexity, d_lines, d_tokens, gap): a file's consecutive commits; undated ones come first and have no gap.
     ``scoped``: within a repository.
 
-    Of two rows of one commit that follow each other there is no edge, nor one around them."""
-    rows = _dated(files, commits)
+    Of two rows of one commit that follow each other there is no edge, nor one around them. A row without a filename goes by its new path,
+    one without either is left out."""
+    rows = _dated(named_files(files), commits)
     key = ["repo_url", "filename"] if scoped else ["filename"]
-    measures = [c for c in ("complexity", "num_lines_of_code", "token_count") if c in files.columns]
-    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash")], measures)
-    return pairs.select("filename", F.col("hash").alias("src"), F.col("next.hash").alias("dst"), _delta(files, "complexity").alias("d_complexity"), _delta(files, "num_lines_of_code").alias("d_lines"), _delta(files, "token_count").alias("d_tokens"), _gap().alias("gap"))
+    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash")], [c for c in FILE_MEASURES if c in files.columns])
+    return pairs.select("filename", F.col("hash").alias("src"), F.col("next.hash").alias("dst"), *[_delta(files, c).alias(d) for c, d in zip(FILE_MEASURES, _DELTAS, strict=True)], _gap().alias("gap"))
 
 
 def function_evolution(functions: DataFrame, commits: DataFrame, scoped: bool = True) -> DataFrame:
     """(name, src, src_file, dst, dst_file, kind, d_complexity, d_lines, gap): a function's consecutive snapshots by name; kind is the source's change type one-hot."""
-    rows = _dated(functions, commits)
+    rows = _dated(with_kind(functions), commits)
     key = ["repo_url", "name"] if scoped else ["name"]
-    measures = [c for c in ("complexity", "num_lines_of_code") if c in functions.columns]
-    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash"), F.col("filename")], ["filename", *measures])
-    kind = F.upper(F.trim("function_change_type")) if "function_change_type" in rows.columns else F.lit(None).cast("string")
+    pairs = _evolution(rows, key, [F.col("author_date"), F.col("hash"), F.col("filename")], ["filename", *[c for c in FUNCTION_MEASURES if c in functions.columns]])
     return pairs.select(
-        "name", F.col("hash").alias("src"), F.col("filename").alias("src_file"), F.col("next.hash").alias("dst"), F.col("next.filename").alias("dst_file"), one_hot(kind, FUNCTION_CHANGES, "MODIFY").alias("kind"),
-        _delta(functions, "complexity").alias("d_complexity"), _delta(functions, "num_lines_of_code").alias("d_lines"), _gap().alias("gap"),
+        "name", F.col("hash").alias("src"), F.col("filename").alias("src_file"), F.col("next.hash").alias("dst"), F.col("next.filename").alias("dst_file"), one_hot(F.col("function_change_type"), FUNCTION_CHANGES, "MODIFY").alias("kind"),
+        *[_delta(functions, c).alias(d) for c, d in zip(FUNCTION_MEASURES, _DELTAS, strict=False)], _gap().alias("gap"),
     )
 
 
-def file_renames(files: DataFrame, pairs: DataFrame, evolution: DataFrame) -> DataFrame:
-    """(src, src_file, dst, dst_file): files of a vcc commit that evolve no further and are missing from its fix, to every file of the fix."""
-    old = files.select(F.col("hash").alias("vcc_hash"), F.col("filename").alias("src_file")).distinct().join(pairs, "vcc_hash")
+def file_renames(files: DataFrame, pairs: DataFrame, evolution: DataFrame, commits: DataFrame) -> DataFrame:
+    """(src, src_file, dst, dst_file, d_complexity, d_lines, d_tokens, gap): files of a vcc commit that evolve no further and are missing from
+    its fix, to every file of the fix."""
+    files = named_files(files).where("filename IS NOT NULL AND filename <> ''")
+    measures = [c for c in FILE_MEASURES if c in files.columns]
+    snapshot = F.struct("filename", *measures)
+    old = files.select(F.col("hash").alias("vcc_hash"), F.col("filename").alias("src_file"), snapshot.alias("old")).join(fix_gaps(pairs, commits), "vcc_hash")
     old = old.join(evolution.select(F.col("src").alias("vcc_hash"), F.col("filename").alias("src_file")), ["vcc_hash", "src_file"], "left_anti")
-    there = files.select(F.col("hash").alias("fc_hash"), F.col("filename").alias("dst_file")).distinct()
-    old = old.join(there.withColumnRenamed("dst_file", "src_file"), ["fc_hash", "src_file"], "left_anti")
-    return old.join(there, "fc_hash").select(F.col("vcc_hash").alias("src"), "src_file", F.col("fc_hash").alias("dst"), "dst_file")
+    there = files.select(F.col("hash").alias("fc_hash"), F.col("filename").alias("dst_file"), snapshot.alias("new"))
+    old = old.join(there.select("fc_hash", F.col("dst_file").alias("src_file")), ["fc_hash", "src_file"], "left_anti")
+    deltas = [_change(files, c, "old.", "new.").alias(d) for c, d in zip(FILE_MEASURES, _DELTAS, strict=True)]
+    return old.join(there, "fc_hash").select(F.col("vcc_hash").alias("src"), "src_file", F.col("fc_hash").alias("dst"), "dst_file", *deltas, "gap")
 
 
 def renames_within(functions: DataFrame) -> DataFrame:
-    """(hash, filename, old, new): the last renamed function before and after the change, by start line and name."""
-    rows = functions.where("function_change_type = 'RENAME'")
-    last = lambda before: rows.where(F.col("before_change") == before).groupBy("hash", "filename").agg(F.max_by("name", F.struct("start_line", "name")).alias("old" if before else "new"))
-    return last(True).join(last(False), ["hash", "filename"])
-
-
-def function_rename_fallback(functions: DataFrame, pairs: DataFrame, *outgoing: DataFrame) -> DataFrame:
-    """(src, filename, src_name, dst, dst_name): renamed vcc functions without an outgoing edge (hash, name), to all functions of the file in the fix."""
-    rows = functions.where("function_change_type = 'RENAME'").select(F.col("hash").alias("vcc_hash"), "filename", F.col("name").alias("src_name")).distinct()
+    """(hash, filename, old, new, d_complexity, d_lines): the last renamed function of a file before and after the change, by start line and name."""
+    rows = with_kind(functions).where("function_change_type = 'RENAME'")
+    snapshot = F.struct("name", *[c for c in FUNCTION_MEASURES if c in functions.columns])
+    last = lambda before: rows.where(F.col("before_change") == before).groupBy("hash", "filename").agg(F.max_by(snapshot, F.struct("start_line", "name")).alias("_old" if before else "_new"))
+    deltas = [_change(functions, c, "_old.", "_new.").alias(d) for c, d in zip(FUNCTION_MEASURES, _DELTAS, strict=False)]
+    return last(True).join(last(False), ["hash", "filename"]).select("hash", "filename", F.col("_old.name").alias("old"), F.col("_new.name").alias("new"), *deltas)
+
+
+def function_rename_fallback(functions: DataFrame, pairs: DataFrame, commits: DataFrame, *outgoing: DataFrame) -> DataFrame:
+    """(src, filename, src_name, dst, dst_name, gap): renamed functions of a vcc commit without an outgoing edge (hash, filename, name), to
+    all functions of the file in the fix, a commit of type FC."""
+    of = lambda kind: functions.join(commits.where(F.col("commit_type") == kind).select("hash"), "hash", "left_semi")
+    rows = with_kind(of("VCC")).where("function_change_type = 'RENAME'").select(F.col("hash").alias("vcc_hash"), "filename", F.col("name").alias("src_name")).distinct()
     for edges in outgoing:
-        rows = rows.join(edges.select(F.col("hash").alias("vcc_hash"), F.col("name").alias("src_name")), ["vcc_hash", "src_name"], "left_anti")
-    rows = rows.join(pairs, "vcc_hash")
-    targets = functions.select(F.col("hash").alias("fc_hash"), "filename", F.col("name").alias("dst_name")).distinct()
-    return rows.join(targets, ["fc_hash", "filename"]).select(F.col("vcc_hash").alias("src"), "filename", "src_name", F.col("fc_hash").alias("dst"), "dst_name")
+        rows = rows.join(edges.select(F.col("hash").alias("vcc_hash"), "filename", F.col("name").alias("src_name")), ["vcc_hash", "filename", "src_name"], "left_anti")
+    targets = of("FC").select(F.col("hash").alias("fc_hash"), "filename", F.col("name").alias("dst_name")).distinct()
+    return rows.join(fix_gaps(pairs, commits), "vcc_hash").join(targets, ["fc_hash", "filename"]).select(F.col("vcc_hash").alias("src"), "filename", "src_name", F.col("fc_hash").alias("dst"), "dst_name", "gap")
 
 
 def parent_edges(commits: DataFrame) -> DataFrame:
-    """(src, dst, log_days, is_merge): commit to each parent in the table. ``parent_list`` holds the parents' hashes."""
+    """(src, dst, log_days, is_merge): each parent in the table to its child. ``parent_list`` holds the parents' hashes."""
     rows = commits.select("hash", "author_date", F.explode("parent_list").alias("parent"), (F.size("parent_list") > 1).cast("int").alias("is_merge"))
     parents = commits.select(F.col("hash").alias("parent"), F.col("author_date").alias("_pd"))
-    days = F.abs(floor_days(F.col("author_date"), F.col("_pd")))
-    return rows.join(parents, "parent").select(F.col("hash").alias("src"), F.col("parent").alias("dst"), F.log1p(F.coalesce(days, F.lit(0)).cast("double")).alias("log_days"), "is_merge")
+    return rows.join(parents, "parent").select(F.col("parent").alias("src"), F.col("hash").alias("dst"), log_gap(F.col("_pd"), F.col("author_date")).alias("log_days"), "is_merge")
 
 
 def precedes(commits: DataFrame) -> DataFrame:
-    """(src, dst, log_days): each dated commit to the next of its repository."""
-    following = F.lead(F.struct("hash", "author_date")).over(Window.partitionBy("repo_url").orderBy("author_date", "hash"))
-    rows = commits.where("author_date IS NOT NULL").withColumn("next", following).where("next IS NOT NULL")
-    return rows.select(F.col("hash").alias("src"), F.col("next.hash").alias("dst"), F.log1p(floor_days(F.col("next.author_date"), F.col("author_date")).cast("double")).alias("log_days"))
+    """(src, dst, log_days): each commit to the next of its repository; undated ones come first and have no gap."""
+    rows = _dated(commits.select("hash"), commits)
+    following = F.lead(F.struct("hash", "author_date", "_known")).over(Window.partitionBy("repo_url").orderBy("author_date", "hash"))
+    return rows.withColumn("next", following).where("next IS NOT NULL").select(F.col("hash").alias("src"), F.col("next.hash").alias("dst"), _gap().alias("log_days"))
 
 
 def precedes_globally(commits: DataFrame) -> DataFrame:
     """The chain over all repositories, by global ranks: each rank joins the one after it."""
-    ranked = with_global_rank(commits.where("author_date IS NOT NULL").select("hash", "author_date"), [F.col("author_date"), F.col("hash")])
-    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("hash").alias("dst"), F.col("author_date").alias("_d"))
-    return ranked.join(after, "rank").select(F.col("hash").alias("src"), "dst", F.log1p(floor_days(F.col("_d"), F.col("author_date")).cast("double")).alias("log_days"))
+    ranked = with_global_rank(_dated(commits.select("hash"), commits).select("hash", "author_date", "_known"), [F.col("author_date"), F.col("hash")])
+    after = ranked.select((F.col("rank") - 1).alias("rank"), F.struct("hash", "author_date", "_known").alias("next"))
+    return ranked.join(after, "rank").select(F.col("hash").alias("src"), F.col("next.hash").alias("dst"), _gap().alias("log_days"))
 
 
 def chain_candidates(mapping: DataFrame, known: DataFrame) -> DataFrame:

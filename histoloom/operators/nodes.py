@@ -150,9 +150,10 @@ def developers_by_role_or_share(roles: DataFrame, commits: DataFrame, ownership:
 
 
 def best_developer_rows(info: DataFrame) -> DataFrame:
-    """One row an email: most total_commits, then the least commit hash."""
+    """One row an email: most total_commits, where the table has them, then the least commit hash."""
     named = info.withColumn("email", normal_key(F.col("dev_email" if "dev_email" in info.columns else "dev_id")))
-    return keep_first(named, ["email"], [F.desc_nulls_last("total_commits"), *[c for c in ("commit_hash",) if c in info.columns]])
+    order = [F.desc_nulls_last(c) for c in ("total_commits",) if c in info.columns] + [F.col(c) for c in ("commit_hash",) if c in info.columns]
+    return keep_first(named, ["email"], order or ["email"])
 
 
 def process_nodes(features: DataFrame, columns: Sequence[str], logged: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.vectors import vector_moments
 from .graphs import without_types
 
 # Named masks as type (of a node, or a relation), first and last dim; -1 is the vector's last.
@@ -36,21 +37,22 @@ def fit_scaler(rows: DataFrame, split: DataFrame, least: int = 10) -> DataFrame:
     fewer than ``least`` rows have none. ``rows``: hash, repo_url, group, x; a vector with a bad number is left out whole."""
     train = rows.join(split.where("repo_split = 'train'").select("hash").distinct(), "hash", "left_semi")
     good = train.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    long = good.select("group", "repo_url", F.posexplode("x").alias("dim", "v"))
-    fit = long.groupBy("group", "repo_url", F.col("dim").cast("long").alias("dim")).agg(F.avg("v").alias("mean"), F.sqrt(F.greatest(F.var_pop("v"), F.lit(1e-12))).alias("std"), F.count("*").alias("n"))
-    return fit.where(F.col("n") >= least)
+    fit = vector_moments(good, ["group", "repo_url"]).where(F.col("n") >= least)
+    return fit.select("group", "repo_url", "dim", "mean", F.sqrt(F.greatest("variance", F.lit(1e-12))).alias("std"), "n")
 
 
 def scaler_vectors(scaler: DataFrame) -> DataFrame:
-    """(group, repo_url, scale): one row a repository and group, dims in order."""
-    return scaler.groupBy("group", "repo_url").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.struct("mean", "std")))).alias("scale"))
+    """(group, repo_url, means, stds): one row a repository and group, arrays by dim with nulls where a dim has no entry."""
+    found = scaler.groupBy("group", "repo_url").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.struct("mean", "std")))).alias("_scale"), F.max("dim").alias("_last"))
+    at = lambda name: F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last")), lambda i: F.element_at("_scale", i)[name])
+    return found.select("group", "repo_url", at("mean").alias("means"), at("std").alias("stds"))
 
 
 def apply_scaler(rows: DataFrame, scaler: DataFrame) -> DataFrame:
     """``rows`` with x scaled by its repository's dims; unknown repositories and dims stay as they are."""
     wide = rows.join(scaler_vectors(scaler), ["group", "repo_url"], "left")
-    scaled = F.transform("x", lambda v, i: F.when(F.col("scale").isNotNull() & F.map_contains_key("scale", i.cast("long")), (v - F.element_at("scale", i.cast("long"))["mean"]) / F.element_at("scale", i.cast("long"))["std"]).otherwise(v))
-    return wide.withColumn("x", F.when(F.col("scale").isNull(), F.col("x")).otherwise(scaled)).drop("scale")
+    scaled = F.transform("x", lambda v, i: F.coalesce((v - F.get("means", i)) / F.get("stds", i), v))
+    return wide.withColumn("x", F.when(F.col("means").isNull(), F.col("x")).otherwise(scaled)).drop("means", "stds")
 
 
 def mask_table(spark, masks: Sequence[tuple[str, int, int]]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import assembly, audits, features, graph, history, metrics, ownership, runs, splits, statistics
+from . import assembly, audits, features, graph, history, history_graph, metrics, ownership, runs, splits, statistics
 from .common import Query
 
-_MODULES = [ownership, statistics, splits, audits, metrics, graph, assembly, history, features, runs]
+_MODULES = [ownership, statistics, splits, audits, metrics, graph, assembly, history, history_graph, features, runs]
 
 
 def queries() -> dict[str, Query]:

@@ -57,31 +57,27 @@ QUERIES = {
         ),
     ),
     "history_file_renames": (
-        query(lambda f, c: x.file_renames(f, _pairs(c), x.file_evolution(f, c)), "fx_file_full", "fx_commit"),
+        query(lambda f, c: x.file_renames(f, _pairs(c), x.file_evolution(f, c), c).select("src", "src_file", "dst", "dst_file"), "fx_file_full", "fx_commit"),
         oracle("SELECT p.vcc_hash AS src, o.filename AS src_file, p.fc_hash AS dst, n.filename AS dst_file FROM pairs p JOIN fx_file o ON o.hash = p.vcc_hash JOIN fx_file n ON n.hash = p.fc_hash WHERE NOT EXISTS (SELECT 1 FROM evo e WHERE e.src = p.vcc_hash AND e.filename = o.filename) AND NOT EXISTS (SELECT 1 FROM fx_file t WHERE t.hash = p.fc_hash AND t.filename = o.filename)", pairs=_PAIRS, dated=_ALL_DATED, files=_FILES, evo=_EVO),
     ),
     "history_renames_within": (
-        query(lambda f: x.renames_within(_renamed(f)), "fx_function"),
+        query(lambda f: x.renames_within(_renamed(f)).select("hash", "filename", "old", "new"), "fx_function"),
         oracle("SELECT hash, filename, max_by(name, {'s': start_line, 'n': name}) FILTER (before_change) AS old, max_by(name, {'s': start_line, 'n': name}) FILTER (NOT before_change) AS new FROM fx_function WHERE complexity > 20 GROUP BY 1, 2 HAVING bool_or(before_change) AND bool_or(NOT before_change)"),
     ),
     "history_rename_fallback": (
-        query(lambda f, c: x.function_rename_fallback(_renamed(f), _pairs(c), x.function_evolution(f, c).select(F.col("src").alias("hash"), "name")), "fx_function_full", "fx_commit"),
-        oracle("SELECT DISTINCT p.vcc_hash AS src, o.filename, o.name AS src_name, p.fc_hash AS dst, n.name AS dst_name FROM pairs p JOIN fx_function o ON o.hash = p.vcc_hash AND o.complexity > 20 JOIN fx_function n ON n.hash = p.fc_hash AND n.filename = o.filename WHERE NOT EXISTS (SELECT 1 FROM fns e WHERE e.hash = p.vcc_hash AND e.name = o.name AND e.nx IS NOT NULL AND e.nx.h <> e.hash)", pairs=_PAIRS, dated=_ALL_DATED, fns=_FNS),
+        query(lambda f, c: x.function_rename_fallback(_renamed(f), _pairs(c), c, x.function_evolution(f, c).select(F.col("src").alias("hash"), F.col("src_file").alias("filename"), "name")).drop("gap"), "fx_function_full", "fx_commit"),
+        oracle("SELECT DISTINCT p.vcc_hash AS src, o.filename, o.name AS src_name, p.fc_hash AS dst, n.name AS dst_name FROM pairs p JOIN fx_function o ON o.hash = p.vcc_hash AND o.complexity > 20 JOIN fx_function n ON n.hash = p.fc_hash AND n.filename = o.filename WHERE NOT EXISTS (SELECT 1 FROM fns e WHERE e.hash = p.vcc_hash AND e.filename = o.filename AND e.name = o.name AND e.nx IS NOT NULL AND e.nx.h <> e.hash)", pairs=_PAIRS, dated=_ALL_DATED, fns=_FNS),
     ),
     "history_parents": (
         query(lambda c: x.parent_edges(_with_parents(c)).withColumn("is_merge", F.col("is_merge").cast("long")), "fx_commit"),
-        oracle("SELECT c.hash AS src, p.hash AS dst, round(ln(1 + abs(floor(epoch(CAST(c.author_date AS TIMESTAMP) - CAST(p.author_date AS TIMESTAMP)) / 86400))), 6) AS log_days, CAST(len(parent_list) > 1 AS BIGINT) AS is_merge FROM (SELECT *, unnest(parent_list) AS parent FROM parents) c JOIN fx_commit p ON p.hash = c.parent", parents=_PARENTS),
+        oracle("SELECT p.hash AS src, c.hash AS dst, round(ln(1 + abs(floor(epoch(CAST(c.author_date AS TIMESTAMP) - CAST(p.author_date AS TIMESTAMP)) / 86400))), 6) AS log_days, CAST(len(parent_list) > 1 AS BIGINT) AS is_merge FROM (SELECT *, unnest(parent_list) AS parent FROM parents) c JOIN fx_commit p ON p.hash = c.parent", parents=_PARENTS),
+    ),
+    "history_precedes_undated": (
+        query(lambda c: x.precedes(_undated(c)), "fx_commit"),
+        oracle(f"SELECT src, dst, round(coalesce({_GAP.format('d', 'author_date')}, 0), 6) AS log_days FROM (SELECT hash AS src, author_date, lead(hash) OVER w AS dst, lead(author_date) OVER w AS d FROM dated WINDOW w AS (PARTITION BY repo_url ORDER BY coalesce(author_date, DATE '1970-01-01'), hash)) WHERE dst IS NOT NULL", dated=_DATED),
     ),
     "history_precedes": (query(x.precedes, "fx_commit"), oracle(f"SELECT src, dst, round({_GAP.format('d', 'author_date')}, 6) AS log_days FROM (SELECT hash AS src, author_date, lead(hash) OVER w AS dst, lead(author_date) OVER w AS d FROM fx_commit WINDOW w AS (PARTITION BY repo_url ORDER BY author_date, hash)) WHERE dst IS NOT NULL")),
     "history_precedes_globally": (query(x.precedes_globally, "fx_commit"), oracle(f"SELECT src, dst, round({_GAP.format('d', 'author_date')}, 6) AS log_days FROM (SELECT hash AS src, author_date, lead(hash) OVER w AS dst, lead(author_date) OVER w AS d FROM fx_commit WINDOW w AS (ORDER BY author_date, hash)) WHERE dst IS NOT NULL")),
-    "history_shared_developers": (
-        query(lambda w: x.shared_developers(w.select(F.col("dev_email").alias("node_key"), F.array(F.col("ownership_ratio").cast("double")).alias("x"))).select("node_key", F.col("x")[0].alias("value")), "fx_ownership"),
-        oracle("SELECT dev_email AS node_key, round(max(ownership_ratio), 6) AS value FROM fx_ownership GROUP BY 1"),
-    ),
-    "history_shared_edges": (
-        query(lambda w: x.shared_developers(w.select(F.col("dev_email").alias("node_key"), F.array(F.col("ownership_ratio").cast("double")).alias("x")), w.select(F.col("commit_hash").alias("hash"), F.lit("developer").alias("src_type"), F.col("dev_email").alias("src_key"), F.lit("file").alias("dst_type"), F.col("file_path").alias("dst_key")))[1].select("src_hash", "src_key", "dst_hash", "dst_key"), "fx_ownership"),
-        oracle("SELECT '' AS src_hash, dev_email AS src_key, commit_hash AS dst_hash, file_path AS dst_key FROM fx_ownership"),
-    ),
     "history_padded_union": (
         query(lambda c, f: x.padded_union(n.commit_nodes(c), n.file_nodes(f)).groupBy(F.size("x").cast("long").alias("width")).agg(F.count("*").alias("n")), "fx_commit", "fx_file"),
         oracle("SELECT CAST(14 AS BIGINT) AS width, (SELECT count(*) FROM fx_commit) + (SELECT count(*) FROM fx_file) AS n"),

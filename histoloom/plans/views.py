@@ -44,11 +44,11 @@ SELECT CAST(l_orderkey AS STRING) AS commit_hash, 'author' AS role, 'dev' || CAS
 FROM {lineitem} GROUP BY l_orderkey UNION ALL
 SELECT CAST(l_orderkey AS STRING), 'committer', 'dev' || CAST(MAX(l_suppkey) AS STRING) FROM {lineitem} GROUP BY l_orderkey""",
     "fx_commit_full": """
-SELECT c.*, CAST(c.hash AS BIGINT) % 5 <> 0 AS in_main_branch, CAST(c.hash AS BIGINT) % 7 = 0 AS merge, 10 * l.tax * l.disc AS dmm_unit_interfacing,
+SELECT c.*, CAST(c.hash AS BIGINT) % 5 <> 0 AS in_main_branch, CAST(c.hash AS BIGINT) % 7 = 0 AS merge, CASE WHEN l.added IS NOT NULL THEN CAST(CAST(c.hash AS BIGINT) * 31 % 97 AS DOUBLE) / 97 END AS dmm_unit_interfacing,
   (CAST(c.hash AS BIGINT) % 25 - 12) * 3600 AS author_timezone, (CAST(c.hash AS BIGINT) % 13 - 6) * 1800 AS committer_timezone,
   CAST(c.author_date AS TIMESTAMP) + (CAST(c.hash AS BIGINT) % 1440) * INTERVAL '1' MINUTE AS authored_at,
   l.added AS num_lines_added, l.deleted AS num_lines_deleted, 'dev' || c.author AS committer
-FROM {fx_commit} c LEFT JOIN (SELECT CAST(l_orderkey AS STRING) AS hash, AVG(l_tax) AS tax, AVG(l_discount) AS disc,
+FROM {fx_commit} c LEFT JOIN (SELECT CAST(l_orderkey AS STRING) AS hash,
   SUM(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS added, SUM(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_quantity END) AS deleted
   FROM {lineitem} GROUP BY l_orderkey) l ON l.hash = c.hash""",
     "fx_file_full": """
@@ -65,10 +65,10 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey, p_bran
     "fx_process": """
 SELECT hash, CASE WHEN k % 4 = 0 THEN 0.0 ELSE 1.0 END AS has_sdlc_data, k % 17 AS repo_commits_last_30d, k % 41 AS repo_commits_last_90d, k % 11 AS repo_active_authors_90d,
   k % 3 AS issue_open_30d, files AS issue_open_90d, files + k % 5 AS issue_open_180d, lines / 7 AS issue_age_median, k % 6 AS issues_closed_last_90d, k % 19 AS issues_closed_last_180d,
-  k % 8 / 30.0 AS issue_open_velocity_30d, k % 23 / 90.0 AS issue_open_velocity_90d, k % 9 AS pr_count_30d, k % 13 AS pr_count_90d, k % 29 AS pr_count_180d, lines / 11 AS pr_age_median,
-  k % 10 AS pr_closed_last_90d, k % 31 AS pr_closed_last_180d, k % 14 / 30.0 AS pr_open_velocity_30d, k % 37 / 90.0 AS pr_open_velocity_90d, k % 43 AS days_since_prev_tag, k % 4 AS tags_last_180d,
-  k % 7 AS tags_last_365d, lines / 3 AS avg_release_cadence_days, k % 43 / 43.0 AS days_since_prev_tag_norm, k % 997 AS dev_experience_days, k % 211 AS dev_commits_before, k % 2 AS dev_is_new_contributor,
-  k % 15 / 10.0 AS pr_to_issue_open_ratio_90d, k % 18 / 10.0 AS issue_to_pr_closed_ratio_90d, k % 2 AS has_issue_pr_gap, k % 53 AS activity_since_last_tag,
+  CAST(k % 8 AS DOUBLE) / 30 AS issue_open_velocity_30d, CAST(k % 23 AS DOUBLE) / 90 AS issue_open_velocity_90d, k % 9 AS pr_count_30d, k % 13 AS pr_count_90d, k % 29 AS pr_count_180d, lines / 11 AS pr_age_median,
+  k % 10 AS pr_closed_last_90d, k % 31 AS pr_closed_last_180d, CAST(k % 14 AS DOUBLE) / 30 AS pr_open_velocity_30d, CAST(k % 37 AS DOUBLE) / 90 AS pr_open_velocity_90d, k % 43 AS days_since_prev_tag, k % 4 AS tags_last_180d,
+  k % 7 AS tags_last_365d, lines / 3 AS avg_release_cadence_days, CAST(k % 43 AS DOUBLE) / 43 AS days_since_prev_tag_norm, k % 997 AS dev_experience_days, k % 211 AS dev_commits_before, k % 2 AS dev_is_new_contributor,
+  CAST(k % 15 AS DOUBLE) / 10 AS pr_to_issue_open_ratio_90d, CAST(k % 18 AS DOUBLE) / 10 AS issue_to_pr_closed_ratio_90d, k % 2 AS has_issue_pr_gap, k % 53 AS activity_since_last_tag,
   CASE WHEN k % 3 = 0 THEN NULL ELSE 'v' || CAST(k % 5 AS STRING) || '.' || CAST(k % 2 AS STRING) || CASE WHEN k % 7 = 0 THEN '-rc1' ELSE '' END END AS prev_tag_name
 FROM (SELECT hash, CAST(hash AS BIGINT) AS k, coalesce(CAST(num_files_changed AS DOUBLE), 0) AS files, coalesce(CAST(num_lines_changed AS DOUBLE), 0) AS lines FROM {fx_commit}) t""",
     "fx_issue": """

@@ -25,7 +25,7 @@ def cell(v) -> str:
         return "null"
     kind = type(v).__name__
     if kind.startswith(("float", "Decimal")):
-        return f"{float(v):.5f}".replace("-0.00000", "0.00000")
+        return f"{float(v):.6f}".replace("-0.000000", "0.000000")
     if kind.startswith(("int", "bool")):
         return str(int(v))
     return str(v)

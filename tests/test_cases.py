@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from histoloom import api
 from histoloom.functions import scalars as c
+from histoloom.functions import vectors
 from histoloom.functions.shared import with_global_rank, with_running_sums
-from histoloom.operators import attribution, audits, cleaning, edges, graphs, history, metrics, nodes, ownership, runs, scaling, splits, statistics
+from histoloom.operators import attribution, audits, cleaning, edges, graphs, history, history_graph, metrics, nodes, ownership, runs, scaling, splits, statistics
 from histoloom.sources import tables
 
 
@@ -280,12 +281,70 @@ def test_splits_by_name(spark, source_tables):
         assert {r.repo_split for r in parts} == {"train", "val", "test"} and sum(r["count"] for r in parts) == commits.count()
 
 
-def test_history_graph_with_renames(spark, source_tables):
-    commits, files, functions = (source_tables[t] for t in ("commit_info", "file_info", "function_info"))
+def test_history_graph_is_one_graph(spark, source_tables):
+    commits = source_tables["commit_info"]
     fixes = commits.where("commit_type = 'VCC'").select(F.col("hash").alias("vcc_hash"), "author").join(commits.where("commit_type = 'FC'").select(F.col("hash").alias("fc_hash"), "author"), "author").groupBy("vcc_hash").agg(F.min("fc_hash").alias("fc_hash"))
-    found = api.build_history_graph(commits, files, functions, fixes=fixes)
-    assert set(found) == {"file_evolution", "fn_evolution", "fn_rename", "file_rename", "fn_rename_to_fix", "precedes"}
-    assert all(found[k].count() > 0 for k in ("file_evolution", "fn_evolution", "file_rename", "precedes"))
+    few = commits.where("cast(hash as int) % 3 = 0").select("hash")
+    n, e = api.build_history_graph({**source_tables, "fixes": fixes}, few, mode=4)
+    n, e = n.persist(), e.persist()
+    assert {r.hash for r in n.where("type = 'commit'").select("hash").collect()} == {r.hash for r in few.collect()}
+    assert n.where("type = 'developer'").select("node_key").distinct().count() == n.where("type = 'developer'").count() > 0
+    for side in ("src", "dst"):  # every end is a node
+        assert e.join(n.select(F.col("type").alias(f"{side}_type"), F.col("hash").alias(f"{side}_hash"), F.col("node_key").alias(f"{side}_key")), [f"{side}_type", f"{side}_hash", f"{side}_key"], "left_anti").count() == 0
+    widths = {(r.rel, r.src_type): (r.a, r.b) for r in e.groupBy("rel", "src_type").agg(F.min(F.size("attr")).alias("a"), F.max(F.size("attr")).alias("b")).collect()}
+    assert all(a == b for a, b in widths.values())
+    assert [widths[k][0] for k in (("file_evolution", "file"), ("fn_evolution", "function"), ("precedes", "commit"), ("owns", "developer"), ("has", "commit"))] == [4, 8, 1, 3, 10]
+    assert n.groupBy("type").agg(F.min(F.size("x")).alias("a"), F.max(F.size("x")).alias("b")).where("a <> b").count() == 0
+    ids, ended = api.number_graph(n, e)
+    for r in ids.groupBy("type").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count_distinct("id").alias("n"), F.count("*").alias("all")).collect():
+        assert (r.a, r.b, r.n) == (0, r.n - 1, r["all"])
+    assert ended.count() == e.count()
+
+
+def test_history_edges_by_hand(spark):
+    commits = spark.sql("SELECT * FROM VALUES ('v', 'r', 'VCC', timestamp'2020-01-01 00:00:00', array()), ('f', 'r', 'FC', timestamp'2020-01-04 12:00:00', array('v', 'u')), ('u', 'r', 'normal', null, array('v', 'x')) AS t(hash, repo_url, commit_type, author_date, parent_list)")
+    fixes = spark.createDataFrame([("v", "f"), ("v2", "f")], "vcc_hash string, fc_hash string")
+    files = spark.createDataFrame([("v", "old.c", None, 5.0, 10.0), ("v", "same.c", None, 1.0, 1.0), ("f", "", "new.c", 2.0, 13.0), ("f", "same.c", None, 1.0, 1.0), ("f", None, None, 9.0, 9.0)], "hash string, filename string, new_path string, complexity double, num_lines_of_code double")
+    got = {(r.src_key, r.dst_key): [round(x, 6) for x in r.attr] for r in history_graph.file_edges(files, commits, fixes).collect()}
+    log = lambda x: round(math.log1p(x), 6)
+    assert got == {("same.c", "same.c"): [0.0, 0.0, 0.0, log(3)], ("old.c", "new.c"): [-log(3), log(3), 0.0, log(3)], ("old.c", "same.c"): [-log(4), -log(9), 0.0, log(3)]}
+    rows = [("v", "a.c", "one", 1, " rename", True, 4.0, 2.0), ("v", "a.c", "two", 2, "RENAME", False, 1.0, 2.0), ("v", "a.c", "lost", 0, "RENAME", True, 1.0, 1.0), ("f", "a.c", "three", 1, "MODIFY", False, 7.0, 7.0), ("f", "b.c", "two", 1, "add", False, 3.0, 2.0)]
+    functions = spark.createDataFrame(rows, "hash string, filename string, name string, start_line int, function_change_type string, before_change boolean, complexity double, num_lines_of_code double")
+    got = {(r.src_key, r.dst_key): ([int(x) for x in r.attr[:5]].index(1), [round(x, 6) for x in r.attr[5:]]) for r in history_graph.function_edges(functions, commits, fixes).collect()}
+    assert got == {("a.c::two", "b.c::two"): (3, [log(2), 0.0, log(3)]), ("a.c::one", "a.c::two"): (3, [-log(3), 0.0, 0.0]), ("a.c::lost", "a.c::three"): (3, [0.0, 0.0, log(3)])}
+    edges_ = {(r.rel, r.src_key, r.dst_key): [round(x, 6) for x in r.attr] for t in history_graph.commit_edges(commits) for r in t.collect()}
+    assert edges_ == {("parent_of", "v", "f"): [log(3), 1.0], ("parent_of", "u", "f"): [0.0, 1.0], ("parent_of", "v", "u"): [0.0, 1.0], ("precedes", "u", "v"): [0.0], ("precedes", "v", "f"): [log(3)]}
+
+
+def test_developers_are_shared_and_filled(spark):
+    emails = spark.createDataFrame([("a@x",), ("b@x",), ("a@x",), ("c@x",)], "node_key string")
+    info = spark.createDataFrame([(" A@x", 5, 3.0), ("a@x", 9, 1.0), ("b@x", 1, 7.0), ("c@x", 1, None)], "dev_id string, total_commits int, dev_commits_before double")
+    got = {r.node_key: [round(v, 6) for v in r.x] for r in history.shared_developers(emails, info).collect()}
+    mean = (math.log1p(1) + math.log1p(7)) / 2
+    assert got == {"a@x": [0.0, round(math.log1p(1), 6), 0.0], "b@x": [0.0, round(math.log1p(7), 6), 0.0], "c@x": [0.0, round(mean, 6), 0.0]}
+    assert {tuple(r.x) for r in history.shared_developers(emails, None).collect()} == {(0.0, 0.0, 0.0)}
+    assert {tuple(r.x) for r in history.shared_developers(emails, info.where("dev_id = 'c@x'")).collect()} == {(0.0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("width", [3, 776])
+def test_neighbour_vectors_keep_places(spark, width):
+    rest = [0.5] * (width - 3)
+    nodes_ = spark.createDataFrame([("h", "file", "a", [1.0, None, 3.0, *rest]), ("h", "file", "b", [3.0, None, None, *rest]), ("h", "dev", "d", [10.0]), ("h", "dev", "e", []), ("h", "commit", "h", [0.0])], "hash string, type string, node_key string, x array<double>")
+    edges_ = spark.createDataFrame([("h", "of", "file", k, "commit", "h") for k in "ab"] + [("h", "by", "dev", k, "commit", "h") for k in "de"] + [("h", "only", "dev", "e", "file", "a")], "hash string, rel string, src_type string, src_key string, dst_type string, dst_key string")
+    assert [(r.type, r.x) for r in graphs.neighbour_vectors(nodes_, edges_).collect()] == [("commit", [12.0, None, 3.0, *rest])]
+    assert [(r.dim, r.value) for r in graphs.commit_readout(nodes_, edges_).orderBy("dim").collect()][:2] == [(0, 12.0), (2, 3.0)]
+
+
+def test_moments_of_ragged_vectors(spark):
+    r = random.Random(4)
+    rows = [(k, [r.gauss(5, 2) for _ in range(r.choice((2, 3, 3)))]) for k in "ab" for _ in range(50)] + [("a", []), ("a", None)]
+    got = {(x.k, x.dim): (x.n, x.mean, x.variance) for x in vectors.vector_moments(spark.createDataFrame(rows, "k string, x array<double>").repartition(5), ["k"]).collect()}
+    for k in "ab":
+        for d in range(3):
+            v = [x[d] for key, x in rows if key == k and x and len(x) > d]
+            assert got[k, d][0] == len(v) and got[k, d][1] == pytest.approx(sum(v) / len(v)) and got[k, d][2] == pytest.approx(sum((y - sum(v) / len(v)) ** 2 for y in v) / len(v))
+    holed = spark.createDataFrame([("k", [1.0, None]), ("k", [2.0, 4.0, 6.0]), ("k", [None, None])], "k string, x array<double>")
+    assert [(x.sums, x.counts) for x in vectors.vector_sums(holed, ["k"]).collect()] == [([3.0, 4.0, 6.0], [2.0, 1.0, 1.0])]
 
 
 def test_undated_rows_have_no_gap(spark):
