@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 
 def shapley(scores: DataFrame, k: int) -> DataFrame:
     """(hash, player, phi), exact: each mask's score counts for player i with the weight of its size, plus if i is in it, minus if not.
@@ -30,24 +33,77 @@ def efficiency_errors(phi: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return off.agg(F.max("e").alias("max_error"), F.avg("e").alias("mean_error"))
 
 
-def kernel_coefficients(masks: Sequence[int], m: int, ridge: float = 1e-8) -> np.ndarray:
+def kernel_weight(m: int, size: int) -> float:
+    """The Shapley kernel's weight of one coalition; large for none and all."""
+    return 1e6 if size in (0, m) else (m - 1) / (math.comb(m, size) * size * (m - size))
+
+
+def sampled_coalitions(m: int, most: int, seed: int = 42) -> list[tuple[int, float]]:
+    """(mask, weight) of distinct coalitions of ``m`` players: none, all, and at most ``most`` others; all 2^m where they are no more.
+
+    From the smallest and largest sizes inwards, sizes of which all coalitions fit are taken whole, with the kernel's weights. The rest is drawn: a size
+    by its share of the kernel, a coalition of it at random, and its complement with it; the drawn ones of a pair of sizes share its weight. So
+    the result depends on the seed alone, and main effects and pairwise interactions are met without sampling error."""
+    if not 1 <= m <= 62:
+        raise ValueError("a mask holds 1 to 62 players")
+    found = {0: kernel_weight(m, 0), (1 << m) - 1: kernel_weight(m, m)}
+    left, size = most, 1
+    while size <= m // 2:
+        pair = math.comb(m, size) * (1 if 2 * size == m else 2)
+        if pair > left:
+            break
+        for players in combinations(range(m), size):
+            mask = sum(1 << i for i in players)
+            found[mask] = found[(1 << m) - 1 - mask] = kernel_weight(m, size)
+        left, size = left - pair, size + 1
+    sizes = list(range(size, m // 2 + 1))
+    if not sizes:
+        return sorted(found.items())
+    total = [math.comb(m, s) * kernel_weight(m, s) * (1 if 2 * s == m else 2) for s in sizes]
+    rng, drawn = np.random.default_rng(seed), {s: set() for s in sizes}
+    share, tries = np.array(total) / sum(total), 0
+    while left >= 2 and tries < 100 * most:
+        s = sizes[rng.choice(len(sizes), p=share)]
+        mask, tries = sum(1 << int(i) for i in rng.choice(m, s, replace=False)), tries + 1
+        if mask not in drawn[s]:
+            drawn[s] |= {mask, (1 << m) - 1 - mask} if 2 * s == m else {mask}
+            left -= 2
+    count = sum(len(x) * (1 if 2 * s == m else 2) for s, x in drawn.items())
+    for s, masks in drawn.items():
+        for mask in masks:
+            found[mask] = found[(1 << m) - 1 - mask] = sum(total) / count
+    return sorted(found.items())
+
+
+def coalition_table(spark: SparkSession, coalitions: Sequence[tuple[int, float]]) -> DataFrame:
+    """(mask, weight), as data to join with rows or scores."""
+    return spark.createDataFrame([(int(mask), float(weight)) for mask, weight in coalitions], "mask long, weight double")
+
+
+def kernel_coefficients(masks: Sequence[int], m: int, weights: Sequence[float] | None = None, ridge: float = 1e-8) -> np.ndarray:
     """The M x n matrix that turns the scores of the sampled masks, less that of none, into weighted least-squares phi. It depends on
     masks alone, so it is solved once on the driver."""
     z = np.array([[mask >> i & 1 for i in range(m)] for mask in masks], dtype=float)
-    size = z.sum(axis=1)
-    w = np.array([1e6 if s in (0, m) else (m - 1) / (math.comb(m, int(s)) * s * (m - s)) for s in size])
+    w = np.array(weights if weights is not None else [kernel_weight(m, int(s)) for s in z.sum(axis=1)])
     zw = z * w[:, None]
     return np.linalg.solve(zw.T @ z + ridge * np.eye(m), zw.T)
 
 
-def kernel_shap(scores: DataFrame, masks: Sequence[int], m: int) -> DataFrame:
-    """(hash, player, phi): approximate from the sampled masks (0 and all among them), each row scaled so that its sum is the full gain."""
+def kernel_shap(scores: DataFrame, masks: Sequence[int] | Sequence[tuple[int, float]], m: int) -> DataFrame:
+    """(hash, player, phi): approximate from the scores of sampled masks (0 and all among them), each row scaled so that its sum is the full gain.
+
+    ``masks`` may come with weights, as :func:`sampled_coalitions` gives them; else the kernel's hold. They and their coefficients are a small
+    table (one row a mask) that is joined to the scores."""
     spark = scores.sparkSession
-    coefficients = kernel_coefficients(masks, m)
-    table = spark.createDataFrame([(int(mask), [float(x) for x in coefficients[:, j]]) for j, mask in enumerate(masks)], "mask long, coef array<double>")
-    base = scores.groupBy("hash").agg(F.max(F.when(F.col("mask") == 0, F.col("prob"))).alias("v0"), F.max(F.when(F.col("mask") == (1 << m) - 1, F.col("prob"))).alias("v1"))
-    wide = scores.join(F.broadcast(table), "mask").join(base, "hash")
-    sums = wide.groupBy("hash", "v0", "v1").agg(*[F.sum(F.element_at("coef", i + 1) * (F.col("prob") - F.col("v0"))).alias(f"p{i}") for i in range(m)])
+    pairs = [x if isinstance(x, tuple) else (x, kernel_weight(m, int(x).bit_count())) for x in masks]
+    coefficients = kernel_coefficients([x for x, _ in pairs], m, [w for _, w in pairs])
+    table = spark.createDataFrame([(int(mask), [float(x) for x in coefficients[:, j]]) for j, (mask, _) in enumerate(pairs)], "mask long, coef array<double>")
+    wide = scores.join(F.broadcast(table), "mask")
+    at = lambda mask: F.max(F.when(F.col("mask") == mask, F.col("prob")))
+    # The base is the same for all of a row's masks, so it comes off the sums: sum(c * (v - v0)) = sum(c * v) - v0 * sum(c).
+    parts = [x for i in range(m) for x in (F.sum(F.get("coef", F.lit(i)) * F.col("prob")).alias(f"s{i}"), F.sum(F.get("coef", F.lit(i))).alias(f"c{i}"))]
+    sums = wide.groupBy("hash").agg(at(0).alias("v0"), at((1 << m) - 1).alias("v1"), *parts)
+    sums = sums.select("hash", "v0", "v1", *[(F.col(f"s{i}") - F.col("v0") * F.col(f"c{i}")).alias(f"p{i}") for i in range(m)])
     total = sum(F.col(f"p{i}") for i in range(m))
     scale = F.when(F.abs(total) > 1e-12, (F.col("v1") - F.col("v0")) / total).otherwise(1.0)
     return sums.select("hash", F.posexplode(F.array(*[F.col(f"p{i}") * scale for i in range(m)])).alias("player", "phi")).withColumn("player", F.col("player").cast("long"))
@@ -56,7 +112,10 @@ def kernel_shap(scores: DataFrame, masks: Sequence[int], m: int) -> DataFrame:
 def summary(phi: DataFrame, labels: DataFrame) -> DataFrame:
     """(player, mean_abs, mean_abs_pos, mean_abs_neg, median_abs, place), largest mean first."""
     a = F.abs("phi")
-    rows = phi.join(labels.select("hash", "label"), "hash").groupBy("player").agg(F.avg(a).alias("mean_abs"), F.avg(F.when(F.col("label") == 1, a)).alias("mean_abs_pos"), F.avg(F.when(F.col("label") == 0, a)).alias("mean_abs_neg"), F.median(a).alias("median_abs"))
+    known = phi.join(labels.select("hash", "label"), "hash")
+    rows = known.groupBy("player").agg(F.avg(a).alias("mean_abs"), F.avg(F.when(F.col("label") == 1, a)).alias("mean_abs_pos"), F.avg(F.when(F.col("label") == 0, a)).alias("mean_abs_neg"))
+    middle = quantiles(known, {"a": a}, [0.5], ["player"]).select("player", F.col("`q0.5`").alias("median_abs"))
+    rows = rows.join(middle, "player", "left").select("player", "mean_abs", "mean_abs_pos", "mean_abs_neg", "median_abs")
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "player")).cast("long"))  # a row a player
 
 
@@ -94,15 +153,17 @@ def corrected_names(df: DataFrame, names: dict[str, str], column: str = "feature
     return df.withColumn(column, F.coalesce(F.element_at(pairs, F.col(column)), F.col(column)))
 
 
-def coalition_scores(rows: DataFrame, groups: dict[str, Sequence[str]], model, features: Sequence[str], vector: str = "features") -> DataFrame:
-    """(hash, mask, prob): every row scored by a Spark ML classifier with each subset of the groups present, absent features 0."""
+def coalition_scores(rows: DataFrame, groups: dict[str, Sequence[str]], model, features: Sequence[str], vector: str = "features", coalitions: Sequence[tuple[int, float]] | None = None) -> DataFrame:
+    """(hash, mask, prob): every row scored by a Spark ML classifier with each subset of the groups present, or with those of ``coalitions``
+    (:func:`sampled_coalitions`), absent features 0."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     names = list(groups)
     where = {f: i for i, g in enumerate(names) for f in groups[g]}
-    masks = rows.sparkSession.range(1 << len(names)).select(F.col("id").alias("mask"))
-    every = rows.select("hash", *features).join(F.broadcast(masks))  # 2^K rows for each, K fixed
+    spark = rows.sparkSession
+    masks = spark.range(1 << len(names)).select(F.col("id").alias("mask")) if coalitions is None else coalition_table(spark, coalitions).select("mask")
+    every = rows.select("hash", *features).join(F.broadcast(masks))  # a stated number of masks for each row
     masked = every.select("hash", "mask", *[(F.when(F.shiftright("mask", where[f]).bitwiseAND(1) == 1, F.col(f)).otherwise(0.0) if f in where else F.col(f)).cast("double").alias(f) for f in features])
     scored = model.transform(VectorAssembler(inputCols=list(features), outputCol=vector).transform(masked))
     return scored.select("hash", "mask", vector_to_array("probability")[1].alias("prob"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantile_row
 from ..functions.scalars import cyclic, hash_list, local_time
 
 
@@ -86,13 +87,13 @@ def local_time_features(commits: DataFrame) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    row = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    row = quantile_row(df, columns, 0.5, "_m_")
     return df.join(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*row.columns)
 
 
 def winsorise(df: DataFrame, columns: Sequence[str], top: float = 0.99) -> DataFrame:
     """Values limited to 0 and the interpolated quantile."""
-    row = df.agg(*[F.percentile(c, top).alias(f"_q_{c}") for c in columns])
+    row = quantile_row(df, columns, top, "_q_")
     return df.join(F.broadcast(row)).withColumns({c: F.greatest(F.lit(0.0), F.least(F.col(c).cast("double"), F.col(f"_q_{c}"))) for c in columns}).drop(*row.columns)
 
 

@@ -9,14 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import melted, quantiles
 from ..functions.scalars import delay_bin, delay_hours
-from ..functions.shared import with_running_sums
-
-
-def melted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys, column, value) with values as doubles."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.column", "_p.value")
+from ..functions.shared import with_running_sums, written
 
 
 def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -27,7 +22,8 @@ def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share), nulls counted as a value."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    every = df.agg(F.count("*").alias("_all"))
+    return counts.join(F.broadcast(every)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")  # one row
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -40,12 +36,20 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return melted(row, [], columns).select("column", F.col("value").cast("long").alias("n_distinct"))
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, which has a row a key; null keys are equal."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(right.withColumnsRenamed({k: f"_right_{k}" for k in keys}), same).drop(*[f"_right_{k}" for k in keys])
+
+
 def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample deviation, extremes and interpolated percentiles of each column."""
     v = F.col("value")
-    return melted(df, keys, columns).where(v.isNotNull()).groupBy(*keys, "column").agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.9).alias("p90"), F.percentile(v, 0.95).alias("p95"), F.percentile(v, 0.99).alias("p99"), F.max(v).alias("max")
-    )
+    rows = melted(df, keys, columns).where(v.isNotNull()).groupBy(*keys, "column").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    found = quantiles(df, columns, [0.5, 0.9, 0.95, 0.99], keys).withColumnsRenamed({"q0.5": "p50", "q0.9": "p90", "q0.95": "p95", "q0.99": "p99"})
+    return _beside(rows, found, [*keys, "column"]).select(*keys, "column", "n", "mean", "std", "min", "p50", "p90", "p95", "p99", "max")
 
 
 def yearly(df: DataFrame, date: str) -> DataFrame:
@@ -74,7 +78,10 @@ def delay_crosstab(df: DataFrame, label: str, author: str, committer: str) -> Da
 
 
 def median_delay(df: DataFrame, label: str, author: str, committer: str) -> DataFrame:
-    return df.groupBy(F.col(label).alias("label")).agg(F.median(delay_hours(F.col(author), F.col(committer))).alias("median_hours"))
+    """(label, median_hours), null for a label without a delay."""
+    rows = df.select(F.col(label).alias("label"), delay_hours(F.col(author), F.col(committer)).alias("hours"))
+    found = quantiles(rows, ["hours"], [0.5], ["label"]).select(F.col("label").alias("_label"), F.col("`q0.5`").alias("median_hours"))
+    return rows.select("label").distinct().join(found, F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -97,11 +104,13 @@ def average_ranks(df: DataFrame, column: str, keys: Sequence[str], into: str) ->
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r): Pearson's r of the average ranks over complete rows."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    for c in columns:
-        rows = average_ranks(rows, c, [], f"rank {c}")
-    return pearson(rows.select(*[F.col(f"rank {c}").alias(c) for c in columns]), columns)
+    """(a, b, r): Pearson's r of the average ranks over complete rows.
+
+    All columns are ranked in one pass over their distinct values, and the ranks come back to the rows in one join; a frequent value is a
+    skewed key of it that the adaptive skew join splits."""
+    whole = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("_row", F.monotonically_increasing_id()), "complete")
+    ranked = average_ranks(melted(whole, ["_row"], columns), "value", ["column"], "rank")
+    return pearson(ranked.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns]), columns)
 
 
 def mann_whitney(df: DataFrame, value: str, label: str) -> DataFrame:
@@ -125,8 +134,10 @@ def flag_share(df: DataFrame, flag: Column, label: str) -> DataFrame:
 
 def box(df: DataFrame, value: str, label: str) -> DataFrame:
     """Quartiles and whiskers by class."""
-    v = F.col(value).cast("double")
-    q = df.groupBy(F.col(label).alias("label")).agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q3"), F.min(v).alias("min"), F.max(v).alias("max"))
+    rows = df.select(F.col(label).alias("label"), F.col(value).cast("double").alias("v"))
+    ends = rows.groupBy("label").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    found = quantiles(rows, ["v"], [0.25, 0.5, 0.75], ["label"]).drop("column").withColumnsRenamed({"label": "_label", "q0.25": "q1", "q0.5": "median", "q0.75": "q3"})
+    q = ends.join(found, F.col("label").eqNullSafe(F.col("_label")), "left").select("label", "q1", "median", "q3", "min", "max")
     return q.withColumn("low", F.greatest("min", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))).withColumn("high", F.least("max", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
 
 

@@ -70,6 +70,21 @@ def _scores(c):
     return rows.select("hash", "label", "mask", (1 / (1 + F.exp(-z))).alias("prob"))
 
 
+_PLAYERS_SAMPLED, _MASKS = 20, 300
+_EFFECT, _BESIDE = "k * (i + 1) % 97", "2 * ((k + i * 7) % 31)"
+
+
+def _sampled(c):
+    """A game of 20 players, scored for 300 of their million coalitions: an effect of each player and one of each pair of neighbours."""
+    drawn = h.sampled_coalitions(_PLAYERS_SAMPLED, _MASKS)
+    k, has = F.col("hash").cast("long"), lambda i: F.shiftright("mask", i).bitwiseAND(1)
+    effects = [k * (i + 1) % 97 * has(i) for i in range(_PLAYERS_SAMPLED)]
+    beside = [2 * ((k + i * 7) % 31) * has(i) * has(i + 1) for i in range(_PLAYERS_SAMPLED - 1)]
+    scores = c.select("hash").join(F.broadcast(h.coalition_table(c.sparkSession, drawn)))
+    phi = h.kernel_shap(scores.select("hash", "mask", sum(effects + beside, F.lit(0)).cast("double").alias("prob")), drawn, _PLAYERS_SAMPLED)
+    return phi.withColumn("phi", F.round("phi", 3))
+
+
 def _importance(c):
     phi = h.summary(h.shapley(_scores(c), 4), c)
     return phi.select(F.element_at(F.array(*[F.lit(k) for k in _PLAYERS]), (F.col("player") + 1).cast("int")).alias("feature"), F.col("mean_abs").alias("phi"))
@@ -169,6 +184,11 @@ QUERIES = {
         oracle("SELECT unnest(['num_lines_changed', 'files', 'dmm_unit_size', 'dmm_unit_complexity']) AS feature"),
     ),
     "attribution_model_scores": (query(_model_scores, "fx_commit"), None),
+    "attribution_kernel_sampled": (
+        query(_sampled, "fx_commit"),
+        # The closed form of a game of main effects and interactions of neighbours: each player's effect, and half of its interactions.
+        oracle(f"SELECT hash, i AS player, round({_EFFECT} + (CASE WHEN i < 19 THEN {_BESIDE} ELSE 0 END + CASE WHEN i > 0 THEN {_BESIDE.replace('i *', '(i - 1) *')} ELSE 0 END) / 2.0, 3) AS phi FROM (SELECT hash, CAST(hash AS BIGINT) AS k FROM fx_commit), range(20) r(i)"),
+    ),
     "attribution_kernel": (query(lambda c: h.kernel_shap(_scores(c), list(range(16)), 4).select("hash", "player", F.round("phi", 3).alias("phi")), "fx_commit"), None),
     "attribution_summary": (
         query(lambda c: h.summary(h.shapley(_scores(c), 4), c), "fx_commit"),

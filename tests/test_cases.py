@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from histoloom import api
 from histoloom.functions import scalars as c
-from histoloom.functions import vectors
+from histoloom.functions import quantiles, vectors
 from histoloom.functions.shared import with_global_rank, with_running_sums
 from histoloom.operators import attribution, audits, cleaning, edges, graphs, history, history_graph, metrics, nodes, ownership, runs, scaling, splits, statistics
 from histoloom.sources import tables
@@ -131,6 +132,65 @@ def test_two_player_game(spark):
     assert one(attribution.efficiency_errors(attribution.shapley(df, 2), df, 2)).max_error < 1e-12
 
 
+def test_quantiles_of_hot_ragged_and_missing_values(spark):
+    r = random.Random(6)
+    rows = [(k, r.choice([0.0, 0.0, r.gauss(0, 5), None]), float(r.randint(0, 3)) if k != "c" else None) for k in ("a", "b", "c", None) for _ in range(r.randint(1, 200))] + [("one", 2.5, -1.0)]
+    df = spark.createDataFrame(rows, "k string, u double, v double").repartition(6)
+    wanted = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {(x["k"], x["column"]): [x[f"q{p:g}"] for p in wanted] for x in quantiles.quantiles(df, ["u", "v"], wanted, ["k"]).collect()}
+    for at, c in ((1, "u"), (2, "v")):
+        for k in {x[0] for x in rows}:
+            values = [x[at] for x in rows if x[0] == k and x[at] is not None]
+            assert (k, c) in got if values else (k, c) not in got
+            if values:
+                assert got[k, c] == pytest.approx(np.quantile(values, wanted).tolist())
+    whole = quantiles.quantiles(df, {"w": F.col("u") * 2}, [0.5])
+    assert one(whole)["q0.5"] == pytest.approx(2 * np.median([x[1] for x in rows if x[1] is not None]))
+    assert "percentile" not in whole._jdf.queryExecution().toString() and quantiles.quantiles(df.where("false"), ["u"], [0.5]).collect() == []
+    assert {x.k: x.v for x in cleaning.impute_median(df.where("k = 'a'").withColumn("v", F.lit(None).cast("double")), ["v"]).select("k", "v").collect()} == {"a": None}
+
+
+def test_sampled_coalitions(spark):
+    for m, most in ((20, 300), (9, 100), (62, 500), (3, 1), (1, 5)):
+        found = attribution.sampled_coalitions(m, most)
+        masks = [x for x, _ in found]
+        assert found == attribution.sampled_coalitions(m, most) and len(set(masks)) == len(masks) and len(masks) <= most + 2
+        assert {0, (1 << m) - 1} <= set(masks) and all((1 << m) - 1 - x in masks for x in masks) and all(w > 0 for _, w in found)
+    assert len(attribution.sampled_coalitions(20, 300)) > 290 and len(attribution.sampled_coalitions(6, 1000)) == 64
+    assert attribution.sampled_coalitions(20, 300, 1) != attribution.sampled_coalitions(20, 300, 2)
+
+
+def test_sampled_kernel_comes_near_exact_values(spark):
+    r, m = random.Random(2), 12
+    main, pairs, threes = [r.uniform(-1, 1) for _ in range(m)], [(r.sample(range(m), 2), r.uniform(-1, 1)) for _ in range(20)], [(r.sample(range(m), 3), r.uniform(-0.3, 0.3)) for _ in range(10)]
+    score = lambda mask: 0.5 + sum(x for i, x in enumerate(main) if mask >> i & 1) + sum(x for g, x in pairs + threes if all(mask >> i & 1 for i in g))
+    exact = [x + sum(y / len(g) for g, y in pairs + threes if i in g) for i, x in enumerate(main)]
+    for most, off in ((300, 0.05), (1 << m, 1e-5)):
+        drawn = attribution.sampled_coalitions(m, most)
+        scores = spark.createDataFrame([("h", mask, score(mask)) for mask, _ in drawn], "hash string, mask long, prob double")
+        phi = {x.player: x.phi for x in attribution.kernel_shap(scores, drawn, m).collect()}
+        assert max(abs(phi[i] - exact[i]) for i in range(m)) < off
+        assert sum(phi.values()) == pytest.approx(score((1 << m) - 1) - score(0))
+
+
+def test_sampled_scores_of_a_model(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    r = random.Random(9)
+    rows = [(str(i), r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 1)) for i in range(60)]
+    df = spark.createDataFrame([(*x, float(x[1] + 0.5 * x[2] + r.gauss(0, 0.3) > 0)) for x in rows], "hash string, a double, b double, c double, label double")
+    model = LogisticRegression(regParam=0.1).fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df))
+    some = [(0, 1e6), (3, 1.0), (4, 1.0), (7, 1e6)]
+    got = {(x.hash, x.mask): x.prob for x in attribution.coalition_scores(df, {"A": ["a"], "B": ["b"], "C": ["c"]}, model, ["a", "b", "c"], coalitions=some).collect()}
+    assert len(got) == 4 * len(rows)
+    w, bias = model.coefficients.toArray(), model.intercept
+    for h, *x in rows:
+        for mask, _ in some:
+            z = bias + sum(w[i] * x[i] for i in range(3) if mask >> i & 1)
+            assert got[h, mask] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_folds_are_greedy(spark):
     sizes = {"a": 5, "b": 4, "c": 3, "d": 3, "e": 1}
     df = spark.createDataFrame([(f"{r}{i}", r) for r, n in sizes.items() for i in range(n)], "hash string, repo_url string")
