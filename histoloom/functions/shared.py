@@ -67,6 +67,23 @@ def with_running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return out.drop("_part", "_of", *[f"_key_{k}" for k in keys], *[f"_before_{n}" for n in sums.values()])
 
 
+def with_last_seen(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, into: str) -> DataFrame:
+    """``df`` with the last ``value`` that is not null, within ``keys`` and up to the row in ``order`` (total within the keys).
+
+    Rows are range-partitioned by keys and order and carried on within partitions; what a key's partitions before end with, one row a key and
+    partition, goes on to the next. So one key may hold all rows."""
+    keys = list(keys)
+    ranged = df.withColumn("_value", value).repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, "seen")
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    seen = ranged.withColumn("_seen", F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_at", F.row_number().over(inside))
+    ends = seen.groupBy(*keys, "_part").agg(F.max_by("_seen", "_at").alias("_end"))
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), F.last("_end", ignorenulls=True).over(so_far).alias("_before"))
+    joined = seen.join(ends, _same(keys)).withColumn(into, F.coalesce("_seen", "_before"))
+    return joined.drop("_value", "_part", "_of", "_seen", "_at", "_before", *[f"_key_{k}" for k in keys])
+
+
 def _same(keys: Sequence[str]) -> Column:
     out = F.col("_part") == F.col("_of")
     for k in keys:

@@ -11,6 +11,7 @@ from ..functions.scalars import (
     DEVELOPER_AT_COMMIT, DEVELOPER_COUNTS, DEVELOPER_SHARE, FUNCTION_CHANGES, ISSUE_FEATURES, ISSUE_FEATURES_V2, LOGGED_COUNTS, OWNER_SHARE, PULL_FEATURES, PULL_FEATURES_V2, TAG_FEATURES, TAG_FEATURES_V2,
     feature_vector, floor_days, hour_cycle, log_count, normal_key, one_hot, parsed_tag, raw_numeric_columns, safe_double, signed_log, weekday_cycle, zone_share,
 )
+from ..functions.shared import with_last_seen, written
 from .cleaning import keep_first
 
 EMBEDDING_WIDTH = 768
@@ -72,7 +73,8 @@ def function_nodes(functions: DataFrame, embeddings: DataFrame | None = None, wi
     """8 normalised values (three of them always 0, as they leak the label) and the embedding of (hash, name, filename), zeros where
     none is known.
 
-    Wide arrays join last, on keys; the last row of a repeated embedding key by ``seq`` wins."""
+    Wide arrays join last, on keys; the last row of a repeated embedding key by ``seq`` wins. A table without ``seq``, such as one of
+    :mod:`sources.store`, has one row a key; bucketed by it, its vectors aren't moved."""
     rows = keep_first(functions, ["hash", "filename", "name"], ["start_line"])
     metrics = [safe_double(rows, c) for c in ("num_lines_of_code", "complexity", "token_count", "length", "top_nesting_level")]
     rows = rows.select("hash", "filename", "name", function_key(rows).alias("node_key"), F.array(*metrics, *[F.lit(0.0)] * 3).alias("x"))
@@ -82,12 +84,20 @@ def function_nodes(functions: DataFrame, embeddings: DataFrame | None = None, wi
 def with_embedding(rows: DataFrame, embeddings: DataFrame | None, width: int) -> DataFrame:
     if embeddings is None:
         return rows.select("hash", "node_key", "x")
-    last = embeddings.groupBy("hash", "name", "filename").agg(F.max_by("emb", "seq").alias("emb"))
-    wide = rows.join(last, ["hash", "name", "filename"], "left")
+    keys = ["hash", "name", "filename"]
+    last = last_vectors(embeddings) if "seq" in embeddings.columns else embeddings.select(*keys, "emb")
+    if buckets := getattr(embeddings, "_buckets", None):  # the rows go to the vectors
+        rows = rows.repartition(buckets, *keys)
+    wide = rows.join(last, keys, "left")
     zero = F.array_repeat(F.lit(0.0), width)
     return wide.select("hash", "node_key", F.concat("x", F.coalesce(F.col("emb").cast("array<double>"), zero)).alias("x"))
 
 
+def last_vectors(embeddings: DataFrame, keys: Sequence[str] = ("hash", "name", "filename")) -> DataFrame:
+    """(keys, emb): the last row of each key by ``seq``."""
+    return embeddings.groupBy(*keys).agg(F.max_by("emb", "seq").alias("emb"))
+
+
 def function_nodes_short(functions: DataFrame) -> DataFrame:
     """5 metrics (log) and the change type, MODIFY where unknown."""
     rows = keep_first(functions, ["hash", "filename", "name"], ["start_line"])
@@ -201,12 +211,22 @@ def release_nodes(tags: DataFrame, mode: int, features: DataFrame, key: str = "t
     return tag_nodes(named)
 
 
-def bracketing_tags(commits: DataFrame, tags: DataFrame) -> DataFrame:
-    """(hash, tag_id, days, log_days, is_before): the nearest tag more than 0 whole days before a commit, and the nearest at or after it."""
-    both = commits.select("hash", "author_date").join(tags.where("created_at IS NOT NULL"), "hash").withColumn("days", floor_days(F.col("author_date"), F.col("created_at"))).where("days IS NOT NULL")
-    both = both.withColumn("is_before", (F.col("days") > 0).cast("int"))
-    near = keep_first(both, ["hash", "is_before"], [F.abs("days"), "tag_id"])
-    return near.select("hash", "tag_id", "days", F.log1p(F.abs("days").cast("double")).alias("log_days"), "is_before")
+def bracketing_tags(commits: DataFrame, tags: DataFrame, key: str = "hash") -> DataFrame:
+    """(hash, tag_id, days, log_days, is_before): the nearest tag more than 0 whole days before a commit, and the nearest at or after it, by
+    time and then id. Tags belong to a commit, or with ``key`` to a repository.
+
+    An as-of join: commits (a day earlier, where the two sides meet) and tags stand in one order of time, from which each commit takes the last tag seen; once
+    forwards, once backwards. No commit meets all of its tags, and a key may hold any number of either."""
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    tag = F.struct("tag_id", second("created_at").alias("at"))
+    points = tags.where("created_at IS NOT NULL").select(F.col(key).alias("_key"), second("created_at").alias("_t"), F.lit(0).alias("_commit"), F.col("tag_id").cast("string").alias("_id"), tag.alias("_tag"))
+    asks = commits.where("author_date IS NOT NULL").select(F.col(key).alias("_key"), (second("author_date") - 86400).alias("_t"), F.lit(1).alias("_commit"), F.col("hash").alias("_id"), F.lit(None).cast(points.schema["_tag"].dataType).alias("_tag"))
+    every = written(points.unionByName(asks), "points")
+    # Of several tags at one time the least id comes last on either way; a tag at the very second belongs to the time before.
+    order = {1: [F.col("_t"), F.col("_commit"), F.desc("_id")], 0: [F.desc("_t"), F.desc("_commit"), F.desc("_id")]}
+    sides = [with_last_seen(every, ["_key"], by, F.col("_tag"), "_near").where("_commit = 1 AND _near IS NOT NULL").withColumn("is_before", F.lit(side)) for side, by in order.items()]
+    near = sides[0].unionByName(sides[1]).withColumn("days", F.floor((F.col("_t") + 86400 - F.col("_near.at")) / 86400))
+    return near.select(F.col("_id").alias("hash"), F.col("_near.tag_id").alias("tag_id"), "days", F.log1p(F.abs("days").cast("double")).alias("log_days"), "is_before")
 
 
 def tag_nodes(tags: DataFrame, days: str = "days") -> DataFrame:

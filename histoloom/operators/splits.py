@@ -147,20 +147,45 @@ def cold_start(commits: DataFrame, n_cold: int = 5, few_shot: int = 0, val_repos
 def repo_folds(commits: DataFrame, k: int) -> DataFrame:
     """``commits`` with fold: largest repository first to the fold with the fewest commits, the first on a tie.
 
-    Sequential by nature, over one row a repository: those rows meet in one group, the commits don't."""
-    sizes = commits.groupBy("repo_url").agg(F.count("*").alias("n"))
-
-    def deal(repos: pd.DataFrame) -> pd.DataFrame:
-        load, folds = [0] * k, []
-        repos = repos.sort_values(["n", "repo_url"], ascending=[False, True])
-        for n in repos["n"]:
-            fold = load.index(min(load))
-            load[fold] += int(n)
-            folds.append(fold)
-        return repos[["repo_url"]].assign(fold=folds)
-
-    folds = sizes.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, "repo_url string, fold long")
-    return commits.join(folds, "repo_url")
+    Repositories of one size are dealt as a run. Only the sizes with their numbers meet in one group, no more than the square root of twice the commits;
+    a run's pieces, at most ``k``, tell the folds that take turns in them, and a repository's rank in its run picks one."""
+    sizes = commits.groupBy("repo_url").agg(F.count("*").alias("_n"))
+    runs = sizes.groupBy("_n").agg(F.count("*").alias("_c"))
+
+    def deal(table: pd.DataFrame) -> pd.DataFrame:
+        load, pieces = [0] * k, []
+        for n, count in table.sort_values("_n", ascending=False)[["_n", "_c"]].itertuples(index=False):
+            n, count = int(n), int(count)
+            pieces += [(n, first, turns) for first, turns in _turns(load, n, count)]
+        return pd.DataFrame(pieces, columns=["_n", "_first", "_turns"])
+
+    pieces = runs.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, "_n long, _first long, _turns array<long>")
+    pieces = written(pieces.withColumn("_end", F.coalesce(F.lead("_first").over(Window.partitionBy("_n").orderBy("_first")), F.lit((1 << 63) - 1))), "pieces")
+    ranked = with_running_sums(sizes.withColumn("_one", F.lit(1).cast("long")), ["_n"], [F.col("repo_url")], {"_one": "_rank"}).withColumn("_rank", F.col("_rank") - 1)
+    dealt = ranked.join(pieces, "_n").where("_rank >= _first AND _rank < _end")
+    at = F.pmod(F.col("_rank") - F.col("_first"), F.size("_turns")).cast("int")
+    return commits.join(dealt.select("repo_url", F.get("_turns", at).alias("fold")), "repo_url")
+
+
+def _turns(load: list[int], n: int, count: int) -> list[tuple[int, list[int]]]:
+    """(first rank, folds in turn) of the pieces in which ``count`` items of size ``n`` go to the least loaded fold; ``load`` is brought up to date.
+
+    A fold takes its next item when its load is the least, so items come in the order of (load, fold), one of each fold in every stretch of
+    ``n`` from the fold's own stretch on."""
+    out, given, joined = [], 0, []
+    stretches = sorted({x // n for x in load})
+    for at, q in enumerate(stretches):
+        joined = sorted((f for f in range(len(load)) if load[f] // n <= q), key=lambda f: (load[f] % n, f))
+        rounds = stretches[at + 1] - q if at + 1 < len(stretches) else -(-(count - given) // len(joined))
+        here = min(rounds * len(joined), count - given)
+        out.append((given, joined, here))
+        given += here
+        if given == count:
+            break
+    for _, folds, here in out:
+        for i, f in enumerate(folds):
+            load[f] += n * (here // len(folds) + (i < here % len(folds)))
+    return [(first, folds) for first, folds, _ in out]
 
 
 def leave_one_repo_out(commits: DataFrame, k: int) -> DataFrame:

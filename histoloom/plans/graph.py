@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as c
+from ..functions.shared import shared_dir
 from ..operators import cleaning as k
 from ..operators import edges as e
 from ..operators import nodes as n
 from ..operators import ownership as o
+from ..sources.store import write_embeddings
 from .common import oracle, query
 from .ownership import _MATCHED, _STATS
 
@@ -74,6 +78,19 @@ def _vectors(functions, vectors):
     return functions.select("hash", "name", "filename", F.pmod(F.col("hash").cast("long"), F.lit(700)).alias("vec_id"), F.lit(0).alias("seq")).join(vectors, "vec_id").withColumn("emb", F.col("embedding"))
 
 
+def _from_store(functions, vectors):
+    """As node_function_embedding, from a bucketed store that is written first."""
+    name = f"vectors_{uuid.uuid4().hex}"
+    store = write_embeddings(_vectors(functions, vectors), name, f"{shared_dir(functions.sparkSession)}/{name}", 8)
+    return melt(n.function_nodes(functions, store, _WIDTH)).where("dim >= 8")
+
+
+def _repo_tags(commits):
+    """Tags kept by repository: one some hours after every ninth commit."""
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("author_date").cast("timestamp")) + F.pmod(F.col("hash").cast("long"), F.lit(300)) * 3600)
+    return commits.where("cast(hash as long) % 9 = 0").select("repo_url", F.col("hash").alias("tag_id"), at.alias("created_at"))
+
+
 def _devs(a, w):
     return n.developers(a, w)
 
@@ -137,10 +154,23 @@ QUERIES = {
     "node_bracketing_tags": (
         query(lambda x: n.bracketing_tags(x, _tags(x)).withColumn("is_before", F.col("is_before").cast("long")), "fx_commit"),
         oracle(
-            "SELECT hash, tag_id, days, round(ln(1 + abs(days)), 6) AS log_days, is_before FROM (SELECT *, row_number() OVER (PARTITION BY hash, is_before ORDER BY abs(days), tag_id) AS rn FROM d) WHERE rn = 1",
-            tags=_TAGS, d="SELECT hash, tag_id, CAST(floor(epoch(CAST(author_date AS TIMESTAMP) - created_at) / 86400) AS BIGINT) AS days, CAST(epoch(CAST(author_date AS TIMESTAMP) - created_at) >= 86400 AS BIGINT) AS is_before FROM tags",
+            "SELECT hash, tag_id, days, round(ln(1 + abs(days)), 6) AS log_days, is_before FROM (SELECT *, row_number() OVER (PARTITION BY hash, is_before ORDER BY CASE WHEN is_before = 1 THEN away ELSE -away END, tag_id) AS rn FROM d) WHERE rn = 1",
+            tags=_TAGS, d="SELECT hash, tag_id, epoch(CAST(author_date AS TIMESTAMP) - created_at) AS away, CAST(floor(epoch(CAST(author_date AS TIMESTAMP) - created_at) / 86400) AS BIGINT) AS days, CAST(epoch(CAST(author_date AS TIMESTAMP) - created_at) >= 86400 AS BIGINT) AS is_before FROM tags",
         ),
     ),
+    "node_repository_tags": (
+        query(lambda x: n.bracketing_tags(x, _repo_tags(x), "repo_url"), "fx_commit"),
+        oracle(
+            "SELECT c.hash, c.near.i AS tag_id, c.near.d AS days, round(ln(1 + abs(c.near.d)), 6) AS log_days, is_before FROM sided c WHERE c.near IS NOT NULL",
+            tags="SELECT repo_url, hash AS tag_id, CAST(author_date AS TIMESTAMP) + (CAST(hash AS BIGINT) % 300) * INTERVAL '1' HOUR AS created_at FROM fx_commit WHERE CAST(hash AS BIGINT) % 9 = 0",
+            pairs="SELECT c.hash, tag_id, epoch(CAST(author_date AS TIMESTAMP) - created_at) AS away, CAST(floor(epoch(CAST(author_date AS TIMESTAMP) - created_at) / 86400) AS BIGINT) AS d FROM fx_commit c JOIN tags t ON t.repo_url = c.repo_url",
+            sided="SELECT hash, 1 AS is_before, min({'a': away, 'i': tag_id, 'd': d}) FILTER (d > 0) AS near FROM pairs GROUP BY 1 UNION ALL SELECT hash, 0, min({'a': -away, 'i': tag_id, 'd': d}) FILTER (d <= 0) FROM pairs GROUP BY 1",
+        ),
+    ),
+    "node_function_store": (
+        query(_from_store, "fx_function_full", "embeddings"),
+        oracle(f"SELECT hash, node_key, CAST(7 + i AS BIGINT) AS dim, round(coalesce(CAST(embedding[i] AS DOUBLE), 0), 6) AS value FROM fn LEFT JOIN embeddings ON vec_id = CAST(hash AS BIGINT) % 700, range(1, {_WIDTH} + 1) r(i)", fn=_FN),
+    ),
     "edge_commit_file_changes": (
         query(lambda f: melt(e.commit_file_changes(f), "attr", "hash", "src_key", "dst_key"), "fx_file_full"),
         oracle(

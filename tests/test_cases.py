@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from histoloom import api
 from histoloom.functions import scalars as c
 from histoloom.functions import quantiles, vectors
-from histoloom.functions.shared import with_global_rank, with_running_sums
+from histoloom.functions.shared import with_global_rank, with_last_seen, with_running_sums
 from histoloom.operators import attribution, audits, cleaning, edges, graphs, history, history_graph, metrics, nodes, ownership, runs, scaling, splits, statistics
 from histoloom.sources import tables
 
@@ -202,6 +202,66 @@ def test_folds_are_greedy(spark):
     assert found == expected
 
 
+def test_runs_of_equal_sizes_are_dealt_as_one_by_one():
+    r = random.Random(1)
+    for _ in range(400):
+        k = r.randint(1, 6)
+        ours, theirs = [0] * k, [0] * k
+        for n in sorted({r.randint(1, 12) for _ in range(r.randint(1, 5))}, reverse=True):
+            count, expected = r.randint(1, 40), []
+            for _ in range(count):
+                expected.append(theirs.index(min(theirs)))
+                theirs[expected[-1]] += n
+            pieces = splits._turns(ours, n, count)
+            ends = [first for first, _ in pieces[1:]] + [count]
+            assert len(pieces) <= k and [folds[(t - first) % len(folds)] for (first, folds), end in zip(pieces, ends, strict=True) for t in range(first, end)] == expected
+            assert ours == theirs
+
+
+def test_folds_of_many_repositories(spark):
+    r = random.Random(3)
+    sizes = {f"r{i:03d}": r.choice([1, 1, 1, 2, 3, 17]) for i in range(300)}
+    df = spark.createDataFrame([(f"{name}-{i}", name) for name, n in sizes.items() for i in range(n)], "hash string, repo_url string").repartition(7)
+    load, expected = [0] * 4, {}
+    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        expected[name] = load.index(min(load))
+        load[expected[name]] += n
+    found = splits.repo_folds(df, 4).select("repo_url", "fold").collect()
+    assert len(found) == sum(sizes.values()) and {x.repo_url: x.fold for x in found} == expected
+
+
+def test_last_seen_across_parts(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.choice([None, None, None, r.randint(0, 99)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t int, v int").repartition(5)
+    for order, back in ((F.col("t"), False), (F.desc("t"), True)):
+        expected, seen = {}, {}
+        for k, t, v in sorted(rows, key=lambda x: x[1], reverse=back):
+            seen[k] = seen.get(k) if v is None else v
+            expected[t] = seen[k]
+        got = with_last_seen(df, ["k"], [order], F.col("v"), "last")
+        assert got.columns == ["k", "t", "v", "last"] and {x.t: x["last"] for x in got.collect()} == expected
+
+
+def test_tags_kept_by_repository(spark):
+    r = random.Random(8)
+    tags = [(r.choice("rs"), f"t{i:02d}", r.randint(0, 60) * 43200) for i in range(40)]
+    commits = [(f"c{i:02d}", r.choice("rrsu"), r.choice([None, r.randint(0, 60) * 43200])) for i in range(60)]
+    expected = set()
+    for h, repo, at in commits:
+        if at is None:
+            continue
+        away = [(at - t, i) for key, i, t in tags if key == repo]
+        for side, found in ((1, [(x, i) for x, i in away if x >= 86400]), (0, [(-x, i) for x, i in away if x < 86400])):
+            if found:
+                x, i = min(found)
+                expected.add((h, i, (x if side else -x) // 86400, side))
+    time = lambda df, c: df.withColumn(c, F.timestamp_seconds(c))
+    got = nodes.bracketing_tags(time(spark.createDataFrame(commits, "hash string, repo_url string, author_date int"), "author_date"), time(spark.createDataFrame(tags, "repo_url string, tag_id string, created_at int"), "created_at"), "repo_url")
+    assert {(x.hash, x.tag_id, x.days, x.is_before) for x in got.collect()} == expected
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_resample_follows_weights(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("z", 0.0)], "hash string, w double")
     found = {r.hash: r.n for r in splits.weighted_resample(df, "w", 4000).groupBy("hash").agg(F.count("*").alias("n")).collect()}

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from histoloom import api
-from histoloom.sources import tables
+from histoloom.operators import nodes as node_tables
+from histoloom.sources import store, tables
 
 
 def test_tolerant_csv(spark, tmp_path):
@@ -80,3 +81,54 @@ def test_graph_store_and_tables(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/t").first().asDict() == {"run": "a", "n": "1"}
     tables.write_report(spark.createDataFrame([("a", 1)], "run string, n int"), f"file://{tmp_path}/r")
     assert spark.read.json(f"file://{tmp_path}/r").first().n == 1
+
+
+def exchanges_below(plan: str, scan: str) -> int:
+    """Exchanges on the path from the plan's root to the scan whose line holds a text."""
+    path = []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        while path and path[-1][0] >= depth:
+            path.pop()
+        path.append((depth, line))
+        if "Scan parquet" in line and scan in line:
+            return sum("Exchange" in x for _, x in path)
+    raise AssertionError(plan)
+
+
+def test_vectors_of_a_store_are_not_moved(spark, tmp_path):
+    rows = [(f"h{i % 40}", f"n{i % 7}", "f", [float(i)] * 768, i) for i in range(400)] + [("h1", "n1", "f", None, -1)]
+    vectors = spark.createDataFrame(rows, "hash string, name string, filename string, emb array<float>, seq int")
+    found = store.write_embeddings(vectors, "vectors_768", f"file://{tmp_path}/v", 6)
+    last = {}
+    for h, n, f, v, q in sorted(rows, key=lambda r: r[4]):
+        last[h, n, f] = v
+    assert {(r.hash, r.name, r.filename): list(r.emb) for r in found.collect()} == last
+    functions = spark.createDataFrame([(h, n, f, 1) for h, n, f in list(last)[:50]] + [("none", "n", "f", 1)], "hash string, name string, filename string, start_line int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = node_tables.function_nodes(functions, found)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert exchanges_below(plan, "emb#") == 0 and "Bucketed: true" in plan
+        got = {r.node_key: r.x for r in made.where("hash = 'h1' OR hash = 'none'").collect()}
+        assert got["f::n"][8:] == [0.0] * 768 and all(len(x) == 776 for x in got.values())
+        assert all(got[f"f::{n}"][8:] == last["h1", n, "f"] for h, n, f in list(last)[:50] if h == "h1")
+        spark.sql("DROP TABLE vectors_768")
+        again = store.open_bucketed(spark, "vectors_again", f"file://{tmp_path}/v", "hash string, name string, filename string, emb array<float>", 6, store.EMBEDDING_KEYS)
+        assert again.count() == len(last) and exchanges_below(node_tables.function_nodes(functions, again)._jdf.queryExecution().executedPlan().toString(), "emb#") == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_commit_is_read_from_one_bucket(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"h{i}", t, f"k{i}", [1.0]) for i in range(60) for t in ("file", "commit")], "hash string, type string, node_key string, x array<double>")
+    edges = spark.createDataFrame([(f"h{i}", "has", f"h{i}", f"k{i}") for i in range(60)], "hash string, rel string, src_key string, dst_key string")
+    store.write_graph_store(nodes, edges, "some_graphs", f"file://{tmp_path}/g", 5)
+    n, e = store.graph_of(spark, "some_graphs", "h7")
+    assert sorted((r.type, r.node_key) for r in n.collect()) == [("commit", "k7"), ("file", "k7")] and [(r.rel, r.dst_key) for r in e.collect()] == [("has", "k7")]
+    own = {r.p.rsplit("/", 1)[-1] for t in (n, e) for r in t.select(F.input_file_name().alias("p")).collect()}
+    assert len({name.split("_")[-1] for name in own}) == 1
+    for file in (tmp_path / "g").rglob("part-*.parquet"):  # no other bucket is opened
+        if file.name not in own:
+            file.write_bytes(b"not a table")
+    assert n.count() == 2 and e.count() == 1
