@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents that the quality classifier accepts; it learns from all labels of documents it is given.
 
     Rows are judged by their text alone, null as empty, however long; repeated rows share their fate; null keys are as others. Without
-    labels of both classes all rows have one score. An empty table gives an empty one. Columns stay as they are."""
+    labels enough of both classes nothing is known against any row, and all stay. An empty table gives an empty one. Columns stay as they are."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

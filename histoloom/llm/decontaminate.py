@@ -275,21 +275,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``window``
     consecutive words of an item, or all words of a shorter one; an item without words has none. A null text has
     no words; an empty benchmark hits nothing; an empty table gives an empty one. There is one row for each row of ``docs``,
-    whatever the number of blocks: null, repeated and shared keys stay apart.
+    whatever the number of blocks: null, repeated and shared keys stay apart. Whole texts count, however long. Other columns don't matter; the new
+    names give way to the key's.
     """
     small_batches(docs.sparkSession)
     whole, row = fresh("_whole", key), fresh("_row", key)
     source = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias(whole))
-    names = ["n_words", "spans", "items"]
+    names = [fresh(c, key) for c in ("n_words", "spans", "items")]
     _, n = _item_rows(benchmark, item, item_text, block_bytes)
     blocks = item_blocks(benchmark, item, item_text, block_bytes)
     if n > 1:
         stored = written(source.withColumn(row, F.monotonically_increasing_id()), "rows")
-        return stored.select(*key, row).join(_united(stored, row, whole, blocks, window), row).select(*key, *names)
+        return stored.select(*key, row).join(_united(stored, row, whole, blocks, window).toDF(row, *names), row).select(*key, *names)
     block = next(blocks)
     token = (window, hashlib.sha256(repr(block).encode()).hexdigest())
     run = _scan(block, token, window, whole, key, False, names)
-    return source.mapInArrow(run, schema_of(docs.select(*key), "n_words long", "spans array<struct<start:long,end:long>>", "items array<string>"))
+    return source.mapInArrow(run, schema_of(docs.select(*key), f"{names[0]} long", f"{names[1]} array<struct<start:long,end:long>>", f"{names[2]} array<string>"))
 
 
 def n_hit(spans) -> F.Column:
@@ -299,7 +300,8 @@ def n_hit(spans) -> F.Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, drop_share: float = DROP_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the hit words cut out of ``text``; a document whose share of hit words exceeds
     ``drop_share`` is dropped. Untouched texts (and null ones) stay as they are. All windows are found on the original
-    text, whatever the number of blocks: shares are tested and words cut once.
+    text, whatever the number of blocks: shares are tested and words cut once. Whole texts count, however long; repeated rows share their fate;
+    an empty table or benchmark changes nothing; columns of any name stay as they are.
     """
     small_batches(docs.sparkSession)
     columns = docs.columns

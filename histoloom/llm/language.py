@@ -6,7 +6,7 @@ part of the sample, kept apart, sets the softmax temperature and the score below
 prediction is rejected.
 
 The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows (hard limit 1.2 times that), which the executors
-turn into counts of n-grams: of a training row the ``ROW_BUCKETS`` most frequent, 24 KB at most, whatever its length. Scoring uses
+turn into counts of n-grams, all of them: at most 192 KB a training row, whatever its length. Scoring uses
 all n-grams of whole texts. Since the layers are linear, it needs one table of n-gram bucket by language, which is broadcast.
 """
 
@@ -24,11 +24,9 @@ from .kernels import spans_of_docs, utf8
 from .sampling import bounded, fold
 from .storage import fresh, small_batches
 
-#: Labelled rows used for fitting.
-SAMPLE_ROWS = 4000
+#: Labelled rows used for fitting, and bytes that their n-grams may take: longer texts, fewer rows.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 256 << 20
 BUCKETS = 1 << 15
-#: Distinct n-grams of a training row that are used, the most frequent first (ties: the lower bucket).
-ROW_BUCKETS = 1 << 12
 SIZES = (2, 3, 4)
 UNDETERMINED = "und"
 #: Share of right predictions among those not rejected, on the rows that calibrate.
@@ -151,9 +149,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], size: int
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_ROWS) -> Model:
-    """Fits on rows of ``docs`` with a text and a label."""
+    """Fits on about ``most`` rows of ``docs`` with a text and a label, each with all of its n-grams, or on fewer where these could take more
+    than ``SAMPLE_BYTES`` (6 bytes an n-gram; a byte begins one of each size)."""
     small_batches(docs.sparkSession)
-    sample = bounded(docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_key", most)
+    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    sample = bounded(labelled, "_key", most)
+    room = sample.agg(F.sum(6 * F.least(len(SIZES) * F.octet_length("_text"), F.lit(BUCKETS)))).first()[0] or 0
+    if room > SAMPLE_BYTES:
+        sample = bounded(labelled, "_key", max(1, sample.count() * SAMPLE_BYTES // room))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +164,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for _, at, by_size in grams(batch.column("_text")):
                 for d in range(len(at) - 1):
                     found = np.bincount(np.concatenate([h[_own(at, d, n)] for n, h in zip(SIZES, by_size, strict=True)]), minlength=BUCKETS)
-                    some = np.sort(np.argsort(-found, kind="stable")[: min(ROW_BUCKETS, np.count_nonzero(found))])
+                    some = np.flatnonzero(found)
                     ids.append(some.astype(np.uint16).tobytes())
                     counts.append(found[some].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.string()), batch.column("_lang"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["k", "lang", "ids", "counts"])

@@ -87,6 +87,11 @@ class Model:
     slope: float
     shift: float
 
+    @property
+    def learned(self) -> bool:
+        """Whether there were labels enough of both classes."""
+        return bool(self.weight.any())
+
     def margin(self, found: np.ndarray) -> float:
         r = self.ratio[found]
         return float(r @ self.weight[found]) / max(float(np.sqrt(r @ r)), 1e-9)
@@ -222,12 +227,14 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows of ``docs`` that score ``least`` or more, columns as they were; the model is fitted on all labels.
 
     Rows are judged by their text alone: null and empty texts like each other, repeated rows and equal texts alike, null keys as
-    any other. Without labels of both classes all rows have one score. An empty table gives an empty one; columns of any
-    name stay as they are.
+    any other. Where labels of both classes are too few to learn from, nothing is known against any row: all stay. An empty table gives an
+    empty one; columns of any name stay as they are.
     """
-    columns = docs.columns
+    columns, model = docs.columns, train(docs, labels, key, text)
+    if not model.learned:
+        return docs
     own = fresh("_score", columns)
-    return score(docs, train(docs, labels, key, text), text, own).where(F.col(own) >= least).select(*columns)
+    return score(docs, model, text, own).where(F.col(own) >= least).select(*columns)
 
 
 def op9_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +40,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
-    if _OPEN:
-        _OPEN[-1].append(out)
+    if stack := _OPEN.get():
+        stack[-1].append(out)
     return out
 
 
@@ -51,26 +52,29 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tables written in the blocks of :func:`scratch` that are open.
-_OPEN: list[list[DataFrame]] = []
+#: Tables written in the blocks of :func:`scratch` that are open, by thread or task of the driver.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """A block whose written tables go at its end, but for those given to :func:`kept`."""
-    _OPEN.append([])
+    own: list[DataFrame] = []
+    token = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        for df in _OPEN.pop():
+        _OPEN.reset(token)
+        for df in own:
             dropped(df)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df``, a written table, outlives the block; an outer one, if any, takes it over."""
-    _OPEN[-1][:] = [x for x in _OPEN[-1] if x is not df]
-    if len(_OPEN) > 1:
-        _OPEN[-2].append(df)
+    stack = _OPEN.get()
+    stack[-1][:] = [x for x in stack[-1] if x is not df]
+    if len(stack) > 1:
+        stack[-2].append(df)
     return df
 
 

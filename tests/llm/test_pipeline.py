@@ -69,6 +69,6 @@ def test_stages_on_odd_rows(spark, odd, odd_dir, tmp_path):
 
 
 def test_run_on_odd_and_empty_rows(spark, odd_dir, empty_dir):
-    # Two labels, both 0: the score is a quarter for every row, so none is accepted.
-    assert pipeline.run(spark, odd_dir).count() == 0
+    # Two labels are too few to learn from, so no row is rejected.
+    assert pipeline.run(spark, odd_dir).select("doc_id").distinct().count() >= 10
     assert pipeline.run(spark, empty_dir).count() == 0
