@@ -1,12 +1,15 @@
 """Readers, merges and sinks."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from histoloom import api
 from histoloom.operators import nodes as node_tables
+from histoloom.operators import history
 from histoloom.sources import store, tables
+from histoloom.streaming import evolution
 
 
 def test_tolerant_csv(spark, tmp_path):
@@ -132,3 +135,44 @@ def test_one_commit_is_read_from_one_bucket(spark, tmp_path):
         if file.name not in own:
             file.write_bytes(b"not a table")
     assert n.count() == 2 and e.count() == 1
+
+
+SNAPSHOTS = "hash string, repo_url string, author_date timestamp, filename string, complexity double, num_lines_of_code double"
+
+
+def snapshots(spark, n=120):
+    r = random.Random(3)
+    commits = [(f"c{i:03d}", r.choice("rs"), r.choice([None, r.randint(0, 40) * 86400])) for i in range(n)]
+    rows = [(h, repo, d, f"f{f}", float(r.randint(0, 9)), float(r.randint(0, 9))) for h, repo, d in commits for f in r.sample(range(5), 2)]
+    return spark.createDataFrame(rows, SNAPSHOTS.replace("timestamp", "long")).withColumn("author_date", F.timestamp_seconds("author_date")).select(*[c.split()[0] for c in SNAPSHOTS.split(", ")])
+
+
+def edges_of(df):
+    return sorted((r.filename, r.src, r.dst, round(r.d_complexity, 6), round(r.d_lines, 6), round(r.gap, 6)) for r in df.collect())
+
+
+def test_batches_in_any_order_give_the_edges_of_one(spark, tmp_path):
+    rows = snapshots(spark).persist()
+    whole = edges_of(history.file_evolution(rows.drop("repo_url", "author_date"), rows.select("hash", "repo_url", "author_date").distinct()))
+    path = f"file://{tmp_path}/state"
+    assert evolution.current_edges(spark, path) is None
+    part = lambda i: rows.where(F.pmod(F.xxhash64("hash"), F.lit(4)) == i)
+    for batch in range(4):
+        evolution.add_batch(part(batch), batch, path, buckets=4)
+        if batch == 2:  # repeated, as after a failure, and with rows known already
+            evolution.add_batch(part(batch).unionByName(part(0)), batch, path, buckets=4)
+    assert edges_of(evolution.current_edges(spark, path)) == whole
+    changed = rows.where("hash < 'c010'").withColumn("complexity", F.lit(50.0))  # the last word on a snapshot counts
+    evolution.add_batch(changed, 4, path, buckets=4)
+    after = rows.where("hash >= 'c010'").unionByName(changed)
+    assert edges_of(evolution.current_edges(spark, path)) == edges_of(history.file_evolution(after.drop("repo_url", "author_date"), after.select("hash", "repo_url", "author_date").distinct()))
+
+
+def test_evolution_of_a_stream(spark, tmp_path):
+    rows = snapshots(spark, 30).persist()
+    for i in (2, 0, 1):
+        rows.where(F.pmod(F.xxhash64("hash"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    place = [f"file://{tmp_path}/{x}" for x in ("in", "state", "checkpoint")]
+    for _ in range(2):  # the second run finds nothing new
+        evolution.evolve_as_they_come(spark, place[0], SNAPSHOTS, place[1], place[2], buckets=2).awaitTermination(120)
+    assert edges_of(evolution.current_edges(spark, place[1])) == edges_of(history.file_evolution(rows.drop("repo_url", "author_date"), rows.select("hash", "repo_url", "author_date").distinct()))
