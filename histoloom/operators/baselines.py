@@ -5,16 +5,19 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import md5_order, with_global_rank
+from ..functions.shared import md5_order, with_global_rank, written
 from .metrics import average_precision
 
 KINDS = ("logistic", "tree", "forest", "mlp")
@@ -53,20 +56,65 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows.withColumn("weight", F.lit(1.0))).select("hash", "label", vector_to_array("probability")[1].alias("score"))
 
 
-def search(rows: DataFrame, folds: DataFrame, kind: str, features: Sequence[str], grid: dict[str, Sequence], n: int | None = None, seed: int = 42) -> DataFrame:
-    """(params, mean_ap, std_ap, margin): each point of the grid, or ``n`` of them drawn at random, by average precision over the folds
-    (hash, fold, part), which may expand in time. Models are fitted when this is called, one for each point and fold."""
-    out = None
-    n_folds = [r.fold for r in folds.select("fold").distinct().collect()]
+class AveragePrecision(Evaluator):
+    """The exact average precision of label 1, as an evaluator for Spark ML's searches."""
+
+    def __init__(self, label: str = "label", probability: str = "probability"):
+        super().__init__()
+        self.label, self.probability = label, probability
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return average_precision(dataset.select(F.col(self.label).alias("label"), vector_to_array(self.probability)[1].alias("score"))).first().ap
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def _points(grid: dict[str, Sequence], n: int | None, seed: int) -> list[dict]:
     points = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
-    for params in points if n is None else random.Random(seed).sample(points, min(n, len(points))):
-        for f in n_folds:
-            part = folds.where(F.col("fold") == f)
-            train = rows.join(part.where("part = 'train'").select("hash"), "hash", "left_semi")
-            val = rows.join(part.where("part = 'val'").select("hash"), "hash", "left_semi")
-            ap = average_precision(scored(fit(train, kind, features, **params), val)).select(F.lit(str(params)).alias("params"), "ap")
-            out = ap if out is None else out.unionByName(ap)
-    return out.groupBy("params").agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("std_ap"), (1.96 * F.stddev_pop("ap")).alias("margin"))
+    return points if n is None else random.Random(seed).sample(points, min(n, len(points)))
+
+
+def _summary(spark, found: list[tuple[str, float]]) -> DataFrame:
+    rows = spark.createDataFrame(found, "params string, ap double")
+    return rows.groupBy("params").agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("std_ap"), (1.96 * F.stddev_pop("ap")).alias("margin"))
+
+
+def search(rows: DataFrame, folds: DataFrame, kind: str, features: Sequence[str], grid: dict[str, Sequence], n: int | None = None, seed: int = 42, parallel: int = 4) -> DataFrame:
+    """(params, mean_ap, std_ap, margin): each point of the grid, or ``n`` of them drawn at random, by average precision over the folds
+    (hash, fold, part), which may expand in time.
+
+    Models are fitted when this is called, ``parallel`` at a time, one for each point and fold. Each fold's two parts are written once."""
+    source, parts = written(rows.select("hash", "label", *features), "rows"), {}
+    for f in [r.fold for r in folds.select("fold").distinct().collect()]:
+        of = folds.where(F.col("fold") == f)
+        parts[f] = [written(source.join(of.where(F.col("part") == part).select("hash"), "hash", "left_semi"), part) for part in ("train", "val")]
+
+    def one(job: tuple[dict, object]) -> tuple[str, float]:
+        params, (train, val) = job[0], parts[job[1]]
+        return str(params), average_precision(scored(fit(train, kind, features, **params), val)).first().ap
+
+    with ThreadPoolExecutor(parallel) as pool:
+        found = list(pool.map(one, itertools.product(_points(grid, n, seed), sorted(parts))))
+    return _summary(rows.sparkSession, found)
+
+
+#: Balanced class weights of the rows that a pipeline is fitted on.
+_WEIGHTS = "SELECT t.*, a.n / (2 * c.n) AS weight FROM __THIS__ t JOIN (SELECT label, count(*) AS n FROM __THIS__ GROUP BY label) c ON t.label = c.label CROSS JOIN (SELECT count(*) AS n FROM __THIS__) a"
+
+
+def grouped_search(rows: DataFrame, kind: str, features: Sequence[str], grid: dict[str, Sequence], k: int, fold: str = "fold", n: int | None = None, seed: int = 42, parallel: int = 4) -> DataFrame:
+    """(params, mean_ap, std_ap, margin) over ``k`` folds of whole groups: column ``fold`` has 0 to k - 1, and each fold is validated by models of all
+    others. Spark ML's cross-validator runs them, ``parallel`` at a time; class weights are those of the rows that a model is fitted on."""
+    pipeline = classifier(kind, features)
+    model, points = pipeline.getStages()[-1], _points(grid, n, seed)
+    pipeline = Pipeline(stages=[SQLTransformer(statement=_WEIGHTS), *pipeline.getStages()])
+    maps = [{model.getParam(name): value for name, value in point.items()} for point in points]
+    validator = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=AveragePrecision(), numFolds=k, foldCol=fold, parallelism=parallel)
+    source = written(rows.select("label", F.col(fold).cast("int").alias(fold), *features), "rows")
+    found = validator.fit(source)
+    out = [(str(p), float(m), float(s)) for p, m, s in zip(points, found.avgMetrics, found.stdMetrics, strict=True)]
+    return rows.sparkSession.createDataFrame(out, "params string, mean_ap double, std_ap double").withColumn("margin", 1.96 * F.col("std_ap"))
 
 
 def compare_features(train: DataFrame, test: DataFrame, kind: str, **sets: Sequence[str]) -> DataFrame:

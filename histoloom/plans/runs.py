@@ -133,6 +133,7 @@ QUERIES = {
     "baseline_random_search": (query(lambda c: b.search(_rows(c), p.expanding_folds(c, 2), "tree", _FEATURES, {"maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 5]}, n=2), "fx_commit"), None),
     "baseline_neighbourhood": (query(_neighbourhood, "fx_commit", "fx_file"), None),
     "baseline_search": (query(lambda c: b.search(_rows(c), p.expanding_folds(c, 2), "logistic", _FEATURES, {"regParam": [0.0, 0.1]}), "fx_commit"), None),
+    "baseline_grouped_search": (query(lambda c: b.grouped_search(_rows(c).join(p.repo_folds(c, 3).select("hash", "fold"), "hash"), "tree", _FEATURES, {"maxDepth": [2, 4]}, 3), "fx_commit"), None),
     "baseline_calibrated": (query(_calibrated, "fx_scores"), None),
     "baseline_coefficients": (query(lambda c: b.coefficients(_rows(c), _FEATURES), "fx_commit"), None),
     "baseline_impurity_importance": (query(lambda c: b.impurity_importance(b.fit(_rows(c), "forest", _FEATURES, numTrees=5), _FEATURES, c.sparkSession), "fx_commit"), None),
