@@ -128,6 +128,97 @@ def _small(x, files):
 
 
 
+def _ends(mode):
+    """The ends of every edge of the process nodes, by relation."""
+
+    def run(*t):
+        edges = a.counted_graph(_tables(*t), mode, include=("issues", "pull_requests", "tags"))[1]
+        return edges.select("hash", "rel", "src_type", "src_key", "dst_type", "dst_key")
+
+    return run
+
+
+def _both_ways(rel, back, src, dst, sql):
+    """``sql`` has hash, a and b: an edge from a to b, and its reverse."""
+    return f"SELECT hash, '{rel}' AS rel, '{src}' AS src_type, a AS src_key, '{dst}' AS dst_type, b AS dst_key FROM ({sql}) UNION ALL SELECT hash, '{back}', '{dst}', b, '{src}', a FROM ({sql})"
+
+
+def _chain_ends(table, key, time):
+    return f"SELECT * FROM (SELECT hash, {key} AS a, lead({key}) OVER (PARTITION BY hash ORDER BY {time}, {key}) AS b FROM {table}) WHERE b IS NOT NULL"
+
+
+_TAG_NODES = "SELECT hash, hash || '-' || CAST(i AS VARCHAR) AS k, i FROM tags"
+_ONE_I, _ONE_P = "SELECT DISTINCT hash, 'all' AS k FROM issues", "SELECT DISTINCT hash, 'all' AS k FROM pulls"
+_RAW_I, _RAW_P = "SELECT hash, issue_id AS k FROM issues", "SELECT hash, pr_id AS k FROM pulls"
+
+
+def _first_of(left, right):
+    return f"SELECT l.hash, l.k AS a, r.k AS b FROM ({left}) l JOIN (SELECT hash, min(k) AS k FROM ({right}) GROUP BY 1) r ON r.hash = l.hash"
+
+
+def _star_ends(nodes):
+    return f"SELECT hash, hash AS a, k AS b FROM ({nodes})"
+
+
+def _ends_of(i, p, t, refs, more):
+    parts = [_both_ways("linked_issue", "issue_of", "commit", "issue", _star_ends(i)), _both_ways("linked_pr", "pr_of", "commit", "pull_request", _star_ends(p)), _both_ways("has_release_tag", "tag_of", "commit", "release_tag", _star_ends(t)), _both_ways("references_issue", "referenced_by_pr", "pull_request", "issue", refs)]
+    return " UNION ALL ".join(parts + more)
+
+
+_TAG_CHAIN = _both_ways("next_tag", "prev_tag", "release_tag", "release_tag", _chain_ends(f"({_TAG_NODES})", "k", "i"))
+
+
+def _affected(i, p, t):
+    return [_both_ways("affects_pr", "in_release", "release_tag", "pull_request", _first_of(t, p)), _both_ways("affects_issue", "in_release", "release_tag", "issue", _first_of(t, i))]
+
+
+_PREV_NODES = f"SELECT hash, 'prev' AS k FROM {_PREV}"
+_AT_COMMIT = f"SELECT hash, hash AS k FROM {_PREV}"
+_ENDS_SQL = {
+    1: _ends_of(_RAW_I, _RAW_P, _TAG_NODES, "SELECT hash, pr_id AS a, issue_id AS b FROM refs", [*_affected(_RAW_I, _RAW_P, _TAG_NODES), _TAG_CHAIN, _both_ways("next_issue", "prev_issue", "issue", "issue", _chain_ends("issues", "issue_id", "created_at")), _both_ways("next_pr", "prev_pr", "pull_request", "pull_request", _chain_ends("pulls", "pr_id", "created_at"))]),
+    3: _ends_of(_ONE_I, _ONE_P, _TAG_NODES, _first_of(_ONE_P, _ONE_I), [*_affected(_ONE_I, _ONE_P, _TAG_NODES), _TAG_CHAIN]),
+    4: _ends_of(_ONE_I, _ONE_P, _PREV_NODES, _first_of(_ONE_P, _ONE_I), [_both_ways("tag_context_pr", "tag_context_of", "commit", "pull_request", _first_of(_AT_COMMIT, _ONE_P)), _both_ways("tag_context_issue", "tag_context_of", "commit", "issue", _first_of(_AT_COMMIT, _ONE_I))]),
+}
+_KINDS = {"issue": c.ISSUE_FEATURES_V2, "pull_request": c.PULL_FEATURES_V2, "release_tag": c.TAG_FEATURES_V2}
+_OF_FEATURES = {"has_issue": "linked_to_commit", "has_pr": "linked_to_commit", "has_release": "release_of"}
+_MASKED = ["keep_developer_only", "keep_process_only", "keep_edges_only", "keep_nodes_only", "developer", "developer_features", "process"]
+
+
+def _variants(features, owned, roles):
+    """How many values other than 0 each mask leaves, by type of node or relation and dim."""
+    pair = lambda df, *x: df.select(F.col("commit_hash").alias("hash"), F.col("commit_hash").alias("src_key"), F.col(x[0]).alias("dst_key"), F.array(*[F.col(y).cast("double") if isinstance(y, str) else F.lit(y) for y in x[1:]]).alias("attr"))
+    nodes = owned.select(F.col("commit_hash").alias("hash"), F.lit("developer").alias("type"), F.concat_ws("|", "file_path", "dev_email").alias("node_key"), F.array(F.col("ownership_ratio").cast("double"), F.col("lines_owned").cast("double")).alias("x"))
+    for kind, table in n.process_nodes_v2(features).items():
+        nodes = nodes.unionByName(a.typed(table, kind))
+    edges = a.relation(pair(owned, "file_path", "edits_in_window", "ownership_ratio"), "owns", "developer", "file", "owned_by")
+    for role, there, back in (("author", "authored_by", "authored"), ("committer", "committed_by", "committed")):
+        edges = edges.unionByName(a.relation(pair(roles.where(F.col("role") == role), "dev_id", 1.0, 2.0), there, "commit", "developer", back))
+    for there, back in _OF_FEATURES.items():
+        star = features.select(F.col("hash").alias("commit_hash"), F.lit("all").alias("key"), "repo_commits_last_90d")
+        edges = edges.unionByName(a.relation(pair(star, "key", "repo_commits_last_90d"), there, "commit", "process", back))
+    nodes, edges, out = written(nodes, "nodes"), written(edges, "edges"), None
+    for name in _MASKED:
+        masked = s.apply_named(nodes, edges, name)
+        for part, table, by, vector in (("node", masked[0], "type", "x"), ("edge", masked[1], "rel", "attr")):
+            left = table.select(F.col(by).alias("type"), F.posexplode(vector).alias("dim", "value")).groupBy("type", F.col("dim").cast("long").alias("dim")).agg(F.count_if(F.col("value") != 0).alias("n"))
+            left = left.select(F.lit(name).alias("mask"), F.lit(part).alias("part"), "type", "dim", "n")
+            out = left if out is None else out.unionByName(left)
+    return out
+
+
+_VALUES = [("node", "developer", d, v, "fx_ownership") for d, v in enumerate(("ownership_ratio", "lines_owned"))]
+_VALUES += [("node", kind, d, f"coalesce({v}, 0)", "fx_process") for kind, names in _KINDS.items() for d, v in enumerate(names)]
+_VALUES += [("edge", rel, d, v, "fx_ownership") for rel in ("owns", "owned_by") for d, v in enumerate(("edits_in_window", "ownership_ratio"))]
+_VALUES += [("edge", rel, d, "1", f"(SELECT * FROM fx_commit_author WHERE role = '{role}')") for role, rels in (("author", ("authored_by", "authored")), ("committer", ("committed_by", "committed"))) for rel in rels for d in (0, 1)]
+_VALUES += [("edge", rel, 0, "repo_commits_last_90d", "fx_process") for pair in _OF_FEATURES.items() for rel in pair]
+_EVERYTHING = " UNION ALL ".join(f"SELECT '{part}' AS part, '{kind}' AS type, CAST({d} AS BIGINT) AS dim, count(*) FILTER ({v} <> 0) AS n FROM {source}" for part, kind, d, v, source in _VALUES)
+_ALL_PROCESS, _ALL_ROLES = ["issue", "pull_request", "release_tag"], ["authored_by", "authored", "committed_by", "committed"]
+_ALL_LINKS = ["has_issue", "has_pr", "linked_to_commit", "has_release", "release_of"]
+_GONE = {"keep_developer_only": _ALL_PROCESS + _ALL_LINKS, "keep_process_only": ["developer", *_ALL_ROLES], "keep_edges_only": ["developer", *_ALL_PROCESS], "keep_nodes_only": _ALL_ROLES + _ALL_LINKS, "developer": ["developer", *_ALL_ROLES, "owns", "owned_by"], "developer_features": ["developer"], "process": _ALL_PROCESS}
+_ZEROED = " UNION ALL ".join(f"SELECT '{mask}' AS mask, unnest({kinds}) AS type" for mask, kinds in _GONE.items())
+_VARIANTS_SQL = f"SELECT m.mask, part, e.type, dim, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM zeroed z WHERE z.mask = m.mask AND z.type = e.type) THEN 0 ELSE n END) AS BIGINT) AS n FROM everything e, (SELECT unnest({_MASKED}) AS mask) m GROUP BY ALL"
+
+
 QUERIES = {
     "node_process_v2": (
         query(lambda f: _stacked(n.process_nodes_v2(f)), "fx_process"),
@@ -238,6 +329,8 @@ QUERIES = {
         query(lambda f, x: melt(s.apply_mask(n.commit_nodes(_hourly(x), f).withColumn("type", F.lit("commit")), s.named_mask(x.sparkSession, "pruned", "pruned_v2"))).where("value <> 0").groupBy("dim").agg(F.count("*").alias("n")), "fx_process", "fx_commit_full"),
         oracle("SELECT * FROM (SELECT CAST(0 AS BIGINT) AS dim, count(*) FILTER (in_main_branch) AS n FROM fx_commit_full UNION ALL SELECT 1, count(*) FILTER (merge) FROM fx_commit_full UNION ALL SELECT 8, count(*) FILTER (abs(round(cos((hour(authored_at) + minute(authored_at) / 60) * 6.283185307179586 / 24), 6)) > 0 OR (hour(authored_at) + minute(authored_at) / 60) IN (6, 18)) FROM fx_commit_full UNION ALL SELECT 9, count(*) FILTER (isodow(authored_at) <> 1) FROM fx_commit_full UNION ALL SELECT 11, count(*) FILTER (has_sdlc_data <> 0) FROM fx_process UNION ALL SELECT 12, count(*) FILTER (repo_commits_last_90d <> 0) FROM fx_process UNION ALL SELECT 13, count(*) FILTER (repo_active_authors_90d <> 0) FROM fx_process) WHERE n > 0"),
     ),
+    **{f"graph_ends_{name}": (query(_ends(mode), *_SOURCES), oracle(_ENDS_SQL[mode], **_CTES)) for mode, name in ((1, "raw"), (3, "hybrid"), (4, "tag_context"))},
+    "mask_variants": (query(_variants, "fx_process", "fx_ownership", "fx_commit_author"), oracle(_VARIANTS_SQL, zeroed=_ZEROED, everything=_EVERYTHING)),
     "mask_configuration": (
         query(lambda x, f: melt(s.configured(*_small(x, f), "no_fn_categorical")[1], "attr", "hash", "rel", "dst_key").where("dim < 9 AND rel = 'modifies_func'"), "fx_commit_full", "fx_file"),
         oracle(_melt_sql("fx_file", "hash, 'modifies_func' AS rel, filename AS dst_key", [*[f"CAST(change_type = '{k}' AS INT)" for k in c.FILE_CHANGES], "0", "0", "0"])),
