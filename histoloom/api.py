@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.scalars import OWNER_SHARE
+from .functions.shared import written
 from .operators import assembly, attribution, audits, graphs, history, history_graph, metrics, scaling, splits
 from .operators import runs as run_tables
-from .sources.tables import load_tables, write_report, write_split
+from .sources.tables import load_tables, write_observed, write_report, write_split
 
 STRATEGIES = {
     "repo": splits.by_repo, "temporal": splits.by_time, "repo_temporal": splits.by_repo_and_time, "cwe": splits.by_weakness, "severity": splits.by_severity,
@@ -78,6 +79,25 @@ def publish_split(split_: DataFrame, path: str, strategy: str) -> None:
     write_report(validate_split(split_, strategy), f"{path}/leakage/{strategy}")
 
 
+def publish_graphs(nodes: DataFrame, edges: DataFrame, commits: DataFrame, path: str, width: int | dict[str, int], most: int = 100_000, labelled: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+    """Writes graphs under ``path`` as ``nodes`` (a folder a type), ``edges`` (a folder a relation), ``manifest`` (hash, label, repo_url, n_nodes,
+    n_edges; one row a commit) and, where given, ``rejected`` (hash, reason; JSON), and returns their audit (problem, n).
+
+    Vectors and empty ends are checked by the tasks that write them, so no vector is read again; the manifest, the bounds and the
+    dangling ends come from one union by key of the written keys. Problems are those of :func:`operators.audits.graph_problems`, in which
+    empty tables have none. Repeated nodes and edges count as often as they stand."""
+    spark = nodes.sparkSession
+    seen = write_observed(nodes, f"{path}/nodes", "type", audits.node_checks(width)) | write_observed(edges, f"{path}/edges", "rel", audits.edge_checks())
+    kept_nodes, kept_edges = (spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in (("nodes", nodes), ("edges", edges)))
+    counts = written(audits.graph_counts(kept_nodes, kept_edges), "graph-counts")
+    of_commit = commits.select("hash", "label", "repo_url").join(counts.select("hash", "n_nodes", "n_edges"), "hash", "left").na.fill(0, ["n_nodes", "n_edges"])
+    of_commit.write.mode("overwrite").parquet(f"{path}/manifest")
+    if rejected is not None:
+        write_report(rejected, f"{path}/rejected")
+    observed = spark.createDataFrame([(name, seen[name]) for name in ("width", "not_finite", "empty_end")], "problem string, n long")
+    return observed.unionByName(audits.count_problems(counts, most, commits, labelled))
+
+
 def evaluate(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rates at 0.5, average precision, ROC area and the best swept threshold, by ``keys``."""
     parts = [metrics.rates(metrics.confusion(scored, keys)), metrics.average_precision(scored, keys), metrics.roc_auc(scored, keys), metrics.best_threshold_sweep(scored, keys)]
@@ -93,4 +113,4 @@ shapley, kernel_shap = attribution.shapley, attribution.kernel_shap
 repo_commits, manifest = history.repo_commits, graphs.manifest
 number_graph = history_graph.numbered
 
-__all__ = ["apply_scaler", "build_graph_tables", "build_graph_tables_v2", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "number_graph", "publish_split", "repo_commits", "shapley", "split", "summarise_runs", "validate_split"]
+__all__ = ["apply_scaler", "build_graph_tables", "build_graph_tables_v2", "build_history_graph", "evaluate", "fit_scaler", "kernel_shap", "load_tables", "manifest", "mask", "named_mask", "number_graph", "publish_graphs", "publish_split", "repo_commits", "shapley", "split", "summarise_runs", "validate_split"]

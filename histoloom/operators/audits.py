@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import md5_order, with_running_sums
@@ -168,50 +168,100 @@ def stratified_sample(rows: DataFrame, n: int, seed: int = 42, stratum: str = "l
     return first.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(*shuffled))).where(F.col("_place") <= n).drop("_place")
 
 
-def graph_problems(nodes: DataFrame, edges: DataFrame, width: int | dict[str, int], most: int = 100_000, commits: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
-    """(problem, n) over node rows (hash, node_key, x[, type]) and edge rows (hash, src_key, dst_key[, src_type, dst_type]): wrong width
-    (``width``, or by type), bad numbers, empty keys at edge ends, dangling ends, too many nodes; with ``commits`` (hash, label,
-    repo_url) also graphs without a repository, and with ``labelled`` (hash, label), what the graphs say, other labels."""
-    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+def node_checks(width: int | dict[str, int]) -> dict[str, Column]:
+    """Counts over node rows (x[, type]) that one pass gives: vectors of another width (``width``, or by type), and with bad numbers."""
     wanted = F.lit(width) if isinstance(width, int) else F.element_at(F.create_map(*[F.lit(v) for pair in width.items() for v in pair]), F.col("type"))
-    of_nodes = nodes.agg(F.count_if(F.size("x") != wanted).alias("width"), F.count_if(bad).alias("not_finite"))
-    sides = [F.struct(F.col(f"{s}_key").alias("node_key"), *[F.col(f"{s}_type").alias("type") for _ in (0,) if f"{s}_type" in edges.columns]) for s in ("src", "dst")]
-    ends = edges.select("hash", F.explode(F.array(*sides)).alias("_e")).select("hash", "_e.*")
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
-    out = of_nodes.select(F.expr("stack(2, 'width', width, 'not_finite', not_finite) AS (problem, n)"))
-    out = out.unionByName(count(ends.join(nodes.select(*ends.columns), ends.columns, "left_anti"), "dangling"))
-    out = out.unionByName(count(ends.where("node_key IS NULL OR node_key = ''"), "empty_end"))
-    out = out.unionByName(count(nodes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most), "too_many_nodes"))
+    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return {"width": F.count_if(F.size("x") != wanted), "not_finite": F.count_if(bad)}
+
+
+def edge_checks() -> dict[str, Column]:
+    """Counts over edge rows that one pass gives: ends without a key."""
+    empty = lambda c: F.count_if(F.col(c).isNull() | (F.col(c) == ""))
+    return {"empty_end": empty("src_key") + empty("dst_key")}
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hash, n_nodes, n_edges, dangling): the rows of each graph and its edge ends that no node has.
+
+    Nodes and both ends of the edges meet in one tagged union, counted by key before they are dealt, so a key of many edges is one row
+    a task, and no vector moves. Types count where the edges have them. An end with a null key dangles."""
+    keys = ["hash", "node_key", *(["type"] if "src_type" in edges.columns else [])]
+    side = lambda s, first: F.struct(F.col(f"{s}_key").alias("node_key"), *[F.col(f"{s}_type").alias("type") for _ in keys[2:]], F.lit(first).alias("_edge"))
+    ends = edges.select("hash", F.explode(F.array(side("src", 1), side("dst", 0))).alias("_e")).select("hash", "_e.*").withColumn("_node", F.lit(0))
+    rows = ends.unionByName(nodes.select(*keys, F.lit(0).alias("_edge"), F.lit(1).alias("_node")))
+    by_key = rows.groupBy(*keys).agg(F.sum("_node").alias("n_nodes"), F.sum("_edge").alias("n_edges"), F.count_if(F.col("_node") == 0).alias("_ends"))
+    absent = F.col("n_nodes") == 0
+    for k in keys:
+        absent = absent | F.col(k).isNull()
+    return by_key.groupBy("hash").agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_edges").alias("n_edges"), F.sum(F.when(absent, F.col("_ends")).otherwise(0)).alias("dangling"))
+
+
+def count_problems(counts: DataFrame, most: int = 100_000, commits: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """(problem, n) over :func:`graph_counts`: dangling ends, graphs of more than ``most`` nodes, with ``commits`` (hash, label, repo_url) graphs
+    without a repository, with ``labelled`` (hash, label) also those that it gives another label.
+
+    Commits and labels join the counts by one aggregation. A commit listed twice with different values counts if one of them is bad."""
+    found = {"dangling": F.sum("dangling"), "too_many_nodes": F.count_if(F.col("n_nodes") > most)}
+    rows = counts.select("hash", "n_nodes", "dangling")
     if commits is not None:
-        graphs = nodes.select("hash").distinct().join(commits.select("hash", "label", "repo_url"), "hash", "left")
-        out = out.unionByName(count(graphs.where("repo_url IS NULL OR repo_url = ''"), "no_repository"))
+        listed = commits.where("hash IS NOT NULL").select("hash", F.lit("commit").alias("_from"), "label", (F.col("repo_url").isNull() | (F.col("repo_url") == "")).alias("_bare"))
         if labelled is not None:
-            out = out.unionByName(count(graphs.join(labelled.select("hash", F.col("label").alias("_l")), "hash").where("NOT label <=> _l"), "other_label"))
-    return out
+            listed = listed.unionByName(labelled.where("hash IS NOT NULL").select("hash", F.lit("labels").alias("_from"), "label", F.lit(False).alias("_bare")))
+        rows = rows.unionByName(listed, allowMissingColumns=True).groupBy("hash").agg(
+            F.sum("n_nodes").alias("n_nodes"), F.sum("dangling").alias("dangling"), F.count_if(F.col("_from") == "commit").alias("_c"), F.count_if(F.col("_from") == "labels").alias("_l"),
+            F.count_if("_bare").alias("_bare"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("label").alias("_known"),
+        )
+        graph = F.col("n_nodes") > 0
+        found["no_repository"] = F.count_if(graph & ((F.col("_c") == 0) | (F.col("_bare") > 0)))
+        if labelled is not None:  # a graph without a commit has a null label
+            same = F.col("_low").eqNullSafe(F.col("_high")) & ((F.col("_known") == 0) | ((F.col("_known") == F.col("_c") + F.col("_l")) & (F.col("_c") > 0)))
+            found["other_label"] = F.count_if(graph & (F.col("_l") > 0) & ~same)
+    return _stacked(rows, found)
+
+
+def _stacked(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """(problem, n): one row a count, all of one pass."""
+    one = rows.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in counts.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("problem"), F.col(name).alias("n")) for name in counts])).alias("_p")).select("_p.*")
+
+
+def graph_problems(nodes: DataFrame, edges: DataFrame, width: int | dict[str, int], most: int = 100_000, commits: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """(problem, n) over node rows (hash, node_key, x[, type]) and edge rows (hash, src_key, dst_key[, src_type, dst_type]): those of
+    :func:`node_checks`, :func:`edge_checks` and :func:`count_problems`. Each table is read for its own columns' pass and for one union by key."""
+    out = _stacked(nodes, node_checks(width)).unionByName(_stacked(edges, edge_checks()))
+    return out.unionByName(count_problems(graph_counts(nodes, edges), most, commits, labelled))
 
 
 def graph_errors(nodes: DataFrame, edges: DataFrame, commits: DataFrame, tables: dict[str, DataFrame], backward: dict[str, str], embedded: dict[str, int] | None = None) -> DataFrame:
     """(hash, errors): of each commit's graph, in this order: missing_graph; count_<type> where the source table of a node type has
     another number of rows (``tables``: type to hash rows); no_developer; no_author_edge; back_<rel> where a relation and its reverse in
-    ``backward`` differ in number; zero_embedding_<type> where all of a type's vectors are 0 from a dim on (``embedded``)."""
-    of_nodes = nodes.groupBy("hash", "type").agg(F.count("*").alias("n")).groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("_nodes"))
-    of_edges = edges.groupBy("hash", "rel").agg(F.count("*").alias("n")).groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("rel", "n"))).alias("_edges"))
-    rows = commits.select("hash").distinct().join(of_nodes, "hash", "left").join(of_edges, "hash", "left")
-    number = lambda m, k: F.coalesce(F.element_at(m, F.lit(k)), F.lit(0))
-    checks = [F.when(F.col("_nodes").isNull(), "missing_graph")]
-    for kind, table in tables.items():
-        rows = rows.join(table.groupBy("hash").agg(F.count("*").alias(f"_n_{kind}")), "hash", "left")
-        checks.append(F.when(number("_nodes", kind) != F.coalesce(F.col(f"_n_{kind}"), F.lit(0)), f"count_{kind}"))
-    checks.append(F.when(number("_nodes", "developer") == 0, "no_developer"))
-    checks.append(F.when(number("_edges", "authored_by") == 0, "no_author_edge"))
-    checks += [F.when(number("_edges", rel) != number("_edges", back), f"back_{rel}") for rel, back in backward.items()]
+    ``backward`` differ in number; zero_embedding_<type> where all of a type's vectors are 0 from a dim on (``embedded``).
+
+    All rows meet in one tagged union, counted by commit before they are dealt; of a vector only its weight goes along."""
+    tagged = lambda df, kind, name, weight=F.lit(None).cast("double"): df.select("hash", F.lit(kind).alias("_from"), name.cast("string").alias("_name"), weight.alias("_w"))
+    weight = F.lit(None).cast("double")
     for kind, first in (embedded or {}).items():
-        weight = F.aggregate(F.slice("x", first + 1, F.greatest(F.size("x") - first, F.lit(0))), F.lit(0.0), lambda a, v: a + F.abs(v))
-        sums = nodes.where(F.col("type") == kind).groupBy("hash").agg(F.max(weight).alias(f"_w_{kind}"))
-        rows = rows.join(sums, "hash", "left")
-        checks.append(F.when(F.col(f"_w_{kind}") == 0, f"zero_embedding_{kind}"))
+        of_kind = F.aggregate(F.slice("x", first + 1, F.greatest(F.size("x") - first, F.lit(0))), F.lit(0.0), lambda a, v: a + F.abs(v))
+        weight = F.when(F.col("type") == kind, of_kind).otherwise(weight)
+    rows = tagged(commits, "commit", F.lit("")).unionByName(tagged(nodes, "node", F.col("type"), weight)).unionByName(tagged(edges, "edge", F.col("rel")))
+    for kind, table in tables.items():
+        rows = rows.unionByName(tagged(table, "table", F.lit(kind)))
+    is_ = lambda kind, name: (F.col("_from") == kind) & (F.col("_name") == name)
+    number: dict[tuple[str, str], str] = {}
+    for pair in [("node", "developer"), ("edge", "authored_by"), *[(side, k) for k in tables for side in ("node", "table")], *[("edge", r) for both in backward.items() for r in both]]:
+        number.setdefault(pair, f"_n{len(number)}")
+    sums = [F.count_if(is_(*pair)).alias(name) for pair, name in number.items()] + [F.max(F.when(is_("node", k), F.col("_w"))).alias(f"_w_{k}") for k in embedded or {}]
+    per = rows.groupBy("hash").agg(F.count_if(F.col("_from") == "commit").alias("_commits"), F.count_if(F.col("_from") == "node").alias("_nodes"), *sums)
+    own = lambda kind, name: F.when(F.col("hash").isNotNull(), F.col(number[kind, name])).otherwise(0)
+    checks = [F.when((F.col("_nodes") == 0) | F.col("hash").isNull(), "missing_graph")]
+    checks += [F.when(own("node", k) != own("table", k), f"count_{k}") for k in tables]
+    checks.append(F.when(own("node", "developer") == 0, "no_developer"))
+    checks.append(F.when(own("edge", "authored_by") == 0, "no_author_edge"))
+    checks += [F.when(own("edge", rel) != own("edge", back), f"back_{rel}") for rel, back in backward.items()]
+    checks += [F.when((F.col(f"_w_{k}") == 0) & F.col("hash").isNotNull(), f"zero_embedding_{k}") for k in embedded or {}]
     errors = F.filter(F.array(*checks), lambda c: c.isNotNull())
-    return rows.select("hash", F.array_join(errors, ",").alias("errors")).where("errors <> ''")
+    return per.where("_commits > 0").select("hash", F.array_join(errors, ",").alias("errors")).where("errors <> ''")
 
 
 def integration(graph_counts: DataFrame, raw_counts: DataFrame, key: str = "hash") -> DataFrame:

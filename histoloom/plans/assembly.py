@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import scalars as c
-from ..functions.shared import written
+from ..functions.shared import scratch_path, written
 from ..operators import assembly as a
 from ..operators import audits as v
 from ..operators import edges as e
@@ -219,6 +220,12 @@ _ZEROED = " UNION ALL ".join(f"SELECT '{mask}' AS mask, unnest({kinds}) AS type"
 _VARIANTS_SQL = f"SELECT m.mask, part, e.type, dim, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM zeroed z WHERE z.mask = m.mask AND z.type = e.type) THEN 0 ELSE n END) AS BIGINT) AS n FROM everything e, (SELECT unnest({_MASKED}) AS mask) m GROUP BY ALL"
 
 
+#: What :func:`_damaged` puts wrong.
+_DAMAGES = oracle(
+    "SELECT 'width' AS problem, (SELECT count(*) FROM files WHERE complexity = 7) AS n UNION ALL SELECT 'not_finite', (SELECT count(*) FROM files WHERE complexity = 9) UNION ALL SELECT 'dangling', 2 * (SELECT count(*) FROM files WHERE complexity = 11) UNION ALL SELECT 'empty_end', 0 UNION ALL SELECT 'too_many_nodes', (SELECT count(*) FROM (SELECT hash FROM files WHERE complexity <> 11 GROUP BY 1 HAVING count(*) >= 3)) UNION ALL SELECT 'no_repository', (SELECT count(*) FROM fx_commit_full WHERE merge) UNION ALL SELECT 'other_label', (SELECT count(*) FROM fx_commit_full WHERE NOT in_main_branch)",
+    files="SELECT hash, filename, complexity FROM fx_file",
+)
+
 QUERIES = {
     "node_process_v2": (
         query(lambda f: _stacked(n.process_nodes_v2(f)), "fx_process"),
@@ -296,6 +303,14 @@ QUERIES = {
             ("edge", "has_hunk"): "SELECT count(*) FROM fx_function_full WHERE is_hunk", ("edge", "in_commit_hunk"): "SELECT count(*) FROM fx_function_full WHERE is_hunk", ("edge", "contains"): "SELECT count(*) FROM fns", ("edge", "has_issue"): _ALL_C,
         }),
     ),
+    "audit_published_graphs": (
+        query(lambda *t: _published(*t), "fx_commit_full", "fx_file"),
+        _DAMAGES,
+    ),
+    "graph_published_manifest": (
+        query(lambda *t: _published(*t, manifest=True), "fx_commit_full", "fx_file"),
+        oracle("SELECT c.hash, label, CASE WHEN NOT merge THEN repo_url END AS repo_url, {nodes} AS n_nodes, 2 * coalesce(k, 0) AS n_edges FROM fx_commit_full c LEFT JOIN (SELECT hash, count(*) AS k, count(*) FILTER (complexity <> 11) AS kept FROM fx_file GROUP BY 1) f ON f.hash = c.hash".format(nodes="1 + coalesce(kept, 0)")),
+    ),
     "audit_graph_errors": (
         query(_errors, *_SOURCES),
         oracle(
@@ -303,11 +318,8 @@ QUERIES = {
         ),
     ),
     "audit_graph_problems": (
-        query(lambda *t: v.graph_problems(*_damaged(*t), {"commit": 7, "file": 3}, 3, t[0].withColumn("repo_url", F.when(~F.col("merge"), F.col("repo_url"))), t[0].select("hash", F.when(F.col("in_main_branch"), F.col("label")).otherwise(2).alias("label"))), "fx_commit_full", "fx_file"),
-        oracle(
-            "SELECT 'width' AS problem, (SELECT count(*) FROM files WHERE complexity = 7) AS n UNION ALL SELECT 'not_finite', (SELECT count(*) FROM files WHERE complexity = 9) UNION ALL SELECT 'dangling', 2 * (SELECT count(*) FROM files WHERE complexity = 11) UNION ALL SELECT 'empty_end', 0 UNION ALL SELECT 'too_many_nodes', (SELECT count(*) FROM (SELECT hash FROM files WHERE complexity <> 11 GROUP BY 1 HAVING count(*) >= 3)) UNION ALL SELECT 'no_repository', (SELECT count(*) FROM fx_commit_full WHERE merge) UNION ALL SELECT 'other_label', (SELECT count(*) FROM fx_commit_full WHERE NOT in_main_branch)",
-            files="SELECT hash, filename, complexity FROM fx_file",
-        ),
+        query(lambda *t: v.graph_problems(*_damaged(*t), {"commit": 7, "file": 3}, 3, *_named_apart(t[0])), "fx_commit_full", "fx_file"),
+        _DAMAGES,
     ),
     "audit_one_hot": (
         query(lambda f: v.one_hot_problems(e.commit_file_changes(f).withColumn("attr", F.when(F.col("dst_key") > "Brand#3", F.transform("attr", lambda y: y * 2)).otherwise(F.col("attr"))), "attr", 0, 6), "fx_file"),
@@ -360,6 +372,19 @@ def _tailed(files, vectors):
     return n.file_nodes(files).join(F.broadcast(one)).select("hash", F.lit("hunk").alias("type"), "node_key", F.concat("x", F.col("embedding").cast("array<double>")).alias("x"))
 
 
+def _named_apart(commits):
+    """Merges without a repository, and labels that differ off the main branch."""
+    return commits.withColumn("repo_url", F.when(~F.col("merge"), F.col("repo_url"))), commits.select("hash", F.when(F.col("in_main_branch"), F.col("label")).otherwise(2).alias("label"))
+
+
+def _published(commits, files, manifest=False):
+    path = scratch_path(commits.sparkSession, "graphs")
+    nodes, edges = _damaged(commits, files)
+    listed, labelled = _named_apart(commits)
+    found = api.publish_graphs(nodes, edges, listed, path, {"commit": 7, "file": 3}, 3, labelled)
+    return commits.sparkSession.read.parquet(f"{path}/manifest") if manifest else found
+
+
 def _damaged(x, files):
     """A small graph with wrong widths, bad numbers and missing nodes, by the files' complexity."""
     nodes, edges = _small(x, files)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import SCHEMAS
@@ -108,6 +108,14 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
 
 
+def write_observed(df: DataFrame, path: str, part: str, counts: dict[str, Column]) -> dict[str, int]:
+    """Writes ``df`` as :func:`write_graphs` does and returns aggregates over its rows, taken by the tasks that write them. A task that
+    runs again counts once."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()]).write.mode("overwrite").partitionBy(part).parquet(path)
+    return seen.get
+
+
 def split_rejects(commits: DataFrame, features: DataFrame, files: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(buildable, rejected): commits that can't be built, with the first reason that holds."""
     has = lambda t, n: t.select("hash", F.lit(True).alias(n)).distinct()

@@ -550,3 +550,55 @@ def test_variance_inflation(spark):
     close = spark.createDataFrame([(1.0, 1.0), (1.0, 0.5)], "a double, b double")
     # Uncentred: G = [[2, 1.5], [1.5, 1.25]], so a's is 2 * 1.25 / 0.25.
     assert [r.vif for r in statistics.variance_inflation(close, ["a", "b"]).collect()] == pytest.approx([10.0, 10.0])
+
+
+_NODES, _EDGES = "hash string, type string, node_key string, x array<double>", "hash string, rel string, src_type string, src_key string, dst_type string, dst_key string, attr array<double>"
+
+
+def _graph_rows(spark):
+    nan = float("nan")
+    nodes = [("a", "commit", "a", [1.0, 2.0]), ("a", "file", "f", [1.0]), ("a", "file", "g", [nan]), ("b", "commit", "b", [1.0]), ("b", "file", "f", None), ("d", "commit", "d", [0.0, None])]
+    edges = [("a", "has", "commit", "a", "file", "f", []), ("a", "has", "commit", "a", "file", "f", []), ("a", "has", "commit", "a", "commit", "f", []), ("b", "has", "commit", "b", "file", None, []), ("b", "has", "commit", "", "file", "f", []), ("c", "has", "commit", "c", "file", "f", [])]
+    commits = [("a", 1, "r"), ("b", 0, ""), ("c", 1, "r"), ("x", 1, None)]
+    return spark.createDataFrame(nodes, _NODES), spark.createDataFrame(edges, _EDGES), spark.createDataFrame(commits, "hash string, label int, repo_url string")
+
+
+_FOUND = {"width": 1, "not_finite": 2, "empty_end": 2, "dangling": 5, "too_many_nodes": 1, "no_repository": 2, "other_label": 2}
+
+
+def test_graph_problems_by_hand(spark):
+    nodes, edges, commits = _graph_rows(spark)
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("d", 0), ("c", 0)], "hash string, label int")
+    found = audits.graph_problems(nodes, edges, {"commit": 2, "file": 1}, 2, commits, labels)
+    assert {r.problem: r.n for r in found.collect()} == _FOUND
+    per = {r.hash: (r.n_nodes, r.n_edges, r.dangling) for r in audits.graph_counts(nodes, edges).collect()}
+    assert per == {"a": (3, 3, 1), "b": (2, 2, 2), "c": (0, 1, 2), "d": (1, 0, 0)}
+    empty = audits.graph_problems(nodes.limit(0), edges.limit(0), 2, 2, commits, labels)
+    assert {r.n for r in empty.collect()} == {0}
+    plan = audits.graph_counts(nodes, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "x#" not in plan.split("Exchange")[0]
+
+
+def test_published_graphs_are_audited_while_written(spark, tmp_path):
+    nodes, edges, commits = _graph_rows(spark)
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("d", 0), ("c", 0)], "hash string, label int")
+    rejected = spark.createDataFrame([("x", "no_code_rows")], "hash string, reason string")
+    found = api.publish_graphs(nodes, edges, commits, str(tmp_path / "g"), {"commit": 2, "file": 1}, 2, labels, rejected)
+    assert {r.problem: r.n for r in found.collect()} == _FOUND
+    listed = {r.hash: (r.label, r.repo_url, r.n_nodes, r.n_edges) for r in spark.read.parquet(str(tmp_path / "g/manifest")).collect()}
+    assert listed == {"a": (1, "r", 3, 3), "b": (0, "", 2, 2), "c": (1, "r", 0, 1), "x": (1, None, 0, 0)}
+    assert spark.read.json(str(tmp_path / "g/rejected")).first().reason == "no_code_rows"
+    assert spark.read.parquet(str(tmp_path / "g/edges")).count() == edges.count()
+    none = api.publish_graphs(nodes.where("false"), edges.where("false"), commits, str(tmp_path / "e"), 2)
+    assert {r.n for r in none.collect()} == {0}
+
+
+def test_graph_errors_by_hand(spark):
+    nodes, edges, commits = _graph_rows(spark)
+    files = spark.createDataFrame([("a",), ("a",), ("b",), ("x",)], "hash string")
+    nodes = nodes.unionByName(spark.createDataFrame([("a", "developer", "e", [1.0, 0.0])], _NODES))
+    found = audits.graph_errors(nodes, edges, commits.unionByName(spark.createDataFrame([(None, 1, "r")], commits.schema)), {"file": files}, {"has": "in"}, {"developer": 1})
+    assert {r.hash: r.errors for r in found.collect()} == {
+        "a": "no_author_edge,back_has,zero_embedding_developer", "b": "no_developer,no_author_edge,back_has", "c": "missing_graph,no_developer,no_author_edge,back_has",
+        "x": "missing_graph,count_file,no_developer,no_author_edge", None: "missing_graph,no_developer,no_author_edge",
+    }
