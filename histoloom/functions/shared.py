@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_together(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, each as :func:`written` leaves it. Their jobs run at the same time, so that those of one fill the executors that the
+    last tasks of another leave idle. Meant for the few inputs of one operation."""
+    if not tables:
+        return {}
+    shared_dir(next(iter(tables.values())).sparkSession)  # set once, before the threads ask for it
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return dict(zip(tables, pool.map(written, tables.values(), tables), strict=True))
+
+
 def with_global_rank(df: DataFrame, order: list[Column], rank: str = "rank", total: str = "total") -> DataFrame:
     """``df`` with each row's place (from 1) in the order over all rows, and the number of rows.
 

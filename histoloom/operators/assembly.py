@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OWNER_SHARE, PULL_FEATURES, TAG_FEATURES, normal_key
-from ..functions.shared import written
+from ..functions.shared import written_together
 from . import cleaning, edges, nodes, ownership
 
 #: Node types beside the commit that :func:`counted_graph` can leave out.
 TYPES = ("files", "functions", "developers", "issues", "pull_requests", "tags")
+#: What nodes and edges take from functions; their code stays in the source table.
+_FUNCTION_COLUMNS = (
+    "hash", "filename", "name", "start_line", "end_line", "num_lines_of_code", "complexity", "token_count", "length", "top_nesting_level", "function_change_type", "before_change", "is_hunk", "num_parameters", "parameters",
+)
 
 
 def typed(table: DataFrame, kind: str) -> DataFrame:
@@ -45,8 +49,7 @@ def normalised_graph(tables: dict[str, DataFrame], window_days: int = 90, least:
     (features by commit_hash and dev_email). Vectors have the embedding's width only where embeddings are given."""
     commits, features, files, functions, hunks, roles = (tables[t] for t in ("commit_info", "commit_features", "file_info", "function_info", "hunk_info", "commit_author"))
     owned = ownership.choose_window(tables["ownership_window"], window_days)
-    matched = written(ownership.match_files(files, owned), "owned")
-    devs = written(nodes.developers(roles, owned, least), "developers")
+    matched, devs = written_together({"owned": ownership.match_files(files, owned), "developers": nodes.developers(roles, owned, least)}).values()
     file_x, hunk_x = nodes.file_nodes(files), nodes.hunk_nodes(hunks, hunk_embeddings, width)
     n = [typed(nodes.commit_nodes(commits, features), "commit"), typed(nodes.function_nodes(functions, embeddings, width), "function"), typed(file_x, "file"), typed(hunk_x, "hunk"), typed(nodes.developer_nodes(devs, tables["developer_info"]), "developer")]
     n += [typed(t, kind) for kind, t in nodes.process_nodes_v2(features).items()]
@@ -81,7 +84,7 @@ def _process_entities(tables: dict[str, DataFrame], commits: DataFrame, mode: in
     if mode == 4 and "release_tag" in out:
         near = nodes.bracketing_tags(commits, out["release_tag"])
         out["release_tag"] = out["release_tag"].join(near.select("hash", "tag_id"), ["hash", "tag_id"], "left_semi")
-    return {kind: written(t, kind) for kind, t in out.items()}  # nodes and several relations read them
+    return out
 
 
 def _cross(left: DataFrame, right: DataFrame, rel: str, src: str, dst: str, reverse: str, features: DataFrame | None, name: str) -> DataFrame:
@@ -98,21 +101,31 @@ def counted_graph(
     previous tag parsed and the tag's context at the commit. ``include``: the node types of :data:`TYPES`; functions and developers need files.
     Limits keep the first entities of a commit by key. ``tables`` as :func:`load_tables` names them and commit_features."""
     commits, features, files = tables["commit_info"], tables["commit_features"], tables["file_info"]
-    functions = cleaning.of_known_files(tables["function_info"], files, commits)
     has = {t: t in include and (t not in ("functions", "developers") or "files" in include) for t in TYPES}
     n, e = [typed(nodes.commit_nodes_short(commits.join(features.select("hash", *[c for c in ("days_since_prev_tag", "tags_last_180d") if c in features.columns]), "hash", "left") if mode == 4 else commits, tags=mode == 4), "commit")], []
     owned = ownership.choose_window(tables["ownership_window"], window_days)
-    matched = written(ownership.match_files(files, owned), "owned") if has["files"] else None
+    kinds = [k for k, t in (("issue", "issues"), ("pull_request", "pull_requests"), ("release_tag", "tags")) if has[t]]
+    read_often = _process_entities(tables, commits, mode, kinds, {"issue": max_issues, "pull_request": max_prs, "release_tag": max_tags})
     if has["files"]:
+        read_often["owned"] = ownership.match_files(files, owned)
+    if has["functions"]:
+        known = cleaning.of_known_files(tables["function_info"], files, commits)
+        read_often["functions"] = known.select(*[c for c in _FUNCTION_COLUMNS if c in known.columns])
+    if has["developers"]:
+        read_often["developers"] = nodes.developers_by_role_or_share(tables["commit_author"], commits, owned, least)
+    stored = written_together(read_often)
+    if has["files"]:
+        matched = stored["owned"]
         n.append(typed(nodes.file_nodes_counted(files, ownership.file_ownership_with_author(matched, tables["commit_author"])), "file"))
         e.append(relation(edges.commit_file_changes(files, commits=commits), "has", "commit", "file"))
     if has["functions"]:
+        functions = stored["functions"]
         n.append(typed(nodes.function_nodes_short(functions), "function"))
         key = lambda c: F.concat_ws("::", "filename", c)
         e.append(relation(edges.file_function_shares(files, functions).select("hash", F.col("filename").alias("src_key"), key("name").alias("dst_key"), "attr"), "has", "file", "function"))
         e.append(relation(edges.co_modified(functions).select("hash", key("a").alias("src_key"), key("b").alias("dst_key"), F.array("nearness", "likeness").alias("attr")), "co_modified", "function", "function"))
     if has["developers"]:
-        flags = written(nodes.developers_by_role_or_share(tables["commit_author"], commits, owned, least), "developers")
+        flags = stored["developers"]
         n.append(typed(nodes.developer_nodes_at_commit(flags, features, tables.get("developer_info")), "developer"))
         bot = F.array(edges.bot_flag(F.col("email")).cast("double"))
         for rel, flag in (("authored_by", "is_author"), ("committed_by", "is_committer")):
@@ -121,14 +134,12 @@ def counted_graph(
         strong = matched.withColumn("_e", normal_key(F.col("dev_email"))).join(flags.where("is_author = 1 OR is_committer = 1").select(F.col("hash").alias("commit_hash"), F.col("email").alias("_e"), F.lit(True).alias("_named")), ["commit_hash", "_e"], "left")
         strong = strong.where((F.col("ownership_ratio") >= least) | F.col("_named")).drop("_named", "_e")
         e.append(relation(edges.developer_file(strong, owners).select("hash", F.col("email").alias("src_key"), F.col("filename").alias("dst_key"), F.array("ratio", "line_share", "log_edits").alias("attr")), "owns", "developer", "file"))
-    n_, e_ = _process(tables, commits, features, mode, has, {"issue": max_issues, "pull_request": max_prs, "release_tag": max_tags})
+    n_, e_ = _process(stored, kinds, features, mode)
     return _all(n + n_), _all(e + e_) if e + e_ else None
 
 
-def _process(tables, commits, features, mode, has, limits) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Process nodes of a mode with their edges to the commit, among each other, and in time."""
-    kinds = [k for k, t in (("issue", "issues"), ("pull_request", "pull_requests"), ("release_tag", "tags")) if has[t]]
-    found = _process_entities(tables, commits, mode, kinds, limits)
+def _process(found, kinds, features, mode) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Process nodes of a mode, from the entities ``found`` of ``kinds``, with their edges to the commit, among each other, and in time."""
     n, e, x = [], [], {}
     known = features if mode in (2, 3) else None
     for kind, (rel, reverse, columns) in {"issue": ("linked_issue", "issue_of", None), "pull_request": ("linked_pr", "pr_of", PULL_FEATURES), "release_tag": ("has_release_tag", "tag_of", TAG_FEATURES)}.items():

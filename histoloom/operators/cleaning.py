@@ -107,9 +107,9 @@ def z_score(df: DataFrame, columns: Sequence[str], clip: float = 5.0) -> DataFra
 def references(pulls: DataFrame, issues: DataFrame, link: Sequence[str], texts: Sequence[str], number: str = "issue_number") -> DataFrame:
     """(hash, pr_id, issue_id): by link columns that hold issue ids; for pulls without such a link, by #numbers in their texts."""
     direct = None
-    for c in link:
-        rows = pulls.select("hash", "pr_id", F.col(c).cast("string").alias("issue_id")).join(issues.select("hash", F.col("issue_id").cast("string").alias("issue_id")), ["hash", "issue_id"], "left_semi")
-        direct = rows if direct is None else direct.unionByName(rows)
+    if link:
+        linked = F.explode(F.array_distinct(F.array(*[F.col(c).cast("string") for c in link])))
+        direct = pulls.select("hash", "pr_id", linked.alias("issue_id")).join(issues.select("hash", F.col("issue_id").cast("string").alias("issue_id")), ["hash", "issue_id"], "left_semi")
     numbers = F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(t), F.lit("")), F.lit(r"#(\d+)"), F.lit(1)) for t in texts]))))
     rest = pulls if direct is None else pulls.join(direct.select("hash", "pr_id"), ["hash", "pr_id"], "left_anti")
     named = rest.select("hash", "pr_id", numbers.alias("_t")).select("hash", "pr_id", F.col("_t").cast("long").alias("_n")).join(issues.select("hash", F.col(number).cast("long").alias("_n"), F.col("issue_id").cast("string").alias("issue_id")), ["hash", "_n"]).select("hash", "pr_id", "issue_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import scalars as c
-from ..functions.shared import scratch_path, written
+from ..functions.shared import scratch_path, written, written_together
 from ..operators import assembly as a
 from ..operators import audits as v
 from ..operators import edges as e
@@ -37,7 +37,8 @@ def _tags(commits):
 
 def _tables(x, f, files, functions, issues, pulls, roles, owned, devs):
     """The source tables, each view written once as a loaded table would be."""
-    x, f, files, functions, issues, pulls, roles, owned, devs = (written(t, "source") for t in (x, f, files, functions, issues, pulls, roles, owned, devs))
+    views = {f"source-{i}": t for i, t in enumerate((x, f, files, functions, issues, pulls, roles, owned, devs))}
+    x, f, files, functions, issues, pulls, roles, owned, devs = written_together(views).values()
     typed = functions.join(x.select("hash", F.col("commit_type").alias("commit_label")), "hash")
     return {
         "commit_info": _hourly(x), "commit_features": f, "file_info": files, "function_info": typed.where("NOT is_hunk"), "hunk_info": typed.where("is_hunk"), "issue_info": issues, "pull_request_info": pulls,
