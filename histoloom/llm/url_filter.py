@@ -3,11 +3,11 @@
 The list holds canonical URLs ``host + path`` with an action each. A listed entry covers its host,
 all subdomains, and every path that starts with its path. A page's URL is turned into the canonical
 keys that could be listed: the tails of its host of as many labels as a listed host has, joined with its path cut to each
-length that a listed path has. The Bloom filter passes few of those keys on; an equi-join with the list removes
-its false positives; the longest listed key decides.
+length that a listed path has. Tails pass a Bloom filter of the listed hosts first, so that only they meet the lengths; a filter of
+the whole keys passes few of these on; an equi-join with the list removes its false positives; the longest listed key decides.
 
-Only DataFrame functions are used. The filter is a table of at most ``blocks`` rows, one 64-bit word
-each, so broadcasting it is bounded by that parameter.
+Only DataFrame functions are used. A filter is a table of one 64-bit word a row, a row for about ``PER_BLOCK`` listed keys and at most
+``MOST_BLOCKS`` rows, so broadcasting it is bounded by that parameter. Beyond it results are the same and more keys reach the join.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .storage import fresh, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: host, path, action
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-BLOCKS = 1 << 16
+PER_BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4, 1 << 10, 1 << 20
 PROBES = 4
 #: URLs with a larger share of the pages than one in so many, at most so many, are broadcast with their rules.
 SHARE = 10_000
@@ -50,12 +50,24 @@ def _mask(key: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def bloom_table(listed: DataFrame, key: str = "key", blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(keys: int) -> int:
+    """Rows of a filter of so many keys: a power of two."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << max(-(-keys // PER_BLOCK) - 1, 0).bit_length()))
+
+
+def bloom_table(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     """(block, word): at most ``blocks`` rows. Null keys are left out."""
     return listed.where(F.col(key).isNotNull()).groupBy(_block(F.col(key), blocks).alias("block")).agg(F.bit_or(_mask(F.col(key))).alias("word"))
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow", blocks: int = BLOCKS) -> DataFrame:
+def _passed(rows: DataFrame, key: Column, listed: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` whose ``key`` may be one of the column ``key`` of ``listed``."""
+    bloom = bloom_table(listed, "key", blocks)
+    tested = rows.withColumn("block", _block(key, blocks)).withColumn("mask", _mask(key)).join(F.broadcast(bloom), "block")
+    return tested.where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).drop("block", "mask", "word")
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow", blocks: int | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest listed key that fits, or null) and
     ``verdict`` (its action, or ``default``).
 
@@ -64,29 +76,25 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
     ``://`` has empty host and path and fits nothing. Of a very long host only the tails of as many labels as some listed host has
     are looked up, of a path only its starts of listed lengths. Repeated rows stay; columns of ``pages`` named like the new
     ones are replaced, others stay whatever their names; an empty table gives an empty one. Copies of a URL are judged once; URLs with
-    more than one in ``SHARE`` of all rows meet them by broadcast.
+    more than one in ``SHARE`` of all rows meet them by broadcast. ``blocks``: rows of the filters, else as :func:`blocks_for` has it.
     """
     rules = listed.where(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != "")).select(
         F.concat("host", "path").alias("key"), F.col("host").alias("tail"), F.length("path").alias("len"), "action"
     )
     rules = rules.groupBy("key", "tail", "len").agg(F.max("action").alias("action"))
-    bloom = bloom_table(rules, "key", blocks)
-    # One row: the distinct lengths of listed paths and numbers of labels of listed hosts.
-    sizes = rules.agg(F.collect_set("len").alias("lens"), F.collect_set(F.size(F.split("tail", r"\.", -1))).alias("depths")).first()
+    # One row: the distinct lengths of listed paths and numbers of labels of listed hosts, and the number of keys.
+    *sizes, n_keys = rules.agg(F.collect_set("len").alias("lens"), F.collect_set(F.size(F.split("tail", r"\.", -1))).alias("depths"), F.count("*")).first()
     lens, depths = (F.array(*map(F.lit, sorted(x))).cast("array<int>") for x in sizes)
+    blocks = blocks or blocks_for(n_keys)
 
     target = F.col("_url")
     urls = pages.select(F.col(url).alias("_url")).where(target.contains("://")).groupBy("_url").agg(F.count("*").alias("n")).select("_url", "n", host_of(target).alias("h"), path_of(target).alias("p"))
     labels = F.split("h", r"\.", -1)
     tails = F.transform(F.filter(depths, lambda d: d <= F.size(labels)), lambda d: F.array_join(F.slice(labels, F.size(labels) - d + 1, d), "."))
-    keyed = (
-        urls.withColumn("tail", F.explode(tails))
-        .where(F.col("tail") != "")
-        .withColumn("len", F.explode(F.filter(lens, lambda n: n <= F.length("p"))))
-        .withColumn("key", F.concat("tail", F.expr("substring(p, 1, len)")))
-        .select("_url", "n", "tail", "len", "key", _block(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("mask"))
-    )
-    possible = keyed.join(F.broadcast(bloom), "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
+    tailed = urls.withColumn("tail", F.explode(tails)).where(F.col("tail") != "")
+    tailed = _passed(tailed, F.col("tail"), rules.select(F.col("tail").alias("key")), blocks)
+    keyed = tailed.withColumn("len", F.explode(F.filter(lens, lambda n: n <= F.length("p")))).withColumn("key", F.concat("tail", F.expr("substring(p, 1, len)")))
+    possible = _passed(keyed.select("_url", "n", "tail", "len", "key"), F.col("key"), rules, blocks)
     exact = possible.join(rules, ["key", "tail", "len"])
     best = exact.groupBy("_url").agg(F.max(F.struct(F.length("key"), F.length("tail"), F.col("key").alias("rule"), "action")).alias("best"), F.max("n").alias("n"))
     best = written(best, "judged")

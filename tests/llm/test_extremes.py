@@ -99,6 +99,24 @@ def test_urls_with_clashing_names_hot_and_long(spark):
     assert url_filter.judge_urls(pages.withColumnRenamed("url", "host"), listed.limit(0), "host").columns == ["page_id", "_key", "_best", "n", "host", "path", "rule", "verdict"]
 
 
+@pytest.mark.parametrize("blocks", [None, 1])
+def test_urls_of_a_long_list(spark, blocks):
+    r = random.Random(3)
+    hosts = [f"h{i}.{t}" for i in range(150) for t in ("com", "co.uk")]
+    listed = list({(r.choice(hosts), "/" + "ab/"[: r.randint(0, 3)] * r.randint(0, 4)): r.choice(["block", "allow"]) for _ in range(6000)}.items())
+    pages = [(i, f"HTTP://{r.choice(['', 'www.', 'x.y.'])}{r.choice([*hosts, 'h9.org', 'oh9.com'])}/{'ab/' * r.randint(0, 5)}?q#f") for i in range(2000)]
+    rules = spark.createDataFrame([(h, p, a) for (h, p), a in listed], "host string, path string, action string")
+    got = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), rules, blocks=blocks).collect()
+    assert len(got) == len(pages)
+    for x in got:
+        fits = [(len(h + p), len(h), h + p, a) for (h, p), a in listed if (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        assert (x.rule, x.verdict) == (max(fits)[2:] if fits else (None, "allow"))
+
+
+def test_filter_rows_follow_the_list():
+    assert [url_filter.blocks_for(n) for n in (0, 4096, 4097, 500_000, 10**9)] == [1024, 1024, 2048, 131072, 1 << 20]
+
+
 @pytest.mark.parametrize("run", [1, 2, 5])
 def test_prefix_scan_in_runs(spark, run):
     r = random.Random(run)
