@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import api
-from ..functions.shared import with_global_rank
+from ..functions.shared import with_global_rank, written
 from ..operators import baselines as b
 from ..operators import graphs as g
 from ..operators import metrics as m
@@ -37,7 +37,7 @@ def _rows(c):
 
 def _baseline(kind, **params):
     def run(c):
-        split = p.by_time(_rows(c))
+        split = written(p.by_time(written(_rows(c), "rows")).select("hash", "label", "repo_split", *_FEATURES), "split")
         model = b.fit(split.where("repo_split = 'train'"), kind, _FEATURES, **params)
         return b.scored(model, split.where("repo_split = 'test'"))
 
@@ -45,7 +45,7 @@ def _baseline(kind, **params):
 
 
 def _importance(c):
-    rows = _rows(c)
+    rows = written(_rows(c), "rows")
     return b.permutation_importance(b.fit(rows, "logistic", _FEATURES), rows, _FEATURES, 1)
 
 
@@ -61,8 +61,7 @@ def _neighbourhood(c, f):
     nodes = n.file_nodes(f).select("hash", F.lit("file").alias("type"), "node_key", "x")
     edges = f.select("hash", F.lit("modified_by").alias("rel"), F.lit("file").alias("src_type"), F.col("filename").alias("src_key"), F.lit("commit").alias("dst_type"), F.col("hash").alias("dst_key"))
     around = g.commit_readout(nodes, edges).groupBy("hash").pivot("dim", [0, 1, 2]).agg(F.first("value")).toDF("hash", "near_0", "near_1", "near_2")
-    rows = _rows(c).join(around, "hash", "left").na.fill(0.0)
-    split = p.by_time(rows)
+    split = written(p.by_time(written(_rows(c), "rows")).join(around, "hash", "left").na.fill(0.0), "split")
     return b.compare_features(split.where("repo_split = 'train'"), split.where("repo_split = 'test'"), "logistic", flat=_FEATURES, neighbourhood=[*_FEATURES, "near_0", "near_1", "near_2"])
 
 
