@@ -40,7 +40,7 @@ def open_bucketed(spark: SparkSession, name: str, path: str, schema: str, bucket
 
 
 def write_embeddings(rows: DataFrame, name: str, path: str, buckets: int = 64, keys: Sequence[str] = EMBEDDING_KEYS) -> DataFrame:
-    """(keys, emb) of ``rows`` (keys, emb, seq): the last row of a key by ``seq`` wins, once and for all joins to come."""
+    """(keys, emb or vec_id) of ``rows`` (keys, emb or vec_id, seq): the last row of a key by ``seq`` wins, once and for all joins to come."""
     return write_bucketed(last_vectors(rows, keys), name, path, buckets, keys)
 
 
