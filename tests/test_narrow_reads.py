@@ -1,7 +1,5 @@
 """What large queries move and write: ids in place of vectors, and only the views that are read more than once."""
 
-import pytest
-
 from histoloom.operators import nodes
 
 
@@ -11,3 +9,13 @@ def test_vectors_by_id_equal_vectors_by_key(spark):
     vectors = spark.createDataFrame([(1, [1.0, 1.0]), (2, [2.0, 3.0])], "vec_id long, emb array<double>")
     got = {r.node_key: r.x[8:] for r in nodes.function_nodes(functions, refs, 2, vectors).collect()}
     assert got == {"f::a": [2.0, 3.0], "f::b": [0.0, 0.0], "f::c": [0.0, 0.0]}
+
+
+def test_ends_write_only_the_views_they_read_often(spark, monkeypatch):
+    from histoloom.plans import assembly
+
+    asked = []
+    monkeypatch.setattr(assembly, "written_together", lambda tables: asked.extend(tables) or tables)
+    views = [spark.createDataFrame([], "hash string, commit_type string, author_date timestamp, authored_at timestamp, is_hunk boolean")] * 9
+    assembly._tables(*views, often=assembly._OFTEN[:2])
+    assert asked == ["fx_commit_full", "fx_process"]
