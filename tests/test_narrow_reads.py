@@ -19,3 +19,13 @@ def test_ends_write_only_the_views_they_read_often(spark, monkeypatch):
     views = [spark.createDataFrame([], "hash string, commit_type string, author_date timestamp, authored_at timestamp, is_hunk boolean")] * 9
     assembly._tables(*views, often=assembly._OFTEN[:2])
     assert asked == ["fx_commit_full", "fx_process"]
+
+
+def test_edges_between_commits_need_no_graph_of_a_commit(spark, monkeypatch):
+    from histoloom.operators import history_graph
+
+    monkeypatch.setattr(history_graph, "counted_graph", lambda *_: 1 / 0)
+    files = spark.createDataFrame([("a", "f", "MODIFY", 1, 1, 1, 1), ("b", "f", "MODIFY", 1, 3, 1, 1)], "hash string, filename string, change_type string, num_lines_added int, complexity int, num_lines_of_code int, token_count int")
+    commits = spark.createDataFrame([("a", "r", 0), ("b", "r", 1)], "hash string, repo_url string, day int").selectExpr("hash", "repo_url", "timestamp_seconds(day * 86400) AS author_date")
+    got = history_graph.between_commits({"file_info": files, "commit_info": commits}, ("files",))
+    assert {(r.rel, r.src_hash, r.dst_hash) for r in got.collect()} == {("file_evolution", "a", "b"), ("precedes", "a", "b")}
