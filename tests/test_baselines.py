@@ -105,4 +105,4 @@ def test_a_model_scores_in_a_session_that_observed_a_query(spark, rows):
     rows.observe(seen, F.count(F.lit(1)).alias("n")).count()
     assert seen.get["n"] == 210
     model = baselines.fit(rows, "logistic", FEATURES)
-    assert not model.stages[-1].hasSummary and baselines.scored(model, rows).repartition(2).count() == 210
+    assert not model.stages[-1].hasSummary and baselines.scored(model, rows).agg(F.sum("score")).first()[0] > 0
