@@ -33,9 +33,15 @@ def early_stop(runs: DataFrame, metric: str, keys: Sequence[str], patience: int)
     return rows.groupBy(*keys).agg(F.min(F.when(F.col("_n") - F.col("_last") >= patience, F.col("epoch"))).alias("stop_epoch"))
 
 
+def _fixed(places: int):
+    """Numbers with that many places as C's printf writes them, rounded by their exact value: ``format_number`` makes 0.000 of 0.0005, and sets
+    commas from 1,000 on. A row a result."""
+    return F.udf(lambda v: None if v is None else f"{v:.{places}f}", "string")
+
+
 def result_text(summary: DataFrame, places: int = 4) -> DataFrame:
     """``summary`` (mean, std, n) with result: mean and, of several seeds, the deviation."""
-    number = lambda c: F.format_number(c, places)
+    number = _fixed(places)
     return summary.withColumn("result", F.when(F.col("n") > 1, F.concat(number("mean"), F.lit(" ±"), number("std"))).otherwise(number("mean")))
 
 
