@@ -1,6 +1,6 @@
 """Steps whose cost per row decided how large queries grew, and number texts."""
 
-from histoloom.operators import runs
+from histoloom.operators import cleaning, graphs, runs
 
 
 def plan(df) -> str:
@@ -11,3 +11,21 @@ def test_result_texts_round_as_printf(spark):
     rows = [("a", 0.0005, 0.0005, 2), ("b", 1234.5, 0.0, 1), ("c", None, None, 0)]
     got = runs.result_text(spark.createDataFrame(rows, "run string, mean double, std double, n long"), 3)
     assert {r.run: r.result for r in got.collect()} == {"a": "0.001 ±0.001", "b": "1234.500", "c": None}
+
+
+def test_neighbours_meet_in_plain_columns(spark):
+    x = [float(i) for i in range(19)]
+    nodes = spark.createDataFrame([("h", "file", "a", x), ("h", "file", "b", [2.0, None]), ("h", "file", "c", []), ("h", "file", "d", None)], "hash string, type string, node_key string, x array<double>")
+    edges = spark.createDataFrame([("h", r, "file", k, "commit", "h") for r in ("r", "s") for k in "abcd" if (r, k) != ("s", "b")], "hash string, rel string, src_type string, src_key string, dst_type string, dst_key string")
+    long = graphs.neighbour_means(nodes, edges)
+    assert "ObjectHashAggregate" not in plan(long) and "SortAggregate" not in plan(long)
+    want = [1.0 + 0.0, 1.0 + 1.0, *[2 * v for v in x[2:]]]
+    assert [r.value for r in long.orderBy("dim").collect()] == want
+    assert [r.x for r in graphs.neighbour_vectors(nodes, edges).collect()] == [want]
+
+
+def test_rare_repeats_are_not_sorted_twice(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", None, "z")], "k string, o int, v string")
+    first = cleaning.keep_first(rows, ["k"], ["o"], rare=True)
+    assert {(r.k, r.v) for r in first.collect()} == {("a", "y"), ("b", "z")}
+    assert "WindowGroupLimit" not in plan(first)
