@@ -1,6 +1,6 @@
 """Steps whose cost per row decided how large queries grew, and number texts."""
 
-from histoloom.operators import cleaning, graphs, runs
+from histoloom.operators import cleaning, graphs, runs, scaling
 
 
 def plan(df) -> str:
@@ -29,3 +29,18 @@ def test_rare_repeats_are_not_sorted_twice(spark):
     first = cleaning.keep_first(rows, ["k"], ["o"], rare=True)
     assert {(r.k, r.v) for r in first.collect()} == {("a", "y"), ("b", "z")}
     assert "WindowGroupLimit" not in plan(first)
+
+
+def test_masks_are_put_in_by_stretches(spark):
+    rows = spark.createDataFrame([("t", [1.0] * 6), ("t", [1.0, 1.0]), ("t", None), ("u", [1.0, 1.0])], "type string, x array<double>")
+    mask = scaling.mask_table(spark, [("t", 1, 2), ("t", -3, -2), ("t", 9, 12), ("t", 5, 30)])
+    masked = scaling.apply_mask(rows, mask)
+    assert "exists(" not in plan(masked)
+    assert sorted((r.type, r.x) for r in masked.where("x IS NOT NULL").collect()) == [("t", [1.0, 0.0]), ("t", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), ("u", [1.0, 1.0])]
+
+
+def test_masks_are_laid_over_one_count(spark):
+    rows = spark.createDataFrame([("t", [1.0, 0.0, 3.0]), ("t", [1.0]), ("u", [2.0])], "type string, x array<double>")
+    masks = {"head": scaling.mask_table(spark, [("t", 0, 0)]), "tail": scaling.mask_table(spark, [("t", -1, -1), ("t", -2, -2)]), "none": scaling.mask_table(spark, [])}
+    got = {(r["mask"], r["type"], r["dim"]): r["n"] for r in scaling.values_left(rows, masks).collect()}
+    assert got == {(m, t, d): n for m, left in (("head", (0, 0, 1)), ("tail", (1, 0, 0)), ("none", (2, 0, 1))) for t, d, n in (("t", 0, left[0]), ("t", 1, left[1]), ("t", 2, left[2]), ("u", 0, 1))}
