@@ -20,7 +20,8 @@ from ..sources.tables import exists
 
 #: Buckets of the keys, and so folders of a batch.
 BUCKETS = 64
-Evolve = Callable[[DataFrame, DataFrame], DataFrame]
+#: Takes snapshots that hold repo_url and author_date, and None for the commits; gives edges with src and the key.
+Evolve = Callable[[DataFrame, None], DataFrame]
 
 
 def _batches(spark: SparkSession, path: str, part: str, before: int | None = None) -> DataFrame | None:
@@ -38,19 +39,18 @@ def add_batch(rows: DataFrame, batch: int, path: str, key: Sequence[str] = ("rep
 
     Work grows with the history of the keys that the batch touches, not with all that is known."""
     spark = rows.sparkSession
-    new = written(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "batch")
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    new = written(rows.withColumn("bucket", bucket), "batch")
     touched = new.select("bucket", *key).distinct()
     old = _batches(spark, path, "snapshots", batch)
     every = new.withColumn("batch", F.lit(batch))
     if old is not None:
         some = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
         every = every.unionByName(old.where(F.col("bucket").isin(some)).join(touched, ["bucket", *key], "left_semi"), allowMissingColumns=True)
+    # Rows are dealt once, by key: the last of a commit and the order in time are both within a key.
     last = Window.partitionBy("hash", *key, *within).orderBy(F.desc("batch"))
-    known = written(every.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place", "batch"), "known")
-    scope = [k for k in key if k != "repo_url"]
-    found = evolve(known.drop("repo_url", "author_date", "bucket"), known.select("hash", "repo_url", "author_date").distinct())
-    home = known.select(F.col("hash").alias("src"), *scope, "repo_url", "bucket").distinct()
-    edges = home.join(found, ["src", *scope]).withColumn("is_edge", F.lit(True))
+    known = every.repartition(*key).withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place", "batch", "bucket")
+    edges = evolve(known, None).withColumns({"bucket": bucket, "is_edge": F.lit(True)})
     marks = touched.withColumn("is_edge", F.lit(False))
     out = edges.unionByName(marks, allowMissingColumns=True)
     for table, part in ((out, "edges"), (new, "snapshots")):  # a batch is known once its snapshots are
