@@ -4,8 +4,8 @@ import os
 
 import numpy as np
 import pytest
-from histoloom.functions.shared import dealt, scratch_path, written
-from histoloom.operators import attribution, graphs
+from histoloom.functions.shared import dealt, scratch_path, with_global_rank, written
+from histoloom.operators import assembly, attribution, audits, graphs, history_graph
 from histoloom.plans import views
 from pyspark.sql import functions as F
 
@@ -78,3 +78,42 @@ def test_coalitions_scored_in_batches(spark):
     for key in got:
         assert got[key] == (wanted[key] if wanted[key] is None else pytest.approx(wanted[key], abs=1e-9))
     assert np.isclose(sum(got["a", i] for i in range(5)), 3.0)
+
+
+def test_ranks_move_rows_once(spark):
+    rows = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "v int").repartition(5)
+    ranked = with_global_rank(rows, [F.col("v")])
+    assert "row_number" not in plan(ranked)
+    assert {(r.v, r["rank"], r.total) for r in ranked.collect()} == {(i, i + 1, 101) for i in range(101)}
+
+
+def test_errors_read_only_the_relations_they_count(spark):
+    ends = lambda rel: spark.range(3).select(F.col("id").cast("string").alias("hash"), F.lit(rel).alias("rel"))
+    commits = spark.range(4).select(F.col("id").cast("string").alias("hash"))
+    nodes = commits.where("hash <> '2'").select("hash", F.lit("developer").alias("type"))
+    found = audits.graph_errors(nodes, ends("authored_by").unionByName(ends("there")).unionByName(ends("owns")), commits, {}, {"there": "back"})
+    assert "owns" not in plan(found)
+    assert {r.hash: r.errors for r in found.collect()} == {"0": "back_there", "1": "back_there", "2": "missing_graph,no_developer,back_there", "3": "no_author_edge"}
+
+
+def test_modes_keep_what_their_nodes_are_made_of(spark):
+    entities = lambda key: spark.createDataFrame([("a", "b", "x", 1.0), ("a", None, "y", 2.0)], f"fc_hash string, vcc_hash string, {key} string, votes double")
+    tables = {"issue_info": entities("issue_id"), "pull_request_info": entities("pr_id"), "release_tag_info": entities("tag_id")}
+    commits, kinds = spark.createDataFrame([("a",), ("b",), ("c",)], "hash string"), ("issue", "pull_request", "release_tag")
+    of = lambda mode: assembly._process_entities(tables, commits, mode, kinds, dict.fromkeys(kinds))
+    assert {k: t.columns for k, t in of(1).items()} == {"issue": ["hash", "issue_id", "votes"], "pull_request": ["hash", "pr_id", "votes"], "release_tag": ["hash", "tag_id", "votes"]}
+    assert {k: t.columns for k, t in of(2).items()} == dict.fromkeys(kinds, ["hash"])
+    assert of(3)["release_tag"].columns == ["hash", "tag_id", "votes"]
+    assert sorted(of(4)) == ["issue", "pull_request"] and sorted(r.hash for r in of(4)["issue"].collect()) == ["a", "b"]
+
+
+def test_evolution_that_is_read_twice_is_written(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(history_graph, "written", lambda df, label: asked.update({label: df._dealt_by}) or df)
+    files = spark.createDataFrame([], "hash string, filename string, complexity int")
+    functions = spark.createDataFrame([], "hash string, filename string, name string, start_line int, complexity int, before_change boolean, function_change_type string")
+    commits = spark.createDataFrame([], "hash string, repo_url string, author_date timestamp, commit_type string")
+    fixes = spark.createDataFrame([], "vcc_hash string, fc_hash string")
+    history_graph.file_edges(files, commits, fixes)
+    history_graph.function_edges(functions, commits, fixes)
+    assert asked == {"file-evolution": ("src",), "function-evolution": ("src",)}
